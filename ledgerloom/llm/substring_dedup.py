@@ -68,8 +68,10 @@ def _sorted_groups(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np
 
 def _by_bucket(keys: np.ndarray, buckets: int):
     """Bounds of each bucket that has some of the sorted keys."""
+    if not len(keys):
+        return iter(())
     b = _bucket(keys, buckets)
-    cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
     return zip(b[cut], cut, np.append(cut[1:], len(b)), strict=True)
 
 
