@@ -70,12 +70,12 @@ def slug(source: Column, default: str = "unknown-subject") -> Column:
 
 def set_normalize(values: Column) -> Column:
     """Trimmed, non-empty, distinct, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda x: x != "")))
 
 
 def ordered_set(values: Column) -> Column:
     """Trimmed, non-empty, distinct, in the order of first occurrence."""
-    return F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda x: x != ""))
 
 
 def normalize_types(values: Column) -> Column:
@@ -107,7 +107,7 @@ def glob_regex(glob: Column) -> Column:
 def alias_matches(alias: Column, value: Column) -> Column:
     """Whether an alias names a path or repository: equal, the same repository, or by glob."""
     exact = (alias == value) | ((canonical_repo(alias) == canonical_repo(value)) & (canonical_repo(alias) != ""))
-    return (F.coalesce(value, F.lit("")) != "") & (exact | (alias.rlike(r"[*?\[]") & value.rlike(glob_regex(alias))))
+    return (F.coalesce(value, F.lit("")) != "") & (exact | (alias.rlike(r"[*?\[]") & F.rlike(value, glob_regex(alias))))
 
 
 def join_text_blocks(blocks: Column) -> Column:
@@ -206,7 +206,7 @@ def _limited(how, text: Column, limit: int) -> Column:
 def excerpt(body: Column, limit: int = EXCERPT_BYTES) -> Column:
     """The first paragraph that is not a heading, at most ``limit`` bytes, cut between characters."""
     strip = lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")
-    paragraph = F.filter(F.transform(F.split(body, "\n\n"), strip), lambda p: (p != "") & ~p.startswith("#"))
+    paragraph = F.filter(F.transform(F.split(body, "\n\n"), lambda p: strip(p)), lambda p: (p != "") & ~p.startswith("#"))
 
     def cut(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else _prefix(t.encode(), limit).decode())

@@ -42,7 +42,7 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out = _apply(rows)
     except ValueError as e:
         out = [{"error": str(e)}]
-    return pd.DataFrame([{**r, "subject": subject} for r in out], columns=_COLUMNS)
+    return pd.DataFrame({c: pd.Series([{**r, "subject": subject}.get(c) for r in out], dtype=object) for c in _COLUMNS})
 
 
 def _as_list(v) -> list:
