@@ -91,7 +91,7 @@ def repo_conflict(known: Column, found: Column) -> Column:
 def canonical_repo(url: Column) -> Column:
     """Lower-case host/path of scp-like, ssh and http addresses, without user, port and ``.git``; empty for anything else."""
     u = F.trim(url)
-    address = F.regexp_replace(u, r"^[^@]+@([^:/]+):(.*)$", "ssh://$1/$2")
+    address = F.regexp_replace(u, r"^[^@/]+@([^:/]+):(.*)$", "ssh://$1/$2")
     host = F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]+)", 1)
     path = F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     path = F.regexp_replace(F.regexp_replace(path, "^/+|/+$", ""), r"\.git$", "")

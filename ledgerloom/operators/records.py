@@ -168,7 +168,9 @@ def decode_result(rows: DataFrame, task: str, column: str = "result") -> tuple[D
     keys = F.array(*(F.lit(part.split()[0]) for part in _top_level(schema)))
     decoded = F.from_json(column, schema)
     found = F.json_object_keys(column)
-    whole = F.try_parse_json(column).isNotNull() & (F.size(F.array_except(found, keys)) == 0) & (F.size(F.array_except(keys, found)) == 0)
+    # As the only element of an array, a value can't have anything behind it.
+    alone = F.try_parse_json(F.concat(F.lit("["), column, F.lit("]")))
+    whole = alone.isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull() & (F.size(F.array_except(found, keys)) == 0) & (F.size(F.array_except(keys, found)) == 0)
     complete = F.lit(True)
     for part in _top_level(schema):
         complete = complete & decoded[part.split()[0]].isNotNull()

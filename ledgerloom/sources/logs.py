@@ -98,8 +98,9 @@ def _event(kind: str, when: Column, **fields: Column) -> Column:
 
 
 def _events(lines: DataFrame, stream: Column, *choices: Column) -> DataFrame:
-    out = lines.withColumn("e", F.coalesce(*choices)).where("e is not null")
-    return out.select("agent", "path", stream.alias("stream"), "line", F.lit(0).alias("ord"), "e.*")
+    # A generator keeps the optimizer from copying the choices into each field and filter.
+    out = lines.select("agent", "path", stream.alias("stream"), "line", F.posexplode(F.array_compact(F.array(*choices))).alias("ord", "e"))
+    return out.select("agent", "path", "stream", "line", "ord", "e.*")
 
 
 def _text_of(content: Column, kind: str) -> Column:

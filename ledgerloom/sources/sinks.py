@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTER = "_current.json"
+POINTER = "current.json"
 
 
 def write_feedstocks(rows: DataFrame, path: str) -> None:
@@ -34,7 +34,7 @@ def publish(rows: DataFrame, root: str, version: int, expected: int | None = Non
         raise RuntimeError(f"snapshot {expected} is no longer current")
     rows.write.mode("overwrite").parquet(f"{root}/v={version}")
     jvm, fs, target = _fs(spark, f"{root}/{POINTER}")
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{root}/.{POINTER}.{version}")
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{root}/.{version}.{POINTER}")
     out = fs.create(fresh, True)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
