@@ -24,11 +24,17 @@ from .substring_dedup import _by_bucket, buckets_for
 SHINGLE = 5
 THRESHOLD = 75  # per cent
 FRAGMENTS = 8
-HUB_ROUNDS = 4
+#: Hubs that each group of candidates is compared with, round by round, before its members are compared with each other.
+HUBS = (1, 4, 16, 64)
+#: A shingle that the sketch counts so often is not gathered in one task; its level is a logarithm of this.
+HOT_COUNT = 50_000
+HOT_LEVEL = int(8 * np.log2(HOT_COUNT))
+#: Pairs that are sent to all tasks, 16 bytes each; more of them are shuffled.
+BROADCAST_PAIRS = 500_000
 NO_ID = np.iinfo(np.int64).min
 
 SET_SCHEMA = "doc_id long, n long, node long, kind int, segment int, body binary"
-TOKEN_SCHEMA = "bucket int, kind int, tokens binary, nodes binary, sizes binary"
+TOKEN_SCHEMA = "bucket int, tokens binary, nodes binary, sizes binary, rests binary"
 
 
 def shingle_sets(texts: list, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +114,14 @@ class Order:
 
 
 def prefix_groups(docs: DataFrame, order, buckets: int, k: int, threshold: int) -> DataFrame:
-    """(token, node, size) for every shingle that stands in the prefixes of two different sets.
-
-    Shingles travel as sorted arrays by bucket of the hash range. In a chunk of
-    texts equal sets count once, and a shingle that two sets of the chunk share
-    is known to be common there, so only one of its entries is compared further.
+    """(token, node, size, rest): groups of sets that share a shingle of their prefixes; rest counts a set's shingles from that one on.
+
+    Shingles travel as sorted arrays by bucket of the hash range, equal sets of a
+    chunk once. Shingles that the sketch takes for very frequent are dealt out by
+    node and leave as rows at once, for later aggregates and joins that split
+    large keys; so a bucket holds at most HOT_COUNT entries of a shingle. Groups
+    with the same members become one, named by a hash of these, with each
+    member's largest rest; members that no other one of the group can link to go.
     """
 
     def emit(it):
@@ -123,41 +132,74 @@ def prefix_groups(docs: DataFrame, order, buckets: int, k: int, threshold: int)
                 node, size = node_of(h, first), np.diff(first)
                 alone = np.zeros(len(size), bool)
                 alone[np.unique(node, return_index=True)[1]] = True
-                of = owner(first)
-                by = np.argsort(order.value.level(h), kind="stable")
+                of, level = owner(first), order.value.level(h)
+                by = np.argsort(level, kind="stable")
                 by = by[np.argsort(of[by].astype(np.uint16) if hi - lo < 1 << 16 else of[by], kind="stable")]
-                rank = np.arange(len(h)) - first[of]
-                keep = by[(rank < (size - (threshold * size + 99) // 100 + 1)[of]) & alone[of]]
-                tok, of = h[keep], of[keep]
-                by = np.argsort(tok, kind="stable")
-                tok, of = tok[by], of[by]
-                same = np.zeros(len(tok) + 1, bool)
-                same[1:-1] = tok[1:] == tok[:-1]
-                kind = np.where(same[:-1], 1, np.where(same[1:], 2, 0))
-                for kd in (0, 1, 2):
-                    t, o = tok[kind == kd], of[kind == kd]
-                    rows = [(int(b), kd, pack(t[i:j]), pack(node[o[i:j]]), pack(size[o[i:j]].astype(np.uint32))) for b, i, j in _by_bucket(t, buckets)]
-                    yield pd.DataFrame(rows, columns=["bucket", "kind", "tokens", "nodes", "sizes"])
+                rest = (size + first[:-1])[of] - np.arange(len(h))
+                keep = (rest * 100 >= threshold * size[of]) & alone[of]
+                by, of, rest = by[keep], of[keep], rest[keep]
+                hot = level[by] >= HOT_LEVEL
+                for is_hot, some in ((False, ~hot), (True, hot)):
+                    tok, o, left = h[by[some]], of[some], rest[some]
+                    at = np.argsort(tok, kind="stable")
+                    tok, o, left = tok[at], o[at], left[at]
+                    if is_hot:
+                        dealt = (node[o] % np.uint64(256)).astype(int)
+                        cuts = [(-1 - int(b), np.flatnonzero(dealt == b)) for b in np.unique(dealt)]
+                    else:
+                        cuts = [(int(b), np.arange(i, j)) for b, i, j in _by_bucket(tok, buckets)]
+                    rows = [(b, pack(tok[x]), pack(node[o[x]]), pack(size[o[x]].astype(np.uint32)), pack(left[x].astype(np.uint32))) for b, x in cuts]
+                    yield pd.DataFrame(rows, columns=["bucket", "tokens", "nodes", "sizes", "rests"])
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = [np.concatenate([unpack(b, kind) for b in pdf[c]]) for c, kind in (("tokens", np.uint64), ("nodes", np.uint64), ("sizes", np.uint32))]
-        kind = np.repeat(pdf["kind"].to_numpy(), [len(unpack(b, np.uint64)) for b in pdf["tokens"]])
-        by = np.lexsort((cols[1], cols[0]))
-        tok, node, size, kind = (x[by] for x in (*cols, kind))
-        new = np.ones(len(tok), bool)
-        new[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
-        common = np.logical_or.reduceat(kind > 0, np.flatnonzero(new))
-        tok, node, size = tok[new], node[new], size[new]
-        same = np.zeros(len(tok) + 1, bool)
-        same[1:-1] = tok[1:] == tok[:-1]
-        keep = same[:-1] | same[1:] | common
-        return pd.DataFrame({"token": tok[keep].view(np.int64), "node": node[keep].view(np.int64), "size": size[keep].astype(np.int64)})
-
-    return docs.mapInPandas(emit, TOKEN_SCHEMA).groupBy("bucket").applyInPandas(group, "token long, node long, size long")
-
-
-def fragment_lists(docs: DataFrame, wanted, order, k: int) -> DataFrame:
-    """(node, fragment, tokens) of the sets whose (node, doc_id) the filter ``wanted`` has; others that pass it do no harm."""
+        tok, node, size, rest = (np.concatenate([unpack(b, kind) for b in pdf[c]]) for c, kind in (("tokens", np.uint64), ("nodes", np.uint64), ("sizes", np.uint32), ("rests", np.uint32)))
+        if pdf["bucket"].iloc[0] >= 0:
+            tok, node, size, rest = _one_each(tok, node, size, rest)
+            first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
+            bounds = np.append(first, len(tok))
+            name = np.repeat(node_of(node, bounds), np.diff(bounds))
+            tok, node, size, rest = _able(*_one_each(*_able(name, node, size, rest, threshold)), threshold)
+        return pd.DataFrame({"token": tok.view(np.int64), "node": node.view(np.int64), "size": size.astype(np.int64), "rest": rest.astype(np.int64)})
+
+    return docs.mapInPandas(emit, TOKEN_SCHEMA).groupBy("bucket").applyInPandas(group, "token long, node long, size long, rest long")
+
+
+def _one_each(tok, node, size, rest):
+    """Each member of a group once, with its largest rest, by group and node."""
+    by = np.lexsort((rest, node, tok))
+    tok, node = tok[by], node[by]
+    last = np.ones(len(tok), bool)
+    last[:-1] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
+    return tok[last], node[last], size[by[last]], rest[by[last]]
+
+
+def _able(tok, node, size, rest, threshold: int):
+    """Without members that can't link to any other one of their group by sizes and rests, and without groups of one. Rows are grouped by tok before and after."""
+    if not len(tok):
+        return tok, node, size, rest
+    t, s, r = threshold, size.astype(np.int64), rest.astype(np.int64)
+    gain = (100 + t) * r - t * s  # at least t times the other's size
+    new = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+    count = np.diff(np.append(new, len(tok)))
+    of = np.repeat(np.arange(len(new)), count)
+
+    def best_other(v):
+        """For each row the largest v among the others of its group."""
+        by = np.lexsort((v, of))
+        top, second = by[new + count - 1], by[new + np.maximum(count - 2, 0)]
+        out = v[top][of]
+        out[top] = v[second]
+        return out
+
+    keep = (best_other(gain) >= t * s) & (-t * best_other(-s) <= gain) & (count > 1)[of]
+    tok, node, size, rest = tok[keep], node[keep], size[keep], rest[keep]
+    edge = np.concatenate([[True], tok[1:] != tok[:-1], [True]])
+    several = ~(edge[:-1] & edge[1:])
+    return tok[several], node[several], size[several], rest[several]
+
+
+def fragment_lists(docs: DataFrame, wanted, order, fragments: int, k: int) -> DataFrame:
+    """(node, fragments) of the sets whose (node, doc_id) the filter ``wanted`` has: a list of shingles for each fragment of the order. Others that pass the filter do no harm."""
 
     def emit(it):
         for pdf in it:
@@ -170,21 +212,22 @@ def fragment_lists(docs: DataFrame, wanted, order, k: int) -> DataFrame:
                 for d in take:
                     own = h[first[d] : first[d + 1]]
                     f = order.value.fragment(own)
-                    out += [(int(node[d].view(np.int64)), int(x), own[f == x].view(np.int64)) for x in np.unique(f)]
-                yield pd.DataFrame(out, columns=["node", "fragment", "tokens"])
+                    own, f = own[np.argsort(f, kind="stable")].view(np.int64), np.sort(f)
+                    out.append((int(node[d].view(np.int64)), np.split(own, np.searchsorted(f, np.arange(1, fragments)))))
+                yield pd.DataFrame(out, columns=["node", "fragments"])
 
-    return docs.mapInPandas(emit, "node long, fragment int, tokens array<long>")
+    return docs.mapInPandas(emit, "node long, fragments array<array<long>>")
 
 
 def linked(pairs: DataFrame, lists: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b, with sizes) whose overlap, summed over fragments, reaches the threshold."""
-    left = lists.select(F.col("node").alias("a"), "fragment", F.col("tokens").alias("left"))
-    right = lists.select(F.col("node").alias("b"), "fragment", F.col("tokens").alias("right"))
-    parts = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("left", "right")).alias("part"))
-    # A list may be there twice (rows that repeat a doc_id): the largest of equal counts.
-    sums = parts.groupBy("a", "b", "fragment").agg(F.max("part").alias("part")).groupBy("a", "b").agg(F.sum("part").alias("overlap"))
-    both = pairs.join(sums, ["a", "b"])
-    return both.where((100 + threshold) * F.col("overlap") >= threshold * (F.col("a_size") + F.col("b_size"))).select("a", "b")
+    """The pairs (a, b, with sizes) whose overlap, summed over fragments, reaches the threshold. Lists that no pair names stay where they are as long as the pairs are few enough to be sent to them."""
+    few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda d: d
+    left = lists.select(F.col("node").alias("a"), F.col("fragments").alias("left")).join(few(pairs), "a")
+    right = lists.select(F.col("node").alias("b"), F.col("fragments").alias("right")).join(few(pairs.select("b").distinct()), "b", "left_semi")
+    parts = F.zip_with("left", "right", lambda x, y: F.size(F.array_intersect(x, y)))
+    counted = left.join(right, "b").select("a", "b", "a_size", "b_size", F.aggregate(parts, F.lit(0), lambda n, x: n + x).alias("overlap"))
+    # Lists may be there twice (rows that repeat a doc_id), with the same count.
+    return counted.where((100 + threshold) * F.col("overlap") >= threshold * (F.col("a_size") + F.col("b_size"))).select("a", "b").distinct()
 
 
 def merge_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -216,15 +259,13 @@ def _with_labels(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, threshold: int) -> DataFrame:
-    """Unordered pairs whose sizes alone allow a link."""
-    near = 100 * F.least("size", "hub_size") >= threshold * F.greatest("size", "hub_size")
-    swap = F.col("node") > F.col("hub")
-    return rows.where(near & (F.col("node") != F.col("hub"))).select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.when(swap, F.col("hub_size")).otherwise(F.col("size")).alias("a_size"), F.when(swap, F.col("size")).otherwise(F.col("hub_size")).alias("b_size")
-    ).distinct()
+    """Pairs, each in one order, that sizes and rests allow to link."""
+    able = (100 + threshold) * F.least("rest", "hub_rest") >= threshold * (F.col("size") + F.col("hub_size"))
+    pairs = rows.where(able & (F.col("node") != F.col("hub"))).select(F.struct(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("size").alias("a_size"), F.col("hub_size").alias("b_size")).alias("p"))
+    return pairs.groupBy(F.least("p.a", "p.b"), F.greatest("p.a", "p.b")).agg(F.min("p").alias("p")).select("p.*")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: int = THRESHOLD, fragments: int = FRAGMENTS, hub_rounds: int = HUB_ROUNDS, most_cells: int = 1 << 26) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: int = THRESHOLD, fragments: int = FRAGMENTS, hubs_per_round: tuple[int, ...] = HUBS, most_cells: int = 1 << 26) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``.
 
     A set is a text's distinct k-word shingles, A-Z lower-cased; sets link when
@@ -247,17 +288,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = spark.sparkContext.broadcast(Order(shared.collect_array(merged, cells, np.uint32), fragments))
     sets = measured.where("kind = 0").select("doc_id", "n", "node")
 
-    members = stage(prefix_groups(thin, order, buckets_for(words), k, threshold), "prefixes").dropDuplicates(["token", "node"])
-    # Of tokens with the same members one is enough.
-    mark = members.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    first = mark.where("c > 1").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
-    groups = stage(members.join(first, "token", "left_semi"), "groups")
+    # Groups with the same members come from several buckets: once is enough.
+    groups = stage(prefix_groups(thin, order, buckets_for(words), k, threshold), "prefixes").groupBy("token", "node", "size").agg(F.max("rest").alias("rest"))
+    groups = stage(groups, "groups")
 
     nodes = groups.select("node").distinct().join(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "node").select("node", F.coalesce("least", F.lit(NO_ID)).alias("least"))
     nodes = nodes.mapInPandas(_marks, "h long")
     nodes = stage(nodes, "nodes")
     wanted = spark.sparkContext.broadcast(shared.build_bloom(nodes, "h", bloom_bits(16 * nodes.count())))
-    lists = stage(fragment_lists(thin, wanted, order, k), "fragments")
+    lists = stage(fragment_lists(thin, wanted, order, fragments, k), "fragments")
 
     labels, tested = None, None
 
@@ -270,21 +309,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return False
         links = stage(linked(pairs, lists, threshold), "links")
         labels = merge_labels(labels, links)
-        new = pairs.select("a", "b")
+        new = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tested = new if tested is None else tested.unionByName(new)
         return True
 
-    for r in range(hub_rounds):
+    for r, hubs_each in enumerate(hubs_per_round):
         seen = _with_labels(groups, labels)
-        rank = F.struct("size", "node") if r == 0 else F.struct(F.xxhash64("node", F.lit(r)).alias("size"), "node")
-        hubs = seen.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "size", "label"), rank).alias("h")).where("lo < hi").select("token", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.label").alias("hub_label"))
+        # The smallest set first, then some members by chance; dealt out, so that no group is gathered whole.
+        rank = F.struct(F.col("size").alias("r"), "node") if r == 0 else F.struct(F.xxhash64("node", F.lit(r)).alias("r"), "node")
+        dealt = F.pmod(F.xxhash64("node", F.lit(-r)), F.lit(hubs_each))
+        part = seen.groupBy("token", dealt.alias("part")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "size", "rest", "label"), rank).alias("h"))
+        mixed = part.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")
+        hubs = part.join(mixed, "token", "left_semi").select("token", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.rest").alias("hub_rest"), F.col("h.label").alias("hub_label"))
         if not join(_pairs(seen.join(hubs, "token").where("label != hub_label"), threshold)):
             break
     # What is left: all members of a group that are still in different classes.
     seen = _with_labels(groups, labels)
     mixed = seen.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     left = stage(seen.join(mixed, "token", "left_semi"), "mixed")
-    other = left.select("token", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("label").alias("hub_label"))
+    other = left.select("token", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("rest").alias("hub_rest"), F.col("label").alias("hub_label"))
     join(_pairs(left.join(other, "token").where((F.col("label") < F.col("hub_label"))), threshold))
 
     out = sets.withColumn("label", F.col("node")) if labels is None else sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
