@@ -12,9 +12,11 @@ again, round by round.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,39 +30,72 @@ END_ID = 1
 #: Pieces that are packed together, at most about; a partition's memory is a few dozen bytes a piece.
 PARTITION_PIECES = 20_000
 ROUNDS = 3
-#: Words whose ids a task keeps; beyond that it starts anew.
-CACHE_WORDS = 400_000
+#: Words (and as many of their parts) whose ids a worker keeps, about 200 bytes each; beyond that the older half goes.
+CACHE_WORDS = 700_000
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
-_ODD = re.compile("[\x1c-\x1fΣ]|<\\|")
-_TAIL = re.compile(r"(?<=[A-Za-z])([.,!]+)(?=\s|$)")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ", "<|")
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable ones are themselves, the others follow from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {**{b: chr(b) for b in printable}, **{b: chr(256 + n) for n, b in enumerate(others)}}
+
+
+class _Kept(dict):
+    """Values by key, made when they are first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = value = self.make(key)
+        return value
+
+    def shrink(self, most: int) -> None:
+        if len(self) > most:
+            for k in [*islice(self, most // 2)]:
+                del self[k]
 
 
 class WordTokens:
-    """Ids of texts by a tokenizer whose vocabulary ends words at white space; ids of words that were seen before are looked up."""
+    """Ids of texts by a byte-level tokenizer whose vocabulary ends words at white space. Ids of words, and of their letters apart from case and the punctuation behind, are kept; plain letters go to the vocabulary's merges directly."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache_words, self.cache = Tokenizer.from_file(path), cache_words, {}
+        self.tokenizer, self.cache_words = Tokenizer.from_file(path), cache_words
+        self.merges, self.letters = self.tokenizer.model, _byte_letters()
+        self.words, self.parts = _Kept(self._word), _Kept(self._part)
+
+    def _part(self, part: str) -> bytes:
+        if _LETTERS.fullmatch(part):
+            tokens = self.merges.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.letters))
+            ids = [t.id for t in tokens]
+        else:
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        low = word.lower()
+        core = low.rstrip(".,!")
+        if len(core) < len(low) and _LETTERS.fullmatch(core[-1:]):
+            return self.parts[core] + self.parts[low[len(core) :]]
+        return self.parts[low]
 
     def ids(self, text: str) -> bytes:
-        """Little-endian 32-bit ids. Splitting at white space, before punctuation at a word's end, and lower-casing don't change what the tokenizer gives; texts for which they might are given to it whole."""
-        if _ODD.search(text) or not unicodedata.is_normalized("NFC", text):
-            return self._encode([text])[0]
-        words = _TAIL.sub(r" \1", text.lower()).split()
-        cache = self.cache
-        new = [w for w in {*words} if w not in cache]
-        if new:
-            if len(cache) > self.cache_words:
-                cache.clear()
-                new = [*{*words}]
-            cache.update(zip(new, self._encode(new), strict=True))
-        return b"".join(map(cache.__getitem__, words))
+        """Little-endian 32-bit ids. Splitting at white space and before punctuation at a word's end, and lower-casing don't change what the tokenizer gives; texts for which they might are given to it whole."""
+        if any(x in text for x in _ODD) or not unicodedata.is_normalized("NFC", text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        self.words.shrink(self.cache_words)
+        self.parts.shrink(self.cache_words)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 _TOKENS: dict[str, WordTokens] = {}
