@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -58,8 +58,6 @@ _CYCLES = """g AS (SELECT 'k-' || o_orderkey AS src, 'k-' || CASE WHEN o_orderpr
 @query(f"WITH {KNOWLEDGE}, {_CYCLES} SELECT DISTINCT a.src AS id FROM g a JOIN g b ON a.dst = b.src AND b.dst = a.src")
 def cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders on cycles, where urgent ones point to the customer's next order and others to the one before: neighbours that point at each other."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     o = table(spark, sf_dir, "orders").withColumns({"prev": F.lag("o_orderkey").over(w), "next": F.lead("o_orderkey").over(w)})
     key = lambda c: F.concat(F.lit("k-"), c)
@@ -165,28 +163,31 @@ def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as subjects: their aliases are paths and hosts, their documents the names of their region and of one template more."""
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    aliases = F.array(F.concat(F.lit("/work/"), F.lower("n_name")), F.concat(F.lit("https://example.com/"), F.lower("n_name"), F.lit("*")))
-    return n.select(F.col("n_name").alias("name"), aliases.alias("aliases"), F.array(F.col("r_name"), F.lit("SUMMARY")).alias("documents"))
+    """Suppliers as subjects, whose documents are those of their region and one more."""
+    place = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = table(spark, sf_dir, "supplier").join(F.broadcast(place), F.col("s_nationkey") == F.col("n_nationkey"))
+    return n.select(F.col("s_name").alias("name"), F.array(F.col("r_name"), F.lit("SUMMARY")).alias("documents"))
 
 
 def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.concat(F.lower("r_name"), F.lit(".md")).alias("output"), F.when(F.col("r_regionkey") == 0, "always").otherwise("subject").alias("inject"))
 
 
-@query("SELECT n_name AS subject, r_name AS template, row_number() OVER (ORDER BY (n_name, r_name) > ('NATION_15', '') DESC, n_name, r_name)::INTEGER AS rank FROM nation JOIN region ON n_regionkey = r_regionkey QUALIFY rank <= 12")
-def round_robin_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next twelve jobs behind a cursor."""
-    from pyspark.sql import Window
+_JOBS = "j AS (SELECT s_name AS subject, r_name AS template FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), c AS (SELECT max(subject) AS cursor FROM j WHERE subject < (SELECT max(subject) FROM j))"
 
+
+@query(f"WITH {_JOBS} SELECT subject, template, row_number() OVER (ORDER BY (subject, template) > (cursor, '') DESC, subject, template)::INTEGER AS rank FROM j, c QUALIFY rank <= 100")
+def round_robin_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next hundred jobs behind a cursor at the last subject but one."""
     good, _ = dc.jobs(_subjects(spark, sf_dir), _templates(spark, sf_dir))
-    rows = dc.next_jobs(good, 12, ("NATION_15", ""))
-    behind = F.struct("subject", "template") > F.struct(F.lit("NATION_15").alias("subject"), F.lit("").alias("template"))
+    last = [r["subject"] for r in good.select("subject").distinct().orderBy(F.desc("subject")).limit(2).collect()]
+    cursor = (last[-1], "")
+    rows = dc.next_jobs(good, 100, cursor)
+    behind = F.struct("subject", "template") > F.struct(F.lit(cursor[0]).alias("subject"), F.lit("").alias("template"))
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(behind), "subject", "template")))
 
 
-@query("SELECT n_name AS subject, 'SUMMARY' AS template FROM nation")
+@query("SELECT s_name AS subject, 'SUMMARY' AS template FROM supplier")
 def missing_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates that subjects are assigned and that do not exist."""
     return dc.jobs(_subjects(spark, sf_dir), _templates(spark, sf_dir))[1]

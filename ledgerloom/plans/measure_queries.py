@@ -100,10 +100,13 @@ def threshold_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ev.threshold(table(spark, sf_dir, "events").where("event_type = 'click'"), "value"))
 
 
-@query("SELECT count(*) AS rows, sha256(array_to_string(list_sort(list(sha256(n_nationkey || chr(9) || n_name || chr(9) || n_regionkey))), chr(10))) AS digest FROM nation")
+_PART = ", ".join(f"sum(('0x' || substr(h, {15 * k + 1}, 15))::BIGINT)::VARCHAR AS p{k}" for k in range(4))
+
+
+@query(f"WITH h AS (SELECT sha256(c_custkey || chr(9) || c_name || chr(9) || c_nationkey || chr(9) || c_mktsegment) AS h FROM customer), s AS (SELECT count(*) AS rows, {_PART} FROM h) SELECT rows, sha256(rows || '|' || p0 || '|' || p1 || '|' || p2 || '|' || p3) AS digest FROM s")
 def payload_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One digest of a dimension's rows."""
-    return ev.payload_digest(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
+    """One digest of a table's rows."""
+    return ev.payload_digest(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
 
 
 @query("SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unknown-subject') AS slug FROM part")
