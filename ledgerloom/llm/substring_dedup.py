@@ -207,22 +207,27 @@ def repeated_windows(docs: DataFrame, suspects: DataFrame, window: int, buckets:
             doc, place = doc[later], place[later]
             order = np.lexsort((place, doc))
             doc, place = doc[order], place[order]
-            at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
-            out += [(int(doc[i]), pack(place[i:j])) for i, j in zip(at, [*at[1:], len(doc)], strict=True)]
+            out += _places(doc, place)
         return pd.DataFrame(out, columns=["doc_id", "starts"])
 
     found = docs.where("doc_id is not null").mapInPandas(emit, VERIFY_SCHEMA)
     return found.groupBy("bucket").applyInPandas(decide, SPAN_SCHEMA)
 
 
+def _places(doc: np.ndarray, place: np.ndarray) -> list[tuple[int, bytes]]:
+    """Each document's places, packed, from rows sorted by document."""
+    if not len(doc):
+        return []
+    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    return [(int(doc[i]), pack(place[i:j])) for i, j in zip(at, [*at[1:], len(doc)], strict=True)]
+
+
 def _span_rows(doc: np.ndarray, place: np.ndarray):
     """What a chunk already knows to repeat: one row for each document, in a bucket by its identifier."""
     if not len(doc):
         return
     order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    rows = [(int(doc[i] % 64), None, None, pack(doc[i : i + 1]), None, pack(place[i:j].astype(np.uint32))) for i, j in zip(at, [*at[1:], len(doc)], strict=True)]
+    rows = [(d % 64, None, None, pack(np.array([d])), None, body) for d, body in _places(doc[order], place[order].astype(np.uint32))]
     yield pd.DataFrame(rows, columns=["bucket", "keys", "checks", "owners", "doc_ids", "places"])
 
 

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline as cp  # noqa: E402
-from conftest import SF  # noqa: E402
+
 from ledgerloom.llm import language_id as li  # noqa: E402
 from ledgerloom.llm import packing as pk  # noqa: E402
 from ledgerloom.llm.entry import tokenizer_path  # noqa: E402
 from test_packing_warc import check_packing  # noqa: E402
 
+SF = brute.SF
+
 
 def test_run_against_brute_force(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")

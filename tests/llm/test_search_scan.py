@@ -10,7 +10,7 @@ from ledgerloom.llm import quality as ql
 from ledgerloom.llm import secret_scan as ss
 from ledgerloom.llm.shared import crc_mod, table
 
-from conftest import SF  # isort: skip
+SF = brute.SF
 
 
 def items(spark, rows):
@@ -96,10 +96,10 @@ def test_language_edges(docs, empty, nameless):
 
 
 def test_quality_held_out(spark):
-    d, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    d, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     model = ql.learn(d, labels.where(crc_mod("doc_id", 5) != 0))
     out = ql.score(d, model).join(labels.where(crc_mod("doc_id", 5) == 0), "doc_id").collect()
-    assert np.mean([(r.quality_score >= 0.3) == (r.quality == 1) for r in out]) >= 0.9
+    assert np.mean([(r.quality_score >= 0.3) == (r.quality == 1) for r in out]) >= 0.95
     good, bad = ([r.quality_score for r in out if r.quality == q] for q in (1, 0))
     assert np.mean([g > b for g in good for b in bad]) >= 0.95
 
@@ -107,7 +107,7 @@ def test_quality_held_out(spark):
 def test_quality_features():
     texts = ["ab ab", "", "abc", "日本 語日"]
     f, first = ql.features(texts)
-    assert [*np.diff(first)] == [2 + 2 + 3 + 2, 0, 1 + 1 + 1, 2 + 2 + 3 + 2 - 1 - 1]
+    assert [*np.diff(first)] == [2 + 2 + 3 + 2, 0, 1 + 1 + 1, 2 + 2 + 3 + 2]
     for i, t in enumerate(texts):
         alone, _ = ql.features([t])
         assert sorted(alone) == sorted(f[first[i] : first[i + 1]])
@@ -136,13 +136,14 @@ SECRET_TEXTS = [
 
 def test_secret_base(spark, docs, rows):
     rng = np.random.default_rng(3)
-    texts = SECRET_TEXTS + [f"{rng.bytes(9).hex()} password={rng.bytes(9).hex()} mail8.example.com {rng.bytes(8).hex()}" for _ in range(60)]
+    texts = SECRET_TEXTS + [f"password={rng.bytes(9).hex()} mail8.example.com some_ordinary_name_{i} HTTPServletRequest2 foo-bar-baz-qux/{i}" for i in range(60)]
+    texts += [f"beside words {rng.bytes(9).hex()} and some_other_name_{i}" for i in range(6)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     out = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in ss.find_secrets(df).collect()}
     for i, t in enumerate(texts):
         assert [s for s in out[i] if s[0] != "format"] == brute.secrets(t)
     found = [t[a:z] for i, t in enumerate(texts) if t for k, a, z in out[i] if k == "format"]
-    assert len(found) >= 100 and all(len(f) in (16, 18) for f in found), found[:5]
+    assert len(found) == 6 and all(len(f) == 18 for f in found), found
     own = Counter((r.doc_id, tuple(r.spans)) for r in ss.find_secrets(docs).collect())
     assert sum(own.values()) == len(rows)
 
