@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .shared import chunks
 
 PROFILE = 300
-MAX_N = 3
+#: Characters that are counted at a time in a task; each has three n-grams.
+CHUNK_CHARS = 400_000
 UNKNOWN = "und"
 _TABLE: list[np.ndarray] = []
 
@@ -36,9 +37,9 @@ def doc_grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     folded into it); 0 stands for the space beside a word.
     """
     lowered = [t.lower() if t else "" for t in texts]
-    points = np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer(("\n" + "\n".join(lowered) + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     points = np.where(letters_table()[points], points, 0)
-    of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in lowered])
     c = (points & 0xFFFF).astype(np.uint64)
     inside = points[1:] > 0
     a, mid, z = c[:-2], c[1:-1], c[2:]
@@ -76,7 +77,7 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
             texts = pdf["text"].to_list()
             langs, names = pd.factorize(pdf["lang"])
             found: list[tuple] = []
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, CHUNK_CHARS):
                 of, gram, n = doc_grams(texts[lo:hi])
                 key = langs[lo:hi][of]
                 by = np.lexsort((gram, key))
@@ -135,7 +136,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
 
     def look(text: pd.Series) -> pd.DataFrame:
         texts, names, out = text.to_list(), np.array([*sent.value], object), []
-        for lo, hi in chunks(texts):
+        for lo, hi in chunks(texts, CHUNK_CHARS):
             if not len(names):
                 out += [(UNKNOWN, 0.0)] * (hi - lo)
                 continue
