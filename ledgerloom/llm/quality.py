@@ -24,6 +24,8 @@ NGRAMS = (3, 4)
 #: Labelled documents of each label that are learned from, at most: those with the smallest hashes of their doc_id.
 SAMPLE = 3000
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.4, 7
+#: Small samples are gone through more often, until there are so many steps.
+STEPS = 1100
 
 
 def features(texts: list, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +76,11 @@ def train(texts: list, labels: np.ndarray, buckets: int = BUCKETS, dim: int = DI
         f, _ = features([t], buckets)
         u, n = np.unique(f, return_counts=True)
         docs.append((u, (n / max(n.sum(), 1)).astype(np.float32)))
-    steps, total = 0, epochs * -(-len(docs) // batch)
+    each = -(-len(docs) // batch)
+    epochs = max(epochs, -(-STEPS // each))
+    steps, total = 0, epochs * each
     for _ in range(epochs):
-        for chosen in np.array_split(rng.permutation(len(docs)), -(-len(docs) // batch)):
+        for chosen in np.array_split(rng.permutation(len(docs)), each):
             lr = rate * (1 - steps / total)
             steps += 1
             own = [docs[i] for i in chosen if len(docs[i][0])]
