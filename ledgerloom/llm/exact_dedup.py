@@ -49,8 +49,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = full.select("doc_id", F.col("survives").isNotNull().alias("survives"), (sha if digest_all else F.when(F.col("survives").isNotNull(), sha)).alias("sha256"))
     full = stage(full, "exact-full")
 
+    # Written first, the groups don't share the rows' partitioning, and joins can split a large group's rows.
     best = full.where("survives").groupBy("sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    out = full.join(best, "sha256", "left")
+    out = full.join(stage(best, "exact-best"), "sha256", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
         "doc_id",
