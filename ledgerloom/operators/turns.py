@@ -151,7 +151,7 @@ def merge_copies(candidates: DataFrame, same: list[str] = SAME) -> tuple[DataFra
     return first.withColumn("source_sequence", F.row_number().over(w).cast("long")), conflicts
 
 
-def source_session(candidates: DataFrame) -> Column:
+def source_session() -> Column:
     """What turns are neighbours by: the owner of their lineage, else their own session."""
     return F.coalesce(F.nullif(F.trim("source_owner_session_id"), F.lit("")), F.col("session_id"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import runs
 from ..operators import search as s
 from .registry import query
 from .tables import EVENTS, INDEX, VECTORS, event_rows, index_rows, query_vector, vector_rows
@@ -130,5 +131,20 @@ def array_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.array_contains("types", "toxic")).select("doc_id")
 
 
+@query(f"""{_BM25}, ft AS (SELECT id, rank FROM text_branch WHERE rank <= 50), fv AS (SELECT id, rank FROM vector_branch WHERE rank <= 50 AND score >= 0.2),
+    th AS (SELECT id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT * FROM ft UNION ALL SELECT * FROM fv) GROUP BY id) SELECT id, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM th""")
+def threshold_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search whose vectors only count from a score on."""
+    o = _options(mode="hybrid", query_vector=query_vector(spark, sf_dir))
+    return runs.threshold_hybrid(index_rows(spark, sf_dir), vector_rows(spark, sf_dir), o, 0.2, depth=50).select("id", "rank")
+
+
+@query(f"""{_BM25} SELECT id, rank::INTEGER AS rank FROM hybrid WHERE id IN (SELECT id FROM hybrid ORDER BY rank LIMIT 10)""")
+def hybrid_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten of a hybrid search."""
+    o = _options(mode="hybrid", query_vector=query_vector(spark, sf_dir))
+    return s.candidates(index_rows(spark, sf_dir), vector_rows(spark, sf_dir), o).where("rank <= 10")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_results(spark, sf_dir)

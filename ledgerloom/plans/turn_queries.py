@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.ids import feedstock_id
 from ..operators import documents as dc
-from ..operators import sync, turns
+from ..operators import runs, sync, turns
 from ..sources import logs
 from ..streaming.turns import assemble_stream
 from .registry import query
@@ -94,6 +94,36 @@ def merge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.merge_copies(_copies(spark, sf_dir), ["session_id", "timestamp", "user_text", "assistant_text"])[0].select("id", "source_sequence")
 
 
+@query(f"WITH {TURNS}, u AS (SELECT c.*, f.id IS NOT NULL AS resumable FROM c LEFT JOIN f USING (id) WHERE (f.id IS NULL OR NOT extracted) AND conv_id NOT IN (SELECT conv_id FROM tn WHERE conv_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND user_text <> upper(user_text))) SELECT id, resumable FROM u")
+def draw_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run without limit draws from two copies of all logs."""
+    own = _copies(spark, sf_dir).withColumn("source_owner_session_id", F.col("session_id"))
+    return runs.draw(own, _known(spark, sf_dir), same=["session_id", "timestamp", "user_text", "assistant_text"])[0].select("id", "resumable")
+
+
+@query(f"WITH {TURNS} SELECT id, user_text AS user_input, coalesce(assistant_text, '') AS agent_response, least(turn_no - 1, 3)::INTEGER AS n_prior, coalesce(lag(user_text) OVER (PARTITION BY conv_id ORDER BY turn_no), '') AS last_prior FROM c WHERE strlen(coalesce(assistant_text, '')) <= 4000 AND conv_id NOT IN (SELECT conv_id FROM tn WHERE strlen(assistant_text) > 4000)")
+def draw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of all turns, read back from their JSON, of conversations whose answers are not shortened."""
+    c = _candidates(spark, sf_dir)
+    long = c.where(F.octet_length("assistant_text") > 4000).select("conv_id").distinct()
+    say = lambda role, text: F.struct(F.lit(role).alias("role"), F.col(text).alias("content"))
+    dialogue = F.when(F.col("assistant_text").isNull(), F.array(say("user", "user_text"))).otherwise(F.array(say("user", "user_text"), say("assistant", "assistant_text")))
+    rows = c.join(long, "conv_id", "left_anti").withColumns({"dialogue": dialogue, "cwd": F.lit(""), "repo": F.lit(""), "source_owner_session_id": F.lit("")})
+    p = F.from_json("payload", "user_input string, agent_response string, prior_turns array<struct<turn_offset:int,user_input:string,agent_response:string>>")
+    out = runs.draw_payloads(rows).select("id", p.alias("p"))
+    return out.select("id", "p.user_input", F.coalesce("p.agent_response", F.lit("")).alias("agent_response"), F.size("p.prior_turns").alias("n_prior"), F.coalesce(F.try_element_at("p.prior_turns", F.lit(-1))["user_input"], F.lit("")).alias("last_prior"))
+
+
+@query("WITH p AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages) SELECT trim(regexp_replace(lower(host), '[^a-z0-9]+', '-', 'g'), '-') AS name, ['https://' || host || '/' || host, '/work/' || host] AS aliases, true AS is_new FROM p")
+def repository_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects made of the hosts of all pages as repositories."""
+    host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
+    seen = table(spark, sf_dir, "pages").select(F.concat(F.lit("https://"), host, F.lit("/"), host).alias("repo"), F.concat(F.lit("/work/"), host).alias("cwd"))
+    none = spark.createDataFrame([], "name string, aliases array<string>")
+    out = runs.repository_subjects(seen, none)
+    return out.withColumn("aliases", F.reverse(F.array_sort("aliases")))
+
+
 def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as the lines of logs: one file each, in which system messages are meta records."""
     c = table(spark, sf_dir, "conversations")

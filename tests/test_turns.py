@@ -154,7 +154,7 @@ def test_selection(spark):
 
 def test_context(spark):
     c = spark.createDataFrame([candidate(f"t{i}", "s" if i < 4 else "z", i, "1", f"x{i}", i) for i in range(6)], CANDIDATE)
-    out = tn.with_context(c.withColumn("who", tn.source_session(c)), ["agent", "who"], ["source_sequence"], 2, 1, content=F.col("dialogue")[0]["content"]).orderBy("id").collect()
+    out = tn.with_context(c.withColumn("who", tn.source_session()), ["agent", "who"], ["source_sequence"], 2, 1, content=F.col("dialogue")[0]["content"]).orderBy("id").collect()
     assert [[(x.offset, x.content) for x in r.before] for r in out] == [[], [(-1, "x0")], [(-2, "x0"), (-1, "x1")], [(-2, "x1"), (-1, "x2")], [], [(-1, "x4")]]
     assert [[(x.offset, x.content) for x in r.after] for r in out][:2] == [[(1, "x1")], [(1, "x2")]]
 
@@ -168,3 +168,47 @@ def test_assembler_resumes_from_stored_state():
     b = tn.Assembler(_load(_dump(a.state)))
     b.apply({**base, "kind": "assistant", "line": 2, "text": "hi", "priority": 3, "completes": True})
     assert [(r["user_text"], r["assistant_text"], r["ts"]) for r in b.close()] == [("hello", "hi", datetime(2025, 1, 1))]
+
+
+def test_draw_run(spark):
+    from ledgerloom.operators import runs
+
+    rows = [candidate("a", "s", 2, "1"), candidate("b", "s", 1, "1", seq=2), candidate("c", "x", 1, "1"), candidate("c", "x", 1, "2", "other")]
+    borrowed = (*candidate("d", "z", 5, "1")[:10], "owner", "1")
+    known = spark.createDataFrame([("b", None)], "id string, extracted_at int")
+    selected, conflicts, counts = runs.draw(spark.createDataFrame([*rows, borrowed], CANDIDATE), known)
+    assert [r.id for r in selected.collect()] == ["b", "a"] and [r.id for r in conflicts.collect()] == ["c"]
+    assert counts.first().asDict() == {"pending": 2, "resumable": 1, "conflicts": 1}
+
+
+def test_payloads(spark):
+    from ledgerloom.operators import runs
+
+    rows = [("t1", "s", 1, [("user", "u1"), ("assistant", "x" * 5000)]), ("t2", "s", 2, [("user", "u2")])]
+    c = spark.createDataFrame([(i, i, s, q, "claude", "/w", "", "", [{"role": r, "content": t} for r, t in d], q, s, "p") for i, s, q, d in rows], CANDIDATE)
+    got = {r.id: json.loads(r.payload) for r in runs.draw_payloads(c).collect()}
+    assert got["t1"]["agent_response"] == "x" * 5000 and got["t1"]["prior_turns"] == [] and got["t1"]["target_environment"] == {"cwd": "/w"}
+    near = got["t2"]["prior_turns"][0]
+    assert near["turn_offset"] == -1 and near["user_input"] == "u1" and len(near["agent_response"]) <= 4000 and "agent_response" not in got["t2"]
+
+
+def test_repository_subjects(spark):
+    from ledgerloom.operators import runs
+
+    subjects = spark.createDataFrame([("web", ["git@h.com:a/web.git"]), ("api", ["/work/api*"])], "name string, aliases array<string>")
+    seen = spark.createDataFrame([("https://h.com/a/web", "/w1"), ("https://h.com/b/web", "/w2"), ("https://h.com/c/new.git", "/w3"), ("https://h.com/d/api", "/work/api1"), ("", "/nowhere")], "repo string, cwd string")
+    got = {r.name: (r.aliases, r.is_new) for r in runs.repository_subjects(seen, subjects).collect()}
+    assert got["web"] == (["git@h.com:a/web.git", "/w1", "https://h.com/a/web"], False) and got["api"][0] == ["/work/api*", "/work/api1", "https://h.com/d/api"]
+    assert got["new"] == (["/w3", "https://h.com/c/new.git"], True)
+    (other,) = {*got} - {"web", "api", "new"}
+    assert other.startswith("web-") and len(other) == 12 and got[other] == (["/w2", "https://h.com/b/web"], True)
+
+
+def test_documents_are_replaced_and_deleted(spark):
+    from ledgerloom.operators import runs
+
+    schema = "subject string, template string, knowledge_ids array<string>, body string"
+    old = spark.createDataFrame([("a", "t", ["k"], "old"), ("b", "t", ["k"], "gone"), ("c", "t", ["k"], "kept")], schema)
+    new = spark.createDataFrame([("a", "t", ["k"], "new"), ("d", "t", ["k"], "more")], schema)
+    after, deleted = runs.write_documents(old, new, old.where("subject = 'b'"))
+    assert {r.subject: r.body for r in after.collect()} == {"a": "new", "c": "kept", "d": "more"} and [r.body for r in deleted.collect()] == ["gone"]
