@@ -3,10 +3,10 @@
 Documents are tokenised once, where they are read; only (document, piece, length)
 goes on. Pieces are dealt to partitions of bounded size and packed there by
 best-fit decreasing. Dual feasible functions give a lower bound on the bins of
-each partition: one that meets its bound is final. Partitions with a gap give
-up the pieces of their emptiest bins, as many bins as the gap and some more;
-these pieces meet in fewer, newly dealt partitions and best-fit decreasing runs
-again, round by round.
+each partition: one that meets its bound is final, unless a whole bin's worth of
+space is free in it, which other partitions' pieces may fill. All others give
+up the pieces of all bins that are not full; these pieces meet in fewer, newly
+dealt partitions and best-fit decreasing runs again, round by round.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ END_ID = 1
 #: Pieces that are packed together, at most about; a partition's memory is a few dozen bytes a piece.
 PARTITION_PIECES = 20_000
 ROUNDS = 3
+#: Each round has fewer pieces left, and its partitions are so many times larger.
+GROWTH = 4
+#: A bin counts as full if at most this share of it is free.
+FULL_SHARE = 256
 #: Words (and as many of their parts) whose ids a worker keeps, about 200 bytes each; beyond that the older half goes.
 CACHE_WORDS = 700_000
 
@@ -171,11 +175,9 @@ def _pack_parts(capacity: int, last: bool):
         bins = best_fit_decreasing(lengths, capacity)
         n, bound = int(bins.max()) + 1, lower_bound(lengths, capacity)
         final = np.ones(len(bins), bool)
-        if n > bound and not last:
-            # The emptiest bins, and as many full ones as give their pieces room to combine anew.
-            fill = np.bincount(bins, lengths)
-            loose = np.argsort(fill, kind="stable")[: max(8 * (n - bound), n // 4)]
-            final = ~np.isin(bins, loose)
+        if not last and (n > bound or n * capacity - int(lengths.sum()) >= capacity):
+            # All bins but full ones, so that their pieces have room to combine anew.
+            final = np.bincount(bins, lengths)[bins] >= capacity - capacity // FULL_SHARE
         order = np.argsort(bins, kind="stable")
         run = np.cumsum(lengths[order]) - lengths[order]
         at = np.flatnonzero(np.diff(bins[order], prepend=-1))
@@ -193,7 +195,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: i
         n = todo.count()
         if r and not n:
             break
-        parts, last = max(1, -(-n // partition_pieces)), r == rounds
+        parts, last = max(1, -(-n // (partition_pieces * GROWTH**r))), r == rounds
         part = F.pmod(F.xxhash64("row", "piece", F.lit(r)), F.lit(parts))
         packed = stage(todo.withColumn("part", part).groupBy("part").applyInPandas(_pack_parts(capacity, last or (r and parts == 1)), PACKED), "packed")
         # Rounds, partitions and bins are told apart in the number of a sequence.
