@@ -72,6 +72,11 @@ def document_error() -> Column:
     return _first_error((_blank("subject"), "subject is required"), (_blank("template"), "template is required"), (F.size("knowledge_ids") < 1, "knowledge is required"), (F.size(F.array_distinct("knowledge_ids")) != F.size("knowledge_ids"), "knowledge repeats"), (_blank("body"), "body is required"))
 
 
+def semantic_subjects(masters: DataFrame) -> DataFrame:
+    """What a model is told of subjects: names and their meaning, without aliases and documents."""
+    return masters.select("name", "definition", "includes", "excludes")
+
+
 def find(rows: DataFrame, ids: Sequence[str], key: str = "id") -> DataFrame:
     """The rows of some ids; a filter that reaches the scan."""
     return rows.where(F.col(key).isin([*ids]))

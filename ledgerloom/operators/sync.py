@@ -66,6 +66,13 @@ def index_status(current: DataFrame, indexed: DataFrame, key: str = "record_key"
     return c.agg(F.count_if(F.col("change") != "new").alias("indexed"), n("new"), n("changed"), n("deleted"), F.count_if(F.col("change") != "same").alias("unsynchronized"))
 
 
+def sync_state(state: DataFrame | None, spark, attempt, error: str | None = None) -> DataFrame:
+    """The one-row state (last_attempt, last_success, last_error) after an attempt; an error keeps the last success."""
+    before = state.first() if state is not None else None
+    success = attempt if error is None else before["last_success"] if before else None
+    return spark.createDataFrame([(attempt, success, error)], "last_attempt timestamp, last_success timestamp, last_error string")
+
+
 def representative(kind: str = "kind"):
     """The text that stands for a row in vector search: a feedstock's summary, else the claim."""
     return F.when(F.col(kind) == "feedstock", F.trim("summary")).otherwise(F.trim("claim"))

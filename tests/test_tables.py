@@ -145,3 +145,19 @@ def test_settings():
     assert s.search_mode == "text" and s.roots == {"claude": ["/logs"]} and s.context_turns == 3
     with pytest.raises(ValueError):
         load_settings("strange = 1")
+
+
+def test_encoding(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions import vectors
+
+    df = spark.createDataFrame([("ab",), (" ",), (None,), ("abcd",)], "t string")
+    got = [r.v for r in df.select(vectors.encode(F.col("t"), lambda texts: [[len(t), 0.0] for t in texts], "query: ", 1).alias("v")).collect()]
+    assert got == [[1.0, 0.0], None, None, [1.0, 0.0]]
+
+
+def test_sync_state(spark):
+    one = sync.sync_state(None, spark, datetime(2025, 1, 1))
+    two = sync.sync_state(one, spark, datetime(2025, 1, 2), "locked")
+    assert tuple(two.first()) == (datetime(2025, 1, 2), datetime(2025, 1, 1), "locked")
