@@ -1,16 +1,16 @@
 """Organizing knowledge: a chronological fold of actions, a subject at a time.
 
 Each action depends on what earlier ones of its subject left, so a subject is one
-group of a grouped pandas function: its new inputs, its current heads and their
+group of one fold: its new inputs, its current heads and their
 active predecessors, and one action for each input. Subjects run in parallel.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import fold
 from .lifecycle import with_status
 
 INPUT = "subject string, id string, type string, statement string, feedstocks array<string>, status string, supersedes array<string>, is_input boolean, order_key string, action string, targets array<string>, draft_type string, draft_statement string"
@@ -32,17 +32,15 @@ def organize(inputs: DataFrame, knowledge: DataFrame, actions: DataFrame) -> Dat
     new = inputs.join(acts, "id", "left").select("subject", "id", "type", "statement", "feedstocks", F.lit("pending").alias("status"), F.array().cast("array<string>").alias("supersedes"), F.lit(True).alias("is_input"), "order_key", "action", "targets", "draft_type", "draft_statement")
     old = with_status(knowledge).where("status in ('active', 'pending')").join(inputs.select("subject").distinct(), "subject", "left_semi")
     old = old.select("subject", "id", "type", "statement", "feedstocks", "status", "supersedes", F.lit(False).alias("is_input"), "order_key", none.cast("string").alias("action"), none.cast("array<string>").alias("targets"), none.cast("string").alias("draft_type"), none.cast("string").alias("draft_statement"))
-    return new.unionByName(old).groupBy("subject").applyInPandas(_fold, RESULT)
+    return fold(new.unionByName(old), ["subject"], ["id"], _fold, RESULT, _COLUMNS)
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    subject = pdf["subject"].iloc[0]
-    rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+def _fold(key: tuple, rows: list[dict]) -> list[dict]:
     try:
         out = _apply(rows)
     except ValueError as e:
         out = [{"error": str(e)}]
-    return pd.DataFrame({c: pd.Series([{**r, "subject": subject}.get(c) for r in out], dtype=object) for c in _COLUMNS})
+    return [{**r, "subject": key[0]} for r in out]
 
 
 def _as_list(v) -> list:

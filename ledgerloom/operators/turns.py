@@ -7,18 +7,19 @@ session at a time in line order; streams use the same one.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import feedstock_id
+from .folds import fold
 
 # Priorities of assistant texts.
 EVENT_TEXT, FALLBACK_TEXT, FINAL_TEXT = 1, 2, 3
 
 EVENT_SCHEMA = "agent string, path string, stream string, line long, ord int, kind string, session_id string, turn_id string, fallback_turn_id string, ts timestamp, cwd string, repo string, branch string, text string, priority int, completes boolean"
 TURN_SCHEMA = "agent string, path string, stream string, session_id string, turn_id string, ts timestamp, cwd string, repo string, branch string, user_text string, assistant_text string, source_line long, error string"
-_FIELDS = ["agent", "path", "stream", "session_id", "turn_id", "ts", "cwd", "repo", "branch", "user_text", "assistant_text", "source_line", "error"]
+STREAM = ["agent", "path", "stream"]
+TURN_COLUMNS = [*STREAM, "session_id", "turn_id", "ts", "cwd", "repo", "branch", "user_text", "assistant_text", "source_line", "error"]
 
 
 def assemble_messages(messages: DataFrame, conversation: str = "conv_id", position: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -92,33 +93,20 @@ class Assembler:
         return [now] if now and (complete or now["done"]) else []
 
 
-def records(events: pd.DataFrame) -> list[dict]:
-    """Events in line order as dicts of plain values."""
-    pdf = events.sort_values(["line", "ord"], kind="stable").astype(object)
-    return [{**e, "ts": None if e["ts"] is None else e["ts"].to_pydatetime()} for e in pdf.where(pdf.notna(), None).to_dict("records")]
-
-
-def turn_rows(rows: list[dict]) -> pd.DataFrame:
-    """Closed turns with the columns of TURN_SCHEMA; columns without any value keep their type."""
-    out = pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in _FIELDS})
-    return out.assign(ts=pd.to_datetime(out["ts"]))
-
-
 def assemble_events(events: DataFrame, include_open: bool = False) -> DataFrame:
     """Turns of all streams (agent, path, stream), in line order within each. A stream with an event that can't be applied gives one row with its error and no turns."""
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, a = [], Assembler()
+    def one(key: tuple, rows: list[dict]) -> list[dict]:
+        out, a = [], Assembler()
         try:
-            for e in records(pdf):
-                rows += a.apply(e)
-            rows += a.close(include_open)
+            for e in rows:
+                out += a.apply(e)
+            out += a.close(include_open)
         except ValueError as error:
-            rows = [{"error": str(error)}]
-        agent, path, stream = key
-        return turn_rows([{**r, "agent": agent, "path": path, "stream": stream} for r in rows])
+            out = [{"error": str(error)}]
+        return [{**r, **dict(zip(STREAM, key, strict=True))} for r in out]
 
-    return events.groupBy("agent", "path", "stream").applyInPandas(one, TURN_SCHEMA)
+    return fold(events, STREAM, ["line", "ord"], one, TURN_SCHEMA, TURN_COLUMNS, ("ts",))
 
 
 def as_candidates(turns: DataFrame) -> DataFrame:

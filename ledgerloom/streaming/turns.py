@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState
 
-from ..operators.turns import TURN_SCHEMA, Assembler, records, turn_rows
+from ..operators.folds import frame, records
+from ..operators.turns import STREAM, TURN_COLUMNS, TURN_SCHEMA, Assembler
 
 STATE_SCHEMA = "state string"
 
@@ -29,7 +30,7 @@ def assemble_stream(events: DataFrame) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         a = Assembler(_load(group.get[0]) if group.exists else None)
         rows: list[dict] = []
-        for e in records(pd.concat(list(batches))):
+        for e in records(pd.concat(list(batches)).sort_values(["line", "ord"], kind="stable")):
             try:
                 rows += a.apply(e)
                 if a.state["open"] and a.state["open"]["done"]:
@@ -37,7 +38,6 @@ def assemble_stream(events: DataFrame) -> DataFrame:
             except ValueError as error:
                 rows.append({"error": str(error)})
         group.update((_dump(a.state),))
-        agent, path, stream = key
-        yield turn_rows([{**r, "agent": agent, "path": path, "stream": stream} for r in rows])
+        yield frame([{**r, **dict(zip(STREAM, key, strict=True))} for r in rows], TURN_COLUMNS, ("ts",))
 
-    return events.groupBy("agent", "path", "stream").applyInPandasWithState(step, TURN_SCHEMA, STATE_SCHEMA, "append", "NoTimeout")
+    return events.groupBy(*STREAM).applyInPandasWithState(step, TURN_SCHEMA, STATE_SCHEMA, "append", "NoTimeout")
