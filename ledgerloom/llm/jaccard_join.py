@@ -193,6 +193,8 @@ def _able(tok, node, size, rest, threshold: int):
 
     keep = (best_other(gain) >= t * s) & (-t * best_other(-s) <= gain) & (count > 1)[of]
     tok, node, size, rest = tok[keep], node[keep], size[keep], rest[keep]
+    if not len(tok):
+        return tok, node, size, rest
     edge = np.concatenate([[True], tok[1:] != tok[:-1], [True]])
     several = ~(edge[:-1] & edge[1:])
     return tok[several], node[several], size[several], rest[several]
@@ -333,7 +335,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sets.withColumn("label", F.col("node")) if labels is None else sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     out = stage(out.select("doc_id", "n", "label"), "classes")
     least = out.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("label", "least", F.lit(True).alias("joined"))
-    return out.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("joined"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    # Written first, the classes don't share the rows' partitioning, and the join can split a large class's rows.
+    return out.join(stage(least, "least"), "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("joined"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _marks(it):
