@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders by application, where none is configured.
+_OWN: dict[str, str] = {}
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` without lineage, in the folder that ``spark.checkpoint.dir`` names; where nothing is set (one machine, tests) in a temporary folder."""
     spark = df.sparkSession
@@ -26,8 +30,10 @@ def get_session(name: str = "ledgerloom", **settings: str) -> SparkSession:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors reach; where nothing is set a temporary one."""
+    app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/ledgerloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        root = _OWN[app]
+    return f"{root.rstrip('/')}/ledgerloom/{app}/{name}-{uuid.uuid4().hex[:12]}"
