@@ -26,13 +26,19 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 # ------------------------------------------------------------------ staged tables
+#: Temporary folders by application, where none is configured.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The run's folder under ``spark.checkpoint.dir``; where that is unset (tests, one machine) a temporary folder is set."""
+    """The run's folder under ``spark.checkpoint.dir``; where that is unset (tests, one machine) a temporary folder."""
+    app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/ledgerloom/{spark.sparkContext.applicationId}"
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        root = _OWN[app]
+    return f"{root.rstrip('/')}/ledgerloom/{app}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
