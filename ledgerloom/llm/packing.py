@@ -16,6 +16,7 @@ import struct
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -35,7 +36,7 @@ GROWTH = 4
 #: A bin counts as full if at most this share of it is free.
 FULL_SHARE = 256
 #: Words (and as many of their parts) whose ids a worker keeps, about 200 bytes each; beyond that the older half goes.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 250_000
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
@@ -87,6 +88,8 @@ class WordTokens:
 
     def _word(self, word: str) -> bytes:
         low = word.lower()
+        if low == word:
+            low = word  # one string for both tables
         core = low.rstrip(".,!")
         if len(core) < len(low) and _LETTERS.fullmatch(core[-1:]):
             return self.parts[core] + self.parts[low[len(core) :]]
@@ -102,14 +105,17 @@ class WordTokens:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-_TOKENS: dict[str, WordTokens] = {}
+@lru_cache(maxsize=2)
+def word_tokens(path: str) -> WordTokens:
+    """A worker's one tokenizer, with what it keeps from task to task."""
+    return WordTokens(path)
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, row, piece, start, length, ids_crc32): each document's ids and its end, cut into pieces of ``capacity`` ids where it is longer. row numbers the rows of docs."""
 
     def emit(it):
-        tokens = _TOKENS.setdefault(tokenizer_path, WordTokens(tokenizer_path))
+        tokens = word_tokens(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for pdf in it:
             out = []
