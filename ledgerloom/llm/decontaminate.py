@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .shared import ALNUM, Words, chunks, id_text, pack, stage, unpack
 
 WINDOW = 10
+#: Characters of text in a block of the index, about.
+BLOCK_CHARS = 1_000_000
 #: Words of benchmark items that are sent to all tasks at a time (8 bytes each).
 BATCH_WORDS = 500_000
 INDEX_SCHEMA = "block string, doc_ids array<long>, firsts binary, terms binary, bounds binary, places binary"
@@ -37,7 +39,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def index(it):
         for pdf in it:
             ids, texts = pdf["doc_id"].to_list(), pdf["text"].to_list()
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, BLOCK_CHARS):
                 w = Words(texts[lo:hi], ALNUM, lower=True)
                 order = np.argsort(w.hashes, kind="stable").astype(np.uint32)
                 terms, bounds = np.unique(w.hashes[order], return_index=True)
