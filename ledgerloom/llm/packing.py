@@ -36,7 +36,7 @@ GROWTH = 4
 #: A bin counts as full if at most this share of it is free.
 FULL_SHARE = 256
 #: Words (and as many of their parts) whose ids a worker keeps, about 200 bytes each; beyond that the older half goes.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
@@ -95,6 +95,10 @@ class WordTokens:
             return self.parts[core] + self.parts[low[len(core) :]]
         return self.parts[low]
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.parts.clear()
+
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids. Splitting at white space and before punctuation at a word's end, and lower-casing don't change what the tokenizer gives; texts for which they might are given to it whole."""
         if any(x in text for x in _ODD) or not unicodedata.is_normalized("NFC", text):
@@ -107,7 +111,7 @@ class WordTokens:
 
 @lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
-    """A worker's one tokenizer, with what it keeps from task to task."""
+    """A worker's one tokenizer. What it keeps of a task's words goes at the task's end: small tables are faster than full ones."""
     return WordTokens(path)
 
 
@@ -116,15 +120,19 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     def emit(it):
         tokens = word_tokens(tokenizer_path)
+        tokens.forget()
         end = np.array([end_id], "<u4").tobytes()
-        for pdf in it:
-            out = []
-            for i, r, t in zip(pdf["doc_id"].astype("Int64"), pdf["row"], pdf["text"], strict=True):
-                body = (tokens.ids(t) if t else b"") + end
-                for k, a in enumerate(range(0, len(body), 4 * capacity)):
-                    part = body[a : a + 4 * capacity]
-                    out.append((i, r, k, a // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "row", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        try:
+            for pdf in it:
+                out = []
+                for i, r, t in zip(pdf["doc_id"].astype("Int64"), pdf["row"], pdf["text"], strict=True):
+                    body = (tokens.ids(t) if t else b"") + end
+                    for k, a in enumerate(range(0, len(body), 4 * capacity)):
+                        part = body[a : a + 4 * capacity]
+                        out.append((i, r, k, a // 4, len(part) // 4, zlib.crc32(part)))
+                yield pd.DataFrame(out, columns=["doc_id", "row", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        finally:
+            tokens.forget()
 
     return id_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).mapInPandas(emit, PIECES)
 
