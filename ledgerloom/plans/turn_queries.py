@@ -103,12 +103,11 @@ def draw_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TURNS} SELECT id, user_text AS user_input, coalesce(assistant_text, '') AS agent_response, least(turn_no - 1, 3)::INTEGER AS n_prior, coalesce(lag(user_text) OVER (PARTITION BY conv_id ORDER BY turn_no), '') AS last_prior FROM c WHERE strlen(coalesce(assistant_text, '')) <= 4000 AND conv_id NOT IN (SELECT conv_id FROM tn WHERE strlen(assistant_text) > 4000)")
 def draw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads of all turns, read back from their JSON, of conversations whose answers are not shortened."""
+    """Payloads of all turns, read back from their JSON. The SQL cannot shorten: it leaves out conversations with an answer over 4,000 bytes."""
     c = _candidates(spark, sf_dir)
-    long = c.where(F.octet_length("assistant_text") > 4000).select("conv_id").distinct()
     say = lambda role, text: F.struct(F.lit(role).alias("role"), F.col(text).alias("content"))
     dialogue = F.when(F.col("assistant_text").isNull(), F.array(say("user", "user_text"))).otherwise(F.array(say("user", "user_text"), say("assistant", "assistant_text")))
-    rows = c.join(long, "conv_id", "left_anti").withColumns({"dialogue": dialogue, "cwd": F.lit(""), "repo": F.lit(""), "source_owner_session_id": F.lit("")})
+    rows = c.withColumns({"dialogue": dialogue, "cwd": F.lit(""), "repo": F.lit(""), "source_owner_session_id": F.lit("")})
     p = F.from_json("payload", "user_input string, agent_response string, prior_turns array<struct<turn_offset:int,user_input:string,agent_response:string>>")
     out = runs.draw_payloads(rows).select("id", p.alias("p"))
     return out.select("id", "p.user_input", F.coalesce("p.agent_response", F.lit("")).alias("agent_response"), F.size("p.prior_turns").alias("n_prior"), F.coalesce(F.try_element_at("p.prior_turns", F.lit(-1))["user_input"], F.lit("")).alias("last_prior"))

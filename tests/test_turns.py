@@ -192,6 +192,31 @@ def test_payloads(spark):
     assert near["turn_offset"] == -1 and near["user_input"] == "u1" and len(near["agent_response"]) <= 4000 and "agent_response" not in got["t2"]
 
 
+def test_payloads_query_shortens(spark, tmp_path):
+    """Turns of conversations with long answers are there, shortened by bytes."""
+    from ledgerloom.plans.queries import QUERIES
+
+    answers = {1: ["short", "é" * 2500, "z" * 20_000, "end"], 2: ["y" * 4000, "ok"], 3: ["日" * 4001]}
+    rows = [(c, 2 * k + j, r, t) for c, a in answers.items() for k, x in enumerate(a) for j, (r, t) in enumerate((("user", f"u{k}"), ("assistant", x)))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def brute(t, limit, marker):
+        if len(t.encode()) <= limit:
+            return t
+        room = limit - len(marker.encode())
+        a, z = t, t
+        while len(a.encode()) > room // 2:
+            a = a[:-1]
+        while len(z.encode()) > room - room // 2:
+            z = z[1:]
+        return a + marker + z
+
+    want = sorted((f"u{k}", brute(x, 12_000, "\n[assistant response truncated]\n"), min(k, 3), f"u{k - 1}" if k else "") for a in answers.values() for k, x in enumerate(a))
+    got = QUERIES["draw_payloads"](spark, str(tmp_path)).collect()
+    assert sorted((r.user_input, r.agent_response, r.n_prior, r.last_prior) for r in got) == want
+    assert max(len(r.agent_response.encode()) for r in got) <= 12_000 < 20_000
+
+
 def test_repository_subjects(spark):
     from ledgerloom.operators import runs
 
