@@ -145,6 +145,15 @@ def short_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where((F.octet_length(first) <= 500) & (first != "") & ~first.startswith("#")).select("doc_id", tx.excerpt(F.col("text")).alias("excerpt"))
 
 
+_STRIPPED = "regexp_replace(x, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')"
+
+
+@query(f"WITH d AS (SELECT doc_id, coalesce(list_filter(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda x: {_STRIPPED}), lambda x: x <> '' AND NOT starts_with(x, '#'))[1], '') AS p FROM documents) SELECT doc_id, CASE WHEN strlen(p) <= {tx.EXCERPT_BYTES} THEN p ELSE left(p, list_max(list_filter(range({tx.EXCERPT_BYTES + 1}), lambda n: strlen(left(p, n)) <= {tx.EXCERPT_BYTES}))) END AS excerpt FROM d")
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's excerpt: headings and blank paragraphs skipped, long paragraphs cut; empty where there is none."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.excerpt(F.coalesce("text", F.lit(""))).alias("excerpt"))
+
+
 @query("SELECT name, any_value(definition) AS definition, list_sort(list_distinct(flatten(list(aliases)))) AS aliases FROM (SELECT c_mktsegment AS name, c_mktsegment AS definition, list('n' || c_nationkey) AS aliases FROM customer GROUP BY ALL UNION ALL SELECT p_type, p_type, list(p_brand) FROM part GROUP BY ALL) GROUP BY name")
 def merge_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masters with new aliases and new masters, each a set."""

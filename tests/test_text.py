@@ -77,6 +77,23 @@ def test_excerpt(spark):
     assert value(spark, tx.excerpt(F.lit("# only"))) == "" and len(value(spark, tx.excerpt(F.lit("é" * 400))).encode()) == 500
 
 
+def test_excerpts_of_all_documents(spark, tmp_path):
+    """Headings and blank paragraphs are skipped, long paragraphs cut at 500 bytes between characters; every document has a row."""
+    from ledgerloom.plans.queries import QUERIES
+
+    texts = [None, "", "# only", "# Title\n\n \t\n\nbody \nline\n\nmore", "\n\nafter a blank", "plain", "a" * 501, "x" + "é" * 400, "## h\n\n" + "日本" * 300, "w " * 9000]
+
+    def brute(t):
+        parts = [p.strip(" \t\n\x0b\f\r") for p in (t or "").split("\n\n")]
+        first = next((p for p in parts if p and not p.startswith("#")), "")
+        while len(first.encode()) > 500:
+            first = first[:-1]
+        return first
+
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.excerpt for r in QUERIES["excerpts"](spark, str(tmp_path)).collect()} == {i: brute(t) for i, t in enumerate(texts)}
+
+
 def test_ids(spark):
     import hashlib
 
