@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -148,13 +148,15 @@ def _across(it):
             yield pd.DataFrame({"fp": both[differ].view(np.int64)})
 
 
-VERIFY_SCHEMA = "bucket int, keys binary, checks binary, owners binary, doc_ids binary, places binary"
-SPAN_SCHEMA = "doc_id long, starts binary"
+VERIFY_SCHEMA = "bucket int, keys binary, checks binary, owners binary, doc_ids binary, texts binary, places binary"
+SPAN_SCHEMA = "doc_id long, text_key long, starts binary"
 
 
 def repeated_windows(docs: DataFrame, suspects: DataFrame, window: int, buckets: int, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, starts): places in each document where a window starts that also starts in a document with a smaller doc_id.
+    """(doc_id, text_key, starts): places in each text where a window starts that also starts in a document with a smaller doc_id.
 
+    Rows of one doc_id may have several texts, so places belong to a doc_id and
+    its text's hash; which document owns a window is decided by doc_id alone.
     Suspects reach the tasks as a Bloom filter of bounded size; what passes is
     compared by 128 bits of the window's own words. In a chunk only a window's
     smallest document goes through the shuffle, for larger ones are known to
@@ -166,7 +168,7 @@ def repeated_windows(docs: DataFrame, suspects: DataFrame, window: int, buckets:
 
     def emit(it):
         for pdf in it:
-            ids, texts = pdf["doc_id"].to_numpy(np.int64), pdf["text"].to_list()
+            ids, texts, keys_of = pdf["doc_id"].to_numpy(np.int64), pdf["text"].to_list(), pdf["text_key"].to_numpy(np.int64)
             for lo, hi in chunks(texts):
                 w = Words(texts[lo:hi], NON_SPACE, lower=False)
                 low, first = fingerprints(w, window, anchor)
@@ -177,58 +179,61 @@ def repeated_windows(docs: DataFrame, suspects: DataFrame, window: int, buckets:
                     continue
                 key, check = grams(w, window, 1)[0][maybe], grams(w, window, 2)[0][maybe]
                 of = owner(first)[maybe]
-                doc, place = ids[lo:hi][of], maybe - first[of]
-                order = np.lexsort((place, doc, check, key))
-                key, check, doc, place = key[order], check[order], doc[order], place[order]
+                doc, text, place = ids[lo:hi][of], keys_of[lo:hi][of], maybe - first[of]
+                order = np.lexsort((place, text, doc, check, key))
+                key, check, doc, text, place = key[order], check[order], doc[order], text[order], place[order]
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
                 at = np.flatnonzero(new)
                 least = np.repeat(doc[at], np.diff(np.append(at, len(key))))
-                yield from _span_rows(doc[doc > least], place[doc > least])
-                mine = doc == least
-                key, check, doc, place = key[mine], check[mine], doc[mine], place[mine]
-                rows = [(int(b), pack(key[i:j]), pack(check[i:j]), None, pack(doc[i:j]), pack(place[i:j].astype(np.uint32))) for b, i, j in _by_bucket(key, buckets)]
-                yield pd.DataFrame(rows, columns=["bucket", "keys", "checks", "owners", "doc_ids", "places"])
+                later = doc > least
+                yield from _span_rows(doc[later], text[later], place[later])
+                mine = ~later
+                key, check, doc, text, place = key[mine], check[mine], doc[mine], text[mine], place[mine]
+                rows = [(int(b), pack(key[i:j]), pack(check[i:j]), None, pack(doc[i:j]), pack(text[i:j]), pack(place[i:j].astype(np.uint32))) for b, i, j in _by_bucket(key, buckets)]
+                yield pd.DataFrame(rows, columns=["bucket", "keys", "checks", "owners", "doc_ids", "texts", "places"])
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf["keys"].notna()]
-        known = [(d, unpack(s, np.uint32)) for d, s in zip(pdf["owners"], pdf["places"], strict=True) if d is not None]
-        out = [(int(unpack(d, np.int64)[0]), pack(s)) for d, s in known]
+        out = [(*unpack(d, np.int64).tolist(), s) for d, s in zip(pdf["owners"], pdf["places"], strict=True) if d is not None]
         if len(own):
             key, check = (np.concatenate([unpack(b, np.uint64) for b in own[c]]) for c in ("keys", "checks"))
-            doc = np.concatenate([unpack(b, np.int64) for b in own["doc_ids"]])
+            doc, text = (np.concatenate([unpack(b, np.int64) for b in own[c]]) for c in ("doc_ids", "texts"))
             place = np.concatenate([unpack(b, np.uint32) for b in own["places"]])
             order = np.lexsort((doc, check, key))
-            key, check, doc, place = key[order], check[order], doc[order], place[order]
+            key, check, doc, text, place = key[order], check[order], doc[order], text[order], place[order]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
             at = np.flatnonzero(new)
             later = doc > np.repeat(doc[at], np.diff(np.append(at, len(key))))
-            doc, place = doc[later], place[later]
-            order = np.lexsort((place, doc))
-            doc, place = doc[order], place[order]
-            out += _places(doc, place)
-        return pd.DataFrame(out, columns=["doc_id", "starts"])
+            out += _places(doc[later], text[later], place[later])
+        return pd.DataFrame(out, columns=["doc_id", "text_key", "starts"])
 
-    found = docs.where("doc_id is not null").mapInPandas(emit, VERIFY_SCHEMA)
+    found = docs.where("doc_id is not null").withColumn("text_key", text_key(F.col("text"))).mapInPandas(emit, VERIFY_SCHEMA)
     return found.groupBy("bucket").applyInPandas(decide, SPAN_SCHEMA)
 
 
-def _places(doc: np.ndarray, place: np.ndarray) -> list[tuple[int, bytes]]:
-    """Each document's places, packed, from rows sorted by document."""
+def text_key(text: Column) -> Column:
+    """What tells texts of one doc_id apart."""
+    return F.xxhash64(text)
+
+
+def _places(doc: np.ndarray, text: np.ndarray, place: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """The places of each document's texts, packed."""
     if not len(doc):
         return []
-    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    return [(int(doc[i]), pack(place[i:j])) for i, j in zip(at, [*at[1:], len(doc)], strict=True)]
+    order = np.lexsort((place, text, doc))
+    doc, text, place = doc[order], text[order], place[order].astype(np.uint32)
+    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]))
+    return [(int(doc[i]), int(text[i]), pack(place[i:j])) for i, j in zip(at, [*at[1:], len(doc)], strict=True)]
 
 
-def _span_rows(doc: np.ndarray, place: np.ndarray):
-    """What a chunk already knows to repeat: one row for each document, in a bucket by its identifier."""
+def _span_rows(doc: np.ndarray, text: np.ndarray, place: np.ndarray):
+    """What a chunk already knows to repeat: one row for each document's text, in a bucket by its identifier."""
     if not len(doc):
         return
-    order = np.lexsort((place, doc))
-    rows = [(d % 64, None, None, pack(np.array([d])), None, body) for d, body in _places(doc[order], place[order].astype(np.uint32))]
-    yield pd.DataFrame(rows, columns=["bucket", "keys", "checks", "owners", "doc_ids", "places"])
+    rows = [(d % 64, None, None, pack(np.array([d, t])), None, None, body) for d, t, body in _places(doc, text, place)]
+    yield pd.DataFrame(rows, columns=["bucket", "keys", "checks", "owners", "doc_ids", "texts", "places"])
 
 
 def _cut(text: pd.Series, starts: pd.Series, window: pd.Series) -> pd.DataFrame:
@@ -258,7 +263,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null text has no words and gives an empty kept text. A document with a null
     doc_id neither loses words nor takes any from others. Rows that repeat a
-    doc_id count as one document and lose the same places. An empty table gives
+    doc_id count as one document; each loses the places of its own text. An empty table gives
     an empty result; other columns pass through. Any column of the name
     ``substring_dedup`` is replaced.
     """
@@ -279,7 +284,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     everything = thin if history is None else thin.unionByName(id_text(history, id_col, text_col))
     starts = repeated_windows(everything, suspects, window, buckets)
     # A document's windows lie in many buckets: as many rows as buckets at most.
-    per_doc = starts.groupBy(F.col("doc_id").alias("__cut_id")).agg(F.collect_list("starts").alias("__cut_starts"))
-    joined = docs.drop("substring_dedup").join(per_doc, F.col(id_col).cast("long") == F.col("__cut_id"), "left")
+    per_doc = starts.groupBy(F.col("doc_id").alias("__cut_id"), F.col("text_key").alias("__cut_text")).agg(F.collect_list("starts").alias("__cut_starts"))
+    joined = docs.drop("substring_dedup").join(per_doc, (F.col(id_col).cast("long") == F.col("__cut_id")) & (text_key(F.col(text_col).cast("string")) == F.col("__cut_text")), "left")
     cut = F.pandas_udf(_cut, "kept string, n_words long, n_removed long")
-    return joined.withColumn("substring_dedup", cut(F.col(text_col).cast("string"), "__cut_starts", F.lit(window))).drop("__cut_id", "__cut_starts")
+    return joined.withColumn("substring_dedup", cut(F.col(text_col).cast("string"), "__cut_starts", F.lit(window))).drop("__cut_id", "__cut_text", "__cut_starts")

@@ -75,6 +75,16 @@ def test_substrings_incrementally(spark, rows):
     assert got == brute.substrings(some)
 
 
+def test_substrings_of_one_id_with_two_texts(spark):
+    """Each row loses the places of its own text, also where the other text is too short for them."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    own = [(1, a), (2, f"{b} {a}"), (2, c), (2, "one two three"), (2, f"{c} {b}"), (3, f"tail {c}"), (3, f"{b} tail"), (3, f"{b} tail")]
+    want = brute.substrings(own)
+    for parts in (1, 4):
+        got = Counter((r.doc_id, *r.substring_dedup) for r in dedup_substrings(spark.createDataFrame(own, "doc_id long, text string").repartition(parts)).collect())
+        assert got == want
+
+
 def test_near(docs, rows):
     got = Counter(tuple(r) for r in near_duplicates(docs).collect())
     assert got == brute.near(pairs(rows))
