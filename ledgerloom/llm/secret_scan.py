@@ -3,47 +3,49 @@
 What the patterns find are labelled credentials. From a bounded sample of each
 kind a prefix tree is built over character classes, and its states are merged
 where their frequencies agree within Hoeffding bounds, as are the states below
-them; the result is a probabilistic automaton of the kind's format. Another
-automaton is inferred from ordinary tokens. Every candidate token of every text
-is scored by its likelihood under each format against the ordinary one.
+them; the result is a probabilistic automaton of the kind's format. The automaton
+of ordinary text has a state for each class, and counts of what follows it in all
+candidates of all texts. Candidates are all runs of the labelled credentials' own
+alphabet, of their least length and more, outside of what the patterns found.
+Each is scored by its likelihood under each format against the ordinary one,
+whole, and where that does not do, in the parts between '=' and '.'.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_text, stage
+from .shared import chunks, id_text, stage
 
 KINDS = ("assign", "access", "hex")
 FORMAT = "format"
-#: Labelled strings of each kind, and ordinary tokens, that automata are inferred from at most.
+#: Labelled strings of each kind that automata are inferred from at most.
 SAMPLE = 1000
 ALPHA = 0.05
 #: Probability that an automaton leaves for characters that it never saw in a state.
 UNSEEN = 0.01
 #: A format must be so many times (as a logarithm) likelier than ordinary text.
 LEAST_GAIN = 12.0
-CANDIDATE_CHARS = 12
+#: The least length of a labelled credential, and so of a candidate.
+CANDIDATE_CHARS = 6
 
 # The three kinds' patterns over UTF-8 bytes of which A-Z are lower-cased for the first.
 _ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_-]{%d,}" % CANDIDATE_CHARS)
-_ORDINARY = re.compile(rb"[A-Za-z][a-z]*")
-
-SCAN = "doc_id long, row long, spans array<struct<kind:int,start:long,stop:long,value:string>>, candidates array<struct<start:long,stop:long,value:string>>"
+COUNTS = "kind int, value string, n long"
+SPANS = "doc_id long, spans array<struct<kind:string,start:long,stop:long>>"
 
 
 def base_spans(data: bytes) -> list[tuple[int, int, int, bytes]]:
     """(kind, start, end, credential) in bytes, of the fixed patterns."""
-    out = [(0, m.start(), m.end(), data[m.start(1) : m.end(1)]) for m in _ASSIGN.finditer(data.lower()) if m.end(1) - m.start(1) >= 6]
+    out = [(0, m.start(), m.end(), data[m.start(1) : m.end(1)]) for m in _ASSIGN.finditer(data.lower()) if m.end(1) - m.start(1) >= CANDIDATE_CHARS]
     out += [(1, m.start(), m.end(), m[0]) for m in _ACCESS.finditer(data)]
     return out + [(2, m.start(), m.end(), m[0]) for m in _HEX.finditer(data)]
 
@@ -54,7 +56,12 @@ def classes(value: str) -> str:
 
 
 _CLASSES = {**{ord(c): "0" for c in "123456789"}, **{ord(c): "h" for c in "abcdef"}, **{c: "l" for c in range(ord("g"), ord("z") + 1)}, **{ord(c): "H" for c in "ABCDEF"}, **{c: "U" for c in range(ord("G"), ord("Z") + 1)}}
-_SYMBOLS = len("0hlHU+/_-.=")
+_SYMBOL_LIST = "0hlHU+/_-.="
+_SYMBOLS = len(_SYMBOL_LIST)
+#: For each byte its class, as a byte and as a number; other bytes end a candidate.
+_ALPHABET = b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-.="
+_CLASS_BYTES = bytes(ord(classes(chr(b))) if b in _ALPHABET else 0 for b in range(256))
+_CLASS_NUMBERS = np.array([_SYMBOL_LIST.index(chr(c)) if c else _SYMBOLS for c in _CLASS_BYTES], np.uint8)
 
 
 class Automaton:
@@ -79,6 +86,23 @@ class Automaton:
         self._merge_states()
         self._memo: dict[str, float] = {}
 
+    @classmethod
+    def of_pairs(cls, pairs: dict[str, int]) -> Automaton:
+        """A state for each class, from counts of two classes in a row; a blank stands for a string's beginning and its end."""
+        self = cls.__new__(cls)
+        states = {c: k for k, c in enumerate(" " + _SYMBOL_LIST)}
+        self.next = [{c: k for c, k in states.items() if k} for _ in states]
+        self.count: list[dict[str, int]] = [{} for _ in states]
+        self.ended = [0] * len(states)
+        for (a, b), n in pairs.items():
+            if b == " ":
+                self.ended[states[a]] += n
+            else:
+                self.count[states[a]][b] = n
+        self.passed = [max(e + sum(c.values()), 1) for e, c in zip(self.ended, self.count, strict=True)]
+        self.states, self._memo = len(states), {}
+        return self
+
     def _differ(self, a: int, n: int, b: int, m: int) -> bool:
         return abs(a / n - b / m) > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
@@ -138,7 +162,10 @@ class Automaton:
             for c in s:
                 total += self._share(state, self.count[state].get(c, 0))
                 state = self.next[state].get(c, state)
-            self._memo[s] = total + self._share(state, self.ended[state])
+            total += self._share(state, self.ended[state])
+            if len(s) > 100:
+                return total
+            self._memo[s] = total
         return self._memo[s]
 
     def _share(self, state: int, seen: int) -> float:
@@ -148,41 +175,100 @@ class Automaton:
 class Formats:
     """Automata of all kinds and of ordinary tokens, and the least gain for each kind."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], least_gain: float = LEAST_GAIN, alpha: float = ALPHA):
+    def __init__(self, labelled: dict[str, list[str]], ordinary: dict[str, int], least_gain: float = LEAST_GAIN, alpha: float = ALPHA):
         self.kinds = {k: Automaton([classes(v) for v in values], alpha) for k, values in labelled.items() if values}
-        self.ordinary = Automaton([classes(v) for v in ordinary], alpha) if ordinary else None
+        self.ordinary = Automaton.of_pairs(ordinary) if ordinary else None
         self.least_gain = least_gain
+        self._memo: dict[str, float] = {}
 
-    def gain(self, value: str) -> tuple[str, float]:
-        """The likeliest kind's name and its logarithm of likelihood over that of ordinary tokens."""
-        s = classes(value)
+    def gain(self, s: str) -> float:
+        """Of a string of classes: the logarithm of its likelihood under its likeliest kind over that of ordinary tokens."""
+        if (known := self._memo.get(s)) is not None:
+            return known
         plain = self.ordinary.log_likelihood(s) if self.ordinary else -(len(s) + 1) * math.log(_SYMBOLS + 1)
-        return max(((k, a.log_likelihood(s) - plain) for k, a in self.kinds.items()), key=lambda x: x[1], default=("", -math.inf))
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One pass over all texts, staged: doc_id, row, base spans (code points) and candidate tokens outside of them."""
+        g = max((a.log_likelihood(s) - plain for a in self.kinds.values()), default=-math.inf)
+        if len(s) <= 100:
+            if len(self._memo) > 100_000:
+                self._memo.clear()
+            self._memo[s] = g
+        return g
+
+    def find(self, s: str, level: int = 0) -> list[tuple[int, int]]:
+        """Where a run of classes has credentials: the run (without the dots that end it, if these are unlikely), else parts of it between '=' (those that end a part stay with it), else between dots."""
+        if len(s) < CANDIDATE_CHARS:
+            return []
+        g, stop = self.gain(s), len(s)
+        if s[-1] == "." and len(bare := s.rstrip(".")) >= CANDIDATE_CHARS and self.gain(bare) > g:
+            g, stop = self.gain(bare), len(bare)
+        if g >= self.least_gain:
+            return [(0, stop)]
+        out = []
+        for k in range(level, len(_PARTS)):
+            if _PARTS[k].search(s):
+                at = 0
+                for m in [*_PARTS[k].finditer(s), None]:
+                    z = m.start() if m else len(s)
+                    out += [(at + a, at + b) for a, b in self.find(s[at:z], k + 1)]
+                    at = m.end() if m else z
+                break
+        return out
+
+
+#: What parts of a run are separated by, level by level: '=' inside, dots, '=' that pad.
+_PARTS = (re.compile(r"^[=.]+|=+(?=[^=.])"), re.compile(r"\.+"), re.compile(r"=+"))
+
+
+def _runs(texts: list[str]) -> tuple[bytes, np.ndarray, list[list[tuple[int, int, int, bytes]]], np.ndarray, np.ndarray]:
+    """Of some texts: their bytes, each text's first one, its base spans (from its own first byte), and the bounds of all candidates."""
+    encoded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = b"\n".join([*encoded, b""])
+    begin = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(e) + 1 for e in encoded], out=begin[1:])
+    inside = _CLASS_NUMBERS[np.frombuffer(data, np.uint8)] < _SYMBOLS
+    found = [base_spans(e) for e in encoded]
+    for at, spans in zip(begin.tolist(), found, strict=False):
+        for _, a, z, _ in spans:
+            inside[at + a : at + z] = False
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    long = last - first >= CANDIDATE_CHARS
+    return data, begin, found, first[long], last[long]
+
+
+def count_labels(docs: DataFrame) -> DataFrame:
+    """One pass over all texts (text), staged: kind and value of labelled credentials, and of kind -1 pairs of classes in all candidates; how often each occurs."""
 
     def look(it):
+        width = _SYMBOLS + 1
+        pairs, labels = np.zeros(width * width, np.int64), set()
         for pdf in it:
-            out = []
-            for i, row, t in zip(pdf["doc_id"].astype("Int64"), pdf["row"], pdf["text"], strict=True):
-                data = t.encode("utf-8", "surrogatepass") if t else b""
-                found = base_spans(data)
-                free = []
-                others = [m for m in _CANDIDATE.finditer(data) if not _ORDINARY.fullmatch(m[0])]
-                for m in others:
-                    if not any(a < m.end() and m.start() < z for _, a, z, _ in found):
-                        free.append((m.start(), m.end(), m[0].decode("ascii")))
-                if len(data) != len(t or ""):
-                    points = _code_points(data, sorted({x for f in found for x in f[1:3]} | {x for f in free for x in f[:2]}))
-                    found = [(k, points[a], points[z], v) for k, a, z, v in found]
-                    free = [(points[a], points[z], v) for a, z, v in free]
-                spans = sorted((a, k, z, v.decode("ascii")) for k, a, z, v in found)
-                out.append((i, row, [{"kind": k, "start": a, "stop": z, "value": v} for a, k, z, v in spans], [{"start": a, "stop": z, "value": v} for a, z, v in free]))
-            yield pd.DataFrame(out, columns=["doc_id", "row", "spans", "candidates"]).astype({"doc_id": "Int64"})
-
-    return stage(id_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).mapInPandas(look, SCAN), "secret-scan")
+            texts = pdf["text"].to_list()
+            for lo, hi in chunks(texts):
+                data, _, found, first, last = _runs(texts[lo:hi])
+                labels |= {(k, v.decode("ascii")) for spans in found for k, _, _, v in spans}
+                if len(labels) > 100_000:
+                    yield pd.DataFrame([(k, v, 1) for k, v in labels], columns=["kind", "value", "n"])
+                    labels = set()
+                c = _CLASS_NUMBERS[np.frombuffer(data, np.uint8)].astype(np.int64)
+                inner = np.zeros(len(c) + 1, np.int8)
+                inner[first + 1], inner[last] = 1, -1
+                at = np.flatnonzero(np.cumsum(inner[:-1], dtype=np.int8))
+                pairs += np.bincount(c[at - 1] * width + c[at], minlength=width * width)
+                pairs += np.bincount(_SYMBOLS * width + c[first], minlength=width * width)
+                pairs += np.bincount(c[last - 1] * width + _SYMBOLS, minlength=width * width)
+        name = _SYMBOL_LIST + " "
+        rows = [(-1, name[i // width] + name[i % width], int(pairs[i])) for i in np.flatnonzero(pairs)]
+        yield pd.DataFrame(rows + [(k, v, 1) for k, v in labels], columns=["kind", "value", "n"])
+
+    counted = docs.select("text").mapInPandas(look, COUNTS)
+    return stage(counted.groupBy("kind", "value").agg(F.sum("n").alias("n")), "secret-labels")
+
+
+def infer_formats(counted: DataFrame, sample: int = SAMPLE, least_gain: float = LEAST_GAIN) -> Formats:
+    """Automata of each kind, from its distinct strings with the smallest hashes, and of ordinary text, from all counts."""
+    strings = {name: [r["value"] for r in counted.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(sample).collect()] for k, name in enumerate(KINDS)}
+    pairs = {r["value"]: r["n"] for r in counted.where("kind = -1").collect()}  # a cell for each pair of classes
+    return Formats(strings, pairs, least_gain)
 
 
 def _code_points(data: bytes, offsets: list[int]) -> dict[int, int]:
@@ -193,37 +279,38 @@ def _code_points(data: bytes, offsets: list[int]) -> dict[int, int]:
     return out
 
 
-def infer_formats(scanned: DataFrame, sample: int = SAMPLE, least_gain: float = LEAST_GAIN) -> Formats:
-    """Automata from samples: of each kind, and of candidates that no pattern matched, the distinct strings with the smallest hashes."""
-    values = scanned.select(F.explode("spans").alias("s")).select(F.col("s.kind").alias("kind"), F.col("s.value").alias("value")).unionByName(scanned.select(F.lit(-1).alias("kind"), F.explode("candidates.value").alias("value")))
-    values = values.distinct()
-    strings: dict[int, list[str]] = defaultdict(list)
-    for k in (-1, *range(len(KINDS))):
-        strings[k] = [r["value"] for r in values.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
-    return Formats({name: strings[k] for k, name in enumerate(KINDS)}, strings[-1], least_gain)
-
-
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least_gain: float = LEAST_GAIN) -> DataFrame:
     """doc_id and spans (kind, start, stop; code points, stop exclusive; by start, then kind) for each row of ``docs``.
 
     Kinds are ``assign``, ``access`` and ``hex`` (the fixed patterns, leftmost and
-    non-overlapping for each) and ``format``: tokens outside of these whose
-    likelihood under some inferred format exceeds that of ordinary tokens by
-    ``least_gain``, as a logarithm. Without labelled credentials there are no
+    non-overlapping for each) and ``format``: runs of letters, digits and
+    ``+/_.=-`` of six characters and more outside of these, or parts of them,
+    whose likelihood under some inferred format exceeds that of ordinary tokens
+    by ``least_gain``, as a logarithm. Without labelled credentials there are no
     formats. Null and empty texts have no spans. Rows that repeat a doc_id, and
     rows without one, are looked at one by one; an empty table gives an empty
     result; other columns are not looked at.
     """
-    scanned = scan(docs, id_col, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(infer_formats(scanned, sample, least_gain))
-
-    def judge(spans: pd.Series, candidates: pd.Series) -> pd.Series:
-        formats, out = sent.value, []
-        for found, free in zip(spans, candidates, strict=True):
-            own = [(s["start"], s["kind"], s["stop"]) for s in found]
-            own += [(c["start"], len(KINDS), c["stop"]) for c in free if formats.gain(c["value"])[1] >= formats.least_gain]
-            out.append([{"kind": (*KINDS, FORMAT)[k], "start": a, "stop": z} for a, k, z in sorted(own)])
-        return pd.Series(out)
-
-    spans = F.pandas_udf(judge, "array<struct<kind:string,start:long,stop:long>>")(F.col("spans"), F.col("candidates"))
-    return scanned.select("doc_id", spans.alias("spans"))
+    thin = id_text(docs, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(infer_formats(count_labels(thin), sample, least_gain))
+
+    def judge(it):
+        formats = sent.value
+        for pdf in it:
+            ids, texts, out = pdf["doc_id"].astype("Int64"), pdf["text"].to_list(), []
+            for lo, hi in chunks(texts):
+                data, begin, found, first, last = _runs(texts[lo:hi])
+                shown = data.translate(_CLASS_BYTES).decode("ascii")
+                cut = np.searchsorted(first, begin)
+                first, last = first.tolist(), last.tolist()
+                for i, (at, end) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+                    spans = [(a, k, z) for k, a, z, _ in found[i]]
+                    if formats.kinds:
+                        spans += [(a - at + x, len(KINDS), a - at + y) for a, z in zip(first[cut[i] : cut[i + 1]], last[cut[i] : cut[i + 1]], strict=True) for x, y in formats.find(shown[a:z])]
+                    if spans and end - at - 1 != len(texts[lo + i]):
+                        points = _code_points(data[at : end - 1], sorted({x for a, _, z in spans for x in (a, z)}))
+                        spans = [(points[a], k, points[z]) for a, k, z in spans]
+                    out.append([{"kind": (*KINDS, FORMAT)[k], "start": a, "stop": z} for a, k, z in sorted(spans)])
+            yield pd.DataFrame({"doc_id": ids, "spans": out})
+
+    return thin.mapInPandas(judge, SPANS)

@@ -148,6 +148,40 @@ def test_secret_base(spark, docs, rows):
     assert sum(own.values()) == len(rows)
 
 
+def test_secret_candidates(spark):
+    """Short, lower-case, dotted and padded credentials, and those beside a base span, are found without a label; ordinary words are not."""
+    rng = np.random.default_rng(5)
+    parts = lambda n: ["".join(rng.choice([*"acekmz"], 2)) + rng.choice([*"0123456789"]) for _ in range(n)]
+    make = {"dotted": lambda: ".".join(parts(4)), "padded": lambda: "".join(parts(3)) + "==", "short": lambda: "".join(parts(3))}
+    words = "ordinary writing mentions several gardens, little houses and travellers without numbers. "
+    texts, want = [], {}
+    for i in range(300):
+        texts.append(words * 3 + f"token={[*make.values()][i % 3]()} ")
+    for name, f in make.items():
+        for beside in ("", "\u00e9 0123456789abcdef0123456789abcdef"):
+            want[len(texts)] = x = f()
+            texts.append(f"{words}here {x} {words}" if not beside else f"{beside}-{x} {words}")
+    out = {r.doc_id: [(s.start, s.stop) for s in r.spans if s.kind == "format"] for r in ss.find_secrets(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert {i for i in out if out[i]} == {*want}
+    for i, x in want.items():
+        assert len(out[i]) == 1 and texts[i][slice(*out[i][0])].strip("-") == x
+    # All-lower-case ones differ from words by their letters' classes only, so they need more of these.
+    low = [f"{words * 3} secret: {''.join(rng.choice([*'abcdef'], 20))}" for _ in range(200)] + [f"{words} abfecdabbcafedabccfe"]
+    last = [r.spans for r in ss.find_secrets(spark.createDataFrame([*enumerate(low)], "doc_id long, text string")).where(f"doc_id = {len(low) - 1}").collect()][0]
+    assert [(s.kind, low[-1][s.start : s.stop]) for s in last] == [("format", "abfecdabbcafedabccfe")]
+
+
+def test_secret_background(spark):
+    """Ordinary text is counted whole, and each of its runs as often as it stands there."""
+    texts = ["plain1 plain1 other words.", None, "plain1 token=abc123 abc"]
+    pairs = {r.value: r.n for r in ss.count_labels(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)).where("kind = -1").collect()}
+    want = Counter()
+    for run in ["plain1"] * 3 + ["words."]:
+        s = f" {ss.classes(run)} "
+        want.update(s[k : k + 2] for k in range(len(s) - 1))
+    assert pairs == want
+
+
 def test_secret_automaton():
     a = ss.Automaton([ss.classes(s) for s in ("ab12", "cd34", "ef56") * 20])
     assert a.log_likelihood(ss.classes("fe98")) > a.log_likelihood(ss.classes("zzzz")) and a.states < 20
