@@ -26,9 +26,20 @@ def test_exact_digests_only_survivors(spark):
     assert got[3].keep_id == 2 and not got[3].kept and got[1].kept
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_exact_reads_survivors_alone(spark, docs, rows, most):
+    """Few or many surviving groups give the same rows; digests are there for copies only."""
+    got = Counter(tuple(r) for r in exact_dedup(docs, broadcast_groups=most).collect())
+    want = Counter()
+    for k, n in brute.exact(pairs(rows)).items():
+        want[k if k[2] > 1 else (*k[:4], None)] += n
+    assert got == want
+
+
 def test_exact_is_native(docs):
-    plan = exact_dedup(docs)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    for all_of_them in (True, False):
+        plan = exact_dedup(docs, digest_all=all_of_them)._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 def test_exact_same_prefix_and_length(spark):
