@@ -1,40 +1,52 @@
 """Similarity join of documents on word shingles, by vertical partitioning.
 
 All shingles have one global order, rarer ones first as a count sketch of fixed
-size sees them. Candidates share a shingle of their prefixes in that order. The
-order is cut into fragments; a document's set becomes one short list for each
-fragment, partial overlaps are counted fragment by fragment and summed for each
-pair. Only links that can still join two classes are asked for: first each
-group of candidates against a hub, round by round, then every pair of members
-whose classes differ. So a group of thousands of near copies needs about as many
-pairs as it has members, and no link between classes is missed.
+size sees them. The order is cut into fragments, and each set into a row for
+each fragment that it has shingles in. Candidate pairs share a shingle of their
+prefixes in the order. Partial overlaps are counted for each pair and fragment,
+where the rows of both sets meet, and summed for each pair. Only links that can
+still join two classes are asked for: first each group of candidates against
+hubs, round by round, then members of like sizes whose classes differ. So a
+group of thousands of near copies needs about as many pairs as it has members,
+and no link between classes is missed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .shared import NON_SPACE, Words, bloom_bits, bloom_has, chunks, grams, id_text, mix64, owner, pack, stage, unpack
-from .substring_dedup import _by_bucket, buckets_for
+from .shared import NO_ID, NON_SPACE, Words, bloom_has, chunks, grams, id_text, mix64, named, owner, pack, stage, unnamed, unpack
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: Hubs that each group of candidates is compared with, round by round, before its members are compared with each other.
-HUBS = (1, 4, 16, 64)
+HUBS = (1, 8, 64)
 #: A shingle that the sketch counts so often is not gathered in one task; its level is a logarithm of this.
 HOT_COUNT = 50_000
-HOT_LEVEL = int(8 * np.log2(HOT_COUNT))
-#: Pairs that are sent to all tasks, 16 bytes each; more of them are shuffled.
+#: Pairs that are sent to all tasks, about 50 bytes each; more of them are shuffled.
 BROADCAST_PAIRS = 500_000
-NO_ID = np.iinfo(np.int64).min
+#: Cells of the sketch at most (64 MiB), cells of it that are added together, and tasks that are added at a time.
+MOST_CELLS, PIECE, TREE = 1 << 24, 1 << 14, 256
+#: Entries of a bucket of shingles, about.
+BUCKET_ROWS = 500_000
 
-SET_SCHEMA = "doc_id long, n long, node long, kind int, segment int, body binary"
-TOKEN_SCHEMA = "bucket int, tokens binary, nodes binary, sizes binary, rests binary"
+SET_SCHEMA = "doc_id long, n long, node binary, kind int, piece int, part int, body binary"
+PIECE_SCHEMA = "piece int, part int, body binary"
+TOKEN_SCHEMA = "bucket int, tokens binary, nodes binary, names binary, sizes binary, rests binary"
+
+
+def buckets_for(words: int, rows: int = BUCKET_ROWS) -> int:
+    """A power of two of buckets for so many words, 64 at least."""
+    n = 64
+    while n * rows < words // 4:
+        n *= 2
+    return n
 
 
 def shingle_sets(texts: list, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +75,19 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def node_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit name for each set, the same for equal sets."""
-    return mix64(_sums(mix64(h, 51), first) ^ mix64(_sums(mix64(h, 52), first), 53))
+def node_of(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A name of 128 bits for each set, in two halves, the same for equal sets."""
+    one, two = _sums(mix64(h, 51), first), _sums(mix64(h, 52), first)
+    return mix64(one ^ mix64(two, 53)), mix64(_sums(mix64(h, 54), first) ^ mix64(two, 55))
+
+
+def _names(node: np.ndarray, alt: np.ndarray) -> list[bytes]:
+    both = np.column_stack((node, alt)).tobytes()
+    return [both[i : i + 16] for i in range(0, len(both), 16)]
+
+
+def _halves(names) -> np.ndarray:
+    return np.frombuffer(b"".join(names), np.uint64).reshape(-1, 2)
 
 
 def measure(docs: DataFrame, cells: int, k: int) -> DataFrame:
@@ -75,23 +97,36 @@ def measure(docs: DataFrame, cells: int, k: int) -> DataFrame:
         sketch = np.zeros(cells, np.uint32)
         shift = np.uint64(64 - cells.bit_length() + 1)
         for pdf in it:
-            ids, texts = pdf["doc_id"], pdf["text"].to_list()
+            ids, texts = pdf["doc_id"].to_numpy(np.int64), pdf["text"].to_list()
             for lo, hi in chunks(texts):
                 h, first = shingle_sets(texts[lo:hi], k)
                 np.add.at(sketch, (h >> shift).astype(np.int64), 1)
-                out = pd.DataFrame({"doc_id": ids.iloc[lo:hi].astype("Int64").reset_index(drop=True), "n": np.diff(first), "node": node_of(h, first).view(np.int64), "kind": 0})
-                yield out.assign(segment=None, body=None)
-        for part in shared.segments([sketch]):
-            yield part.assign(kind=1, doc_id=pd.array([None] * len(part), "Int64"), n=0, node=0)[["doc_id", "n", "node", "kind", "segment", "body"]]
+                yield pd.DataFrame({"doc_id": ids[lo:hi], "n": np.diff(first), "node": _names(*node_of(h, first)), "kind": 0, "piece": 0, "part": 0, "body": None})
+        part = TaskContext.get().partitionId()
+        for i in range(0, cells, PIECE):
+            if sketch[i : i + PIECE].any():
+                yield pd.DataFrame({"doc_id": [NO_ID], "n": [0], "node": [None], "kind": [1], "piece": [i // PIECE], "part": [part], "body": [pack(sketch[i : i + PIECE])]})
 
     return docs.mapInPandas(emit, SET_SCHEMA)
 
 
-def _merge_sketch(pdf: pd.DataFrame) -> pd.DataFrame:
+def _add_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(1, np.uint64)
     for b in pdf["body"]:
         total = total + unpack(b, np.uint32)
-    return pd.DataFrame({"kind": [1], "segment": [pdf["segment"].iloc[0]], "body": [pack(np.minimum(total, 2**32 - 1).astype(np.uint32))]})
+    return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "part": [pdf["part"].iloc[0]], "body": [pack(np.minimum(total, 2**32 - 1).astype(np.uint32))]})
+
+
+def whole_sketch(pieces: DataFrame, cells: int) -> np.ndarray:
+    """The sum of all tasks' sketches, added as a tree: no step holds a piece of more than TREE tasks, of which there are TREE * TREE and more."""
+    pieces = pieces.select("piece", "part", "body")
+    for width in (TREE, 1):
+        pieces = pieces.withColumn("part", F.pmod("part", F.lit(width))).groupBy("piece", "part").applyInPandas(_add_pieces, PIECE_SCHEMA)
+    out = np.zeros(cells, np.uint32)
+    for r in pieces.toLocalIterator():
+        body = unpack(bytes(r["body"]), np.uint32)
+        out[r["piece"] * PIECE : r["piece"] * PIECE + len(body)] = body
+    return out
 
 
 class Order:
@@ -113,70 +148,80 @@ class Order:
         return np.searchsorted(self.cuts, (self.level(h).astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8)), "right")
 
 
-def prefix_groups(docs: DataFrame, order, buckets: int, k: int, threshold: int) -> DataFrame:
+def _by_bucket(keys: np.ndarray, buckets: int):
+    """Bounds of each bucket that has some of the sorted keys."""
+    b = (keys >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int32)
+    cut = np.flatnonzero(np.diff(b, prepend=-1, append=-1))
+    return zip(b[cut[:-1]].tolist(), cut, cut[1:], strict=False)
+
+
+def prefix_groups(docs: DataFrame, order, buckets: int, k: int, threshold: int, hot_count: int = HOT_COUNT) -> DataFrame:
     """(token, node, size, rest): groups of sets that share a shingle of their prefixes; rest counts a set's shingles from that one on.
 
     Shingles travel as sorted arrays by bucket of the hash range, equal sets of a
-    chunk once. Shingles that the sketch takes for very frequent are dealt out by
-    node and leave as rows at once, for later aggregates and joins that split
-    large keys; so a bucket holds at most HOT_COUNT entries of a shingle. Groups
-    with the same members become one, named by a hash of these, with each
+    chunk once. Shingles that the sketch takes for very frequent stay with their
+    chunk and leave as rows at once, for later aggregates and joins that split
+    large keys; so a bucket holds at most ``hot_count`` entries of a shingle.
+    Groups with the same members become one, named by a hash of these, with each
     member's largest rest; members that no other one of the group can link to go.
     """
+    hot_level = int(8 * np.log2(1 + hot_count))
 
     def emit(it):
+        chunk = TaskContext.get().partitionId() << 10
         for pdf in it:
             texts = pdf["text"].to_list()
             for lo, hi in chunks(texts):
                 h, first = shingle_sets(texts[lo:hi], k)
-                node, size = node_of(h, first), np.diff(first)
+                (node, alt), size = node_of(h, first), np.diff(first)
                 alone = np.zeros(len(size), bool)
-                alone[np.unique(node, return_index=True)[1]] = True
+                by = np.lexsort((alt, node))
+                alone[by] = np.concatenate([[True], (node[by][1:] != node[by][:-1]) | (alt[by][1:] != alt[by][:-1])])
                 of, level = owner(first), order.value.level(h)
                 by = np.argsort(level, kind="stable")
                 by = by[np.argsort(of[by].astype(np.uint16) if hi - lo < 1 << 16 else of[by], kind="stable")]
                 rest = (size + first[:-1])[of] - np.arange(len(h))
                 keep = (rest * 100 >= threshold * size[of]) & alone[of]
                 by, of, rest = by[keep], of[keep], rest[keep]
-                hot = level[by] >= HOT_LEVEL
+                hot = level[by] >= hot_level
+                rows = []
                 for is_hot, some in ((False, ~hot), (True, hot)):
                     tok, o, left = h[by[some]], of[some], rest[some]
                     at = np.argsort(tok, kind="stable")
                     tok, o, left = tok[at], o[at], left[at]
-                    if is_hot:
-                        dealt = (node[o] % np.uint64(256)).astype(int)
-                        cuts = [(-1 - int(b), np.flatnonzero(dealt == b)) for b in np.unique(dealt)]
-                    else:
-                        cuts = [(int(b), np.arange(i, j)) for b, i, j in _by_bucket(tok, buckets)]
-                    rows = [(b, pack(tok[x]), pack(node[o[x]]), pack(size[o[x]].astype(np.uint32)), pack(left[x].astype(np.uint32))) for b, x in cuts]
-                    yield pd.DataFrame(rows, columns=["bucket", "tokens", "nodes", "sizes", "rests"])
+                    chunk += 1
+                    # A chunk's frequent ones get a bucket of their own: its number only spreads them.
+                    cuts = _by_bucket(tok, buckets) if not is_hot else [(-1 - (chunk & 0x3FFFFFFF), 0, len(tok))] if len(tok) else []
+                    rows += [(b, pack(tok[i:j]), pack(node[o[i:j]]), pack(alt[o[i:j]]), pack(size[o[i:j]].astype(np.uint32)), pack(left[i:j].astype(np.uint32))) for b, i, j in cuts]
+                yield pd.DataFrame(rows, columns=["bucket", "tokens", "nodes", "names", "sizes", "rests"])
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        tok, node, size, rest = (np.concatenate([unpack(b, kind) for b in pdf[c]]) for c, kind in (("tokens", np.uint64), ("nodes", np.uint64), ("sizes", np.uint32), ("rests", np.uint32)))
+        kinds = {"tokens": np.uint64, "nodes": np.uint64, "names": np.uint64, "sizes": np.uint32, "rests": np.uint32}
+        tok, *sets = (np.concatenate([unpack(b, kind) for b in pdf[c]]) for c, kind in kinds.items())
         if pdf["bucket"].iloc[0] >= 0:
-            tok, node, size, rest = _one_each(tok, node, size, rest)
-            first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
-            bounds = np.append(first, len(tok))
-            name = np.repeat(node_of(node, bounds), np.diff(bounds))
-            tok, node, size, rest = _able(*_one_each(*_able(name, node, size, rest, threshold)), threshold)
-        return pd.DataFrame({"token": tok.view(np.int64), "node": node.view(np.int64), "size": size.astype(np.int64), "rest": rest.astype(np.int64)})
+            tok, *sets = _one_each(tok, *sets)
+            bounds = np.append(np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])), len(tok)) if len(tok) else np.zeros(1, np.int64)
+            name = np.repeat(node_of(sets[0] ^ mix64(sets[1], 5), bounds)[0], np.diff(bounds))
+            tok, *sets = _able(*_one_each(*_able(name, *sets, threshold)), threshold)
+        node, alt, size, rest = sets
+        return pd.DataFrame({"token": tok.view(np.int64), "node": _names(node, alt), "size": size.astype(np.int64), "rest": rest.astype(np.int64)})
 
-    return docs.mapInPandas(emit, TOKEN_SCHEMA).groupBy("bucket").applyInPandas(group, "token long, node long, size long, rest long")
+    return docs.mapInPandas(emit, TOKEN_SCHEMA).groupBy("bucket").applyInPandas(group, "token long, node binary, size long, rest long")
 
 
-def _one_each(tok, node, size, rest):
+def _one_each(tok, node, alt, size, rest):
     """Each member of a group once, with its largest rest, by group and node."""
-    by = np.lexsort((rest, node, tok))
-    tok, node = tok[by], node[by]
+    by = np.lexsort((rest, alt, node, tok))
+    tok, node, alt = tok[by], node[by], alt[by]
     last = np.ones(len(tok), bool)
-    last[:-1] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
-    return tok[last], node[last], size[by[last]], rest[by[last]]
+    last[:-1] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1]) | (alt[1:] != alt[:-1])
+    return tok[last], node[last], alt[last], size[by[last]], rest[by[last]]
 
 
-def _able(tok, node, size, rest, threshold: int):
+def _able(tok, node, alt, size, rest, threshold: int):
     """Without members that can't link to any other one of their group by sizes and rests, and without groups of one. Rows are grouped by tok before and after."""
     if not len(tok):
-        return tok, node, size, rest
+        return tok, node, alt, size, rest
     t, s, r = threshold, size.astype(np.int64), rest.astype(np.int64)
     gain = (100 + t) * r - t * s  # at least t times the other's size
     new = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
@@ -192,44 +237,54 @@ def _able(tok, node, size, rest, threshold: int):
         return out
 
     keep = (best_other(gain) >= t * s) & (-t * best_other(-s) <= gain) & (count > 1)[of]
-    tok, node, size, rest = tok[keep], node[keep], size[keep], rest[keep]
+    tok, *sets = (x[keep] for x in (tok, node, alt, size, rest))
     if not len(tok):
-        return tok, node, size, rest
+        return tok, *sets
     edge = np.concatenate([[True], tok[1:] != tok[:-1], [True]])
     several = ~(edge[:-1] & edge[1:])
-    return tok[several], node[several], size[several], rest[several]
+    return tok[several], *(x[several] for x in sets)
 
 
-def fragment_lists(docs: DataFrame, wanted, order, fragments: int, k: int) -> DataFrame:
-    """(node, fragments) of the sets whose (node, doc_id) the filter ``wanted`` has: a list of shingles for each fragment of the order. Others that pass the filter do no harm."""
+def fragment_rows(docs: DataFrame, wanted, order, fragments: int, k: int) -> DataFrame:
+    """(node, fragment, counts, shingles): each set cut by fragments of the order, a row for each that it has shingles in; counts has the sizes of all. Only sets whose (node, doc_id) the filter ``wanted`` has (None: all, each once); others that pass it do no harm."""
 
     def emit(it):
         for pdf in it:
-            ids, texts = pdf["doc_id"].fillna(NO_ID).to_numpy(np.int64), pdf["text"].to_list()
+            ids, texts = pdf["doc_id"].to_numpy(np.int64), pdf["text"].to_list()
             for lo, hi in chunks(texts):
                 h, first = shingle_sets(texts[lo:hi], k)
-                node = node_of(h, first)
-                take = np.flatnonzero(bloom_has(wanted.value, mix64(node ^ mix64(ids[lo:hi].view(np.uint64), 61))))
-                out = []
+                node, alt = node_of(h, first)
+                take = np.arange(hi - lo) if wanted is None else np.flatnonzero(bloom_has(wanted.value, mix64(node ^ mix64(ids[lo:hi].view(np.uint64), 61))))
+                out, names = [], _names(node, alt)
                 for d in take:
                     own = h[first[d] : first[d + 1]]
                     f = order.value.fragment(own)
-                    own, f = own[np.argsort(f, kind="stable")].view(np.int64), np.sort(f)
-                    out.append((int(node[d].view(np.int64)), np.split(own, np.searchsorted(f, np.arange(1, fragments)))))
-                yield pd.DataFrame(out, columns=["node", "fragments"])
+                    counts = np.bincount(f, minlength=fragments)
+                    parts = np.split(own[np.argsort(f, kind="stable")].view(np.int64), np.cumsum(counts)[:-1])
+                    out += [(names[d], i, counts, x) for i, x in enumerate(parts) if len(x)]
+                yield pd.DataFrame(out, columns=["node", "fragment", "counts", "shingles"])
+
+    cut = docs.mapInPandas(emit, "node binary, fragment int, counts array<int>, shingles array<long>")
+    return cut if wanted is not None else cut.dropDuplicates(["node", "fragment"])
+
 
-    return docs.mapInPandas(emit, "node long, fragments array<array<long>>")
+def partial_overlaps(pairs: DataFrame, rows: DataFrame, threshold: int, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+    """(a, b, a_size, b_size, fragment, overlap): the shingles that both sets of a pair have in a fragment. Pairs whose fragments' sizes allow no link are left out. Sets that no pair names stay where they are as long as the pairs are few enough to be sent to them."""
+    few = F.broadcast if pairs.count() <= broadcast_pairs else lambda d: d
+    left = rows.select(F.col("node").alias("a"), "fragment", F.col("counts").alias("a_counts"), F.col("shingles").alias("left")).join(few(pairs), "a")
+    right = rows.select(F.col("node").alias("b"), "fragment", F.col("counts").alias("b_counts"), F.col("shingles").alias("right")).join(few(pairs.select("b").distinct()), "b", "left_semi")
+    most = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    met = left.join(right, ["b", "fragment"]).where((100 + threshold) * most >= threshold * (F.col("a_size") + F.col("b_size")))
+    return met.select("a", "b", "a_size", "b_size", "fragment", F.size(F.array_intersect("left", "right")).alias("overlap"))
 
 
-def linked(pairs: DataFrame, lists: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b, with sizes) whose overlap, summed over fragments, reaches the threshold. Lists that no pair names stay where they are as long as the pairs are few enough to be sent to them."""
-    few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda d: d
-    left = lists.select(F.col("node").alias("a"), F.col("fragments").alias("left")).join(few(pairs), "a")
-    right = lists.select(F.col("node").alias("b"), F.col("fragments").alias("right")).join(few(pairs.select("b").distinct()), "b", "left_semi")
-    parts = F.zip_with("left", "right", lambda x, y: F.size(F.array_intersect(x, y)))
-    counted = left.join(right, "b").select("a", "b", "a_size", "b_size", F.aggregate(parts, F.lit(0), lambda n, x: n + x).alias("overlap"))
-    # Lists may be there twice (rows that repeat a doc_id), with the same count.
-    return counted.where((100 + threshold) * F.col("overlap") >= threshold * (F.col("a_size") + F.col("b_size"))).select("a", "b").distinct()
+def linked(pairs: DataFrame, rows: DataFrame, threshold: int, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+    """The pairs (a, b) whose overlap, summed over fragments, reaches the threshold."""
+    parts = partial_overlaps(pairs, rows, threshold, broadcast_pairs).repartition("a", "b")
+    # A fragment may be there twice (rows that repeat a doc_id), with the same count.
+    once = parts.groupBy("a", "b", "a_size", "b_size", "fragment").agg(F.max("overlap").alias("overlap"))
+    total = once.groupBy("a", "b", "a_size", "b_size").agg(F.sum("overlap").alias("overlap"))
+    return total.where((100 + threshold) * F.col("overlap") >= threshold * (F.col("a_size") + F.col("b_size"))).select("a", "b")
 
 
 def merge_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -261,13 +316,15 @@ def _with_labels(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, threshold: int) -> DataFrame:
-    """Pairs, each in one order, that sizes and rests allow to link."""
+    """Pairs, each once and in order, that sizes and rests allow to link."""
     able = (100 + threshold) * F.least("rest", "hub_rest") >= threshold * (F.col("size") + F.col("hub_size"))
-    pairs = rows.where(able & (F.col("node") != F.col("hub"))).select(F.struct(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("size").alias("a_size"), F.col("hub_size").alias("b_size")).alias("p"))
-    return pairs.groupBy(F.least("p.a", "p.b"), F.greatest("p.a", "p.b")).agg(F.min("p").alias("p")).select("p.*")
+    pairs = rows.where(able & (F.col("node") != F.col("hub")))
+    first = F.col("node") < F.col("hub")
+    side = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return pairs.select(side("node", "hub").alias("a"), side("hub", "node").alias("b"), side("size", "hub_size").alias("a_size"), side("hub_size", "size").alias("b_size")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: int = THRESHOLD, fragments: int = FRAGMENTS, hubs_per_round: tuple[int, ...] = HUBS, most_cells: int = 1 << 26) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: int = THRESHOLD, fragments: int = FRAGMENTS, hubs_per_round: tuple[int, ...] = HUBS, most_cells: int = MOST_CELLS, most_bits: int = shared.MOST_BITS, hot_count: int = HOT_COUNT, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``.
 
     A set is a text's distinct k-word shingles, A-Z lower-cased; sets link when
@@ -278,41 +335,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own component. Null doc_ids can link but never name a component that has
     another. Rows that repeat a doc_id are looked at one by one. An empty table
     gives an empty result; other columns are not looked at. Equal sets are one
-    node of the join, named by 64 bits.
+    node of the join, named by 128 bits. ``most_cells``, ``most_bits``,
+    ``hot_count`` and ``broadcast_pairs`` bound what a task holds or is sent;
+    results are the same for all values.
     """
-    thin, spark = id_text(docs, id_col, text_col), docs.sparkSession
+    thin, spark = named(id_text(docs, id_col, text_col)), docs.sparkSession
     words = (thin.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    cells = 1 << 16
+    cells = PIECE
     while cells < min(words // 32, most_cells):
         cells *= 2
     measured = stage(measure(thin, cells, k), "sets")
-    merged = measured.where("kind = 1").select("segment", "body").groupBy("segment").applyInPandas(_merge_sketch, shared.SEGMENT_SCHEMA)
-    order = spark.sparkContext.broadcast(Order(shared.collect_array(merged, cells, np.uint32), fragments))
+    order = spark.sparkContext.broadcast(Order(whole_sketch(measured.where("kind = 1"), cells), fragments))
     sets = measured.where("kind = 0").select("doc_id", "n", "node")
 
     # Groups with the same members come from several buckets: once is enough.
-    groups = stage(prefix_groups(thin, order, buckets_for(words), k, threshold), "prefixes").groupBy("token", "node", "size").agg(F.max("rest").alias("rest"))
+    groups = stage(prefix_groups(thin, order, buckets_for(words), k, threshold, hot_count), "prefixes").groupBy("token", "node", "size").agg(F.max("rest").alias("rest"))
     groups = stage(groups, "groups")
 
-    nodes = groups.select("node").distinct().join(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "node").select("node", F.coalesce("least", F.lit(NO_ID)).alias("least"))
-    nodes = nodes.mapInPandas(_marks, "h long")
-    nodes = stage(nodes, "nodes")
-    wanted = spark.sparkContext.broadcast(shared.build_bloom(nodes, "h", bloom_bits(16 * nodes.count())))
-    lists = stage(fragment_lists(thin, wanted, order, fragments, k), "fragments")
+    nodes = stage(groups.select("node").distinct().join(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "node").mapInPandas(_marks, "h long"), "nodes")
+    n = shared.bloom_segments(nodes.count(), most_bits=most_bits)
+    wanted = spark.sparkContext.broadcast(shared.build_bloom(nodes, "h", n)) if n else None
+    rows = stage(fragment_rows(thin, wanted, order, fragments, k), "fragments")
 
-    labels, tested = None, None
+    labels, tested = None, []
 
     def join(pairs: DataFrame) -> bool:
-        nonlocal labels, tested
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
+        nonlocal labels
+        if tested:
+            pairs = pairs.join(spark.read.schema("a binary, b binary").parquet(*tested), ["a", "b"], "left_anti")
+        path = shared.new_path(spark, "pairs")
+        pairs.write.parquet(path)
+        pairs = spark.read.schema(pairs.schema).parquet(path)
         if pairs.isEmpty():
             return False
-        links = stage(linked(pairs, lists, threshold), "links")
-        labels = merge_labels(labels, links)
-        new = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tested = new if tested is None else tested.unionByName(new)
+        tested.append(path)
+        labels = merge_labels(labels, stage(linked(pairs, rows, threshold, broadcast_pairs), "links"))
         return True
 
     for r, hubs_each in enumerate(hubs_per_round):
@@ -321,19 +378,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rank = F.struct(F.col("size").alias("r"), "node") if r == 0 else F.struct(F.xxhash64("node", F.lit(r)).alias("r"), "node")
         dealt = F.pmod(F.xxhash64("node", F.lit(-r)), F.lit(hubs_each))
         part = seen.groupBy("token", dealt.alias("part")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "size", "rest", "label"), rank).alias("h"))
+        part = stage(part, "hubs")
         mixed = part.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")
         hubs = part.join(mixed, "token", "left_semi").select("token", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.rest").alias("hub_rest"), F.col("h.label").alias("hub_label"))
-        if not join(_pairs(seen.join(hubs, "token").where("label != hub_label"), threshold)):
+        # Written first, hubs don't share the members' partitioning, and the join can split a large group's members.
+        if not join(_pairs(seen.join(stage(hubs, "hubs"), "token").where("label != hub_label"), threshold)):
             break
-    # What is left: all members of a group that are still in different classes.
+    # What is left: members of a group that are still in different classes, against those of their own and the neighbouring bands of sizes.
     seen = _with_labels(groups, labels)
-    mixed = seen.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    left = stage(seen.join(mixed, "token", "left_semi"), "mixed")
-    other = left.select("token", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("rest").alias("hub_rest"), F.col("label").alias("hub_label"))
-    join(_pairs(left.join(other, "token").where((F.col("label") < F.col("hub_label"))), threshold))
+    mixed = stage(seen.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token"), "mixed")
+    # A band's sizes differ by the threshold's ratio (and a little, for rounding), so that links reach one band further at most.
+    band = F.floor(F.log("size") / F.lit(1.000001 * float(np.log(100 / threshold)) if threshold < 100 else 1.0))
+    left = stage(seen.join(mixed, "token", "left_semi").withColumn("band", band), "apart")
+    other = left.select("token", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"), F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("rest").alias("hub_rest"), F.col("label").alias("hub_label"))
+    join(_pairs(left.join(other, ["token", "band"]).where(F.col("label") < F.col("hub_label")), threshold))
 
     out = sets.withColumn("label", F.col("node")) if labels is None else sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    out = stage(out.select("doc_id", "n", "label"), "classes")
+    out = stage(unnamed(out.select("doc_id", "n", "label")), "classes")
     least = out.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("label", "least", F.lit(True).alias("joined"))
     # Written first, the classes don't share the rows' partitioning, and the join can split a large class's rows.
     return out.join(stage(least, "least"), "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("joined"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -341,5 +402,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _marks(it):
     for pdf in it:
-        node, least = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("node", "least"))
-        yield pd.DataFrame({"h": mix64(node ^ mix64(least, 61)).view(np.int64)})
+        least = pdf["least"].to_numpy(np.int64).view(np.uint64)
+        yield pd.DataFrame({"h": mix64(_halves(pdf["node"])[:, 0] ^ mix64(least, 61)).view(np.int64)})

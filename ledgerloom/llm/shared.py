@@ -7,9 +7,11 @@ folder that ``spark.checkpoint.dir`` names, which every executor can reach.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -26,15 +28,19 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 # ------------------------------------------------------------------ staged tables
-#: Temporary folders by application, where none is configured.
+#: Temporary folders by application, where none is configured (one machine).
 _OWN: dict[str, str] = {}
+#: Staged folders by application, so that they can be deleted when nothing reads them any more.
+_STAGED: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The run's folder under ``spark.checkpoint.dir``; where that is unset (tests, one machine) a temporary folder."""
+    """The run's folder under ``spark.checkpoint.dir``. Where that is unset, one machine (``local[...]``, as in tests) gets a temporary folder; a cluster is refused."""
     app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         root = _OWN[app]
@@ -42,7 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -52,15 +60,44 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders that are staged inside are deleted at the end, but for those that the list it gives then holds. Frames that read them must be written or gone by then."""
+    made = _STAGED.setdefault(spark.sparkContext.applicationId, [])
+    before, kept = len(made), []
+    yield kept
+    inside = made[before:]
+    del made[before:]
+    made += kept
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in inside:
+        if path not in kept:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(hadoop).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stands for a missing identifier in tasks, where pandas would turn a column with nulls into floats.
+NO_ID = -(1 << 63)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the identifier and the text, under fixed names, whatever other columns there are."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """Null doc_ids become NO_ID, for tasks; ``unnamed`` turns them back."""
+    return docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+
+
+def unnamed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the identifier as text, modulo n."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
@@ -176,19 +213,30 @@ def unpack(b: bytes, dtype) -> np.ndarray:
 
 # ------------------------------------------------------------------ Bloom filters
 PROBES = 3
-SEGMENT = 1 << 16  # bytes of a filter that are merged together
+#: Bits of a filter's segment. A hash falls into one segment alone, so that each segment is built in one task, from the hashes of its range.
+SEGMENT_BITS = 1 << 19
+#: Bits of a filter that is sent to all tasks, at most (128 MiB).
+MOST_BITS = 1 << 30
 
 
-def bloom_bits(expected: int, most: int = 1 << 30) -> int:
-    """Bits for so many entries: a power of two, 2**19 (64 KiB) at least and ``most`` (128 MiB) at most. Beyond that the filter only passes more through to the exact step."""
-    bits = 1 << 19
-    while bits < min(expected, most):
-        bits *= 2
-    return bits
+def bloom_segments(expected: int, bits_each: int = 16, most_bits: int = MOST_BITS) -> int:
+    """Segments (a power of two) for so many entries; 0 if these need more than ``most_bits``."""
+    n = 1
+    while n * SEGMENT_BITS < expected * bits_each:
+        n *= 2
+    return n if n * SEGMENT_BITS <= max(most_bits, SEGMENT_BITS) and expected * bits_each <= most_bits else 0
 
 
 def _probe(h: np.ndarray, bits: int, i: int) -> np.ndarray:
-    return (mix64(h, 100 + i) & np.uint64(bits - 1)).astype(np.int64)
+    """Bit i of each hash: within the segment that the hash falls into, or within ``bits`` if there are fewer."""
+    inner = mix64(h, 100 + i) & np.uint64(min(bits, SEGMENT_BITS) - 1)
+    if bits > SEGMENT_BITS:
+        inner |= _segment(h, bits // SEGMENT_BITS) * np.uint64(SEGMENT_BITS)
+    return inner.astype(np.int64)
+
+
+def _segment(h: np.ndarray, n: int) -> np.ndarray:
+    return mix64(h, 99) & np.uint64(n - 1)
 
 
 def bloom_add(filled: np.ndarray, h: np.ndarray) -> None:
@@ -205,45 +253,24 @@ def bloom_has(filled: np.ndarray, h: np.ndarray) -> np.ndarray:
     return found
 
 
-def segments(filters: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-    """Non-empty pieces of equally long arrays, compressed, a row each; kind is the array's place in the list."""
-    for kind, f in enumerate(filters):
-        size = min(SEGMENT, len(f) * f.itemsize) // f.itemsize
-        parts = [(kind, i, pack(f[i * size : (i + 1) * size])) for i in range(len(f) // size) if f[i * size : (i + 1) * size].any()]
-        for i in range(0, len(parts), 64):
-            yield pd.DataFrame(parts[i : i + 64], columns=["kind", "segment", "body"])
-
-
-SEGMENT_SCHEMA = "kind int, segment int, body binary"
+def build_bloom(hashes: DataFrame, column: str, n: int) -> np.ndarray:
+    """A filter of ``n`` segments over a long column of distinct hashes. They are shuffled by segment, and each segment is built where its hashes are; the driver gets the whole, of a size that ``bloom_segments`` bounds."""
 
-
-def collect_array(merged: DataFrame, length: int, dtype=np.uint8) -> np.ndarray:
-    """The driver's copy of one merged array of a fixed length."""
-    out = np.zeros(length, dtype)
-    size = min(SEGMENT, length * out.itemsize) // out.itemsize
-    for r in merged.toLocalIterator():
-        out[r["segment"] * size : (r["segment"] + 1) * size] = unpack(bytes(r["body"]), dtype)
-    return out
-
-
-def build_bloom(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A filter over a long column: a partial filter in each task, merged by segment; the driver gets ``bits`` bits."""
-
-    def partial(it):
-        filled = np.zeros(bits // 8, np.uint8)
+    def place(it):
         for pdf in it:
-            bloom_add(filled, pdf["h"].to_numpy(np.int64).view(np.uint64))
-        yield from segments([filled])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        acc = None
-        for b in pdf["body"]:
-            x = unpack(b, np.uint8)
-            acc = x if acc is None else acc | x
-        return pd.DataFrame({"kind": [0], "segment": [pdf["segment"].iloc[0]], "body": [pack(acc)]})
-
-    parts = hashes.select(F.col(column).alias("h")).mapInPandas(partial, SEGMENT_SCHEMA)
-    return collect_array(parts.groupBy("segment").applyInPandas(merge, SEGMENT_SCHEMA), bits // 8)
+            h = pdf["h"].to_numpy(np.int64)
+            yield pd.DataFrame({"segment": _segment(h.view(np.uint64), n).astype(np.int32), "h": h})
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(SEGMENT_BITS // 8, np.uint8)
+        bloom_add(own, pdf["h"].to_numpy(np.int64).view(np.uint64))
+        return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "body": [pack(own)]})
+
+    built = hashes.select(F.col(column).alias("h")).mapInPandas(place, "segment int, h long").groupBy("segment").applyInPandas(build, "segment int, body binary")
+    out = np.zeros(n * SEGMENT_BITS // 8, np.uint8)
+    for r in built.toLocalIterator():
+        out[r["segment"] * SEGMENT_BITS // 8 : (r["segment"] + 1) * SEGMENT_BITS // 8] = unpack(bytes(r["body"]), np.uint8)
+    return out
 
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

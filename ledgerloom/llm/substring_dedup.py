@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
-from .shared import NON_SPACE, Words, bloom_bits, bloom_has, chunks, grams, id_text, owner, pack, stage, unpack
+from .shared import NON_SPACE, Words, bloom_has, chunks, grams, id_text, owner, pack, stage, unpack
 
 WINDOW = 13
 ANCHOR = 5
@@ -162,9 +162,8 @@ def repeated_windows(docs: DataFrame, suspects: DataFrame, window: int, buckets:
     smallest document goes through the shuffle, for larger ones are known to
     repeat it.
     """
-    spark, suspects = docs.sparkSession, stage(suspects, "suspects")
-    sent = spark.sparkContext.broadcast(shared.build_bloom(suspects, "fp", bits := bloom_bits(10 * suspects.count())))
-    assert bits
+    spark, suspects = docs.sparkSession, stage(suspects.distinct(), "suspects")
+    sent = spark.sparkContext.broadcast(shared.build_bloom(suspects, "fp", shared.bloom_segments(suspects.count()) or shared.MOST_BITS // shared.SEGMENT_BITS))
 
     def emit(it):
         for pdf in it:

@@ -121,3 +121,56 @@ def test_nameless_rows(nameless):
     assert all(r.kept for r in exact_dedup(nameless).collect())
     assert all(r.substring_dedup.n_removed == 0 for r in dedup_substrings(nameless).collect())
     assert nameless.select(F.lit(1)).count() == 2
+
+
+def test_lines_in_all_ways(docs, rows, monkeypatch):
+    """Many ranges and tasks, a filter or a join of suspects, keys sent or joined: the same rows."""
+    from ledgerloom.llm import line_dedup as ld
+
+    monkeypatch.setattr(ld, "TASK_KEYS", 3)
+    want = brute.line_dedup(pairs(rows))
+    for bits, keys in ((0, 0), (0, 100), (1 << 30, 0)):
+        got = Counter((r.doc_id, *r.line_dedup) for r in dedup_lines(docs.repartition(40), most_bits=bits, broadcast_keys=keys).collect())
+        assert got == want
+
+
+def test_large_ids_beside_null(spark):
+    """Identifiers beyond 2**53 stay exact where others are null."""
+    big, line = 2**60 + 1, "y" * 50
+    df = spark.createDataFrame([*((big + i, f"{line}\none two three four five six {i}") for i in range(5)), (None, line)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.line_dedup.n_dropped for r in dedup_lines(df).collect()} == {**{big + i: 1 for i in range(4)}, big + 4: 0, None: 1}
+    assert {r.doc_id for r in near_duplicates(df).collect()} == {None, *(big + i for i in range(5))}
+
+
+def test_near_in_all_ways(docs, rows):
+    """Frequent shingles dealt out, no filter of nodes, pairs shuffled, few cells and many fragments: the same rows."""
+    want = brute.near(pairs(rows))
+    for how in ({"hot_count": 2, "broadcast_pairs": 0}, {"most_bits": 0, "fragments": 1}, {"hot_count": 1, "fragments": 16, "hubs_per_round": ()}):
+        assert Counter(tuple(r) for r in near_duplicates(docs, **how).collect()) == want
+
+
+def test_near_partial_overlaps(spark):
+    """Overlaps of each fragment are those of the sets cut by hand, and sum up to the sets' overlap."""
+    import numpy as np
+
+    from ledgerloom.llm import jaccard_join as jj
+
+    texts = [" ".join(f"w{i % 97}" for i in range(a, a + 80)) for a in (0, 5, 9)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    sketch = np.zeros(jj.PIECE, np.uint32)
+    h, first = jj.shingle_sets(texts)
+    np.add.at(sketch, (h >> np.uint64(50)).astype(np.int64), 1)
+    assert (jj.whole_sketch(jj.measure(df.repartition(3), jj.PIECE, 5).where("kind = 1"), jj.PIECE) == sketch).all()
+    order = jj.Order(sketch, 3)
+    names, sets = jj._names(*jj.node_of(h, first)), [h[a:b] for a, b in zip(first, first[1:])]
+    pairs_ = [(names[a], names[b], len(sets[a]), len(sets[b])) for a in range(3) for b in range(a)]
+    rows = jj.fragment_rows(df, None, spark.sparkContext.broadcast(order), 3, 5)
+    got = {(bytes(r.a), bytes(r.b), r.fragment): r.overlap for r in jj.partial_overlaps(spark.createDataFrame(pairs_, "a binary, b binary, a_size long, b_size long"), rows, 75).collect()}
+    want = {}
+    for a in range(3):
+        for b in range(a):
+            both = np.intersect1d(sets[a], sets[b])
+            if 175 * len(both) >= 75 * (len(sets[a]) + len(sets[b])):
+                for f in range(3):
+                    want[names[a], names[b], f] = int((order.fragment(both) == f).sum())
+    assert want and {k: n for k, n in got.items() if n} == {k: n for k, n in want.items() if n}
