@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .shared import NO_ID, SPACES, bloom_add, bloom_has, build_bloom, chunks, id_text, named, pack, stage, unpack
+from .shared import NO_ID, SPACES, bloom_add, bloom_has, build_bloom, chunks, id_text, named, pack, pack_sorted, stage, unpack, unpack_sorted
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -71,7 +71,7 @@ def suspected_hashes(docs: DataFrame, expected: int, min_chars: int = MIN_CHARS)
             h, many = _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
             r = (h >> shift).astype(np.int32)
             cut = np.flatnonzero(np.diff(r, prepend=-1, append=-1))
-            return pd.DataFrame([(int(r[i]), pack(h[i:j]), pack(many[i:j])) for i, j in zip(cut, cut[1:], strict=False)], columns=["part", "body", "many"])
+            return pd.DataFrame([(int(r[i]), pack_sorted(h[i:j]), pack(many[i:j])) for i, j in zip(cut, cut[1:], strict=False)], columns=["part", "body", "many"])
 
         for pdf in it:
             texts = pdf["text"].to_list()
@@ -90,7 +90,7 @@ def suspected_hashes(docs: DataFrame, expected: int, min_chars: int = MIN_CHARS)
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        bodies = [(unpack(h, np.uint64), unpack(m, bool)) for h, m in zip(pdf["body"], pdf["many"], strict=True)]
+        bodies = [(unpack_sorted(h), unpack(m, bool)) for h, m in zip(pdf["body"], pdf["many"], strict=True)]
         for h, many in bodies:
             bloom_add(twice, h[many | bloom_has(once, h)])
             bloom_add(once, h)

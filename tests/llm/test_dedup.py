@@ -71,19 +71,44 @@ def test_substrings(docs, rows):
     assert {k[0] for k in got} == {k[0] for k in want} and got == want
 
 
-def test_substrings_incrementally(spark, rows):
-    """Batch by batch, with compaction, gives what one run gives."""
+def test_substrings_incrementally(spark, rows, monkeypatch):
+    """Batch by batch, with compaction into more buckets and an index opened anew each time, gives what one run gives; history texts are only read where one document alone held a fingerprint."""
+    from ledgerloom.llm import substring_dedup as sd
+
+    monkeypatch.setattr(sd, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(sd, "LEAST_BUCKETS", 4)
     some = [r for r in pairs(rows) if r[0] is not None][:80]
     some = sorted({i: (i, t) for i, t in some}.values())
-    index = FingerprintIndex(spark, 64, fanout=2)
-    got, before = Counter(), None
-    for at in range(0, len(some), 20):
-        batch = spark.createDataFrame(some[at : at + 20], "doc_id long, text string")
+    index = FingerprintIndex(spark, fanout=2)
+    got, before, seen = Counter(), None, set()
+    for at in range(0, len(some), 16):
+        batch = spark.createDataFrame(some[at : at + 16], "doc_id long, text string")
         out = dedup_substrings(batch, batches=1, index=index, history=before)
         got += Counter((r.doc_id, *r.substring_dedup) for r in out.collect())
         before = batch if before is None else before.unionByName(batch)
-        assert len(index.runs) <= 2
+        for kind in ("fingerprints", "windows"):
+            levels = [r.level for r in index.runs if r.kind == kind]
+            assert max(levels.count(n) for n in levels) < 2
+        seen |= {r.level for r in index.runs}
+        index = FingerprintIndex.open(spark.newSession(), index.folder, fanout=2)
+        index.spark = spark
     assert got == brute.substrings(some)
+    assert index.batch == 5 and max(seen) == 2 and len({r.buckets for r in index.runs}) > 1
+
+
+def test_substrings_without_filter(docs, rows):
+    """Too many suspects for a filter, and other numbers of batches: the same rows."""
+    got = Counter((r.doc_id, *r.substring_dedup) for r in dedup_substrings(docs, most_bits=0, batches=9).collect())
+    assert got == brute.substrings(pairs(rows))
+
+
+def test_sorted_values_are_packed():
+    import numpy as np
+
+    from ledgerloom.llm.shared import pack_sorted, unpack_sorted
+
+    for a in (np.zeros(0, np.uint64), np.array([0, 0, 1, 2**64 - 1], np.uint64), np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))):
+        assert (unpack_sorted(pack_sorted(a)) == a).all()
 
 
 def test_substrings_of_one_id_with_two_texts(spark):
