@@ -1,9 +1,12 @@
 """Secret scan: fixed patterns, and formats inferred from what they find.
 
 What the patterns find are labelled credentials. From a bounded sample of each
-kind a prefix tree is built over character classes, and its states are merged
-where their frequencies agree within Hoeffding bounds, as are the states below
-them; the result is a probabilistic automaton of the kind's format. The automaton
+kind a prefix tree is built over character classes. States are merged where
+their frequencies agree within Hoeffding bounds, as do the states below them and
+the lengths of what follows. States of equal depth may merge on any evidence,
+others (which makes loops) only if both were passed by many strings, so that
+formats of fixed length and of fixed places keep them. The result is a
+probabilistic automaton of the kind's format. The automaton
 of ordinary text has a state for each class, and counts of what follows it in all
 candidates of all texts. Candidates are all runs of the labelled credentials' own
 alphabet, of their least length and more, outside of what the patterns found.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -28,6 +32,8 @@ FORMAT = "format"
 #: Labelled strings of each kind that automata are inferred from at most.
 SAMPLE = 1000
 ALPHA = 0.05
+#: Strings that must have passed two states of different depths before they may be merged.
+LEAST_SUPPORT = 30
 #: Probability that an automaton leaves for characters that it never saw in a state.
 UNSEEN = 0.01
 #: A format must be so many times (as a logarithm) likelier than ordinary text.
@@ -67,22 +73,29 @@ _CLASS_NUMBERS = np.array([_SYMBOL_LIST.index(chr(c)) if c else _SYMBOLS for c i
 class Automaton:
     """A probabilistic automaton: for each state, how often it is passed and how often a string ends there, and its transitions with their frequencies."""
 
-    def __init__(self, strings: list[str], alpha: float = ALPHA):
+    def __init__(self, strings: list[str], alpha: float = ALPHA, least_support: int = LEAST_SUPPORT):
         self.passed, self.ended, self.next = [0], [0], [{}]
+        self.depth: list[int] = [0]
+        #: How many more characters followed, for each state.
+        self.rest: list[Counter[int]] = [Counter()]
         for s in sorted(strings):
             state = 0
             self.passed[0] += 1
-            for c in s:
+            self.rest[0][len(s)] += 1
+            for at, c in enumerate(s, 1):
                 if c not in self.next[state]:
                     self.next[state][c] = len(self.passed)
                     self.passed.append(0)
                     self.ended.append(0)
                     self.next.append({})
+                    self.depth.append(at)
+                    self.rest.append(Counter())
                 state = self.next[state][c]
                 self.passed[state] += 1
+                self.rest[state][len(s) - at] += 1
             self.ended[state] += 1
         self.count = [{c: self.passed[t] for c, t in n.items()} for n in self.next]
-        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
+        self.bound, self.least_support = math.sqrt(0.5 * math.log(2 / alpha)), least_support
         self._merge_states()
         self._memo: dict[str, float] = {}
 
@@ -106,20 +119,31 @@ class Automaton:
     def _differ(self, a: int, n: int, b: int, m: int) -> bool:
         return abs(a / n - b / m) > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
+    def _lengths_differ(self, a: int, b: int) -> bool:
+        """Whether what follows two states differs in length: the largest distance of both distributions against its bound."""
+        n, m, x, y, apart = self.passed[a], self.passed[b], 0, 0, 0.0
+        for k in sorted({*self.rest[a], *self.rest[b]}):
+            x, y = x + self.rest[a][k], y + self.rest[b][k]
+            apart = max(apart, abs(x / n - y / m))
+        return apart > self.bound * math.sqrt((n + m) / (n * m))
+
     def _compatible(self, a: int, b: int) -> bool:
+        if self.depth[a] != self.depth[b] and min(self.passed[a], self.passed[b]) < self.least_support:
+            return False
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
             n, m = self.passed[a], self.passed[b]
-            if not n or not m or self._differ(self.ended[a], n, self.ended[b], m):
-                if n and m:
-                    return False
-                continue
+            if self._differ(self.ended[a], n, self.ended[b], m) or self._lengths_differ(a, b):
+                return False
             for c in {*self.count[a], *self.count[b]}:
                 if self._differ(self.count[a].get(c, 0), n, self.count[b].get(c, 0), m):
                     return False
-                if c in self.next[a] and c in self.next[b]:
-                    todo.append((self.next[a][c], self.next[b][c]))
+                # What a loop leads back to is compared already.
+                if c in self.next[a] and c in self.next[b] and (self.next[a][c], self.next[b][c]) != (a, b):
+                    x, y = self.next[a][c], self.next[b][c]
+                    if self.passed[y] and self.depth[y] > self.depth[b]:
+                        todo.append((x, y))
         return True
 
     def _fold(self, into: int, tree: int) -> None:
@@ -129,6 +153,7 @@ class Automaton:
             a, b = todo.pop()
             self.passed[a] += self.passed[b]
             self.ended[a] += self.ended[b]
+            self.rest[a] += self.rest[b]
             for c, t in self.next[b].items():
                 self.count[a][c] = self.count[a].get(c, 0) + self.count[b][c]
                 if c in self.next[a]:
@@ -140,17 +165,17 @@ class Automaton:
         kept = [0]
         fringe = [(0, c) for c in sorted(self.next[0])]
         while fringe:
-            source, c = fringe.pop(0)
+            # Depth by depth, best known first.
+            source, c = min(fringe, key=lambda x: (self.depth[self.next[x[0]][x[1]]], -self.count[x[0]][x[1]], x))
             tree = self.next[source][c]
-            if tree in kept:
-                continue
-            same = next((k for k in kept if self._compatible(k, tree)), None)
+            same = next((k for k in sorted(kept, key=lambda k: (self.depth[k] != self.depth[tree], k)) if self._compatible(k, tree)), None)
             if same is None:
                 kept.append(tree)
             else:
                 self.next[source][c] = same
                 self._fold(same, tree)
-            fringe = [(k, x) for k in kept for x in sorted(self.next[k]) if self.next[k][x] not in kept]
+            known = {*kept}
+            fringe = [(k, x) for k in kept for x in sorted(self.next[k]) if self.next[k][x] not in known]
         self.states = len(kept)
 
     def log_likelihood(self, s: str) -> float:

@@ -192,3 +192,47 @@ def test_secret_automaton():
 def test_secret_edges(empty, nameless):
     assert ss.find_secrets(empty).count() == 0
     assert [r.spans for r in ss.find_secrets(nameless).collect()] == [[], []]
+
+
+def _strings(rng, alphabet, n):
+    return "".join(rng.choice([*alphabet], n))
+
+
+def test_secret_formats_keep_their_shape():
+    """Fixed lengths and places stay states of their own; open ends become loops; frequencies are those of the strings."""
+    rng = np.random.default_rng(4)
+    hexes = [_strings(rng, "0123456789abcdef", 40) for _ in range(300)]
+    a = ss.Automaton([*map(ss.classes, hexes)])
+    assert a.states == 41 and a.passed[0] == 300
+    key = [f"ab_{_strings(rng, 'GHIJ', 8)}" for _ in range(300)]
+    b = ss.Automaton([*map(ss.classes, key)])
+    assert b.log_likelihood("hh_UUUUUUUU") > -1 and b.log_likelihood("UUUUUUUU_hh") < -20 and b.states == 12
+    c = ss.Automaton(["0" * (6 + int(rng.geometric(0.1))) for _ in range(1000)])
+    assert c.states < 30 and c.log_likelihood("0" * 90) > -20
+    # Counted by hand along the states: what leaves a state and what ends there is what came to it.
+    for x in (a, b, c):
+        reached = [0]
+        for s in reached:
+            assert x.passed[s] == x.ended[s] + sum(x.count[s].values())
+            reached += [t for t in {*x.next[s].values()} if t not in reached]
+        assert len(reached) == x.states
+
+
+def test_secret_recall_without_label(spark):
+    """Of three formats, strings without a label are found; ordinary text has no spans."""
+    rng = np.random.default_rng(9)
+    make = {"hex": lambda: _strings(rng, "0123456789abcdef", 20), "prefixed": lambda: "sk_" + _strings(rng, "abcdefghijABCDEFGHIJ0123456789", 24), "access": lambda: "ASIA" + _strings(rng, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)}
+    words = "Some ordinary writing of 1234 words, with example.com, snake_case names and CamelCase ones; on 2024-01-05 at 12.30."
+    texts = [f"{words} password={make[k]()} {words}" if k != "access" else f"{words} AKIA{make[k]()[4:]} {words}" for k in make for _ in range(200)]
+    hidden = {}
+    for k in make:
+        for _ in range(50):
+            hidden[len(texts)] = k, (x := make[k]())
+            texts.append(f"{words} {x} {words}")
+    plain = len(texts)
+    texts += [words] * 100
+    out = {r.doc_id: [(s.start, s.stop) for s in r.spans if s.kind == "format"] for r in ss.find_secrets(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    for kind in make:
+        own = {i: x for i, (k, x) in hidden.items() if k == kind}
+        assert np.mean([[texts[i][a:z] for a, z in out[i]] == [x] for i, x in own.items()]) >= 0.9
+    assert not any(out[i] for i in range(plain, len(texts))) and not any(len(out[i]) > 1 for i in out)
