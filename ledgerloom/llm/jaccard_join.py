@@ -20,19 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .shared import NO_ID, NON_SPACE, Words, bloom_has, chunks, grams, id_text, mix64, named, owner, pack, stage, unnamed, unpack
+from .shared import NO_ID, NON_SPACE, Words, bloom_has, chunks, grams, id_text, mix64, named, owner, pack, pack_sorted, stage, unnamed, unpack, unpack_sorted
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
 FRAGMENTS = 4
-#: Hubs that each group of candidates is compared with, round by round, before its members are compared with each other.
-HUBS = (1, 8, 64)
+#: Hubs that each group of candidates is compared with, round by round, before its members are compared with each other. Where they are one, a set that is in several groups is compared with the first hub of all.
+HUBS = (1, 1, 8, 64)
 #: A shingle that the sketch counts so often is not gathered in one task; its level is a logarithm of this.
 HOT_COUNT = 50_000
 #: Pairs that are sent to all tasks, about 50 bytes each; more of them are shuffled.
-BROADCAST_PAIRS = 500_000
+BROADCAST_PAIRS = 250_000
 #: Cells of the sketch at most (64 MiB), cells of it that are added together, and tasks that are added at a time.
-MOST_CELLS, PIECE, TREE = 1 << 24, 1 << 14, 256
+MOST_CELLS, PIECE, TREE = 1 << 24, 1 << 14, 64
 #: Entries of a bucket of shingles, about.
 BUCKET_ROWS = 500_000
 
@@ -118,10 +118,12 @@ def _add_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def whole_sketch(pieces: DataFrame, cells: int) -> np.ndarray:
-    """The sum of all tasks' sketches, added as a tree: no step holds a piece of more than TREE tasks, of which there are TREE * TREE and more."""
+    """The sum of all tasks' sketches, added as a tree: no step holds more than TREE tasks' copies of a piece."""
     pieces = pieces.select("piece", "part", "body")
-    for width in (TREE, 1):
-        pieces = pieces.withColumn("part", F.pmod("part", F.lit(width))).groupBy("piece", "part").applyInPandas(_add_pieces, PIECE_SCHEMA)
+    tasks = (pieces.agg(F.max("part")).first()[0] or 0) + 1
+    while tasks > 1:
+        pieces = pieces.withColumn("part", F.floor(F.col("part") / TREE).cast("int")).groupBy("piece", "part").applyInPandas(_add_pieces, PIECE_SCHEMA)
+        tasks = -(-tasks // TREE)
     out = np.zeros(cells, np.uint32)
     for r in pieces.toLocalIterator():
         body = unpack(bytes(r["body"]), np.uint32)
@@ -192,12 +194,12 @@ def prefix_groups(docs: DataFrame, order, buckets: int, k: int, threshold: int,
                     chunk += 1
                     # A chunk's frequent ones get a bucket of their own: its number only spreads them.
                     cuts = _by_bucket(tok, buckets) if not is_hot else [(-1 - (chunk & 0x3FFFFFFF), 0, len(tok))] if len(tok) else []
-                    rows += [(b, pack(tok[i:j]), pack(node[o[i:j]]), pack(alt[o[i:j]]), pack(size[o[i:j]].astype(np.uint32)), pack(left[i:j].astype(np.uint32))) for b, i, j in cuts]
+                    rows += [(b, pack_sorted(tok[i:j]), pack(node[o[i:j]]), pack(alt[o[i:j]]), pack(size[o[i:j]].astype(np.uint32)), pack(left[i:j].astype(np.uint32))) for b, i, j in cuts]
                 yield pd.DataFrame(rows, columns=["bucket", "tokens", "nodes", "names", "sizes", "rests"])
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        kinds = {"tokens": np.uint64, "nodes": np.uint64, "names": np.uint64, "sizes": np.uint32, "rests": np.uint32}
-        tok, *sets = (np.concatenate([unpack(b, kind) for b in pdf[c]]) for c, kind in kinds.items())
+        kinds = {"nodes": np.uint64, "names": np.uint64, "sizes": np.uint32, "rests": np.uint32}
+        tok, sets = np.concatenate([unpack_sorted(b) for b in pdf["tokens"]]), [np.concatenate([unpack(b, kind) for b in pdf[c]]) for c, kind in kinds.items()]
         if pdf["bucket"].iloc[0] >= 0:
             tok, *sets = _one_each(tok, *sets)
             bounds = np.append(np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])), len(tok)) if len(tok) else np.zeros(1, np.int64)
@@ -315,13 +317,16 @@ def _with_labels(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
     return groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _pairs(rows: DataFrame, threshold: int) -> DataFrame:
-    """Pairs, each once and in order, that sizes and rests allow to link."""
-    able = (100 + threshold) * F.least("rest", "hub_rest") >= threshold * (F.col("size") + F.col("hub_size"))
-    pairs = rows.where(able & (F.col("node") != F.col("hub")))
+def _able_pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """Rows of a node and a hub that sizes and rests allow to link."""
+    return rows.where(((100 + threshold) * F.least("rest", "hub_rest") >= threshold * (F.col("size") + F.col("hub_size"))) & (F.col("node") != F.col("hub")))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of a node and a hub, each once and in order."""
     first = F.col("node") < F.col("hub")
     side = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return pairs.select(side("node", "hub").alias("a"), side("hub", "node").alias("b"), side("size", "hub_size").alias("a_size"), side("hub_size", "size").alias("b_size")).distinct()
+    return rows.select(side("node", "hub").alias("a"), side("hub", "node").alias("b"), side("size", "hub_size").alias("a_size"), side("hub_size", "size").alias("b_size")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: int = THRESHOLD, fragments: int = FRAGMENTS, hubs_per_round: tuple[int, ...] = HUBS, most_cells: int = MOST_CELLS, most_bits: int = shared.MOST_BITS, hot_count: int = HOT_COUNT, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
@@ -382,7 +387,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed = part.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")
         hubs = part.join(mixed, "token", "left_semi").select("token", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.rest").alias("hub_rest"), F.col("h.label").alias("hub_label"))
         # Written first, hubs don't share the members' partitioning, and the join can split a large group's members.
-        if not join(_pairs(seen.join(stage(hubs, "hubs"), "token").where("label != hub_label"), threshold)):
+        asked = _able_pairs(seen.join(stage(hubs, "hubs"), "token").where("label != hub_label"), threshold)
+        if hubs_each == 1:
+            first = F.min_by(F.struct("size", "hub", "hub_size"), F.struct("hub_size", "hub")).alias("h")
+            asked = asked.groupBy("node").agg(first).select("node", "h.*")
+        if not join(_pairs(asked)):
             break
     # What is left: members of a group that are still in different classes, against those of their own and the neighbouring bands of sizes.
     seen = _with_labels(groups, labels)
@@ -391,7 +400,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band = F.floor(F.log("size") / F.lit(1.000001 * float(np.log(100 / threshold)) if threshold < 100 else 1.0))
     left = stage(seen.join(mixed, "token", "left_semi").withColumn("band", band), "apart")
     other = left.select("token", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"), F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("rest").alias("hub_rest"), F.col("label").alias("hub_label"))
-    join(_pairs(left.join(other, ["token", "band"]).where(F.col("label") < F.col("hub_label")), threshold))
+    join(_pairs(_able_pairs(left.join(other, ["token", "band"]).where(F.col("label") < F.col("hub_label")), threshold)))
 
     out = sets.withColumn("label", F.col("node")) if labels is None else sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     out = stage(unnamed(out.select("doc_id", "n", "label")), "classes")
