@@ -93,35 +93,38 @@ class _Block:
     def list_of(self, term: int) -> np.ndarray:
         return self.places[self.bounds[term] : self.bounds[term + 1]].astype(np.int64)
 
-    def match(self, terms: np.ndarray, often: np.ndarray, slop: int) -> np.ndarray:
-        """Places of a phrase's first word. With slop, each term may stand so many words from its place beside the rarest one."""
+    def match(self, terms: np.ndarray, often: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and places of a phrase's first word. With slop, each term may stand in the document so many words from its place beside the rarest one; the first place may then lie outside of it."""
         order = np.argsort(often, kind="stable")
-        start = self.list_of(terms[order[0]]) - order[0]
+        rarest = self.list_of(terms[order[0]])
+        doc = np.searchsorted(self.firsts, rarest, "right") - 1
         for j in order[1:]:
-            if not len(start):
+            if not len(rarest):
                 break
-            p = self.list_of(terms[j]) - j
-            k = np.searchsorted(p, start - slop)
-            start = start[(k < len(p)) & (p[np.minimum(k, len(p) - 1)] <= start + slop)]
-        return start
+            p, due = self.list_of(terms[j]), rarest + (j - order[0])
+            k = np.searchsorted(p, np.maximum(due - slop, self.firsts[doc]))
+            found = p[np.minimum(k, len(p) - 1)]
+            keep = (k < len(p)) & (found <= due + slop) & (found < self.firsts[doc + 1])
+            rarest, doc = rarest[keep], doc[keep]
+        return doc, rarest - order[0]
 
 
 def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int = 0, batch_words: int = BATCH_WORDS) -> Iterator[DataFrame]:
-    """For each batch of items, a row for every document of the index: block, place (in the block), doc_id, n_words, item_ids that match, and hits.
+    """For each batch of items, rows for documents of the index: block, place (in the block), doc_id, n_words, item_ids that match, and hits. The first batch has a row for every document, later ones for those that they hit.
 
     hits has first and last word (exclusive) of merged stretches that matched
     phrases cover. slop 0 asks for exact phrases; above 0 it asks for proximity
-    matches: each term stands at most so many words from its place in the
-    phrase, seen from the phrase's rarest term; the stretch is the phrase's own
-    length from there.
+    matches: each term stands in the document, at most so many words from its
+    place in the phrase, seen from the phrase's rarest term; the stretch is the
+    phrase's own length from there, as far as the document goes.
     """
     spark = index.sparkSession
-    for batch in _batches(items, item_col, text_col, batch_words):
+    for number, batch in enumerate(_batches(items, item_col, text_col, batch_words)):
         hashes, starts, of = phrases(batch, window)
         n_of = Words([t for _, t in batch], ALNUM, lower=True).counts()
         sent = spark.sparkContext.broadcast((hashes, starts, of, np.minimum(n_of[of], window) if len(of) else of, [i for i, _ in batch]))
 
-        def look(it, sent=sent):
+        def look(it, sent=sent, every=number == 0):
             hashes, starts, of, length, names = sent.value
             for pdf in it:
                 for row in pdf.itertuples(index=False):
@@ -132,15 +135,11 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
                     n = len(b.ids)
                     items_of, cover = [set() for _ in range(n)], np.zeros(int(b.firsts[-1]) + 1, np.int64)
                     for p in whole:
-                        s, k = starts[p], length[p]
-                        found = b.match(at[s : s + k], often[s : s + k], slop)
-                        found = found[found >= 0]
-                        d = np.searchsorted(b.firsts, found, "right") - 1
-                        inside = (d < n) & (found + k <= b.firsts[np.minimum(d + 1, n)])
-                        for x in np.unique(d[inside]):
+                        d, found = b.match(at[(a := starts[p]) : a + length[p]], often[a : a + length[p]], slop)
+                        for x in np.unique(d):
                             items_of[x].add(names[of[p]])
-                        np.add.at(cover, found[inside], 1)
-                        np.add.at(cover, found[inside] + k, -1)
+                        np.add.at(cover, np.maximum(found, b.firsts[d]), 1)
+                        np.add.at(cover, np.minimum(found + length[p], b.firsts[d + 1]), -1)
                     hit = np.cumsum(cover)[:-1] > 0
                     edge = np.diff(hit.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
                     # A stretch that runs on from one document to the next is cut there.
@@ -152,7 +151,8 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
                     hits: list[list] = [[] for _ in range(n)]
                     for x, a, z in zip(d, begin, end, strict=True):
                         hits[x].append({"first": int(a - b.firsts[x]), "last": int(z - b.firsts[x])})
-                    yield pd.DataFrame({"block": row.block, "place": np.arange(n), "doc_id": pd.array([None if pd.isna(i) else int(i) for i in b.ids], "Int64"), "n_words": np.diff(b.firsts), "item_ids": [sorted(s) for s in items_of], "hits": hits})
+                    out = pd.DataFrame({"block": row.block, "place": np.arange(n), "doc_id": pd.array([None if pd.isna(i) else int(i) for i in b.ids], "Int64"), "n_words": np.diff(b.firsts), "item_ids": [sorted(s) for s in items_of], "hits": hits})
+                    yield out if every else out[[bool(s) for s in items_of]]
 
         yield index.mapInPandas(look, "block string, place int, doc_id long, n_words long, item_ids array<string>, hits array<struct<first:long,last:long>>")
 
@@ -174,7 +174,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         both = found[0]
         for x in found[1:]:
             both = both.unionByName(x)
-        # One row for each batch of items and document: batches, not documents, bound a group.
+        # A row for each document, and one more for each further batch that hits it.
         out = both.groupBy("block", "place", "doc_id").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.flatten(F.collect_list("hits")).alias("hits"))
         out = out.withColumn("hits", _merged("hits"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["last"] - h["first"])
