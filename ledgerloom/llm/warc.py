@@ -28,6 +28,8 @@ REVISIT_BYTES = 100
 ARCHIVE_BYTES = 256 << 20
 #: Ranges are joined over gaps of so many bytes, up to a size.
 GAP_BYTES, RANGE_BYTES = 64 << 10, 8 << 20
+#: Bytes of archives that a task reads, about.
+READ_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -135,16 +137,25 @@ def read_records(selected: DataFrame, gap: int = GAP_BYTES, most: int = RANGE_BY
     """The records of the selected index rows. Response digests are computed anew from the payload that was read; ``payloads`` False leaves payloads out of the result."""
 
     def read(it: Iterator[pd.DataFrame]):
-        files: tuple = ("", None)
-        for pdf in it:
-            for archive, a, z, records in ranges(pdf, gap, most):
-                if files[0] != archive:
-                    fs, path = pafs.FileSystem.from_uri(archive)
-                    files = (archive, fs.open_input_file(path))
-                body = files[1].read_at(z - a, a)
-                rows = [parse(zlib.decompress(body[o - a : o - a + n], 31)) for o, n in records]
-                out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
-                yield out if payloads else out.assign(payload=None)
-
-    slot = F.floor(F.col("offset") / F.lit(4 * most))
-    return selected.select("archive", "offset", "length").repartition("archive", slot).sortWithinPartitions("archive", "offset").mapInPandas(read, RECORDS)
+        name, file = "", None
+        try:
+            for pdf in it:
+                for archive, a, z, records in ranges(pdf, gap, most):
+                    if name != archive:
+                        if file is not None:
+                            file.close()
+                        fs, path = pafs.FileSystem.from_uri(archive)
+                        name, file = archive, fs.open_input_file(path)
+                    body = file.read_at(z - a, a)
+                    rows = [parse(zlib.decompress(body[o - a : o - a + n], 31)) for o, n in records]
+                    out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield out if payloads else out.assign(payload=None)
+        finally:
+            if file is not None:
+                file.close()
+
+    # By the bytes that are read, not by those of the index; a number that is asked for stays.
+    chosen = selected.select("archive", "offset", "length")
+    parts = max(selected.sparkSession.sparkContext.defaultParallelism, -(-(chosen.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    slot = F.floor(F.col("offset") / F.lit(most))
+    return chosen.repartition(parts, "archive", slot).sortWithinPartitions("archive", "offset").mapInPandas(read, RECORDS)
