@@ -46,10 +46,43 @@ def test_packing_in_parts(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     out = pk.pack_documents(df, tokenizer_path(), capacity=100, partition_pieces=40).collect()
     n = check_packing(out, docs, 100)
+    assert any(r.certified for r in out)
     at_once = pk.best_fit_decreasing(np.array([r.length for r in out]), 100).max() + 1
     assert n <= 1.03 * at_once + 1
 
 
+def test_rounds_end_certified_or_without_gain(spark):
+    """Pieces of all partitions but certified ones meet again; the last round's partitions are the only ones without certificate."""
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, int(n)) for i, n in enumerate(rng.choice([13, 21, 34, 40, 55, 60, 71], 3000))]
+    df = spark.createDataFrame(rows, "row long, piece int, length long")
+    out = pk.pack_pieces(df, 100, partition_pieces=50, most_pieces=400).collect()
+    assert sorted((r.row, r.piece) for r in out) == [(i, 0) for i, _, _ in rows]
+    fill, rounds = {}, {}
+    for r in out:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + rows[r.row][2]
+        rounds.setdefault(r.sequence_id >> 56, set()).add(r.part_bins == r.part_bound)
+    assert max(fill.values()) <= 100 and len(rounds) > 1
+    # Before the last round, only full bins of uncertified partitions are left behind.
+    for r in out:
+        if r.sequence_id >> 56 < max(rounds):
+            assert r.part_bins == r.part_bound or fill[r.sequence_id] == 100
+    lengths = np.array([n for _, _, n in rows])
+    assert len(fill) <= pk.best_fit_decreasing(lengths, 100).max() + 1 + len(rows) // 100
+    assert pk.pack_pieces(df.limit(0)).count() == 0
+
+
+def test_other_vocabularies(spark):
+    """A vocabulary that neither lower-cases nor ends words gets whole texts."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens, tk = pk.WordTokens(path), Tokenizer.from_file(path)
+    assert not tokens.by_word and pk.WordTokens(tokenizer_path()).by_word
+    for s in ("Hello, World!  It's 12 o'clock.", " a\n\nB", "", "\u00e9t\u00e9"):
+        assert np.frombuffer(tokens.ids(s), "<u4").tolist() == tk.encode(s, add_special_tokens=False).ids
+
+
 def test_packing_edges(empty, nameless):
     assert pk.pack_documents(empty, tokenizer_path()).count() == 0
     out = pk.pack_documents(nameless, tokenizer_path()).collect()
@@ -88,7 +121,7 @@ PAGES = "page_id long, url string, html string, digest string, first int, payloa
 
 def pages():
     big, other = "<p>" + "gleich" * 40, "ü" * 60
-    rows = [(5, "http://a/ x\r\nY: z", big), (2, "http://b", big), (9, None, big), (2, "http://b", big), (3, "http://c", other), (4, "http://d", other), (6, "u", "small"), (7, "u", "small"), (8, "u", None), (10, "u", ""), (None, "n", big), (None, "n", "lonely" * 40), (11, "v", "x" * 300_000)]
+    rows = [(5, "http://a/ x\r\nY: z", big), (2, "http://b", big), (9, None, big), (2, "http://b", big), (3, "http://c", other), (4, "http://d", other), (6, "u", "small"), (7, "u", "small"), (8, "u", None), (10, "u", ""), (None, "n", big), (None, "n", "lonely" * 40), (11, "v", "x" * 300_000), (12, "w", "long " * 2_000_000)]
     return [(*r, "clash", 1, "clash") for r in rows]
 
 
@@ -112,6 +145,7 @@ def test_warc_round_trip(spark):
 
 def test_warc_selection(spark):
     index = warc.write_archives(spark.createDataFrame(pages(), PAGES))
+    assert warc.read_records(index).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     some = index.where("page_id in (3, 11)")
     assert {r.page_id for r in warc.read_records(some).collect()} == {3, 11}
     assert warc.write_archives(spark.createDataFrame([], PAGES)).count() == 0
