@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import NON_SPACE, Words, chunks, pack, unpack
@@ -23,6 +23,8 @@ DIM = 8
 NGRAMS = (3, 4)
 #: Labelled documents of each label that are learned from, at most: those with the smallest hashes of their doc_id.
 SAMPLE = 3000
+#: Bytes of text of each label's sample, at most; documents beyond them, in the same order, are not learned from.
+SAMPLE_BYTES = 64 << 20
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.4, 7
 #: Small samples are gone through more often, until there are so many steps.
 STEPS = 1100
@@ -66,18 +68,19 @@ def features(texts: list, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarra
     return out, first
 
 
-def train(texts: list, labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embedding table (dim, buckets), output layer (dim, 2) and its bias, by stochastic gradient descent on the softmax loss."""
+def vector(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """A document's distinct features and the share of each."""
+    u, n = np.unique(features([text], buckets)[0], return_counts=True)
+    return u, (n / max(n.sum(), 1)).astype(np.float32)
+
+
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED, steps_at_least: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embedding table (dim, buckets), output layer (dim, 2) and its bias, by stochastic gradient descent on the softmax loss over documents' vectors. The rate falls evenly to 0; small samples are gone through more often than ``epochs`` times, until ``steps_at_least`` batches were seen."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (dim, buckets)).astype(np.float32)
     layer, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
-    docs = []
-    for t in texts:
-        f, _ = features([t], buckets)
-        u, n = np.unique(f, return_counts=True)
-        docs.append((u, (n / max(n.sum(), 1)).astype(np.float32)))
     each = -(-len(docs) // batch)
-    epochs = max(epochs, -(-STEPS // each))
+    epochs = max(epochs, -(-steps_at_least // each))
     steps, total = 0, epochs * each
     for _ in range(epochs):
         for chosen in np.array_split(rng.permutation(len(docs)), each):
@@ -103,12 +106,14 @@ def train(texts: list, labels: np.ndarray, buckets: int = BUCKETS, dim: int = DI
     return table, layer, bias
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE, buckets: int = BUCKETS, **how) -> tuple[np.ndarray, float]:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, buckets: int = BUCKETS, **how) -> tuple[np.ndarray, float]:
     """A number for each bucket and a constant, whose sum with a document's mean is the log odds of label 1.
 
-    Labels are sampled, balanced, before texts are looked at, so that texts of at
-    most 2 * ``sample`` documents move; the constant is moved by the odds of all
-    labels. Several labels of a document count as the largest; null labels, other
+    Labels are sampled, balanced, before texts are looked at: at most ``sample``
+    documents of each label, with at most ``sample_bytes`` of text together
+    (the first one always). Their vectors are made where the texts are read, and
+    only vectors reach the task that learns; the constant is moved by the odds of
+    all labels. Several labels of a document count as the largest; null labels, other
     values than 0 and 1, and labels without doc_id as none. With one label only,
     or none, all numbers are 0 and the constant has that label's share.
     """
@@ -123,17 +128,28 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = own.where(F.col("label") == label).orderBy(F.xxhash64("__label_id"), "__label_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    labelled = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__label_id")).select("doc_id", "text", "label")
+    sized = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__label_id")).groupBy("doc_id", "label").agg(F.sum("size").alias("size"))
+    # At most 2 * sample rows.
+    before = F.sum("size").over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")) - F.col("size")
+    chosen = sized.withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.col("size") <= sample_bytes)).select(F.col("doc_id").alias("__label_id"), "label")
+
+    def look(it):
+        for pdf in it:
+            own = [vector(t, buckets) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "at": [pack(u) for u, _ in own], "share": [pack(w) for _, w in own]})
+
+    vectors = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__label_id")).select("doc_id", "text", "label").mapInPandas(look, "doc_id long, label int, at binary, share binary")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"])
+        pdf = pdf.sort_values(["doc_id", "at"])
         y = pdf["label"].to_numpy(np.int64)
-        table, layer, bias = train(pdf["text"].to_list(), y, buckets, **how)
+        own = [(unpack(u, np.int32), unpack(w, np.float32)) for u, w in zip(pdf["at"], pdf["share"], strict=True)]
+        table, layer, bias = train(own, y, buckets, **how)
         step = layer[:, 1] - layer[:, 0]
         prior = np.log(n1 / n0) - np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
         return pd.DataFrame({"weights": [pack((step @ table).astype(np.float32))], "constant": [float(bias[1] - bias[0] + prior)]})
 
-    model = labelled.groupBy().applyInPandas(fit, "weights binary, constant double").first()
+    model = vectors.groupBy().applyInPandas(fit, "weights binary, constant double").first()
     return none if model is None else (unpack(bytes(model["weights"]), np.float32), model["constant"])
 
 
