@@ -17,6 +17,10 @@ from .shared import chunks
 
 PROFILE = 300
 UNKNOWN = "und"
+#: Languages at most; their profiles go to all tasks, 2,400 bytes each. A column with more names is refused.
+MOST_LANGUAGES = 10_000
+#: The threshold of a score is fitted so that this share of held-out documents is lost.
+LOST_SHARE = 0.001
 _TABLE: list[np.ndarray] = []
 
 
@@ -68,7 +72,7 @@ def _count(codes: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 
 def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> dict[str, np.ndarray]:
-    """Each language's ``size`` most frequent n-grams over all of ``docs`` whose language is known, by count and then by code. The driver gets ``size`` rows a language."""
+    """Each language's ``size`` most frequent n-grams over all of ``docs`` whose language is known, by count and then by code. The driver gets ``size`` rows a language, of which MOST_LANGUAGES are allowed."""
 
     def count(it):
         for pdf in it:
@@ -89,6 +93,8 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
                 yield pd.DataFrame({"lang": names[total["key"]], "gram": total["gram"], "n": total["n"]})
 
     known = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    if (n := known.select("lang").distinct().count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages, more than {MOST_LANGUAGES}")
     counts = known.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # The best of each part of a language, then the best of these: no task gets a whole language.
     counts = counts.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(64)))
@@ -144,3 +150,10 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
         return pd.DataFrame(out, columns=["lang", "score"])
 
     return docs.drop("language_id").withColumn("language_id", F.pandas_udf(look, "lang string, score double")(F.col(text_col).cast("string")))
+
+
+def fit_threshold(held_out: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang", lost_share: float = LOST_SHARE, size: int = PROFILE) -> float:
+    """The score that all but ``lost_share`` of the held-out documents reach whose language is recognised, in hundredths, rounded down; 0 if there are none."""
+    own = identify(held_out.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")), profiles, "text", size).where("lang = language_id.lang")
+    low = own.agg(F.percentile_approx("language_id.score", lost_share, 100_000).alias("t")).first()["t"]
+    return 0.0 if low is None else np.floor(low * 100) / 100

@@ -3,6 +3,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate as dc
 from ledgerloom.llm import language_id as li
@@ -35,6 +36,52 @@ def test_contamination_proximity(spark):
     assert hit(0) == {1} and hit(1) == {1} and hit(2) == {1, 2}
 
 
+def brute_proximity(rows, items, window, slop):
+    """Each phrase's rarest term (over all documents, the first of equals), then every other term in the same document at most ``slop`` words from its place."""
+    docs = {i: t.split() for i, t in rows}
+    often = Counter(w for t in docs.values() for w in t)
+    out = {i: set() for i in docs}
+    for _, t in items:
+        w = t.split()
+        for a in range(max(len(w) - window + 1, 1)):
+            p = w[a : a + window]
+            j0 = min(range(len(p)), key=lambda j: (often[p[j]], j))
+            for i, d in docs.items():
+                for at, x in enumerate(d):
+                    if x == p[j0] and all(any(0 <= at + j - j0 + s < len(d) and d[at + j - j0 + s] == p[j] for s in range(-slop, slop + 1)) for j in range(len(p))):
+                        out[i] |= {k for k in range(at - j0, at - j0 + len(p)) if 0 <= k < len(d)}
+    return {i: len(x) for i, x in out.items()}
+
+
+def test_proximity_against_brute_force(spark):
+    """Displaced words at both ends and beside other documents; how documents fall into blocks doesn't matter."""
+    own = [(1, "a b x"), (2, "c d e"), (3, "b a c"), (4, "x b a c y"), (5, "c"), (6, "q q b c a q"), (7, "a q q q b c")]
+    rng = np.random.default_rng(8)
+    own += [(100 + i, " ".join(rng.choice([*"abcqx"], 12))) for i in range(30)]
+    b = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    for slop in (0, 1, 2):
+        df = spark.createDataFrame(own, "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: r.n_hit for r in dc.contamination(df, b, slop=slop).collect()}
+        assert got == brute_proximity(own, [(1, "a b c")], 10, slop)
+    assert got[1] == got[2] == got[5] == 0 and got[3] and got[4]
+
+
+def test_contamination_batches_give_hits_alone(spark, docs, rows):
+    """After the first batch of items only documents that a batch hits have rows."""
+    b = spark.createDataFrame(items(spark, rows), "item_id long, text string")
+    counts = [x.count() for x in dc.search(dc.build_index(docs), b, batch_words=20)]
+    assert len(counts) > 2 and counts[0] == docs.count() and max(counts[1:]) < docs.count()
+
+
+def test_clashing_columns_of_labels_and_items(spark, docs, rows):
+    labels = spark.createDataFrame([(1, 1, "x", "y"), (8, 0, "x", "y")], "doc_id long, quality int, text string, label string")
+    assert ql.score(docs, ql.learn(docs, labels)).count() == docs.count()
+    own = items(spark, rows)
+    b = spark.createDataFrame([(*r, 1, "x", "y") for r in own], "item_id long, text string, doc_id long, block string, hits string")
+    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in dc.contamination(docs, b).collect())
+    assert got == brute.contamination([r[:2] for r in rows], own)
+
+
 def test_contamination_spans(spark):
     d = spark.createDataFrame([(1, "z a b c z"), (2, "a b"), (3, "c a b c")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
@@ -86,6 +133,17 @@ def brute_profile(texts):
     return np.array([g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))], np.uint64)
 
 
+def test_language_ties_and_limits(spark, monkeypatch):
+    """Equal distances: the first name. Too many names are refused."""
+    d = spark.createDataFrame([(1, "abc abd", "zz"), (2, "abc abd", "aa"), (3, "abc", None)], "doc_id long, text string, lang string")
+    profiles = li.learn_profiles(d)
+    assert [*profiles] == ["aa", "zz"] and {r.language_id.lang for r in li.identify(d, profiles).collect()} == {"aa"}
+    assert li.fit_threshold(d, profiles) == 1.0 and li.fit_threshold(d.limit(0), profiles) == 0.0
+    monkeypatch.setattr(li, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="2 languages"):
+        li.learn_profiles(d)
+
+
 def test_language_edges(docs, empty, nameless):
     profiles = li.learn_profiles(docs)
     out = {(r.doc_id, r.text): r.language_id for r in li.identify(docs, profiles).collect()}
@@ -104,6 +162,41 @@ def test_quality_held_out(spark):
     assert np.mean([g > b for g in good for b in bad]) >= 0.95
 
 
+def test_quality_training_by_hand():
+    """Table, layer and bias as plain loops over features and steps give them."""
+    texts, y = ["good text here", "bad bad bad", "good good words", "bad noise", "", "good one"], [1, 0, 1, 0, 1, 1]
+    n, dim, size, rate = 64, 3, 2, 0.3
+    docs = [ql.vector(t, n) for t in texts]
+    table, layer, bias = ql.train(docs, np.array(y), n, dim, epochs=2, batch=size, rate=rate, seed=1, steps_at_least=0)
+    rng = np.random.default_rng(1)
+    want = rng.uniform(-1 / dim, 1 / dim, (dim, n)).astype(np.float32).astype(float)
+    out, b, step = np.zeros((dim, 2)), np.zeros(2), 0
+    for _ in range(2):
+        for chosen in np.array_split(rng.permutation(6), 3):
+            lr, step = rate * (1 - step / 6), step + 1
+            change, d_out, d_b, used = np.zeros_like(want), np.zeros_like(out), np.zeros(2), [i for i in chosen if texts[i]]
+            for i in used:
+                mean = sum(w * want[:, f] for f, w in zip(*docs[i]))
+                e = np.exp(mean @ out + b)
+                p = e / e.sum() - np.eye(2)[y[i]]
+                d_out += np.outer(mean, p)
+                d_b += p / len(used)
+                for f, w in zip(*docs[i]):
+                    change[:, f] += w * (out @ p)
+            want, out, b = want - lr * change, out - lr * d_out, b - lr * d_b
+    assert np.allclose(table, want, atol=1e-5) and np.allclose(layer, out, atol=1e-5) and np.allclose(bias, b, atol=1e-5)
+
+
+def test_quality_sample_is_bounded_in_bytes(spark):
+    """Beyond the bytes of the sample no document is learned from, but for each label's first."""
+    df = spark.createDataFrame([(i, ("good " if i % 2 else "bad ") * 50) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    ids = {label: sorted(range(label, 40, 2), key=lambda i: spark.range(1).select(F.xxhash64(F.lit(i).cast("long"))).first()[0])[:1] for label in (0, 1)}
+    few = df.where(F.col("doc_id").isin(ids[0] + ids[1]))
+    same = [ql.learn(d, labels, sample_bytes=n)[0] for d, n in ((df, 10), (few, 10**6))]
+    assert np.allclose(*same) and not np.allclose(same[0], ql.learn(df, labels)[0])
+
+
 def test_quality_features():
     texts = ["ab ab", "", "abc", "日本 語日"]
     f, first = ql.features(texts)
