@@ -98,16 +98,72 @@ def canonical_repo(url: Column) -> Column:
     return F.when((host != "") & (path != ""), F.lower(F.concat(host, F.lit("/"), path))).otherwise("")
 
 
-def glob_regex(glob: Column) -> Column:
-    """A regular expression for ``*``, ``?`` and ``[...]`` that don't cross a slash."""
-    escaped = F.regexp_replace(glob, r"([.+(){}^$|\\])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(escaped, r"\*", "[^/]*"), r"\?", "[^/]"), F.lit("$"))
+def glob_pattern(glob: str) -> str | None:
+    """The regular expression of a path glob; None if the glob is malformed.
 
-
-def alias_matches(alias: Column, value: Column) -> Column:
-    """Whether an alias names a path or repository: equal, the same repository, or by glob."""
+    ``*`` and ``?`` don't cross a slash. A class is ``[...]`` or ``[^...]`` of
+    characters and ranges, of one at least. A backslash takes the next character
+    as it is, inside of a class as well.
+    """
+    literal = lambda c: c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}"
+    out, at = [], 0
+
+    def single() -> str:
+        """A character of a class at ``at``."""
+        nonlocal at
+        if glob[at : at + 1] in ("", "-", "]"):
+            raise IndexError
+        at += glob[at] == "\\"
+        at += 1
+        return glob[at - 1]
+
+    try:
+        while at < len(glob):
+            c, at = glob[at], at + 1
+            if c in "*?":
+                out.append("[^/]*" if c == "*" else "[^/]")
+            elif c == "\\":
+                out.append(literal(glob[at]))
+                at += 1
+            elif c == "[":
+                negated = glob[at : at + 1] == "^"
+                at += negated
+                ranges = []
+                while not ranges or glob[at] != "]":
+                    low = high = single()
+                    if glob[at] == "-":
+                        at += 1
+                        high = single()
+                    ranges.append((low, high))
+                at += 1
+                inside = "".join(f"{literal(x)}-{literal(y)}" for x, y in ranges if x <= y)
+                out.append(f"[{'^' * negated}{inside}]" if inside else "[\\s\\S]" if negated else "(?!)")
+            else:
+                out.append(literal(c))
+    except IndexError:
+        return None
+    return "".join(out)
+
+
+def glob_regex(glob: str) -> Column:
+    """Anchored regular expressions of a column of globs; null for malformed ones. Aliases are few: make it a column of theirs before they meet values."""
+
+    def each(globs: pd.Series) -> pd.Series:
+        found = [None if g is None else glob_pattern(g) for g in globs]
+        return pd.Series([None if r is None else f"\\A(?:{r})\\z" for r in found], dtype=object)
+
+    return F.pandas_udf(each, "string")(glob)
+
+
+def is_glob(alias: Column) -> Column:
+    """Whether an alias has a wild card, a class or an escape."""
+    return alias.rlike(r"[*?\[\\]")
+
+
+def alias_matches(alias: Column, value: Column, regex: Column) -> Column:
+    """Whether an alias names a path or repository: equal, the same repository, or by glob (``regex``: the alias's ``glob_regex``)."""
     exact = (alias == value) | ((canonical_repo(alias) == canonical_repo(value)) & (canonical_repo(alias) != ""))
-    return (F.coalesce(value, F.lit("")) != "") & (exact | (alias.rlike(r"[*?\[]") & F.rlike(value, glob_regex(alias))))
+    return (F.coalesce(value, F.lit("")) != "") & (F.coalesce(alias, F.lit("")) != "") & (exact | F.coalesce(F.rlike(value, regex), F.lit(False)))
 
 
 def join_text_blocks(blocks: Column) -> Column:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import alias_matches, shorten_end
+from ..functions.text import alias_matches, glob_regex, shorten_end
 from .lifecycle import with_status
 
 # Sizes of batches and of injected context.
@@ -64,9 +64,9 @@ def document_evidence(documents: DataFrame, knowledge: DataFrame) -> DataFrame:
 
 def matched_subjects(subjects: DataFrame, cwd: str = "", repo: str = "") -> DataFrame:
     """Names of subjects with an alias that matches the working directory or the repository."""
-    alias = F.explode("aliases").alias("alias")
-    rows = subjects.select("name", alias)
-    return rows.where(alias_matches(F.col("alias"), F.lit(cwd)) | alias_matches(F.col("alias"), F.lit(repo))).select("name").distinct()
+    rows = subjects.select("name", F.explode("aliases").alias("alias")).withColumn("regex", glob_regex("alias"))
+    named = [alias_matches(F.col("alias"), F.lit(v), F.col("regex")) for v in (cwd, repo)]
+    return rows.where(named[0] | named[1]).select("name").distinct()
 
 
 def context_blocks(subjects: DataFrame, templates: DataFrame, documents: DataFrame, cwd: str = "", repo: str = "") -> DataFrame:
@@ -78,19 +78,25 @@ def context_blocks(subjects: DataFrame, templates: DataFrame, documents: DataFra
     pairs = subjects.select(F.col("name").alias("subject"), F.explode(F.array_distinct("documents")).alias("template"))
     t = templates.where(F.col("inject").isin(ALWAYS, SUBJECT)).select(F.col("name").alias("template"), "inject", "output")
     rows = pairs.join(F.broadcast(t), "template").join(matched, "subject", "left").where((F.col("inject") == ALWAYS) | F.col("_m"))
-    rows = documents.select("subject", "template", F.trim("body").alias("body")).join(F.broadcast(rows), ["subject", "template"])
+    rows = documents.select("subject", "template", F.trim("body").alias("body")).join(rows, ["subject", "template"])
     always = F.col("inject") == ALWAYS
     block = F.concat(F.lit("### "), "subject", F.lit(" / "), "template", F.lit("\nSource: documents/"), "subject", F.lit("/"), "output", F.lit("\n\n"), "body", F.lit("\n"))
     heading = F.when(always, F.lit(ALWAYS_HEADING)).otherwise(F.concat(F.lit("## Working context: "), "subject", F.lit(" (resolved from cwd)")))
     return rows.select(F.when(always, 0).otherwise(1).alias("section"), "subject", "template", heading.alias("heading"), block.alias("block"))
 
 
-def inject(sessions: DataFrame, preamble: str, max_tokens: int = CONTEXT_TOKENS) -> DataFrame:
+def omitted_notice(omitted: int, max_tokens: int, hint: str = "") -> str:
+    """What ends a context from which documents were left out."""
+    return f"\n---\nContext budget reached: {omitted} document(s) were omitted (context.max_tokens = {max_tokens}).\n{hint}" if omitted else ""
+
+
+def inject(sessions: DataFrame, preamble: str, max_tokens: int = CONTEXT_TOKENS, hint: str = "") -> DataFrame:
     """(session, context, included, omitted) from blocks (session, section, subject, template, heading, block).
 
     A block that does not fit is left out and later, smaller ones may still fit,
     which is a fold and no window; a session's blocks are one small group. If the
-    first does not fit, it is cut. Without blocks there is no row.
+    first does not fit, it is cut. Where documents are left out, a notice with
+    ``hint`` ends the context, beyond the budget. Without blocks there is no row.
     """
     budget = max_tokens * BYTES_PER_TOKEN
 
@@ -106,7 +112,7 @@ def inject(sessions: DataFrame, preamble: str, max_tokens: int = CONTEXT_TOKENS)
                     omitted += 1
                     continue
             out, included, headed = out + part, included + 1, head
-        return pd.DataFrame([(*key, out, included, omitted)], columns=["session", "context", "included", "omitted"])
+        return pd.DataFrame([(*key, out + omitted_notice(omitted, max_tokens, hint), included, omitted)], columns=["session", "context", "included", "omitted"])
 
     return sessions.groupBy("session").applyInPandas(fold, "session string, context string, included int, omitted int")
 

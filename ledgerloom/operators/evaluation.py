@@ -75,7 +75,12 @@ def threshold(scores: DataFrame, column: str = "score", share: float = 0.05) ->
 
 def payload_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: how many rows there are and a digest of them as a multiset: SHA-256 of the count and of the sums of four parts of each row's own SHA-256. Tasks only send sums, so any corpus can be verified."""
-    escape = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\\", r"\\\\"), "\t", r"\\t"), "\n", r"\\n")
+    def escape(c: str):
+        out = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        for plain, escaped in (("\\", r"\\"), ("\t", r"\t"), ("\n", r"\n"), ("\r", r"\r")):
+            out = F.replace(out, F.lit(plain), F.lit(escaped))
+        return out
+
     own = rows.select(F.sha2(F.concat_ws("\t", *(escape(c) for c in columns)), 256).alias("h"))
     part = lambda k: F.coalesce(F.sum(F.conv(F.substring("h", 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string")
     sums = own.agg(F.count(F.lit(1)).alias("rows"), *(part(k).alias(f"p{k}") for k in range(4)))

@@ -1,13 +1,14 @@
 """Folds over groups in order, for rules that no window can express.
 
 Rows are dealt by key and sorted within partitions; a task then walks through its
-groups one after the other. It holds a batch of rows and the group at hand, and
-small groups don't cost a call of their own.
+groups one after the other. It holds a batch of rows and what the group's own
+stepper keeps, and small groups don't cost a call of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,22 +28,48 @@ def frame(rows: list[dict], columns: list[str], times: tuple[str, ...] = ()) ->
     return out.assign(**{c: pd.to_datetime(out[c]) for c in times})
 
 
-def fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[tuple, list[dict]], list[dict]], schema: str, columns: list[str], times: tuple[str, ...] = ()) -> DataFrame:
-    """What ``step`` (key, rows in order) makes of each group."""
+class Stepper(Protocol):
+    """What walks through one group."""
+
+    def apply(self, row: dict) -> list[dict]:
+        """The results that a row brings."""
+
+    def end(self) -> list[dict]:
+        """Those that the group's end brings."""
+
+
+class Gathered:
+    """A stepper for rules that need all rows of a group at once."""
+
+    def __init__(self, key: tuple, step: Callable[[tuple, list[dict]], list[dict]]):
+        self.key, self.step, self.rows = key, step, []
+
+    def apply(self, row: dict) -> list[dict]:
+        self.rows.append(row)
+        return []
+
+    def end(self) -> list[dict]:
+        return self.step(self.key, self.rows)
+
+
+def fold(rows: DataFrame, keys: list[str], order: list[str], stepper: Callable[[tuple], Stepper], schema: str, columns: list[str], times: tuple[str, ...] = ()) -> DataFrame:
+    """What each group's own stepper makes of its rows, in order; results carry the group's key."""
 
     def walk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, group = None, []
+        key, now = None, None
         for pdf in it:
             out: list[dict] = []
             for r in records(pdf):
-                now = tuple(r[k] for k in keys)
-                if group and now != key:
-                    out += step(key, group)
-                    group = []
-                key = now
-                group.append(r)
+                own = tuple(r[k] for k in keys)
+                if now is None or own != key:
+                    out += [] if now is None else named(now.end(), key)
+                    key, now = own, stepper(own)
+                out += named(now.apply(r), key)
             yield frame(out, columns, times)
-        if group:
-            yield frame(step(key, group), columns, times)
+        if now is not None:
+            yield frame(named(now.end(), key), columns, times)
+
+    def named(found: list[dict], key: tuple) -> list[dict]:
+        return [{**r, **dict(zip(keys, key, strict=True))} for r in found]
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)

@@ -72,30 +72,37 @@ def reachable(graph: DataFrame, rounds: int = 64, spread: DataFrame | None = Non
     """(src, dst) for every node that edges (src, dst) lead to, by doubling paths until nothing is new: as many rounds as the logarithm of the longest path.
 
     The closure has a row for each pair, so it is for graphs of short chains, as
-    supersession is; ``spread`` limits the starts.
+    supersession is; ``spread`` (src) limits the starts of the result. RuntimeError
+    if ``rounds``, which double the paths each, are not enough.
     """
-    paths = (graph if spread is None else graph.join(spread, "src", "left_semi")).select("src", "dst").distinct()
     step = graph.select("src", "dst").distinct()
     size = -1
     for _ in range(rounds):
-        longer = paths.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("_next")), "dst").select("src", F.col("_next").alias("dst"))
-        paths = checkpoint(paths.unionByName(longer).distinct())
-        now = paths.count()
+        longer = step.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("_next")), "dst").select("src", F.col("_next").alias("dst"))
+        step = checkpoint(step.unionByName(longer).distinct())
+        now = step.count()
         if now == size:
-            break
+            return step if spread is None else step.join(spread.select("src").distinct(), "src", "left_semi")
         size = now
-        step = paths
-    return paths
+    raise RuntimeError(f"paths are longer than {rounds} doublings")
+
+
+#: Times that ends are taken off before a graph is written.
+TRIMS = 4
 
 
 def on_cycles(graph: DataFrame) -> DataFrame:
-    """(id) of the nodes on cycles: ends are taken off until none is left, then what only leads into cycles is taken off the other way. Each round only keeps edges between nodes that have both."""
+    """(id) of the nodes on cycles: ends are taken off until none is left, then what only leads into cycles is taken off the other way. Each trim only keeps edges between nodes that have both; a round has TRIMS of them."""
     left = graph.select("src", "dst").distinct()
     size = -1
     while True:
-        inner = checkpoint(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-        n = inner.count()
-        left = inner
+        for _ in range(TRIMS):
+            ends = left.select(F.col("src").alias("dst")).distinct()
+            left = left.join(ends, "dst", "left_semi").select("src", "dst")
+            starts = left.select(F.col("dst").alias("src")).distinct()
+            left = left.join(starts, "src", "left_semi").select("src", "dst")
+        left = checkpoint(left)
+        n = left.count()
         if n == size or n == 0:
             break
         size = n

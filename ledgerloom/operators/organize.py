@@ -7,47 +7,77 @@ active predecessors, and one action for each input. Subjects run in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .folds import fold
+from .folds import Gathered, fold
 from .lifecycle import with_status
 
-INPUT = "subject string, id string, type string, statement string, feedstocks array<string>, status string, supersedes array<string>, is_input boolean, order_key string, action string, targets array<string>, draft_type string, draft_statement string"
-RESULT = "subject string, input_id string, knowledge_id string, outcome string, type string, statement string, feedstocks array<string>, supersedes array<string>, retires string, error string"
-_COLUMNS = ["subject", "input_id", "knowledge_id", "outcome", "type", "statement", "feedstocks", "supersedes", "retires", "error"]
+INPUT = "subject string, id string, type string, statement string, rationale string, feedstocks array<string>, status string, supersedes array<string>, is_input boolean, order_key string, action string, targets array<string>, draft struct<type:string,subject:string,statement:string,rationale:string>"
+RESULT = "subject string, input_id string, knowledge_id string, outcome string, type string, knowledge_subject string, statement string, rationale string, feedstocks array<string>, supersedes array<string>, retires string, error string"
+_COLUMNS = ["subject", "input_id", "knowledge_id", "outcome", "type", "knowledge_subject", "statement", "rationale", "feedstocks", "supersedes", "retires", "error"]
+DRAFT = ("type", "subject", "statement", "rationale")
 # How many targets an action names, and whether it brings a draft.
 ACTIONS = {"discard": (0, False), "new": (0, False), "equivalent": (1, False), "complements": (1, True), "conflicts": (1, False)}
 
 
-def organize(inputs: DataFrame, knowledge: DataFrame, actions: DataFrame) -> DataFrame:
+def organize(inputs: DataFrame, knowledge: DataFrame, actions: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
     """Results of all actions, in order within a subject; a subject with an error has one row that says so and changes nothing.
 
     ``inputs``: id, subject, type, statement, feedstocks, order_key (sorts as the
-    establishing turns do). ``knowledge``: organized rows, with order_key.
-    ``actions``: knowledge_id, kind, knowledge_ids, draft_type, draft_statement.
+    establishing turns do) and, if there is one, rationale. ``knowledge``:
+    organized rows, with order_key. ``actions``: knowledge_id, kind,
+    knowledge_ids, draft_type, draft_statement and, where they are there,
+    draft_subject (of the same subject) and draft_rationale; one for each input.
+    ``types`` is the vocabulary that types of inputs and drafts are held against.
+    Actions for unknown inputs are not seen here: ``records.one_action_each``
+    lists them.
     """
-    acts = actions.select(F.col("knowledge_id").alias("id"), F.col("kind").alias("action"), F.col("knowledge_ids").alias("targets"), "draft_type", "draft_statement")
-    none = F.lit(None)
-    new = inputs.join(acts, "id", "left").select("subject", "id", "type", "statement", "feedstocks", F.lit("pending").alias("status"), F.array().cast("array<string>").alias("supersedes"), F.lit(True).alias("is_input"), "order_key", "action", "targets", "draft_type", "draft_statement")
+    empty = F.lit(None).cast("string")
+    of = lambda d, c: F.col(c) if c in d.columns else empty
+    draft = F.struct(*(of(actions, f"draft_{c}").alias(c) for c in DRAFT))
+    acts = actions.select(F.col("knowledge_id").alias("id"), F.col("kind").alias("action"), F.col("knowledge_ids").alias("targets"), draft.alias("draft"))
+    own = inputs.select("subject", "id", "type", "statement", of(inputs, "rationale").alias("rationale"), "feedstocks", F.lit("pending").alias("status"), F.array().cast("array<string>").alias("supersedes"), F.lit(True).alias("is_input"), "order_key")
+    new = own.join(acts, "id", "left").select(own.columns + ["action", "targets", "draft"])
     old = with_status(knowledge).where("status in ('active', 'pending')").join(inputs.select("subject").distinct(), "subject", "left_semi")
-    old = old.select("subject", "id", "type", "statement", "feedstocks", "status", "supersedes", F.lit(False).alias("is_input"), "order_key", none.cast("string").alias("action"), none.cast("array<string>").alias("targets"), none.cast("string").alias("draft_type"), none.cast("string").alias("draft_statement"))
-    return fold(new.unionByName(old), ["subject"], ["id"], _fold, RESULT, _COLUMNS)
+    old = old.select("subject", "id", "type", "statement", of(old, "rationale").alias("rationale"), "feedstocks", "status", "supersedes", F.lit(False).alias("is_input"), "order_key")
+    return fold(new.unionByName(old, allowMissingColumns=True), ["subject"], ["id"], lambda key: Gathered(key, partial(_fold, types=types)), RESULT, _COLUMNS)
 
 
-def _fold(key: tuple, rows: list[dict]) -> list[dict]:
+def _fold(key: tuple, rows: list[dict], types: Sequence[str] | None) -> list[dict]:
     try:
-        out = _apply(rows)
+        return _apply(key[0], rows, types)
     except ValueError as e:
-        out = [{"error": str(e)}]
-    return [{**r, "subject": key[0]} for r in out]
+        return [{"error": str(e)}]
 
 
 def _as_list(v) -> list:
     return [] if v is None else [*v]
 
 
-def _apply(rows: list[dict]) -> list[dict]:
+def _checked(subject: str, of: str, r: dict, types: Sequence[str] | None) -> dict:
+    """A draft's trimmed fields, if they are a claim of the subject."""
+    out = {c: (r[c] or "").strip() for c in DRAFT}
+    if types is not None and out["type"] not in types:
+        raise ValueError(f"{of} has the unknown type {out['type']!r}")
+    if out["subject"] not in ("", subject):
+        raise ValueError(f"{of} belongs to subject {out['subject']!r}")
+    if not out["statement"] or "\r" in out["statement"]:
+        raise ValueError(f"{of} has no proper statement")
+    return {**out, "subject": subject}
+
+
+def _apply(subject: str, rows: list[dict], types: Sequence[str] | None) -> list[dict]:
+    seen: set[str] = set()
+    for r in rows:
+        if r["is_input"]:
+            if r["id"] in seen:
+                raise ValueError(f"several actions for {r['id']}")
+            seen.add(r["id"])
+            _checked(subject, r["id"], r, types)
     live = {r["id"]: {**r, "feedstocks": {*_as_list(r["feedstocks"])}, "supersedes": _as_list(r["supersedes"])} for r in rows if not r["is_input"]}
     named = {p for r in live.values() for p in r["supersedes"]}
     leads = {i: i for i in live if i not in named}  # what an id stands for now
@@ -57,7 +87,8 @@ def _apply(rows: list[dict]) -> list[dict]:
         if r["action"] not in ACTIONS:
             raise ValueError(f"no valid action for {me}")
         n, draft = ACTIONS[r["action"]]
-        if len(targets) != n or draft != (r["draft_statement"] is not None):
+        brought = r["draft"] if r["draft"] and r["draft"]["statement"] is not None else None
+        if len(targets) != n or draft != (brought is not None):
             raise ValueError(f"{r['action']} of {me} has the wrong targets or draft")
         row = {"input_id": me, "knowledge_id": me}
         record = {**r, "feedstocks": {*_as_list(r["feedstocks"])}, "supersedes": []}
@@ -68,9 +99,9 @@ def _apply(rows: list[dict]) -> list[dict]:
             live[me], leads[me] = record, me
             out.append(_result(row, record, "created"))
             continue
-        at, seen = targets[0], set()
-        while at in leads and leads[at] != at and at not in seen:
-            seen.add(at)
+        at, passed = targets[0], set()
+        while at in leads and leads[at] != at and at not in passed:
+            passed.add(at)
             at = leads[at]
         if leads.get(at) != at:
             raise ValueError(f"target {targets[0]} of {me} is not a current head")
@@ -88,7 +119,7 @@ def _apply(rows: list[dict]) -> list[dict]:
                 out.append({**row, "knowledge_id": at, "outcome": "historical_conflict_ignored"})
                 continue
         else:
-            record.update(type=r["draft_type"], statement=r["draft_statement"], feedstocks=record["feedstocks"] | target["feedstocks"])
+            record.update(_checked(subject, f"the draft of {me}", brought, types), feedstocks=record["feedstocks"] | target["feedstocks"])
         record["supersedes"] = sorted({at, *(p for p in target["supersedes"] if p in live and live[p]["status"] == "active")})
         live[me], leads[at], leads[me] = record, me, me
         retires = at if target["status"] == "pending" else None
@@ -105,7 +136,7 @@ def _apply(rows: list[dict]) -> list[dict]:
 
 
 def _result(row: dict, record: dict, outcome: str) -> dict:
-    return {**row, "outcome": outcome, "type": record["type"], "statement": record["statement"], "feedstocks": sorted(record["feedstocks"]), "supersedes": record["supersedes"]}
+    return {**row, "outcome": outcome, "type": record["type"], "knowledge_subject": record["subject"], "statement": record["statement"], "rationale": record["rationale"] or None, "feedstocks": sorted(record["feedstocks"]), "supersedes": record["supersedes"]}
 
 
 def extract(feedstocks: DataFrame, drafts: DataFrame, types: list[str], subjects: list[str]) -> tuple[DataFrame, DataFrame]:

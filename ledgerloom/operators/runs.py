@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ADJACENT_BYTES, ADJACENT_MARKER, RESPONSE_BYTES, RESPONSE_MARKER, canonical_repo, glob_regex, limit_both_ends, ordered_set, slug
+from ..functions.text import ADJACENT_BYTES, ADJACENT_MARKER, RESPONSE_BYTES, RESPONSE_MARKER, canonical_repo, glob_regex, is_glob, limit_both_ends, ordered_set, slug
 from . import search, sync, turns
 
 THRESHOLD_DEPTH, THRESHOLD_LIMIT, AGENT_LIMIT = 100, 200, 20
@@ -44,12 +44,15 @@ def draw_payloads(candidates: DataFrame, context: int = 3) -> DataFrame:
 
 
 def alias_owners(places: DataFrame, subjects: DataFrame) -> DataFrame:
-    """(repo, cwd, name): the first subject by name with an alias that matches either. Equal aliases and equal repositories are equi-joins; only aliases with wild cards are tried one by one."""
+    """(repo, cwd, name): the first subject by name with an alias that matches either. Equal aliases and equal repositories are equi-joins; aliases with wild cards are joined by what stands before the first one, whose lengths are few."""
     values = places.select("repo", "cwd", F.explode(F.array("repo", "cwd")).alias("value")).where("coalesce(value, '') <> ''")
     known = subjects.select("name", F.explode("aliases").alias("alias"))
     exact = values.join(known.withColumnRenamed("alias", "value"), "value")
     host = values.withColumn("_host", canonical_repo(F.col("value"))).where("_host <> ''").join(known.select("name", canonical_repo(F.col("alias")).alias("_host")).where("_host <> ''"), "_host")
-    wild = values.join(known.where(F.col("alias").rlike(r"[*?\[]")), F.rlike("value", glob_regex(F.col("alias"))))
+    globs = known.where(is_glob(F.col("alias"))).withColumns({"_regex": glob_regex("alias"), "_stem": F.regexp_extract("alias", r"^[^*?\[\\]*", 0)}).withColumn("_n", F.length("_stem"))
+    lengths = globs.agg(F.collect_set("_n").alias("_ns"))  # one row of lengths of stems
+    begun = values.crossJoin(F.broadcast(lengths)).withColumn("_n", F.explode("_ns")).withColumn("_stem", F.substring(F.col("value"), F.lit(1), F.col("_n")))
+    wild = begun.join(globs, ["_n", "_stem"]).where(F.rlike("value", F.col("_regex")))
     parts = [d.select("repo", "cwd", "name") for d in (exact, host, wild)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("repo", "cwd").agg(F.min("name").alias("name"))
 

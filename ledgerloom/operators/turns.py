@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import feedstock_id
+from ..session import checkpoint
 from .folds import fold
 
 # Priorities of assistant texts.
@@ -38,7 +39,7 @@ class Assembler:
     """Turns of one stream of events. ``state`` is a plain dict, so that it can be stored and resumed in the middle of a turn."""
 
     def __init__(self, state: dict | None = None):
-        self.state = state or {"session": "", "session_ts": None, "env": {}, "pending": "", "used": [], "open": None}
+        self.state = state or {"session": "", "session_ts": None, "env": {}, "pending": "", "used": {}, "open": None}
 
     def apply(self, e: dict) -> list[dict]:
         """The turns that an event closes."""
@@ -81,10 +82,11 @@ class Assembler:
         return closed
 
     def _own(self, source: str) -> str:
-        name, n = source, 2
-        while name in self.state["used"]:
-            name, n = f"{source}.{n}", n + 1
-        self.state["used"].append(name)
+        """The source, or with the first free suffix from .2 on; ``used`` has the next suffix to try for each name."""
+        used, name = self.state["used"], source
+        while name in used:
+            name, used[source] = f"{source}.{used[source]}", used[source] + 1
+        used[name] = 2
         return name
 
     def close(self, complete: bool = False) -> list[dict]:
@@ -93,20 +95,34 @@ class Assembler:
         return [now] if now and (complete or now["done"]) else []
 
 
-def assemble_events(events: DataFrame, include_open: bool = False) -> DataFrame:
-    """Turns of all streams (agent, path, stream), in line order within each. A stream with an event that can't be applied gives one row with its error and no turns."""
+class _Turns:
+    """A stream's turns as they close. After an event that can't be applied, the rest of the stream is not looked at."""
+
+    def __init__(self, include_open: bool):
+        self.assembler, self.include_open, self.failed = Assembler(), include_open, False
 
-    def one(key: tuple, rows: list[dict]) -> list[dict]:
-        out, a = [], Assembler()
+    def apply(self, row: dict) -> list[dict]:
+        if self.failed:
+            return []
         try:
-            for e in rows:
-                out += a.apply(e)
-            out += a.close(include_open)
+            return self.assembler.apply(row)
         except ValueError as error:
-            out = [{"error": str(error)}]
-        return [{**r, **dict(zip(STREAM, key, strict=True))} for r in out]
+            self.failed = True
+            return [{"error": str(error)}]
+
+    def end(self) -> list[dict]:
+        return [] if self.failed else self.assembler.close(self.include_open)
+
 
-    return fold(events, STREAM, ["line", "ord"], one, TURN_SCHEMA, TURN_COLUMNS, ("ts",))
+def assemble_events(events: DataFrame, include_open: bool = False) -> DataFrame:
+    """Turns of all streams (agent, path, stream), in line order within each. A stream with an event that can't be applied gives one row with its error and no turns.
+
+    A task keeps an assembler's state, never a session's rows; turns that a stream
+    closed before it failed are taken out by its error.
+    """
+    out = checkpoint(fold(events, STREAM, ["line", "ord"], lambda key: _Turns(include_open), TURN_SCHEMA, TURN_COLUMNS, ("ts",)))
+    failed = out.where("error is not null").select(*STREAM, F.lit(True).alias("_failed"))
+    return out.join(failed, STREAM, "left").where("_failed is null or error is not null").drop("_failed")
 
 
 def as_candidates(turns: DataFrame) -> DataFrame:

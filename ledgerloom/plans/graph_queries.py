@@ -12,6 +12,7 @@ from ..operators import documents as dc
 from ..operators import lifecycle as lc
 from ..operators import organize as og
 from ..operators import records as rc
+from ..session import checkpoint
 from .registry import query
 from .tables import KNOWLEDGE, knowledge, table
 
@@ -154,11 +155,11 @@ def last_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.last_evidence(cited.join(orders, "id", "left_semi"), lines)
 
 
-@query("SELECT 'k-' || l_orderkey AS id, 'o-' || l_partkey AS reference FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) WHERE l_partkey NOT IN (SELECT o_orderkey FROM orders)")
+@query("SELECT 'k-' || l_orderkey AS id, 'o-' || l_partkey AS reference FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) WHERE l_partkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References to rows that do not exist."""
+    """References to rows that are not among the finished orders."""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("k-"), "l_orderkey").alias("id")).agg(F.collect_set(F.concat(F.lit("o-"), "l_partkey")).alias("refs"))
-    targets = table(spark, sf_dir, "orders").select(F.concat(F.lit("o-"), "o_orderkey").alias("id"))
+    targets = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("o-"), "o_orderkey").alias("id"))
     return rc.missing_references(rows, "refs", targets)
 
 
@@ -199,17 +200,34 @@ def batch_50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.selection_batches(knowledge(spark, sf_dir)).select("id", "subject", "batch", "reference")
 
 
-@query("WITH u AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_extract(url, '^https?://[^/?#]*/([^/?#]*)', 1) AS part FROM pages), p AS (SELECT * FROM (VALUES ('*.example.com'), ('m.*.example.net'), ('www.*.example.org')) t(alias)) SELECT page_id, alias FROM u JOIN p ON regexp_full_match(host, replace(replace(alias, '.', '\\.'), '*', '[^/]*'))")
+_HOSTS = "u AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_extract(url, '^https?://[^/?#]*/([^/?#]*)', 1) AS part FROM pages)"
+#: Aliases with stars, single characters, classes and escapes, and the regular expressions that SQL has for them.
+ALIASES = {
+    "*.example.com": r"[^/]*\.example\.com", "m.*.example.net": r"m\.[^/]*\.example\.net", "www.*.example.org": r"www\.[^/]*\.example\.org", "*[02468].example.*": r"[^/]*[02468]\.example\.[^/]*", "*[^0-5].example.???": r"[^/]*[^0-5]\.example\.[^/][^/][^/]",
+    r"\*.example.com": r"\*\.example\.com", r"*e\x[a-bm]mple.*": r"[^/]*ex[a-bm]mple\.[^/]*", "*[": "(^$a)",
+}
+
+
+@query(f"WITH {_HOSTS}, p AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{r}')" for a, r in ALIASES.items())}) t(alias, regex)) SELECT page_id, alias FROM u JOIN p ON regexp_full_match(host, regex)")
 def alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts of pages matched by aliases with wild cards."""
+    """Hosts of pages matched by aliases with wild cards, classes and escapes."""
     hosts = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"))
-    aliases = spark.createDataFrame([("*.example.com",), ("m.*.example.net",), ("www.*.example.org",)], "alias string")
-    return hosts.join(F.broadcast(aliases), tx.alias_matches(F.col("alias"), F.col("host"))).select("page_id", "alias")
+    aliases = checkpoint(spark.createDataFrame([(a,) for a in ALIASES], "alias string").withColumn("regex", tx.glob_regex("alias")))
+    return hosts.join(F.broadcast(aliases), tx.alias_matches(F.col("alias"), F.col("host"), F.col("regex"))).select("page_id", "alias")
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, r AS (SELECT id AS src, target AS dst FROM ed WHERE status IN ('active', 'pending') UNION SELECT r.src, ed.target FROM r JOIN ed ON r.dst = ed.id)
+    SELECT src, dst FROM r""")
+def supersession_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that current knowledge supersedes, directly or through others, whatever their status."""
+    links = lc.edges(knowledge(spark, sf_dir).where("organized_at is not null"))
+    graph = links.select(F.col("id").alias("src"), F.col("predecessor").alias("dst"))
+    return lc.reachable(graph, spread=links.where("status in ('active', 'pending')").select(F.col("id").alias("src")))
 
 
 @query()
 def context_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a session in each nation's directory is given from all documents, in languages as subjects: the newest paragraph-wise excerpt of each source that fits."""
+    """What a session in each language, as a subject, is given from all documents: the newest excerpt of each source that fits, and a notice of those that don't."""
     docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("subject"), F.coalesce("source", F.lit("")).alias("template"), "doc_id", tx.excerpt(F.coalesce("text", F.lit(""))).alias("body"))
     newest = docs.groupBy("subject", "template").agg(F.max_by("body", "doc_id").alias("body"))
     sessions = newest.select(F.col("subject").alias("session"), F.lit(1).alias("section"), "subject", "template", F.concat(F.lit("## "), "subject").alias("heading"), F.concat(F.lit("### "), "template", F.lit("\n\n"), "body", F.lit("\n")).alias("block"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vectors
+from ..operators import lifecycle as lc
 from ..operators import runs
 from ..operators import search as s
 from .registry import query
-from .tables import EVENTS, INDEX, VECTORS, event_rows, index_rows, query_vector, vector_rows
+from .tables import EVENTS, INDEX, KNOWLEDGE, VECTORS, event_rows, index_rows, knowledge, micros, query_vector, table, vector_rows
 
 TERMS = ("the", "erin")
 DEPTH = 51
@@ -126,9 +128,10 @@ def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH g AS (SELECT doc_id, list_filter([CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS types FROM labels) SELECT doc_id FROM g WHERE list_contains(types, 'toxic')")
 def array_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose set of types has a value."""
-    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.array_compact(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic"))).alias("types"))
-    return rows.where(F.array_contains("types", "toxic")).select("doc_id")
+    """Rows whose set of types has a value, by the search's own filter."""
+    types = F.array_compact(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic")))
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.lit("document").alias("kind"), types.alias("types"))
+    return s.eligible(rows, s.Options("document", template="toxic")).select("doc_id")
 
 
 @query(f"""{_BM25}, ft AS (SELECT id, rank FROM text_branch WHERE rank <= 50), fv AS (SELECT id, rank FROM vector_branch WHERE rank <= 50 AND score >= 0.2),
@@ -146,5 +149,61 @@ def hybrid_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.candidates(index_rows(spark, sf_dir), vector_rows(spark, sf_dir), o).where("rank <= 10")
 
 
+# Knowledge as index rows; a claim has characters that JSON for HTML escapes.
+_CLAIMS = f"""{KNOWLEDGE}, kx AS (SELECT ks.id, subject, 'decision' AS type, statement || ' <' || o_custkey || '&>' AS claim, epoch_us(o_orderdate::TIMESTAMP) * 1000 AS timestamp_ns, status FROM ks JOIN orders ON 'k-' || o_orderkey = ks.id),
+    ok AS (SELECT *, row_number() OVER (ORDER BY timestamp_ns DESC, id) AS rank FROM kx WHERE status IN ('active', 'pending')),
+    sized AS (SELECT *, strlen('{{"id":"' || id || '","subject":"' || subject || '","type":"' || type || '","claim":"' || claim || '"}}') + 15 AS size FROM ok WHERE rank <= 100),
+    page AS (SELECT *, sum(size) OVER (ORDER BY rank) AS running FROM sized)"""
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = lc.with_status(knowledge(spark, sf_dir))
+    text = F.concat(F.col("statement"), F.lit(" <"), F.expr("substring(subject, 3)"), F.lit("&>"))
+    return k.select("id", F.lit("knowledge").alias("kind"), F.lit("").alias("session"), F.lit("").alias("agent"), (micros("created") * 1000).alias("timestamp_ns"), F.lit("").alias("summary"), text.alias("searchable"), text.alias("claim"), F.array("subject").alias("subjects"), F.array("type").alias("types"), "status", F.lit("").alias("path"))
+
+
+_CLAIM_OPTIONS = s.Options("knowledge", mode="text", limit=100, max_tokens=1500, include_pending=True)
+
+
+@query(f"WITH {_CLAIMS} SELECT id, subject, type, claim, rank::INTEGER AS rank FROM page WHERE running <= 6000")
+def budgeted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest knowledge, pending included, up to the first result that exceeds the budget of bytes as JSON."""
+    return s.search(_claims(spark, sf_dir), None, _CLAIM_OPTIONS)[0]
+
+
+@query(f"WITH {_CLAIMS} SELECT (SELECT count(*) FROM ok) AS total, count(*) AS returned, count(*) < (SELECT count(*) FROM ok) AS has_more, count(*) < (SELECT count(*) FROM page) AS truncated FROM page WHERE running <= 6000")
+def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many there are, how many were returned, and whether the budget cut them."""
+    return s.search(_claims(spark, sf_dir), None, _CLAIM_OPTIONS)[1]
+
+
+@query(f"""{_BM25}, ft AS (SELECT id, rank, score FROM text_branch WHERE rank <= 50), fv AS (SELECT id, rank, score FROM vector_branch WHERE rank <= 50)
+    SELECT coalesce(ft.id, fv.id) AS id, round(ft.score, 6) AS text_score, round(fv.score, 6) AS vector_score, round(coalesce(1.0 / (60 + ft.rank), 0) + coalesce(1.0 / (60 + fv.rank), 0), 9) AS score FROM ft FULL JOIN fv ON ft.id = fv.id""")
+def branch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused hits with the scores of both branches."""
+    o = _options(mode="hybrid", query_vector=query_vector(spark, sf_dir))
+    index = index_rows(spark, sf_dir)
+    fused = s.fuse({"text": s.text_branch(index, o, 50), "vector": s.vector_branch(index, vector_rows(spark, sf_dir), o, 50)})
+    return fused.select("id", F.round("text_score", 6).alias("text_score"), F.round("vector_score", 6).alias("vector_score"), F.round("score", 9).alias("score"))
+
+
+@query("SELECT 'd' || vec_id AS id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) / list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS length, round(embedding[1] / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS first FROM embeddings")
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors at unit length."""
+    v = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("d"), "vec_id").alias("id"), vectors.normalize(F.transform("embedding", lambda x: x * 3)).alias("v"))
+    return v.select("id", F.round(vectors.norm(F.col("v")), 5).alias("length"), F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("first"))
+
+
+@query(f"WITH {INDEX} SELECT mode, count(*) AS n FROM (SELECT 'text' AS mode FROM idx WHERE kind = 'document' AND {_MATCH} LIMIT {DEPTH}) GROUP BY mode UNION ALL SELECT mode, n FROM (VALUES ('vector', {DEPTH}), ('hybrid', {DEPTH})) t(mode, n)")
+def mode_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many candidates each mode gives, to one more than the limit."""
+    out = None
+    for mode in s.MODES:
+        o = _options(mode=mode, query_vector=query_vector(spark, sf_dir))
+        n = s.candidates(index_rows(spark, sf_dir), vector_rows(spark, sf_dir), o).agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_results(spark, sf_dir)

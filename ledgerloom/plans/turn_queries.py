@@ -113,14 +113,20 @@ def draw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "p.user_input", F.coalesce("p.agent_response", F.lit("")).alias("agent_response"), F.size("p.prior_turns").alias("n_prior"), F.coalesce(F.try_element_at("p.prior_turns", F.lit(-1))["user_input"], F.lit("")).alias("last_prior"))
 
 
-@query("WITH p AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages) SELECT trim(regexp_replace(lower(host), '[^a-z0-9]+', '-', 'g'), '-') AS name, ['https://' || host || '/' || host, '/work/' || host] AS aliases, true AS is_new FROM p")
+_NAME = "trim(regexp_replace(lower(host), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages),
+    k AS (SELECT host, 'https://' || host || '/' || host AS repo, '/work/' || host AS cwd, CASE WHEN host LIKE '%.com' THEN 'com' WHEN starts_with(host, 'm') THEN 'mobile' END AS owner FROM p)
+    SELECT name, list_sort(list_distinct(flatten(list([repo, cwd] || extra)))) AS aliases, bool_and(owner IS NULL) AS is_new
+    FROM (SELECT *, coalesce(owner, {_NAME}) AS name, CASE WHEN owner = 'com' THEN ['/work/*.com'] WHEN owner = 'mobile' THEN ['/work/m*', '/[a-c]?/*'] ELSE [] END AS extra FROM k) GROUP BY name
+    UNION ALL SELECT 'unseen', ['https://nowhere.example/x'], false""")
 def repository_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subjects made of the hosts of all pages as repositories."""
+    """Subjects after the hosts of all pages were seen as repositories: some are known by wild cards, the first by name wins, others are new."""
     host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
     seen = table(spark, sf_dir, "pages").select(F.concat(F.lit("https://"), host, F.lit("/"), host).alias("repo"), F.concat(F.lit("/work/"), host).alias("cwd"))
-    none = spark.createDataFrame([], "name string, aliases array<string>")
-    out = runs.repository_subjects(seen, none)
-    return out.withColumn("aliases", F.reverse(F.array_sort("aliases")))
+    known = spark.createDataFrame([("com", ["/work/*.com"]), ("mobile", ["/work/m*", "/[a-c]?/*"]), ("unseen", ["https://nowhere.example/x"])], "name string, aliases array<string>")
+    return runs.repository_subjects(seen, known).withColumn("aliases", F.array_sort("aliases"))
 
 
 def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +150,35 @@ def log_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.where("error is null").select("session_id", "turn_id", "user_text", F.coalesce("assistant_text", F.lit("")).alias("assistant_text"))
 
 
+def _codex_files(spark: SparkSession, sf_dir: str) -> str:
+    """Conversations as log files of the dialect of typed payloads, one a session, written to the shared folder."""
+    from ..session import shared_path
+
+    c = table(spark, sf_dir, "conversations").where("role <> 'system'")
+    ts = lambda n: F.date_format(F.timestamp_seconds(n), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    session = F.col("conv_id").cast("string")
+    blank = F.lit(None).cast("string")
+    line = lambda kind, **p: F.to_json(F.struct(F.lit(kind).alias("type"), ts(F.col("conv_id") * 1000 + F.coalesce("turn", F.lit(0))).alias("timestamp"), F.struct(*(v.alias(k) for k, v in p.items())).alias("payload")))
+    blocks = F.array(F.struct(F.lit("output_text").alias("type"), F.col("text").alias("text")))
+    said = F.when(F.col("role") == "user", line("event_msg", type=F.lit("user_message"), turn_id=F.concat_ws("-", "conv_id", "turn"), message=F.col("text"))).otherwise(line("response_item", type=F.lit("message"), role=F.lit("assistant"), phase=F.lit("final_answer"), content=blocks))
+    head = c.select("conv_id").distinct().withColumn("turn", F.lit(None).cast("int")).select("conv_id", F.lit(-1).alias("at"), line("session_meta", id=session, cwd=F.lit("/work"), source=F.lit("cli"), x=blank).alias("raw"))
+    rows = head.unionByName(c.select("conv_id", F.col("turn").alias("at"), said.alias("raw")))
+    # One file a session: its lines, in order, as one row of text.
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("lines")).select(F.array_join(F.transform("lines", lambda x: x["raw"]), "\n").alias("value"), F.concat_ws("-", F.lit("s"), "conv_id").alias("session"))
+    folder = shared_path(spark, "codex-logs")
+    whole.repartition("session").write.partitionBy("session").text(folder)
+    return folder
+
+
+@query(f"{_LOG_SQL} WHERE assistant_text IS NOT NULL OR (conv_id, turn_no) NOT IN (SELECT (conv_id, max(turn_no)) FROM tn GROUP BY conv_id)")
+def codex_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files of the second dialect: written, found below their root, read, decoded and assembled."""
+    folder = _codex_files(spark, sf_dir)
+    lines, _ = logs.usable_lines(logs.read_lines(spark, [folder], "codex"))
+    done = turns.assemble_events(logs.decode_codex(lines)[0])
+    return done.where("error is null").select("session_id", "turn_id", "user_text", F.coalesce("assistant_text", F.lit("")).alias("assistant_text"))
+
+
 @query(f"WITH {TURNS} SELECT id, user_text FROM c WHERE assistant_text IS NOT NULL OR (conv_id, turn_no) NOT IN (SELECT (conv_id, max(turn_no)) FROM tn GROUP BY conv_id)".replace("'feedstock-v1' || chr(0) || 'claude' || chr(0) || conv_id || chr(0) || turn_no", "'feedstock-v1' || chr(0) || 'claude' || chr(0) || conv_id || chr(0) || conv_id || '-' || first_position"))
 def log_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as feedstock candidates with ids and dialogue."""
@@ -217,13 +252,24 @@ def duplicate_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.key_owners(pages)[0].select("page_id", "record_key", "path")
 
 
-@query()
+_CUT = f"(400 - {len(tx.RESPONSE_MARKER.encode())})"
+_HEAD = f"left(text, list_max(list_filter(range(401), lambda n: strlen(left(text, n)) <= {_CUT} // 2)))"
+_TAIL = f"CASE WHEN {_CUT} > 0 THEN right(text, list_max(list_filter(range(401), lambda n: strlen(right(text, n)) <= {_CUT} - {_CUT} // 2))) END"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN strlen(text) <= 400 THEN text ELSE {_HEAD} || '{tx.RESPONSE_MARKER}' || {_TAIL} END AS text FROM conversations")
 def truncate_both_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages in at most 400 bytes, both ends kept."""
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", tx.limit_both_ends(F.col("text"), 400).alias("text"))
 
 
+@query(f"SELECT doc_id, CASE WHEN strlen(text) <= 300 THEN text ELSE left(text, list_max(list_filter(range(301), lambda n: strlen(left(text, n)) <= {300 - len(tx.END_MARKER.encode()) - 1}))) || '{tx.END_MARKER}' || chr(10) END AS text FROM documents")
+def truncate_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in at most 300 bytes, their beginning kept."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.limit_end(F.col("text"), 300).alias("text"))
+
+
 @query()
 def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dialogues in pages of 1,000 bytes."""

@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-#: Temporary folders by application, where none is configured.
+#: Temporary folders by application, where none is configured (one machine).
 _OWN: dict[str, str] = {}
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where that is unset, one machine (``local[...]``, as in tests) gets a temporary folder; a cluster is refused."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+    return _OWN[app]
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder below ``shared_root``."""
+    return f"{shared_root(spark)}/ledgerloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` without lineage, in the folder that ``spark.checkpoint.dir`` names; where nothing is set (one machine, tests) in a temporary folder."""
+    """``df`` without lineage, in the checkpoint folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-"))
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint()
 
 
@@ -26,14 +44,3 @@ def get_session(name: str = "ledgerloom", **settings: str) -> SparkSession:
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors reach; where nothing is set a temporary one."""
-    app = spark.sparkContext.applicationId
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        root = _OWN[app]
-    return f"{root.rstrip('/')}/ledgerloom/{app}/{name}-{uuid.uuid4().hex[:12]}"

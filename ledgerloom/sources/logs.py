@@ -12,7 +12,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import record_turn_id, session_from_path
+from ..functions.ids import path_within, record_turn_id, session_from_path
 from ..functions.text import join_text_blocks
 from ..operators.turns import EVENT_TEXT, FALLBACK_TEXT, FINAL_TEXT
 
@@ -31,14 +31,18 @@ CODEX = f"type string, timestamp string, payload struct<type:string,id:string,tu
 
 
 def find_logs(spark: SparkSession, roots: dict[str, list[str]], since: datetime | None = None, until: datetime | None = None) -> DataFrame:
-    """(agent, path, mtime, size) of all ``*.jsonl`` below each agent's roots, without tool results and subagents; modification times between the bounds, both inclusive. A path counts once."""
+    """(agent, path, mtime, size) of all ``*.jsonl`` below each agent's roots, without tool results and subagents; modification times between the bounds, both inclusive. A path counts once; roots that don't exist are left out."""
     found = None
     for agent, paths in roots.items():
         for p in paths:
+            if not exists(spark, p):
+                continue
             files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(p).select(F.lit(agent).alias("agent"), "path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
             found = files if found is None else found.unionByName(files)
     if found is None:
-        raise ValueError("no source roots")
+        if not any(roots.values()):
+            raise ValueError("no source roots")
+        return spark.createDataFrame([], "agent string, path string, mtime timestamp, size long")
     for folder in SKIPPED_FOLDERS:
         found = found.where(~F.contains("path", F.lit(f"/{folder}/")))
     if since is not None:
@@ -48,6 +52,21 @@ def find_logs(spark: SparkSession, roots: dict[str, list[str]], since: datetime
     return found.dropDuplicates(["path"])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path (or any that a glob names) is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
+
+
+def outside_roots(files: DataFrame, roots: dict[str, list[str]]) -> DataFrame:
+    """Explicit files (path) that lie in no root of any agent, which a run refuses."""
+    inside = F.lit(False)
+    for paths in roots.values():
+        for p in paths:
+            inside = inside | path_within(F.col("path"), p)
+    return files.where(~inside)
+
+
 def lookback(maximum: int = 0, since: datetime | None = None, until: datetime | None = None, paths: list[str] | None = None, source: str | None = None, now: datetime | None = None) -> tuple[datetime | None, datetime | None]:
     """The modification window of a run: a day back where nothing else bounds it. ValueError for a source together with paths."""
     if source and paths:

@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import lifecycle as lc
 from ledgerloom.operators import organize as og
@@ -83,6 +84,37 @@ def test_organize_errors_reject_the_subject(spark, inputs, actions, why):
     assert [*got] == ["error"] and why in got["error"].error
 
 
+def test_organize_keeps_drafts_and_checks_them(spark):
+    """A complement has its draft's type, subject, statement and rationale; types and statements are checked; one action an input."""
+    head = frame(spark, k("h", order="1"))
+    own = frame(spark, k("a", organized=False, order="2")).withColumn("rationale", F.lit("mine"))
+    schema = "knowledge_id string, kind string, knowledge_ids array<string>, draft_type string, draft_subject string, draft_statement string, draft_rationale string"
+
+    def result(*acts, types=("decision", "rule"), inputs=own):
+        return og.organize(inputs, head, spark.createDataFrame([*acts], schema), types).collect()
+
+    (r,) = result(("a", "complements", ["h"], "rule", "s", " both ", "because"))
+    assert (r.outcome, r.type, r.knowledge_subject, r.statement, r.rationale) == ("merged", "rule", "s", "both", "because")
+    (r,) = result(("a", "new", [], None, None, None, None))
+    assert (r.outcome, r.rationale, r.statement) == ("created", "mine", "claim a")
+    bad = ("a", "complements", ["h"], "rule", "s", "both", None)
+    for act, why in ((bad[:3] + ("odd",) + bad[4:], "unknown type"), (bad[:4] + ("t",) + bad[5:], "belongs to subject"), (bad[:5] + (" ",) + bad[6:], "no proper statement")):
+        (r,) = result(act)
+        assert why in r.error and r.outcome is None
+    (r,) = result(bad, bad)
+    assert "several actions" in r.error
+    (r,) = result(bad, types=("rule",))
+    assert "unknown type" in r.error
+
+
+def test_reachable_from_some(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 8)], "src int, dst int")
+    got = {(r.src, r.dst) for r in lc.reachable(chain, spread=spark.createDataFrame([(1,), (6,)], "src int")).collect()}
+    assert got == {(1, i) for i in range(2, 9)} | {(6, 7), (6, 8)}
+    with pytest.raises(RuntimeError):
+        lc.reachable(chain, rounds=2)
+
+
 def test_subjects_fail_alone(spark):
     got = run(spark, [k("a", organized=False), k("b", organized=False, subject="t")], [], [("a", "new", [])])
     assert got["a"].outcome == "created" and "b" in got["error"].error

@@ -34,9 +34,67 @@ def test_canonical_repo(spark, url, want):
 
 @pytest.mark.parametrize(("alias", "given", "want"), [
     ("/work/a", "/work/a", True), ("/work/*", "/work/a", True), ("/work/*", "/work/a/b", False), ("git@h.com:a/b.git", "https://h.com/a/b", True), ("/w?rk", "/work", True), ("/[vw]ork", "/work", True), ("", "", False), ("/a.b", "/axb", False),
+    ("re[^x]o", "reao", True), ("re[^x]o", "rexo", False), (r"r\*o", "r*o", True), (r"r\*o", r"r\zzo", False), ("[a-c]x", "bx", True), ("[c-a]x", "bx", False), ("[a", "[a", True), ("[a", "a", False), ("[]a]", "a", False), (r"[\]a]x", "]x", True), ("é*", "éa", True), ("a\n*", "a\nb", True), ("x?", "x/", False), ("[^a]", "/", True),
 ])
 def test_aliases(spark, alias, given, want):
-    assert value(spark, tx.alias_matches(F.lit(alias), F.lit(given))) is want
+    row = spark.createDataFrame([(alias, given)], "a string, v string").withColumn("r", tx.glob_regex("a"))
+    assert row.select(tx.alias_matches(F.col("a"), F.col("v"), F.col("r"))).first()[0] is want
+
+
+def glob_by_hand(p, v):
+    """Whether a glob matches, tried character by character; None if it is malformed."""
+    if not p:
+        return not v
+    if p[0] == "*":
+        rest = [glob_by_hand(p[1:], v[k:]) for k in range(len(v) + 1) if "/" not in v[:k]]
+        return None if None in rest else any(rest)
+    if p[0] == "[":
+        k, negated, hit = 1, p[1:2] == "^", False
+        k += negated
+        first = True
+        while first or p[k : k + 1] != "]":
+            bounds = []
+            while True:
+                if p[k : k + 1] in ("", "-", "]"):
+                    return None
+                if p[k] == "\\":
+                    k += 1
+                    if k == len(p):
+                        return None
+                bounds.append(p[k])
+                k += 1
+                if len(bounds) == 1 and p[k : k + 1] == "-":
+                    k += 1
+                    continue
+                break
+            if k >= len(p):
+                return None
+            hit |= bool(v) and bounds[0] <= v[0] <= bounds[-1]
+            first = False
+        rest = glob_by_hand(p[k + 1 :], v[1:])
+        return None if rest is None else bool(v) and hit != negated and rest
+    one = p[0]
+    if one == "\\":
+        if len(p) == 1:
+            return None
+        p, one = p[1:], p[1]
+    elif one == "?":
+        rest = glob_by_hand(p[1:], v[1:])
+        return None if rest is None else bool(v) and v[0] != "/" and rest
+    rest = glob_by_hand(p[1:], v[1:])
+    return None if rest is None else v[:1] == one and rest
+
+
+def test_globs_against_brute_force(spark):
+    """Many short globs over a small alphabet."""
+    import random
+
+    rng = random.Random(1)
+    make = lambda chars, n: "".join(rng.choice(chars) for _ in range(rng.randint(1, n)))
+    rows = sorted({(make("ab/*?[]^-\\.", 6), make("ab/*.-]", 4)) for _ in range(4000)})
+    got = spark.createDataFrame(rows, "a string, v string").withColumn("r", tx.glob_regex("a")).select("a", "v", F.coalesce(F.rlike("v", F.col("r")), F.lit(False)).alias("m")).collect()
+    bad = [(r.a, r.v, r.m) for r in got if r.m != bool(glob_by_hand(r.a, r.v))]
+    assert not bad and sum(r.m for r in got) > 50
 
 
 @pytest.mark.parametrize(("source", "want"), [("https://h.com/Team/My_Repo.git", "my-repo"), ("/work/Ein Ding/", "ein-ding"), ("///", "unknown-subject"), ("日本", "unknown-subject")])
