@@ -271,22 +271,35 @@ def fragment_rows(docs: DataFrame, wanted, order, fragments: int, k: int) -> Dat
 
 
 def partial_overlaps(pairs: DataFrame, rows: DataFrame, threshold: int, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
-    """(a, b, a_size, b_size, fragment, overlap): the shingles that both sets of a pair have in a fragment. Pairs whose fragments' sizes allow no link are left out. Sets that no pair names stay where they are as long as the pairs are few enough to be sent to them."""
+    """(a, b, a_size, b_size, fragment, overlap, room): the shingles that both sets of a pair have in a fragment, and how many they could have in the others. Pairs whose fragments' sizes allow no link are left out. Sets that no pair names stay where they are as long as the pairs are few enough to be sent to them."""
     few = F.broadcast if pairs.count() <= broadcast_pairs else lambda d: d
+    pairs = pairs.select("a", "b", "a_size", "b_size")
     left = rows.select(F.col("node").alias("a"), "fragment", F.col("counts").alias("a_counts"), F.col("shingles").alias("left")).join(few(pairs), "a")
     right = rows.select(F.col("node").alias("b"), "fragment", F.col("counts").alias("b_counts"), F.col("shingles").alias("right")).join(few(pairs.select("b").distinct()), "b", "left_semi")
-    most = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
-    met = left.join(right, ["b", "fragment"]).where((100 + threshold) * most >= threshold * (F.col("a_size") + F.col("b_size")))
-    return met.select("a", "b", "a_size", "b_size", "fragment", F.size(F.array_intersect("left", "right")).alias("overlap"))
+    least = F.zip_with("a_counts", "b_counts", lambda x, y: F.least(x, y))
+    most = F.aggregate(least, F.lit(0), lambda n, x: n + x)
+    met = left.join(right, ["b", "fragment"]).where(_reaches(most, threshold))
+    return met.select("a", "b", "a_size", "b_size", "fragment", F.size(F.array_intersect("left", "right")).alias("overlap"), (most - F.get(least, F.col("fragment"))).alias("room"))
+
+
+def _reaches(overlap, threshold: int):
+    """Whether such an overlap links a pair."""
+    return (100 + threshold) * overlap >= threshold * (F.col("a_size") + F.col("b_size"))
 
 
 def linked(pairs: DataFrame, rows: DataFrame, threshold: int, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
-    """The pairs (a, b) whose overlap, summed over fragments, reaches the threshold."""
-    parts = partial_overlaps(pairs, rows, threshold, broadcast_pairs).repartition("a", "b")
-    # A fragment may be there twice (rows that repeat a doc_id), with the same count.
-    once = parts.groupBy("a", "b", "a_size", "b_size", "fragment").agg(F.max("overlap").alias("overlap"))
-    total = once.groupBy("a", "b", "a_size", "b_size").agg(F.sum("overlap").alias("overlap"))
-    return total.where((100 + threshold) * F.col("overlap") >= threshold * (F.col("a_size") + F.col("b_size"))).select("a", "b")
+    """The pairs (a, b) whose overlap, summed over fragments, reaches the threshold. The rarest fragment is counted first: pairs that all the others could not make up for end there."""
+
+    def once(parts: DataFrame) -> DataFrame:
+        # A fragment may be there twice (rows that repeat a doc_id), with the same count.
+        return parts.repartition("a", "b").groupBy("a", "b", "fragment").agg(F.max("overlap").alias("overlap"), F.max("room").alias("room"))
+
+    rarest = once(partial_overlaps(pairs, rows.where("fragment = 0"), threshold, broadcast_pairs)).select("a", "b", "overlap", "room")
+    # Without a row, one of the sets has nothing in that fragment, or no link is possible.
+    left = pairs.join(rarest, ["a", "b"], "left").where(F.col("room").isNull() | _reaches(F.col("overlap") + F.col("room"), threshold))
+    left = stage(left.select("a", "b", "a_size", "b_size", F.coalesce("overlap", F.lit(0)).alias("so_far")), "open-pairs")
+    others = once(partial_overlaps(left, rows.where("fragment > 0"), threshold, broadcast_pairs)).groupBy("a", "b").agg(F.sum("overlap").alias("more"))
+    return left.join(others, ["a", "b"], "left").where(_reaches(F.col("so_far") + F.coalesce("more", F.lit(0)), threshold)).select("a", "b")
 
 
 def merge_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -353,9 +366,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = spark.sparkContext.broadcast(Order(whole_sketch(measured.where("kind = 1"), cells), fragments))
     sets = measured.where("kind = 0").select("doc_id", "n", "node")
 
-    # Groups with the same members come from several buckets: once is enough.
+    # Groups with the same members come from several buckets: once is enough. A set's own groups are counted, for what is in many of them is a good hub.
     groups = stage(prefix_groups(thin, order, buckets_for(words), k, threshold, hot_count), "prefixes").groupBy("token", "node", "size").agg(F.max("rest").alias("rest"))
     groups = stage(groups, "groups")
+    groups = stage(groups.join(stage(groups.groupBy("node").agg(F.count(F.lit(1)).alias("n_groups")), "counts"), "node"), "counted-groups")
 
     nodes = stage(groups.select("node").distinct().join(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "node").mapInPandas(_marks, "h long"), "nodes")
     n = shared.bloom_segments(nodes.count(), most_bits=most_bits)
@@ -379,17 +393,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     for r, hubs_each in enumerate(hubs_per_round):
         seen = _with_labels(groups, labels)
-        # The smallest set first, then some members by chance; dealt out, so that no group is gathered whole.
-        rank = F.struct(F.col("size").alias("r"), "node") if r == 0 else F.struct(F.xxhash64("node", F.lit(r)).alias("r"), "node")
+        # The member of most groups first, then some members by chance; dealt out, so that no group is gathered whole.
+        by = -F.col("n_groups") if r == 0 else F.xxhash64("node", F.lit(r))
+        rank = F.struct(by.alias("by"), "size", "node")
         dealt = F.pmod(F.xxhash64("node", F.lit(-r)), F.lit(hubs_each))
-        part = seen.groupBy("token", dealt.alias("part")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "size", "rest", "label"), rank).alias("h"))
+        part = seen.groupBy("token", dealt.alias("part")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "size", "rest", "label", by.alias("by")), rank).alias("h"))
         part = stage(part, "hubs")
         mixed = part.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")
-        hubs = part.join(mixed, "token", "left_semi").select("token", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.rest").alias("hub_rest"), F.col("h.label").alias("hub_label"))
+        hubs = part.join(mixed, "token", "left_semi").select("token", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.rest").alias("hub_rest"), F.col("h.label").alias("hub_label"), F.col("h.by").alias("hub_by"))
         # Written first, hubs don't share the members' partitioning, and the join can split a large group's members.
         asked = _able_pairs(seen.join(stage(hubs, "hubs"), "token").where("label != hub_label"), threshold)
         if hubs_each == 1:
-            first = F.min_by(F.struct("size", "hub", "hub_size"), F.struct("hub_size", "hub")).alias("h")
+            first = F.min_by(F.struct("size", "hub", "hub_size"), F.struct("hub_by", "hub_size", "hub")).alias("h")
             asked = asked.groupBy("node").agg(first).select("node", "h.*")
         if not join(_pairs(asked)):
             break

@@ -199,3 +199,6 @@ def test_near_partial_overlaps(spark):
                 for f in range(3):
                     want[names[a], names[b], f] = int((order.fragment(both) == f).sum())
     assert want and {k: n for k, n in got.items() if n} == {k: n for k, n in want.items() if n}
+    links = jj.linked(spark.createDataFrame(pairs_, "a binary, b binary, a_size long, b_size long"), rows, 75)
+    whole = {k[:2]: sum(n for j, n in want.items() if j[:2] == k[:2]) for k in want}
+    assert {(bytes(r.a), bytes(r.b)) for r in links.collect()} == {(a, b) for a, b, x, y in pairs_ if 175 * whole.get((a, b), 0) >= 75 * (x + y)} != set()
