@@ -16,6 +16,7 @@ A manifest names the runs, so that other sessions can open the index.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,6 +35,8 @@ ANCHOR = 5
 BUCKET_ROWS = 500_000
 LEAST_BUCKETS = 64
 FANOUT = 4
+#: Buckets in a file of a run, about. Runs are tables bucketed by bucket, so that joins of runs of one size need no shuffle, however large the index is.
+FILE_BUCKETS = 8
 #: A table is fed in batches of so many bytes of text at most, and in so many batches at least.
 BATCH_BYTES, BATCHES = 1 << 40, 6
 
@@ -160,6 +163,10 @@ class Run(NamedTuple):
     entries: int
     number: int
 
+    @property
+    def files(self) -> int:
+        return max(1, self.buckets // FILE_BUCKETS)
+
 
 MANIFEST = "kind string, path string, level int, buckets int, entries long, number int, window int, anchor int, batch int"
 
@@ -194,8 +201,15 @@ class FingerprintIndex:
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.json(f"{self.folder}/manifests/{self.batch:08d}-{self.compactions:08d}")
 
     def read(self, run: Run, buckets: int | None = None) -> DataFrame:
-        df = self.spark.read.schema(self.SCHEMAS[run.kind]).parquet(run.path)
-        return split_buckets(df, run.buckets, buckets or run.buckets)
+        name = self._table(run.path)
+        if not self.spark.catalog.tableExists(name):  # another session's
+            self.spark.sql(f"CREATE TABLE {name} ({self.SCHEMAS[run.kind]}) USING parquet CLUSTERED BY (bucket) SORTED BY (bucket) INTO {run.files} BUCKETS LOCATION '{run.path}'")
+        return split_buckets(self.spark.table(name), run.buckets, buckets or run.buckets)
+
+    @staticmethod
+    def _table(path: str) -> str:
+        """A run's name as a table of the session: by what tells its folder apart."""
+        return "run_" + hashlib.blake2b(path.encode(), digest_size=12).hexdigest()
 
     def all_of(self, kind: str, buckets: int) -> DataFrame | None:
         """All runs of a kind in so many buckets, which have to be as many as those of every run at least."""
@@ -210,19 +224,24 @@ class FingerprintIndex:
 
     def _write(self, kind: str, df: DataFrame, level: int, buckets: int, entries: int) -> Run:
         path = f"{self.folder}/{kind}-{self.batch:08d}-{level}-{self.compactions}"
-        df.write.parquet(path)
-        return Run(kind, path, level, buckets, entries, self.batch)
+        run = Run(kind, path, level, buckets, entries, self.batch)
+        df.write.bucketBy(run.files, "bucket").sortBy("bucket").format("parquet").option("path", path).saveAsTable(self._table(path))
+        return run
 
     def ingest(self, batch: DataFrame, words: int) -> DataFrame:
         """Append the batch (doc_id, text; about so many words) as a run and return its suspects: fp, a row for each fingerprint that two documents hold, and alone, the one earlier document that held it so far (else null)."""
         self.batch += 1
         run = self._write("fingerprints", batch_run(batch, self.window, n := buckets_of(words // 4), self.anchor), 0, n, words // 4)
-        old = self.all_of("fingerprints", most := self.most_buckets("fingerprints", n))
         suspects = self.read(run).mapInPandas(_within, "fp long, alone long")
-        if old is not None:
-            # Old runs side by side: a bucket's merge join has a row for each, which together know whether one document held a fingerprint.
-            new = self.read(run, most).withColumnsRenamed({"body": "new_body", "owners": "new_owners", "many": "new_many"})
-            met = old.join(new, "bucket").mapInPandas(_across, "fp long, owner long, many boolean, differs boolean")
+        met = None
+        for old in self.runs:
+            if old.kind == "fingerprints":
+                most = max(n, old.buckets)
+                new = self.read(run, most).withColumnsRenamed({"body": "new_body", "owners": "new_owners", "many": "new_many"})
+                both = self.read(old, most).join(new, "bucket").mapInPandas(_across, "fp long, owner long, many boolean, differs boolean")
+                met = both if met is None else met.unionByName(both)
+        if met is not None:
+            # All runs together know whether one document held a fingerprint.
             met = met.groupBy("fp").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.max("many").alias("many"), F.max("differs").alias("differs")).where("differs or many or lo <> hi")
             suspects = suspects.unionByName(met.select("fp", F.when(~F.col("many") & (F.col("lo") == F.col("hi")), F.col("lo")).alias("alone")))
         self.runs.append(run)
@@ -426,6 +445,24 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         per_doc = stage(per_doc, "places")
         index.remember(found.where("keys is not null").select("bucket", F.col("keys").alias("body"), "checks", F.col("doc_ids").alias("owners")), buckets)
         index.commit()
+    else:
+        per_doc = stage(per_doc, "places")
     cut = F.pandas_udf(_cut, "kept string, n_words long, n_removed long")
-    joined = docs.drop("substring_dedup").join(per_doc, (F.col(id_col).cast("long") == F.col("__cut_id")) & (text_key(F.col(text_col).cast("string")) == F.col("__cut_text")), "left")
-    return joined.withColumn("substring_dedup", cut(F.col(text_col).cast("string"), "__cut_starts", F.lit(window))).drop("__cut_id", "__cut_text", "__cut_starts")
+    rest, whole = docs.drop("substring_dedup"), F.col(text_col).cast("string")
+    losers = stage(per_doc.select(F.col("__cut_id").alias("id")).distinct(), "losers")
+    n = shared.bloom_segments(losers.count(), most_bits=most_bits)
+    alone = None
+    if n:
+        # Texts that lose nothing stay where they are.
+        sent = spark.sparkContext.broadcast(shared.build_bloom(losers, "id", n))
+
+        @F.pandas_udf("boolean")
+        def loses(i: pd.Series) -> pd.Series:
+            return pd.Series(bloom_has(sent.value, i.to_numpy(np.int64).view(np.uint64)))
+
+        marked = rest.withColumn("__loses", F.col(id_col).isNotNull() & loses(F.coalesce(F.col(id_col).cast("long"), F.lit(0))))
+        alone = marked.where("not __loses").drop("__loses").withColumn("substring_dedup", cut(whole, F.lit(None).cast("array<binary>"), F.lit(window)))
+        rest = marked.where("__loses").drop("__loses")
+    joined = rest.join(per_doc, (F.col(id_col).cast("long") == F.col("__cut_id")) & (text_key(whole) == F.col("__cut_text")), "left")
+    out = joined.withColumn("substring_dedup", cut(whole, "__cut_starts", F.lit(window))).drop("__cut_id", "__cut_text", "__cut_starts")
+    return out if alone is None else out.unionByName(alone)
