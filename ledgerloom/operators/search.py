@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import keyword_terms, like_contains, occurrences, supports_trigrams
 from ..functions.vectors import dot
+from ..session import checkpoint
 
 # Limits and constants of ranking.
 DEFAULT_LIMIT, MAX_LIMIT, DEFAULT_MAX_TOKENS, BYTES_PER_TOKEN = 20, 100, 2000, 4
@@ -125,19 +126,26 @@ def matches(terms: list[str]) -> Column:
     return out
 
 
-def bm25(index: DataFrame, matched: DataFrame, terms: list[str]) -> DataFrame:
-    """``matched`` with a score column. Counts, lengths and document frequencies are those of the whole index, all kinds, in one aggregate of one row."""
+TEXT_COLUMNS = ("summary", "searchable", "claim")
+
+
+def term_counts(index: DataFrame, terms: list[str]) -> DataFrame:
+    """The index without its texts, but with their length and how often each term stands in them (_tf0, _tf1, ...): one scan of all texts, written as a checkpoint."""
     length = F.greatest(F.length(_searched("summary")) - 2, F.lit(0)) + F.greatest(F.length(_searched("searchable")) - 2, F.lit(0))
-    frequency = [occurrences(_searched("summary"), t) + occurrences(_searched("searchable"), t) for t in terms]
-    lowered = [F.lower(_searched(c)) for c in ("summary", "searchable")]
-    holds = [F.contains(lowered[0], F.lit(t.lower())) | F.contains(lowered[1], F.lit(t.lower())) for t in terms]
-    totals = index.agg(F.count(F.lit(1)).alias("_n"), F.avg(length).alias("_avg"), *(F.count_if(h).alias(f"_df{k}") for k, h in enumerate(holds)))
+    frequency = [(occurrences(_searched("summary"), t) + occurrences(_searched("searchable"), t)).alias(f"_tf{k}") for k, t in enumerate(terms)]
+    return checkpoint(index.select(*(c for c in index.columns if c not in TEXT_COLUMNS), length.alias("_len"), *frequency))
+
+
+def bm25(counted: DataFrame, matched: DataFrame, n_terms: int) -> DataFrame:
+    """``matched`` rows of ``counted`` (term_counts) with a score column. Counts, lengths and document frequencies are those of the whole index, all kinds, in one aggregate of one row."""
+    totals = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_tf{k}") > 0).alias(f"_df{k}") for k in range(n_terms)))
     score = F.lit(0.0)
-    for k, tf in enumerate(frequency):
-        idf = F.log((F.col("_n") - F.col(f"_df{k}") + 0.5) / (F.col(f"_df{k}") + 0.5))
+    for k in range(n_terms):
+        tf, df = F.col(f"_tf{k}"), F.col(f"_df{k}")
+        idf = F.log((F.col("_n") - df + 0.5) / (df + 0.5))
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    return matched.withColumn("_len", length).crossJoin(F.broadcast(totals)).withColumn("score", score).drop("_len", "_n", "_avg", *(f"_df{k}" for k in range(len(terms))))
+    return matched.crossJoin(F.broadcast(totals)).withColumn("score", score)
 
 
 def ranked(rows: DataFrame, order: list[Column], depth: int) -> DataFrame:
@@ -146,13 +154,17 @@ def ranked(rows: DataFrame, order: list[Column], depth: int) -> DataFrame:
 
 
 def text_branch(index: DataFrame, o: Options, depth: int) -> DataFrame:
-    """(id, rank, score). With a short term the newest come first and scores are null."""
+    """(id, rank, score). With a short term the newest come first and scores are null; else texts are scanned once, for statistics and matches alike."""
     terms = o.terms
-    found = eligible(index, o).where(matches(terms))
     if not supports_trigrams(terms):
+        found = eligible(index, o).where(matches(terms))
         rows = found.select("id", "timestamp_ns", F.lit(None).cast("double").alias("score"))
         return ranked(rows, [F.desc("timestamp_ns"), F.asc("id")], depth).select("id", "rank", "score")
-    rows = bm25(index, found, terms).select("id", "timestamp_ns", "score")
+    counted = term_counts(index, terms)
+    found = eligible(counted, o)
+    for k in range(len(terms)):
+        found = found.where(F.col(f"_tf{k}") > 0)
+    rows = bm25(counted, found, len(terms)).select("id", "timestamp_ns", "score")
     return ranked(rows, [F.desc("score"), F.desc("timestamp_ns"), F.asc("id")], depth).select("id", "rank", "score")
 
 
