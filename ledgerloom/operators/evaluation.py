@@ -110,3 +110,15 @@ def token_usage(usage: DataFrame, key: list[str]) -> DataFrame:
 def last_usage(events: DataFrame, key: str, order: str, usage: str) -> DataFrame:
     """The last usage that a run's events report."""
     return events.groupBy(key).agg(F.max_by(usage, order).alias(usage))
+
+
+# The kinds of tokens that a run's events count.
+EVENT_TOKENS = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens")
+
+
+def event_log_totals(lines: DataFrame, raw: str = "raw") -> DataFrame:
+    """One row over the JSON lines of a run's events: tokens of all completed turns, and how many events name an executed command. Lines that are no JSON object count as nothing."""
+    r = F.from_json(raw, f"type string, usage struct<{','.join(f'{c}:long' for c in EVENT_TOKENS)}>, item struct<type:string,command:string>")
+    done, command = F.coalesce(r["type"] == "turn.completed", F.lit(False)), F.coalesce((r["item"]["type"] == "command_execution") & r["item"]["command"].isNotNull(), F.lit(False))
+    total = lambda c: F.coalesce(F.sum(F.when(done, r["usage"][c])), F.lit(0)).alias(c)
+    return lines.agg(F.count_if(done).alias("turns"), *map(total, EVENT_TOKENS), F.count_if(command).alias("commands"))

@@ -87,21 +87,12 @@ def reachable(graph: DataFrame, rounds: int = 64, spread: DataFrame | None = Non
     raise RuntimeError(f"paths are longer than {rounds} doublings")
 
 
-#: Times that ends are taken off before a graph is written.
-TRIMS = 4
-
-
 def on_cycles(graph: DataFrame) -> DataFrame:
-    """(id) of the nodes on cycles: ends are taken off until none is left, then what only leads into cycles is taken off the other way. Each trim only keeps edges between nodes that have both; a round has TRIMS of them."""
-    left = graph.select("src", "dst").distinct()
+    """(id) of the nodes on cycles: ends are taken off until none is left, then what only leads into cycles is taken off the other way. Each round only keeps edges between nodes that have both, so rounds are half as many as the longest chain has links."""
+    left = checkpoint(graph.select("src", "dst").distinct())
     size = -1
     while True:
-        for _ in range(TRIMS):
-            ends = left.select(F.col("src").alias("dst")).distinct()
-            left = left.join(ends, "dst", "left_semi").select("src", "dst")
-            starts = left.select(F.col("dst").alias("src")).distinct()
-            left = left.join(starts, "src", "left_semi").select("src", "dst")
-        left = checkpoint(left)
+        left = checkpoint(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
         n = left.count()
         if n == size or n == 0:
             break

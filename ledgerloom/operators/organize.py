@@ -162,3 +162,15 @@ def apply_drafts(feedstocks: DataFrame, drafts: DataFrame, now) -> DataFrame:
     first = F.col("drafted_at").isNull() & F.col("_summary").isNotNull() & (F.trim("_summary") != "")
     out = feedstocks.join(d, "id", "left").withColumn("_first", first)
     return out.withColumns({"summary": F.when(F.col("_first"), F.trim("_summary")).otherwise(F.col("summary")), "types": F.when(F.col("_first"), F.array_sort(F.array_distinct("_types"))).otherwise(F.col("types")), "drafted_at": F.when(F.col("_first"), F.lit(now)).otherwise(F.col("drafted_at"))}).drop("_first", "_summary", "_types")
+
+
+def pending_subjects(knowledge: DataFrame) -> DataFrame:
+    """Subjects with knowledge that is not organized yet, in order."""
+    return knowledge.where("organized_at is null and coalesce(trim(subject), '') <> ''").select("subject").distinct().orderBy("subject")
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """One row of a run: subjects, those that failed, and how often each outcome came about."""
+    outcomes = ("created", "evidence_added", "merged", "replaced", "historical_conflict_ignored", "discarded")
+    failed = F.count_distinct(F.when(F.col("error").isNotNull(), F.col("subject"))).alias("failed")
+    return results.agg(F.count_distinct("subject").alias("subjects"), failed, *(F.count_if(F.coalesce(F.col("outcome") == o, F.lit(False))).alias(o) for o in outcomes), F.count("retires").alias("retired"))

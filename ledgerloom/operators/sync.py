@@ -105,3 +105,9 @@ def synchronize_vectors(rows: DataFrame, vectors: DataFrame, encoder: Encoder, m
 def vectors_without_rows(vectors: DataFrame, rows: DataFrame) -> DataFrame:
     """Vectors whose metadata is missing: an error of the index."""
     return vectors.join(rows.select("record_key"), "record_key", "left_anti")
+
+
+def embeddable(rows: DataFrame) -> DataFrame:
+    """One row: how many rows have a text to encode, and how many have none."""
+    has = F.coalesce(F.trim(representative()), F.lit("")) != ""
+    return rows.agg(F.count_if(has).alias("with_text"), F.count_if(~has).alias("without_text"))

@@ -232,3 +232,42 @@ def representative_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands for a row in vector search: a summary for turns, else the claim."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "feedstock").otherwise("knowledge").alias("kind"), F.substring(F.coalesce("text", F.lit("")), 1, 20).alias("summary"), F.concat(F.lit(" "), "source").alias("claim"))
     return d.select("doc_id", sync.representative().alias("text"))
+
+
+@query(f"WITH {KNOWLEDGE} SELECT DISTINCT subject FROM ks WHERE NOT organized")
+def pending_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects with unorganized knowledge."""
+    return og.pending_subjects(knowledge(spark, sf_dir))
+
+
+@query("SELECT count(*) FILTER (WHERE trim(coalesce(CASE WHEN doc_id % 2 = 0 THEN left(text, 3) ELSE CASE WHEN doc_id % 5 <> 0 THEN source END END, '')) <> '') AS with_text, count(*) FILTER (WHERE trim(coalesce(CASE WHEN doc_id % 2 = 0 THEN left(text, 3) ELSE CASE WHEN doc_id % 5 <> 0 THEN source END END, '')) = '') AS without_text FROM documents")
+def embeddable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows have a text to encode: half are turns, of the others every fifth has no claim."""
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(F.when(i % 2 == 0, "feedstock").otherwise("knowledge").alias("kind"), F.substring("text", 1, 3).alias("summary"), F.when(i % 5 != 0, F.col("source")).alias("claim"))
+    return sync.embeddable(d)
+
+
+@query("WITH e AS (SELECT event_id AS n, event_type AS t FROM events) SELECT count(*) FILTER (WHERE t = 'click' AND n % 10 <> 0) AS turns, coalesce(sum(n) FILTER (WHERE t = 'click' AND n % 10 <> 0), 0)::BIGINT AS input_tokens, coalesce(sum(n // 2) FILTER (WHERE t = 'click' AND n % 10 <> 0), 0)::BIGINT AS cached_input_tokens, 0::BIGINT AS cache_write_input_tokens, coalesce(sum(7) FILTER (WHERE t = 'click' AND n % 10 <> 0), 0)::BIGINT AS output_tokens, 0::BIGINT AS reasoning_output_tokens, count(*) FILTER (WHERE t = 'view' AND n % 10 <> 0) AS commands FROM e")
+def event_log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and commands of event logs, of which every tenth line is broken."""
+    n = F.col("event_id").cast("long")
+    usage = F.struct(n.alias("input_tokens"), F.floor(n / 2).alias("cached_input_tokens"), F.lit(7).alias("output_tokens"))
+    kind = F.when(F.col("event_type") == "click", "turn.completed").when(F.col("event_type") == "view", "item.completed").otherwise("item.started")
+    raw = F.to_json(F.struct(kind.alias("type"), F.when(F.col("event_type") == "click", usage).alias("usage"), F.struct(F.when(F.col("event_type") == "view", "command_execution").otherwise("reasoning").alias("type"), F.lit("ls").alias("command")).alias("item")))
+    lines = table(spark, sf_dir, "events").select(F.when(n % 10 == 0, F.substring(raw, 1, 9)).otherwise(raw).alias("raw"))
+    return ev.event_log_totals(lines)
+
+
+@query("WITH s AS (SELECT DISTINCT conv_id, '/logs/' || CASE WHEN conv_id % 4 = 0 THEN 'x' ELSE '' END || conv_id || '.jsonl' AS path, CASE WHEN conv_id % 3 = 0 THEN CASE WHEN conv_id % 4 = 0 THEN 'x' ELSE '' END || conv_id ELSE 's' || conv_id END AS session_id FROM conversations) SELECT session_id, path FROM s WHERE conv_id % 5 <> 0 UNION ALL SELECT 'nowhere', NULL")
+def found_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of wanted sessions, by the sessions that they name or their files' names, and a session that none has."""
+    c = table(spark, sf_dir, "conversations")
+    i = F.col("conv_id")
+    path = F.concat(F.lit("/logs/"), F.when(i % 4 == 0, "x").otherwise(""), i, F.lit(".jsonl"))
+    raw = F.to_json(F.struct(F.lit("user").alias("type"), F.when((i % 3 != 0) & (F.col("turn") > 0), F.concat(F.lit("s"), i)).alias("sessionId")))
+    lines = c.select(F.lit("claude").alias("agent"), path.alias("path"), F.col("turn").alias("line"), raw.alias("raw"))
+    catalog = logs.session_catalog(lines.select("agent", "path").distinct(), logs.named_sessions(lines))
+    wanted = catalog.join(c.where(i % 5 != 0).select(path.alias("path")).distinct(), "path", "left_semi").select("agent", "session_id").unionByName(spark.createDataFrame([("claude", "nowhere")], "agent string, session_id string"))
+    found, missing = logs.find_sessions(catalog, wanted)
+    return found.select("session_id", "path").unionByName(missing.select("session_id", F.lit(None).cast("string").alias("path")))

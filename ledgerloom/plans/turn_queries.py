@@ -101,9 +101,13 @@ def draw_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.draw(own, _known(spark, sf_dir), same=["session_id", "timestamp", "user_text", "assistant_text"])[0].select("id", "resumable")
 
 
-@query(f"WITH {TURNS} SELECT id, user_text AS user_input, coalesce(assistant_text, '') AS agent_response, least(turn_no - 1, 3)::INTEGER AS n_prior, coalesce(lag(user_text) OVER (PARTITION BY conv_id ORDER BY turn_no), '') AS last_prior FROM c WHERE strlen(coalesce(assistant_text, '')) <= 4000 AND conv_id NOT IN (SELECT conv_id FROM tn WHERE strlen(assistant_text) > 4000)")
+_ROOM = tx.RESPONSE_BYTES - len(tx.RESPONSE_MARKER.encode())
+_LONG = f"left(a, list_max(list_filter(range({tx.RESPONSE_BYTES}), lambda n: strlen(left(a, n)) <= {_ROOM} // 2))) || '{tx.RESPONSE_MARKER}' || right(a, list_max(list_filter(range({tx.RESPONSE_BYTES}), lambda n: strlen(right(a, n)) <= {_ROOM} - {_ROOM} // 2)))"
+
+
+@query(f"WITH {TURNS}, p AS (SELECT *, coalesce(assistant_text, '') AS a FROM c) SELECT id, user_text AS user_input, CASE WHEN strlen(a) <= {tx.RESPONSE_BYTES} THEN a ELSE {_LONG} END AS agent_response, least(turn_no - 1, 3)::INTEGER AS n_prior, coalesce(lag(user_text) OVER (PARTITION BY conv_id ORDER BY turn_no), '') AS last_prior FROM p")
 def draw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads of all turns, read back from their JSON. The SQL cannot shorten: it leaves out conversations with an answer over 4,000 bytes."""
+    """Payloads of all turns, read back from their JSON; long answers are shortened."""
     c = _candidates(spark, sf_dir)
     say = lambda role, text: F.struct(F.lit(role).alias("role"), F.col(text).alias("content"))
     dialogue = F.when(F.col("assistant_text").isNull(), F.array(say("user", "user_text"))).otherwise(F.array(say("user", "user_text"), say("assistant", "assistant_text")))
@@ -252,6 +256,13 @@ def duplicate_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.key_owners(pages)[0].select("page_id", "record_key", "path")
 
 
+@query(f"WITH {TURNS}, bad AS (SELECT DISTINCT conv_id FROM tn WHERE conv_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND user_text <> upper(user_text)), u AS (SELECT f.id IS NOT NULL AS resumable FROM c LEFT JOIN f USING (id) WHERE (f.id IS NULL OR NOT extracted) AND conv_id NOT IN (SELECT conv_id FROM bad)) SELECT count(*) AS pending, count(*) FILTER (WHERE resumable) AS resumable, (SELECT count(*) FROM tn WHERE conv_id IN (SELECT conv_id FROM bad) AND user_text <> upper(user_text)) AS conflicts FROM u")
+def draw_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a run that draws from two copies of all logs."""
+    own = _copies(spark, sf_dir).withColumn("source_owner_session_id", F.col("session_id"))
+    return runs.draw(own, _known(spark, sf_dir), same=["session_id", "timestamp", "user_text", "assistant_text"])[2]
+
+
 _CUT = f"(400 - {len(tx.RESPONSE_MARKER.encode())})"
 _HEAD = f"left(text, list_max(list_filter(range(401), lambda n: strlen(left(text, n)) <= {_CUT} // 2)))"
 _TAIL = f"CASE WHEN {_CUT} > 0 THEN right(text, list_max(list_filter(range(401), lambda n: strlen(right(text, n)) <= {_CUT} - {_CUT} // 2))) END"

@@ -208,6 +208,26 @@ def decode_codex(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events, r.withColumn("reason", reason).where("reason is not null").select("path", "reason").distinct()
 
 
+def named_sessions(lines: DataFrame) -> DataFrame:
+    """(agent, path, session_id): the first session that a log's own lines name, in either dialect; logs that name none have no row."""
+    r = F.from_json("raw", "sessionId string, type string, id string, payload struct<id:string,session_id:string>")
+    header = F.when(r["type"] == "session_meta", F.coalesce(F.nullif(r["payload"]["id"], F.lit("")), r["payload"]["session_id"])).when(r["type"].isNull(), r["id"])
+    named = F.when(F.col("agent") == "codex", header).otherwise(r["sessionId"])
+    return lines.withColumn("session_id", F.nullif(F.trim(named), F.lit(""))).where("session_id is not null").groupBy("agent", "path").agg(F.min_by("session_id", "line").alias("session_id"))
+
+
+def session_catalog(files: DataFrame, named: DataFrame) -> DataFrame:
+    """(agent, session_id, path) of logs (agent, path): the session that a log names (``named_sessions``), else the one of its file's name."""
+    own = files.select("agent", "path").join(named, ["agent", "path"], "left")
+    return own.select("agent", F.coalesce("session_id", session_from_path(F.col("path"))).alias("session_id"), "path")
+
+
+def find_sessions(catalog: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files of the wanted sessions (agent, session_id), sessions that no configured log holds)."""
+    keys = ["agent", "session_id"]
+    return catalog.join(wanted.select(*keys).distinct(), keys, "left_semi"), wanted.select(*keys).distinct().join(catalog, keys, "left_anti")
+
+
 def fingerprints(files: DataFrame) -> DataFrame:
     """(path, size, first_record_hash, boundary_hash) of binary files: what tells a grown log from a rewritten one."""
     first = F.substring_index(F.col("content").cast("string"), "\n", 1)
