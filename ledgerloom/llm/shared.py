@@ -7,8 +7,6 @@ folder that ``spark.checkpoint.dir`` names, which every executor can reach.
 from __future__ import annotations
 
 import os
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -20,6 +18,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_root
+
 #: Characters of text that are turned into arrays at a time in a task (one longer text is taken whole).
 CHUNK_CHARS = 400_000
 
@@ -28,23 +28,13 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 # ------------------------------------------------------------------ staged tables
-#: Temporary folders by application, where none is configured (one machine).
-_OWN: dict[str, str] = {}
 #: Staged folders by application, so that they can be deleted when nothing reads them any more.
 _STAGED: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The run's folder under ``spark.checkpoint.dir``. Where that is unset, one machine (``local[...]``, as in tests) gets a temporary folder; a cluster is refused."""
-    app = spark.sparkContext.applicationId
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        root = _OWN[app]
-    return f"{root.rstrip('/')}/ledgerloom/{app}"
+    """The run's folder under ``spark.checkpoint.dir``, or what stands in for it on one machine."""
+    return f"{shared_root(spark)}/ledgerloom/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
