@@ -430,7 +430,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         suspects = found if suspects is None else suspects.unionByName(found)
     suspects = stage(suspects, "suspects")
 
-    buckets = index.most_buckets("windows", buckets_of(words))
+    buckets = index.most_buckets("windows", buckets_of(words // 4))  # about a quarter of the windows are suspects
     looked = thin.withColumn("text_key", text_key(F.col("text")))
     if before and history is not None:
         alone = suspects.select(F.col("alone").alias("doc_id")).where("doc_id is not null").distinct()
