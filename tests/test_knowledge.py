@@ -175,3 +175,19 @@ def test_snapshots(spark):
     f = spark.createDataFrame([("fs-a", T0, "s", "t")], "id string, timestamp timestamp, session_id string, turn_id string")
     found, missing = rc.with_established(a, f)
     assert [r.id for r in found.collect()] == ["a"] and {r.id for r in missing.collect()} == {"b", "c"}
+
+
+def test_run_summaries(spark):
+    inputs = frame(spark, k("a", organized=False, order="5"), k("b", organized=False, order="6"), k("c", organized=False, subject="t"))
+    actions = spark.createDataFrame([("a", "new", [], None, None), ("b", "conflicts", ["a"], None, None)], ACTIONS)
+    r = og.summary(og.organize(inputs, spark.createDataFrame([], K), actions)).first()
+    assert (r.subjects, r.failed, r.created, r.replaced, r.retired, r.discarded) == (2, 1, 1, 1, 1, 0)
+    assert [x.subject for x in og.pending_subjects(frame(spark, k("a", organized=False, subject="z"), k("b", organized=False), k("c", organized=False), k("d", subject="q"))).collect()] == ["s", "z"]
+
+
+def test_omitted_documents_are_named(spark):
+    from ledgerloom.operators import documents as dc
+
+    blocks = spark.createDataFrame([("x", 1, "s", t, "## h", b) for t, b in (("a", "aaaa\n"), ("b", "b" * 400), ("c", "cc\n"))], "session string, section int, subject string, template string, heading string, block string")
+    (r,) = dc.inject(blocks, "# p\n", 20, "Ask for them.\n").collect()
+    assert (r.included, r.omitted) == (2, 1) and r.context == "# p\n\n## h\n\naaaa\n\ncc\n" + "\n---\nContext budget reached: 1 document(s) were omitted (context.max_tokens = 20).\nAsk for them.\n"

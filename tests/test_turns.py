@@ -237,3 +237,36 @@ def test_documents_are_replaced_and_deleted(spark):
     new = spark.createDataFrame([("a", "t", ["k"], "new"), ("d", "t", ["k"], "more")], schema)
     after, deleted = runs.write_documents(old, new, old.where("subject = 'b'"))
     assert {r.subject: r.body for r in after.collect()} == {"a": "new", "c": "kept", "d": "more"} and [r.body for r in deleted.collect()] == ["gone"]
+
+
+def test_missing_roots_are_left_out(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.jsonl").write_text("{}")
+    found = logs.find_logs(spark, {"claude": [str(tmp_path / "a"), str(tmp_path / "none")], "codex": [str(tmp_path / "gone")]})
+    assert [r.agent for r in found.collect()] == ["claude"]
+    assert logs.find_logs(spark, {"codex": [str(tmp_path / "gone")]}).count() == 0
+    with pytest.raises(ValueError):
+        logs.find_logs(spark, {})
+    files = spark.createDataFrame([("/r/a.jsonl",), ("/ra/b.jsonl",), ("/q/c.jsonl",)], "path string")
+    assert {r.path for r in logs.outside_roots(files, {"claude": ["/r"], "codex": ["/q/"]}).collect()} == {"/ra/b.jsonl"}
+
+
+def test_sessions_by_name(spark):
+    """A log's own session comes before the one of its file's name, in both dialects."""
+    rows = [("claude", "/l/a.jsonl", 1, '{"type": "summary"}'), ("claude", "/l/a.jsonl", 2, '{"sessionId": "S"}'), ("claude", "/l/b.jsonl", 1, "broken"), ("codex", "/l/rollout-2024-01-02-b-c-d-e-f.jsonl", 1, '{"type": "turn_context"}'), ("codex", "/l/c.jsonl", 1, '{"type": "session_meta", "payload": {"id": "", "session_id": "C"}}'), ("codex", "/l/d.jsonl", 1, '{"id": "D", "timestamp": "t", "git": {}}')]
+    lines_ = spark.createDataFrame(rows, "agent string, path string, line long, raw string")
+    catalog = logs.session_catalog(lines_.select("agent", "path").distinct(), logs.named_sessions(lines_))
+    assert {r.path: r.session_id for r in catalog.collect()} == {"/l/a.jsonl": "S", "/l/b.jsonl": "b", "/l/rollout-2024-01-02-b-c-d-e-f.jsonl": "b-c-d-e-f", "/l/c.jsonl": "C", "/l/d.jsonl": "D"}
+    found, missing = logs.find_sessions(catalog, spark.createDataFrame([("codex", "C"), ("claude", "C"), ("claude", "S")], "agent string, session_id string"))
+    assert {r.path for r in found.collect()} == {"/l/c.jsonl", "/l/a.jsonl"} and [(r.agent, r.session_id) for r in missing.collect()] == [("claude", "C")]
+
+
+def test_a_failed_stream_loses_its_earlier_turns(spark):
+    df = lines(spark, [meta("S"), say("one", 1, turn_id="t"), reply("z"), codex("turn_context")], "codex", "/bad.jsonl")
+    got = tn.assemble_events(logs.decode_codex(df)[0]).collect()
+    assert len(got) == 1 and got[0].error and got[0].user_text is None
+
+
+def test_names_of_turns_get_suffixes():
+    a = tn.Assembler()
+    assert [a._own(x) for x in ("t", "t", "t.2", "t", "u", "t.2", "t.2.2")] == ["t", "t.2", "t.2.2", "t.3", "u", "t.2.3", "t.2.2.2"]
