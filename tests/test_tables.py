@@ -98,7 +98,7 @@ def test_context(spark):
     full = dc.inject(blocks, "Preamble\n").first()
     assert full.included == 3 and full.omitted == 0 and full.context.startswith("Preamble\n\n## Always-injected documents\n\n### api / rules\nSource: documents/api/rules.md\n\nR2\n\n### web / rules")
     small = dc.inject(blocks, "P\n", 40).first()
-    assert small.omitted == 1 and len(small.context.encode()) <= 160
+    assert small.omitted == 1 and len(small.context.split("\n---\n")[0].encode()) <= 160 and "1 document(s) were omitted" in small.context
     tiny = dc.inject(blocks.where("template = 'notes'"), "P\n", 20).first()
     assert tiny.included == 1 and tiny.context.endswith("…[truncated]\n") and len(tiny.context.encode()) <= 80
     assert dc.inject(blocks.limit(0), "P\n").count() == 0
