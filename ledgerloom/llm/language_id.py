@@ -149,7 +149,9 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
             out += [(names[b], 1 - row[b]) if s else (UNKNOWN, 0.0) for b, row, s in zip(best, d, some, strict=True)]
         return pd.DataFrame(out, columns=["lang", "score"])
 
-    return docs.drop("language_id").withColumn("language_id", F.pandas_udf(look, "lang string, score double")(F.col(text_col).cast("string")))
+    # Said to be nondeterministic, so that filters on the result don't have it computed twice.
+    udf = F.pandas_udf(look, "lang string, score double").asNondeterministic()
+    return docs.drop("language_id").withColumn("language_id", udf(F.col(text_col).cast("string")))
 
 
 def fit_threshold(held_out: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang", lost_share: float = LOST_SHARE, size: int = PROFILE) -> float:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .shared import NO_ID, SPACES, bloom_add, bloom_has, build_bloom, chunks, id_text, named, pack, pack_sorted, stage, unpack, unpack_sorted
+from .shared import NO_ID, SPACES, bloom_add, bloom_has, build_bloom, chunks, give_back, id_text, named, pack, pack_sorted, stage, unpack, unpack_sorted
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -181,9 +181,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         @F.pandas_udf(out)
         def keep(ids: pd.Series, text: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([drop(t, sent.value.of(i, _digests(t, min_chars))) for i, t in zip(ids, text, strict=True)], columns=["kept", "n_lines", "n_dropped"])
+            kept = pd.DataFrame([drop(t, sent.value.of(i, _digests(t, min_chars))) for i, t in zip(ids, text, strict=True)], columns=["kept", "n_lines", "n_dropped"])
+            give_back()
+            return kept
 
-        return rest.withColumn("line_dedup", keep(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.col(text_col).cast("string")))
+        return rest.withColumn("line_dedup", keep.asNondeterministic()(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.col(text_col).cast("string")))
 
     @F.pandas_udf("array<binary>")
     def keys(text: pd.Series) -> pd.Series:

@@ -6,6 +6,7 @@ folder that ``spark.checkpoint.dir`` names, which every executor can reach.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,8 +96,15 @@ def crc_mod(id_col: str, n: int) -> Column:
 
 
 # ------------------------------------------------------------------ text as arrays
+def give_back() -> None:
+    """What a worker has freed goes back to the system: workers live on from task to task, and what one of them needs little of later would stay with it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def chunks(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts have about ``limit`` characters together."""
+    """Ranges of rows whose texts have about ``limit`` characters together. After the last one, free memory is given back."""
     lo = total = 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
@@ -105,6 +114,7 @@ def chunks(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
         total += n
     if lo < len(texts):
         yield lo, len(texts)
+    give_back()
 
 
 def mix64(h: np.ndarray, salt: int = 0) -> np.ndarray:
