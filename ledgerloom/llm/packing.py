@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_text, named, stage, unnamed
+from .shared import give_back, id_text, named, stage, unnamed
 
 CAPACITY = 4096
 END_ID = 1
@@ -37,7 +37,7 @@ GROWTH, MOST_PIECES = 4, 1_280_000
 #: Rounds go on as long as one saves more than this share of the bins that it was given.
 LEAST_SAVED = 1 / 10_000
 #: Words (and as many of their parts) whose ids a worker keeps, about 200 bytes each; beyond that the older half goes.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
@@ -147,6 +147,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 yield pd.DataFrame(out, columns=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
         finally:
             tokens.forget()
+            give_back()
 
     return unnamed(named(id_text(docs, id_col, text_col)).withColumn("row", F.monotonically_increasing_id()).mapInPandas(emit, PIECES))
 
