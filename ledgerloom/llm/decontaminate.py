@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, Words, chunks, id_text, pack, stage, unpack
+from .shared import ALNUM, Words, chunks, give_back, id_text, pack, stage, unpack
 
 WINDOW = 10
 #: Characters of text in a block of the index, about.
@@ -153,6 +153,7 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
                         hits[x].append({"first": int(a - b.firsts[x]), "last": int(z - b.firsts[x])})
                     out = pd.DataFrame({"block": row.block, "place": np.arange(n), "doc_id": pd.array([None if pd.isna(i) else int(i) for i in b.ids], "Int64"), "n_words": np.diff(b.firsts), "item_ids": [sorted(s) for s in items_of], "hits": hits})
                     yield out if every else out[[bool(s) for s in items_of]]
+                give_back()
 
         yield index.mapInPandas(look, "block string, place int, doc_id long, n_words long, item_ids array<string>, hits array<struct<first:long,last:long>>")
 
