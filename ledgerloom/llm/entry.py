@@ -7,15 +7,15 @@ import importlib.util
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality, secret_scan, substring_dedup, warc
+from . import centroids, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality, secret_scan, substring_dedup, token_counts, vector_codes, warc
 from .shared import crc_mod, table
 
 
-def tokenizer_path() -> str:
-    """The public vocabulary that packing counts in."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public vocabulary's file; by default the one that packing counts in."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def _sha(text: Column) -> Column:
@@ -78,17 +78,78 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")
+    known = token_counts.learn_table(token_counts.few_files(docs), path)
+    return token_counts.count_tokens(docs.select("doc_id", "text"), path, known).select("doc_id", "token_count.n_bytes", "token_count.n_tokens", "token_count.over_limit")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))[0].drop("label")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op3_line_dedup, op4_language_id, op5_warc, op6_decontaminate, op7_substring_dedup, op8_packing, op9_exact_dedup, op10_jaccard_join, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op3_line_dedup, op4_language_id, op5_warc, op6_decontaminate, op7_substring_dedup, op8_packing, op9_exact_dedup, op10_jaccard_join, op11_token_counts, op12_centroids, op13_vector_codes, pipeline)}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_FLOOR = "(s - ((s % n) + n) % n) // n"  # exact floor(s / n), also of negative sums
+_DISTANCE = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+
+
+def _whole(scale: int) -> str:
+    return f"list_transform(embedding, lambda e: floor({scale} * e::DOUBLE)::BIGINT)"
+
+
+_FINITE = "embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e))), true)"
+
+
+def _centroid_sql() -> str:
+    """Rounds written out one by one."""
+    near = lambda r: f"a{r} AS MATERIALIZED (SELECT vec_id, x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.vec_id, v.x, c.c, {_DISTANCE} AS d FROM v, c{r} c) GROUP BY vec_id, x)"
+    moved = lambda r: f"""m{r} AS (SELECT c, list({_FLOOR} ORDER BY i) AS x FROM (SELECT c, i, sum(x[i]) AS s, count(*) AS n FROM a{r - 1}, range(1, {centroids.COMPONENTS + 1}) t(i) GROUP BY c, i) GROUP BY c),
+        c{r} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r - 1} c LEFT JOIN m{r} m ON m.c = c.c)"""
+    steps = [near(0)]
+    for r in range(1, centroids.ROUNDS + 1):
+        steps += [moved(r), near(r)]
+    last = centroids.ROUNDS
+    return f"""
+        WITH v AS MATERIALIZED (SELECT vec_id, {_whole(centroids.SCALE)} AS x FROM embeddings WHERE len(embedding) = {centroids.COMPONENTS} AND {_FINITE}),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, x FROM v ORDER BY sha256('1:' || vec_id) LIMIT {centroids.CENTROIDS}),
+        {", ".join(steps)},
+        h AS (SELECT c, sha256(array_to_string(x, ',')) AS centroid_sha256 FROM c{last})
+        SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a{last} a JOIN h ON h.c = a.c"""
+
+
+def _code_sql(width: int = 16) -> str:
+    """Rounds written out one by one, for vectors of four parts of ``width`` components."""
+    near = lambda r: f"a{r} AS MATERIALIZED (SELECT vec_id, part, x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT v.vec_id, v.part, v.x, c.e, {_DISTANCE} AS d FROM p v JOIN c{r} c ON c.part = v.part) GROUP BY vec_id, part, x)"
+    moved = lambda r: f"""m{r} AS (SELECT part, e, list({_FLOOR} ORDER BY i) AS x FROM (SELECT part, e, i, sum(x[i]) AS s, count(*) AS n FROM a{r - 1}, range(1, {width + 1}) t(i) GROUP BY part, e, i) GROUP BY part, e),
+        c{r} AS MATERIALIZED (SELECT c.part, c.e, coalesce(m.x, c.x) AS x FROM c{r - 1} c LEFT JOIN m{r} m ON m.part = c.part AND m.e = c.e)"""
+    steps = [near(0)]
+    for r in range(1, vector_codes.ROUNDS + 1):
+        steps += [moved(r), near(r)]
+    last = vector_codes.ROUNDS
+    return f"""
+        WITH v AS (SELECT vec_id, {_whole(vector_codes.SCALE)} AS x FROM embeddings WHERE {_FINITE}),
+        p AS MATERIALIZED (SELECT vec_id, part, x[{width} * part + 1:{width} * part + {width}] AS x FROM v, range(0, {vector_codes.PARTS}) t(part)),
+        c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x FROM p QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {vector_codes.ENTRIES}),
+        {", ".join(steps)},
+        h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c{last}),
+        o AS (SELECT vec_id, string_agg(lower(printf('%02x', e)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY vec_id)
+        SELECT o.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o JOIN embeddings b ON b.vec_id = o.vec_id, h"""
+
+
 SQL = {
     "op3_line_dedup": rf"""
         WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
@@ -132,4 +193,6 @@ SQL = {
                   GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = d.doc_id""",
+    "op12_centroids": _centroid_sql(),
+    "op13_vector_codes": _code_sql(),
 }
