@@ -124,7 +124,8 @@ def _moved(vectors: DataFrame, at: Centroids) -> np.ndarray:
                     sums[c] += x[best == c].sum(0)
                 n += np.bincount(best, minlength=k)
         used = np.flatnonzero(n)
-        yield pd.DataFrame({"cluster": used, "n": n[used], "sums": [*sums[used]]})
+        if len(used):
+            yield pd.DataFrame({"cluster": used, "n": n[used], "sums": [*sums[used]]})
 
     parts = vectors.select("planes", "norm").mapInPandas(add, "cluster int, n long, sums array<long>")
     total = [F.sum(F.col("sums")[i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(COMPONENTS)]

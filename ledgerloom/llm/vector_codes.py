@@ -138,7 +138,8 @@ def _moved(vectors: DataFrame, at: Codebooks) -> np.ndarray:
                     np.add.at(sums[p], best[:, p], x[:, p])
                     n[p] += np.bincount(best[:, p], minlength=shape[1])
         part, entry = np.nonzero(n)
-        yield pd.DataFrame({"part": part, "entry": entry, "n": n[part, entry], "sums": [*sums[part, entry]]})
+        if len(part):
+            yield pd.DataFrame({"part": part, "entry": entry, "n": n[part, entry], "sums": [*sums[part, entry]]})
 
     total = [F.sum(F.col("sums")[i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(shape[2])]
     out = at.entries.copy()
