@@ -21,6 +21,8 @@ UNKNOWN = "und"
 MOST_LANGUAGES = 10_000
 #: The threshold of a score is fitted so that this share of held-out documents is lost.
 LOST_SHARE = 0.001
+#: Characters whose n-grams are made at a time: some 200 bytes of arrays each, and no slower than more of them.
+CHARS = 100_000
 _TABLE: list[np.ndarray] = []
 
 
@@ -79,7 +81,7 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
             texts = pdf["text"].to_list()
             langs, names = pd.factorize(pdf["lang"])
             found: list[tuple] = []
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, CHARS):
                 of, gram, n = doc_grams(texts[lo:hi])
                 key = langs[lo:hi][of]
                 by = np.lexsort((gram, key))
@@ -140,7 +142,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
 
     def look(text: pd.Series) -> pd.DataFrame:
         texts, names, out = text.to_list(), np.array([*sent.value], object), []
-        for lo, hi in chunks(texts):
+        for lo, hi in chunks(texts, CHARS):
             if not len(names):
                 out += [(UNKNOWN, 0.0)] * (hi - lo)
                 continue
