@@ -5,7 +5,8 @@ got, but for the last, which gives pieces placed in sequences. Rows that repeat
 a doc_id stay or go together; rows without one are known by a hash of their
 text. Null texts have no language and go in the first stage. Other columns pass
 through. An empty table gives an empty result. Tables that a stage writes for
-itself are deleted when its documents are written.
+itself are deleted when its documents are written. Stages set how many rows a Python worker
+gets at once (``BATCH_ROWS``), for the session.
 """
 
 from __future__ import annotations
@@ -20,6 +21,15 @@ from ledgerloom.llm.shared import crc_mod, new_path, scratch, stage, table
 _KEY = "__pipeline_key"
 #: Keys (8 bytes each) that are sent to all tasks at most.
 BROADCAST_KEYS = 1_000_000
+#: Rows that a Python worker gets at once, at most. Whole texts are among them, several copies of which are in memory while a batch is passed on.
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """From now on the session's batches have BATCH_ROWS rows at most; a smaller number that is set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -42,6 +52,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     language takes its place. Without any ``lang`` all documents go. Rows that
     repeat are judged alike.
     """
+    _small_batches(spark)
     fold = F.coalesce(crc_mod("doc_id", 4), F.lit(0))
     profiles = language_id.learn_profiles(docs.where(fold != 2))
     least = language_id.fit_threshold(docs.where(fold == 2), profiles)
@@ -52,6 +63,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take lines that many documents share out of the texts; n_chars follows. No document goes: one that loses all its lines, or had none, has an empty text. Rows that repeat a doc_id lose the same lines."""
+    _small_batches(spark)
     out = line_dedup.dedup_lines(docs)
     new = {"text": F.col("line_dedup.kept"), "n_chars": F.length("line_dedup.kept").cast("long")}
     return out.withColumns({c: e for c, e in new.items() if c in docs.columns}).select(docs.columns)
@@ -59,6 +71,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest document of each class of linked ones. Texts without words are linked with nothing and stay; of linked rows without doc_id, the one with the smallest hash stays, unless some row has one."""
+    _small_batches(spark)
     keyed = _keyed(docs)
     classes = jaccard_join.near_duplicates(keyed, id_col=_KEY)
     return _without(keyed, classes.where("doc_id <> component_id")).select(docs.columns)
@@ -66,6 +79,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of a benchmark item. Texts without words hold none; without items nothing goes."""
+    _small_batches(spark)
     keyed = _keyed(docs)
     found = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col=_KEY)
     return _without(keyed, found.where("n_hit > 0")).select(docs.columns)
@@ -73,6 +87,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents that are left into sequences, a row for each piece. An empty text is the end id alone."""
+    _small_batches(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
 
