@@ -11,13 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_terms, like_contains, occurrences, supports_trigrams
 from ..functions.vectors import dot
-from ..session import checkpoint
+from ..session import shared_path
+
+if TYPE_CHECKING:
+    from .text_index import TextIndex
 
 # Limits and constants of ranking.
 DEFAULT_LIMIT, MAX_LIMIT, DEFAULT_MAX_TOKENS, BYTES_PER_TOKEN = 20, 100, 2000, 4
@@ -130,15 +134,14 @@ TEXT_COLUMNS = ("summary", "searchable", "claim")
 
 
 def term_counts(index: DataFrame, terms: list[str]) -> DataFrame:
-    """The index without its texts, but with their length and how often each term stands in them (_tf0, _tf1, ...): one scan of all texts, written as a checkpoint."""
+    """The index without its texts, but with their length in grams and how often each term stands in them (_tf0, _tf1, ...)."""
     length = F.greatest(F.length(_searched("summary")) - 2, F.lit(0)) + F.greatest(F.length(_searched("searchable")) - 2, F.lit(0))
     frequency = [(occurrences(_searched("summary"), t) + occurrences(_searched("searchable"), t)).alias(f"_tf{k}") for k, t in enumerate(terms)]
-    return checkpoint(index.select(*(c for c in index.columns if c not in TEXT_COLUMNS), length.alias("_len"), *frequency))
+    return index.select(*(c for c in index.columns if c not in TEXT_COLUMNS), length.alias("_len"), *frequency)
 
 
-def bm25(counted: DataFrame, matched: DataFrame, n_terms: int) -> DataFrame:
-    """``matched`` rows of ``counted`` (term_counts) with a score column. Counts, lengths and document frequencies are those of the whole index, all kinds, in one aggregate of one row."""
-    totals = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_tf{k}") > 0).alias(f"_df{k}") for k in range(n_terms)))
+def bm25_scores(matched: DataFrame, totals: DataFrame, n_terms: int) -> DataFrame:
+    """``matched`` rows (_len, _tf0, ...) with a score column. ``totals`` is one row of the whole index, all kinds: _n rows, their mean length _avg, and how many have each term (_df0, ...)."""
     score = F.lit(0.0)
     for k in range(n_terms):
         tf, df = F.col(f"_tf{k}"), F.col(f"_df{k}")
@@ -154,17 +157,28 @@ def ranked(rows: DataFrame, order: list[Column], depth: int) -> DataFrame:
 
 
 def text_branch(index: DataFrame, o: Options, depth: int) -> DataFrame:
-    """(id, rank, score). With a short term the newest come first and scores are null; else texts are scanned once, for statistics and matches alike."""
+    """(id, rank, score). With a short term the newest come first and scores are null.
+
+    Otherwise all texts are scanned once: the pass that writes what matches also
+    observes the statistics of the whole index. ``text_index.TextIndex`` gives the
+    same rows from kept lists, without a scan.
+    """
     terms = o.terms
     if not supports_trigrams(terms):
         found = eligible(index, o).where(matches(terms))
         rows = found.select("id", "timestamp_ns", F.lit(None).cast("double").alias("score"))
         return ranked(rows, [F.desc("timestamp_ns"), F.asc("id")], depth).select("id", "rank", "score")
-    counted = term_counts(index, terms)
+    names = [f"_tf{k}" for k in range(len(terms))]
+    seen = Observation()
+    counted = term_counts(index, terms).observe(seen, F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(c) > 0).alias(f"_df{k}") for k, c in enumerate(names)))
     found = eligible(counted, o)
-    for k in range(len(terms)):
-        found = found.where(F.col(f"_tf{k}") > 0)
-    rows = bm25(counted, found, len(terms)).select("id", "timestamp_ns", "score")
+    for c in names:
+        found = found.where(F.col(c) > 0)
+    found = found.select("id", "timestamp_ns", "_len", *names)
+    path = shared_path(index.sparkSession, "matches")
+    found.write.parquet(path)
+    totals = index.sparkSession.range(1).select(*(F.lit(v).cast("double" if k == "_avg" else "long").alias(k) for k, v in seen.get.items()))
+    rows = bm25_scores(index.sparkSession.read.schema(found.schema).parquet(path), totals, len(terms)).select("id", "timestamp_ns", "score")
     return ranked(rows, [F.desc("score"), F.desc("timestamp_ns"), F.asc("id")], depth).select("id", "rank", "score")
 
 
@@ -210,26 +224,27 @@ def newest(index: DataFrame, o: Options) -> DataFrame:
     return ranked(rows, [F.desc("timestamp_ns"), F.asc("id")], o.limit + 1).select("id", "rank")
 
 
-def candidates(index: DataFrame, vectors: DataFrame | None, o: Options) -> DataFrame:
-    """(id, rank) of what a search finds, before rows are loaded. Hybrid search without an encoded query is text search."""
+def candidates(index: DataFrame, vectors: DataFrame | None, o: Options, kept: TextIndex | None = None) -> DataFrame:
+    """(id, rank) of what a search finds, before rows are loaded. Hybrid search without an encoded query is text search. With a kept text index (of the same rows as ``index``) texts are not scanned."""
     o = validate(o)
+    by_text = kept.text_branch if kept else lambda o, depth: text_branch(index, o, depth)
     if not o.terms:
         return newest(index, o)
     if o.mode == "vector":
         return vector_branch(index, vectors, o, o.limit + 1).select("id", "rank")
     if o.mode == "text" or o.query_vector is None or vectors is None:
-        return text_branch(index, o, o.limit + 1).select("id", "rank")
+        return by_text(o, o.limit + 1).select("id", "rank")
     depth = depth_of(o)
-    return fuse({"text": text_branch(index, o, depth), "vector": vector_branch(index, vectors, o, depth)}, o.limit + 1).select("id", "rank")
+    return fuse({"text": by_text(o, depth), "vector": vector_branch(index, vectors, o, depth)}, o.limit + 1).select("id", "rank")
 
 
-def total(index: DataFrame, vectors: DataFrame | None, o: Options) -> DataFrame:
+def total(index: DataFrame, vectors: DataFrame | None, o: Options, kept: TextIndex | None = None) -> DataFrame:
     """One row: the exact number of rows that the search could return at any limit."""
     o = validate(o)
     rows = eligible(index, o)
     if not o.terms:
         return rows.agg(F.count(F.lit(1)).alias("total"))
-    by_text = rows.where(matches(o.terms)).select("id")
+    by_text = kept.matching_ids(o) if kept else rows.where(matches(o.terms)).select("id")
     if o.mode == "text" or o.query_vector is None or vectors is None:
         return by_text.agg(F.count(F.lit(1)).alias("total"))
     by_vector = rows.select("id").join(vectors.where(F.col("kind") == o.kind).select("id"), "id", "left_semi")
@@ -277,14 +292,14 @@ def within_budget(rows: DataFrame, size: Column, max_tokens: int) -> DataFrame:
     return rows.withColumn("_running", running).where(F.col("_running") <= max_tokens * BYTES_PER_TOKEN).drop("_running")
 
 
-def search(index: DataFrame, vectors: DataFrame | None, o: Options) -> tuple[DataFrame, DataFrame]:
+def search(index: DataFrame, vectors: DataFrame | None, o: Options, kept: TextIndex | None = None) -> tuple[DataFrame, DataFrame]:
     """(results by rank, one row of total, returned, has_more and truncated)."""
     o = validate(o)
-    found = candidates(index, vectors, o)
+    found = candidates(index, vectors, o, kept)
     rows = load(index, found, o.kind)
     shown = o.last or o.limit
     page = rows.where(F.col("rank") <= shown)
     results = within_budget(page, json_bytes(page, RESULT_COLUMNS[o.kind]), o.max_tokens)
     counts = page.agg(F.count(F.lit(1)).alias("fetched")).crossJoin(results.agg(F.count(F.lit(1)).alias("returned")))
-    summary = total(index, vectors, o).crossJoin(counts).select("total", "returned", (F.col("returned") < F.col("total")).alias("has_more"), (F.col("returned") < F.col("fetched")).alias("truncated"))
+    summary = total(index, vectors, o, kept).crossJoin(counts).select("total", "returned", (F.col("returned") < F.col("total")).alias("has_more"), (F.col("returned") < F.col("fetched")).alias("truncated"))
     return results, summary

@@ -9,6 +9,8 @@ from ..functions import vectors
 from ..operators import lifecycle as lc
 from ..operators import runs
 from ..operators import search as s
+from ..operators.text_index import TextIndex
+from ..session import shared_path
 from .registry import query
 from .tables import EVENTS, INDEX, KNOWLEDGE, VECTORS, event_rows, index_rows, knowledge, micros, query_vector, table, vector_rows
 
@@ -25,8 +27,7 @@ def _tf(term: str) -> str:
     return f"({count('summary')} + {count('searchable')})"
 
 
-_BM25 = f"""WITH {INDEX},
-    m AS (SELECT *, {', '.join(f"{_tf(t)}::DOUBLE AS tf{k}" for k, t in enumerate(TERMS))}, greatest(length(summary) - 2, 0) + greatest(length(searchable) - 2, 0) AS len FROM idx),
+_RANKED = f"""m AS (SELECT *, {', '.join(f"{_tf(t)}::DOUBLE AS tf{k}" for k, t in enumerate(TERMS))}, greatest(length(summary) - 2, 0) + greatest(length(searchable) - 2, 0) AS len FROM idx),
     t AS (SELECT count(*) AS n, avg(len) AS al, {', '.join(f"count(*) FILTER (WHERE tf{k} > 0) AS df{k}" for k in range(len(TERMS)))} FROM m),
     scored AS (SELECT id, kind, timestamp_ns, {' + '.join(f"(CASE WHEN ln((n - df{k} + 0.5) / (df{k} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{k} + 0.5) / (df{k} + 0.5)) END) * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * len / al))" for k in range(len(TERMS)))} AS score
         FROM m, t WHERE {' AND '.join(f'tf{k} > 0' for k in range(len(TERMS)))}),
@@ -35,6 +36,7 @@ _BM25 = f"""WITH {INDEX},
     vector_branch AS (SELECT v.id, row_number() OVER (ORDER BY list_inner_product(embedding, q) DESC, v.id) AS rank, list_inner_product(embedding, q) AS score FROM vecs v JOIN idx USING (id), query QUALIFY rank <= {DEPTH}),
     fused AS (SELECT id, sum(1.0 / (60 + rank)) AS score FROM (SELECT id, rank FROM text_branch UNION ALL SELECT id, rank FROM vector_branch) GROUP BY id),
     hybrid AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 12) DESC, id) AS rank FROM fused)"""
+_BM25 = f"WITH {INDEX}, {_RANKED}"
 
 
 def _options(**more) -> s.Options:
@@ -205,5 +207,69 @@ def mode_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+# ------------------------------------------------------------------ a kept text index
+def _kept(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The text index of all rows, written to the shared folder."""
+    kept = TextIndex(spark, shared_path(spark, "text-index"))
+    kept.update(index_rows(spark, sf_dir))
+    return kept
+
+
+@query(f"{_BM25} SELECT id, rank::INTEGER AS rank, round(score, 6) AS score FROM text_branch")
+def index_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents by BM25, from the lists of a kept index alone."""
+    return _kept(spark, sf_dir).text_branch(_options(), DEPTH).withColumn("score", F.round("score", 6))
+
+
+@query(f"{_BM25} SELECT h.rank::INTEGER AS rank, h.id, subjects[1] AS subject, types[1] AS template, make_timestamp(timestamp_ns // 1000) AS timestamp, path FROM hybrid h JOIN idx USING (id) WHERE h.rank <= {DEPTH - 1}")
+def index_search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole hybrid search over a kept index."""
+    kept, o = _kept(spark, sf_dir), _options(mode="hybrid", query_vector=query_vector(spark, sf_dir), max_tokens=1_000_000)
+    return s.search(kept.rows(), vector_rows(spark, sf_dir), o, kept)[0].withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+# After changes: every fifth document reversed and every seventh gone, every third message's summary repeated.
+_CHANGED = f"""{INDEX.replace('idx AS', 'before AS', 1)}, idx AS (SELECT id, kind, timestamp_ns, CASE WHEN kind = 'feedstock' AND (timestamp_ns // 1000) % 3 = 0 THEN summary || ' ' || summary ELSE summary END AS summary,
+        CASE WHEN kind = 'document' AND (timestamp_ns // 1000) % 5 = 0 THEN reverse(searchable) ELSE searchable END AS searchable FROM before WHERE NOT (kind = 'document' AND (timestamp_ns // 1000) % 7 = 0))"""
+
+
+def _changed_kept(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """An index that grew by four updates, so that lists of several generations were merged."""
+    rows, kept = index_rows(spark, sf_dir), TextIndex(spark, shared_path(spark, "text-index"))
+    number = F.floor(F.col("timestamp_ns") / 1000)
+    kept.update(rows.where("kind = 'document'"))
+    kept.update(rows.where((F.col("kind") == "feedstock") & (number % 2 == 0)))
+    kept.update(rows.where((F.col("kind") == "document") & (number % 5 == 0)).withColumn("searchable", F.reverse("searchable")))
+    kept.update(rows.where((F.col("kind") == "feedstock") & (number % 2 == 1)), rows.where((F.col("kind") == "document") & (number % 7 == 0)))
+    again = rows.where((F.col("kind") == "feedstock") & (number % 3 == 0))
+    kept.update(again.withColumn("summary", F.concat_ws(" ", "summary", "summary")))
+    return kept
+
+
+@query(f"WITH {_CHANGED}, {_RANKED} SELECT id, rank::INTEGER AS rank, round(score, 6) AS score FROM text_branch")
+def index_changed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 after changes, removals and a merge: lists of rows that are gone count no more."""
+    return _changed_kept(spark, sf_dir).text_branch(_options(), DEPTH).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_CHANGED} SELECT id FROM idx WHERE (contains(lower(summary), 'große') OR contains(lower(searchable), 'große')) OR (contains(lower(summary), 'stone') OR contains(lower(searchable), 'stone'))")
+def index_changed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of both kinds that hold one of two words, after the same changes."""
+    kept = _changed_kept(spark, sf_dir)
+    found = None
+    for kind in ("document", "feedstock"):
+        for word in ("Große", "STONE"):
+            own = kept.matching_ids(s.Options(kind, [word], "text"))
+            found = own if found is None else found.union(own)
+    return found.distinct()
+
+
+@query(f"WITH {INDEX} SELECT count(*) AS total FROM idx WHERE kind = 'document' AND {_MATCH}")
+def index_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact number of matches, from lists alone."""
+    kept = _kept(spark, sf_dir)
+    return s.total(kept.rows(), None, _options(), kept)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_results(spark, sf_dir)

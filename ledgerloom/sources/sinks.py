@@ -22,21 +22,14 @@ def _fs(spark: SparkSession, path: str):
     return jvm, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def publish(rows: DataFrame, root: str, version: int, expected: int | None = None) -> None:
-    """Write a snapshot beside the others, then move a pointer to it: readers see the old or the new one, never a part.
-
-    With ``expected``, the snapshot that the change was made from must still be
-    the current one. A run that dies before the pointer moves leaves the old
-    snapshot in force and is simply run again.
-    """
-    spark = rows.sparkSession
+def write_pointer(spark: SparkSession, root: str, content: dict, expected: int | None = None) -> None:
+    """Put ``content``, which has a version, in the place of the folder's pointer, at once. With ``expected``, that version must still be the current one."""
     if expected is not None and current_version(spark, root) != expected:
         raise RuntimeError(f"snapshot {expected} is no longer current")
-    rows.write.mode("overwrite").parquet(f"{root}/v={version}")
     jvm, fs, target = _fs(spark, f"{root}/{POINTER}")
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{root}/.{version}.{POINTER}")
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{root}/.{content['version']}.{POINTER}")
     out = fs.create(fresh, True)
-    out.write(bytearray(json.dumps({"version": version}).encode()))
+    out.write(bytearray(json.dumps(content).encode()))
     out.close()
     options = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
@@ -44,11 +37,42 @@ def publish(rows: DataFrame, root: str, version: int, expected: int | None = Non
     options.rename(fresh, target, overwrite)
 
 
-def current_version(spark: SparkSession, root: str) -> int | None:
+def read_pointer(spark: SparkSession, root: str) -> dict | None:
+    """What the folder's pointer holds; None if there is none."""
     _, fs, p = _fs(spark, f"{root}/{POINTER}")
     if not fs.exists(p):
         return None
-    return spark.read.schema("version int").json(f"{root}/{POINTER}").first()["version"]
+    return json.loads(spark.read.text(f"{root}/{POINTER}", wholetext=True).first()["value"])
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    _, fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders right below ``root``."""
+    _, fs, p = _fs(spark, root)
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+
+
+def publish(rows: DataFrame, root: str, version: int, expected: int | None = None) -> None:
+    """Write a snapshot beside the others, then move a pointer to it: readers see the old or the new one, never a part.
+
+    With ``expected``, the snapshot that the change was made from must still be
+    the current one. A run that dies before the pointer moves leaves the old
+    snapshot in force and is simply run again.
+    """
+    spark = rows.sparkSession
+    if expected is not None and current_version(spark, root) != expected:
+        raise RuntimeError(f"snapshot {expected} is no longer current")
+    rows.write.mode("overwrite").parquet(f"{root}/v={version}")
+    write_pointer(spark, root, {"version": version}, expected)
+
+
+def current_version(spark: SparkSession, root: str) -> int | None:
+    found = read_pointer(spark, root)
+    return found["version"] if found else None
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
