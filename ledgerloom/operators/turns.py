@@ -7,6 +7,9 @@ session at a time in line order; streams use the same one.
 
 from __future__ import annotations
 
+import json
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +98,15 @@ class Assembler:
         return [now] if now and (complete or now["done"]) else []
 
 
+def dump_state(state: dict) -> str:
+    """An assembler's state as text."""
+    return json.dumps(state, default=lambda v: {"ts": v.isoformat()})
+
+
+def load_state(text: str) -> dict:
+    return json.loads(text, object_hook=lambda d: datetime.fromisoformat(d["ts"]) if [*d] == ["ts"] and isinstance(d["ts"], str) else d)
+
+
 class _Turns:
     """A stream's turns as they close. After an event that can't be applied, the rest of the stream is not looked at."""
 

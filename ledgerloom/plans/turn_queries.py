@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +10,9 @@ from ..functions import text as tx
 from ..functions.ids import feedstock_id
 from ..operators import documents as dc
 from ..operators import runs, sync, turns
+from ..session import shared_path
 from ..sources import logs
+from ..sources.log_cache import LogCache
 from ..streaming.turns import assemble_stream
 from .registry import query
 from .tables import table
@@ -154,11 +157,8 @@ def log_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.where("error is null").select("session_id", "turn_id", "user_text", F.coalesce("assistant_text", F.lit("")).alias("assistant_text"))
 
 
-def _codex_files(spark: SparkSession, sf_dir: str) -> str:
-    """Conversations as log files of the dialect of typed payloads, one a session, written to the shared folder."""
-    from ..session import shared_path
-
-    c = table(spark, sf_dir, "conversations").where("role <> 'system'")
+def _codex_lines(c: DataFrame) -> DataFrame:
+    """(conv_id, at, raw): conversations as log lines of the dialect of typed payloads, each after its session's metadata."""
     ts = lambda n: F.date_format(F.timestamp_seconds(n), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     session = F.col("conv_id").cast("string")
     blank = F.lit(None).cast("string")
@@ -166,7 +166,12 @@ def _codex_files(spark: SparkSession, sf_dir: str) -> str:
     blocks = F.array(F.struct(F.lit("output_text").alias("type"), F.col("text").alias("text")))
     said = F.when(F.col("role") == "user", line("event_msg", type=F.lit("user_message"), turn_id=F.concat_ws("-", "conv_id", "turn"), message=F.col("text"))).otherwise(line("response_item", type=F.lit("message"), role=F.lit("assistant"), phase=F.lit("final_answer"), content=blocks))
     head = c.select("conv_id").distinct().withColumn("turn", F.lit(None).cast("int")).select("conv_id", F.lit(-1).alias("at"), line("session_meta", id=session, cwd=F.lit("/work"), source=F.lit("cli"), x=blank).alias("raw"))
-    rows = head.unionByName(c.select("conv_id", F.col("turn").alias("at"), said.alias("raw")))
+    return head.unionByName(c.select("conv_id", F.col("turn").alias("at"), said.alias("raw")))
+
+
+def _codex_files(spark: SparkSession, sf_dir: str) -> str:
+    """These lines as log files, one a session, written to the shared folder."""
+    rows = _codex_lines(table(spark, sf_dir, "conversations").where("role <> 'system'"))
     # One file a session: its lines, in order, as one row of text.
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("lines")).select(F.array_join(F.transform("lines", lambda x: x["raw"]), "\n").alias("value"), F.concat_ws("-", F.lit("s"), "conv_id").alias("session"))
     folder = shared_path(spark, "codex-logs")
@@ -176,13 +181,71 @@ def _codex_files(spark: SparkSession, sf_dir: str) -> str:
 
 @query(f"{_LOG_SQL} WHERE assistant_text IS NOT NULL OR (conv_id, turn_no) NOT IN (SELECT (conv_id, max(turn_no)) FROM tn GROUP BY conv_id)")
 def codex_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log files of the second dialect: written, found below their root, read, decoded and assembled."""
+    """Log files of the second dialect: written, read, decoded and assembled."""
     folder = _codex_files(spark, sf_dir)
     lines, _ = logs.usable_lines(logs.read_lines(spark, [folder], "codex"))
     done = turns.assemble_events(logs.decode_codex(lines)[0])
     return done.where("error is null").select("session_id", "turn_id", "user_text", F.coalesce("assistant_text", F.lit("")).alias("assistant_text"))
 
 
+#: Sessions that one log of ``_growing_logs`` holds, and what becomes of a log between two runs, by its number.
+_SESSIONS_A_LOG, _FATES = 10, ("reuse", "resume", "relocate", "reparse")
+
+
+def _growing_logs(spark: SparkSession, sf_dir: str, root: str, later: bool) -> DataFrame:
+    """Logs of ten sessions each below ``root``, as they are at first, or later: by their number they stay, grow from an incomplete line on, move or are rewritten. Files of the last two kinds have another name or beginning at first."""
+    c = table(spark, sf_dir, "conversations").where("role <> 'system'")
+    lines = _codex_lines(c).withColumn("log", F.floor(F.col("conv_id") / _SESSIONS_A_LOG))
+
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        rows = pdf.sort_values(["conv_id", "at"])["raw"].to_list()
+        body, first = ("\n".join(rows) + "\n").encode(), len(rows[0].encode())
+        system, at = fs.FileSystem.from_uri(f"{root}/{key[0]}.jsonl")
+        old, fate = at.removesuffix(".jsonl") + "-old.jsonl", _FATES[key[0] % 4]
+        system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        if fate == "relocate" and later:
+            if system.get_file_info(at).type == fs.FileType.NotFound:
+                system.move(old, at)
+        elif not (fate == "reuse" and later):
+            if not later and fate == "resume":
+                body = body[: max(len(body) // 2, first + 2)]
+            if not later and fate == "reparse":
+                body = b'{"type":"session_meta"}\n' + body[: len(body) // 3].rpartition(b"\n")[0] + b"\n"
+            with system.open_output_stream(old if fate == "relocate" else at) as f:
+                f.write(body)
+        return pd.DataFrame({"log": [key[0]]})
+
+    return lines.groupBy("log").applyInPandas(write, "log long")
+
+
+def _ingested_twice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(turns, report) of a second run, after logs grew, moved and were rewritten."""
+    root, kept = shared_path(spark, "growing-logs"), LogCache(spark, shared_path(spark, "log-cache"))
+    out = None
+    for later in (False, True):
+        _growing_logs(spark, sf_dir, root, later).count()
+        out = kept.run(logs.find_logs(spark, {"codex": [root]}))
+    return out[0], out[1]
+
+
+@query(f"{_LOG_SQL} WHERE assistant_text IS NOT NULL OR (conv_id, turn_no) NOT IN (SELECT (conv_id, max(turn_no)) FROM tn GROUP BY conv_id)")
+def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of logs that were read, then grew, moved or were rewritten, and were read on: the same as of a full parse."""
+    done = _ingested_twice(spark, sf_dir)[0]
+    return done.select("session_id", "turn_id", "user_text", F.coalesce("assistant_text", F.lit("")).alias("assistant_text"))
+
+
+@query(f"WITH l AS (SELECT DISTINCT conv_id // {_SESSIONS_A_LOG} AS log FROM conversations WHERE role <> 'system') SELECT log::BIGINT AS log, CASE log % 4 {' '.join(f"WHEN {k} THEN '{f}'" for k, f in enumerate(_FATES))} END AS decision, CASE log % 4 WHEN 1 THEN 'part' WHEN 3 THEN 'all' ELSE 'none' END AS bytes_read FROM l")
+def ingest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the second run decided for each log, and how much of it was read."""
+    report = _ingested_twice(spark, sf_dir)[1]
+    log = F.regexp_extract("path", "([0-9]+)[.]jsonl$", 1).cast("long")
+    share = F.when(F.col("bytes_read") == 0, "none").when(F.col("start") > 0, "part").otherwise("all")
+    return report.select(log.alias("log"), "decision", share.alias("bytes_read"))
+
+
 @query(f"WITH {TURNS} SELECT id, user_text FROM c WHERE assistant_text IS NOT NULL OR (conv_id, turn_no) NOT IN (SELECT (conv_id, max(turn_no)) FROM tn GROUP BY conv_id)".replace("'feedstock-v1' || chr(0) || 'claude' || chr(0) || conv_id || chr(0) || turn_no", "'feedstock-v1' || chr(0) || 'claude' || chr(0) || conv_id || chr(0) || conv_id || '-' || first_position"))
 def log_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as feedstock candidates with ids and dialogue."""
@@ -194,8 +257,6 @@ def log_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_LOG_SQL} WHERE assistant_text IS NOT NULL OR (conv_id, turn_no) NOT IN (SELECT (conv_id, max(turn_no)) FROM tn GROUP BY conv_id)")
 def stream_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stream over the conversations' files, with each session's state kept between micro-batches."""
-    from ..session import shared_path
-
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     out = shared_path(spark, "stream-turns")
     source = spark.readStream.schema(c.schema).parquet(f"{sf_dir}/conversations.parquet*")

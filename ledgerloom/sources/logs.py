@@ -164,17 +164,25 @@ def codex_shapes(lines: DataFrame) -> DataFrame:
     return keyed.withColumn("_fits", fits).withColumn("shape", F.when(F.size("_fits") == 1, F.get("_fits", F.lit(0)))).drop("_keys", "_fits")
 
 
-def decode_codex(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events, warnings) of the dialect of typed payloads. Each session of a file is a stream; files that begin with a subagent's session are left out."""
+def codex_records(lines: DataFrame) -> DataFrame:
+    """``lines`` with shape, record (r), the session that a record names (_own) and, where it is a session's metadata, whether that is a subagent's (_sub)."""
     r = codex_shapes(lines).withColumn("r", F.from_json("raw", CODEX))
+    p, meta = F.col("r.payload"), (F.col("shape") == "current") & (F.col("r.type") == "session_meta")
+    own = F.when(meta, F.coalesce(F.nullif(p["id"], F.lit("")), p["session_id"])).when(F.col("shape") == "header", F.col("r.id"))
+    sub = F.coalesce(p["source"].contains("subagent"), F.lit(False)) | F.coalesce(p["thread_source"] == "subagent", F.lit(False))
+    return r.withColumn("_own", own).withColumn("_sub", F.when(meta, sub))
+
+
+def decode_codex(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, warnings) of the dialect of typed payloads. Each session of a file is a stream; files that begin with a subagent's session are left out. Lines may have ``carried``: the session that a log was in where they begin."""
+    carried = F.col("carried") if "carried" in lines.columns else F.lit(None).cast("string")
+    r = codex_records(lines)
     kind, p = F.when(F.col("shape") == "current", F.col("r.type")), F.col("r.payload")
     meta = kind == "session_meta"
-    own = F.when(meta, F.coalesce(F.nullif(p["id"], F.lit("")), p["session_id"])).when(F.col("shape") == "header", F.col("r.id"))
     w = Window.partitionBy("path").orderBy("line")
-    r = r.withColumn("_own", own).withColumn("_stream", F.coalesce(F.last("_own", ignorenulls=True).over(w), session_from_path(F.col("path"))))
-    sub = F.coalesce(p["source"].contains("subagent"), F.lit(False)) | F.coalesce(p["thread_source"] == "subagent", F.lit(False))
-    first = r.where(meta).groupBy("path").agg(F.min_by(sub, "line").alias("_sub"))
-    r = r.join(first.where("_sub").select("path"), "path", "left_anti")
+    r = r.withColumn("_stream", F.coalesce(F.last("_own", ignorenulls=True).over(w), carried, session_from_path(F.col("path"))))
+    first = r.where(meta & carried.isNull()).groupBy("path").agg(F.min_by("_sub", "line").alias("_sub"))
+    r = r.drop("_sub").join(first.where("_sub").select("path"), "path", "left_anti")
     item = F.col("shape") == "item"
     ts = F.try_to_timestamp("r.timestamp")
     fallback = record_turn_id(F.col("raw"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,18 +10,12 @@ from pyspark.sql.streaming.state import GroupState
 
 from ..operators.folds import frame, records
 from ..operators.turns import STREAM, TURN_COLUMNS, TURN_SCHEMA, Assembler
+from ..operators.turns import dump_state as _dump
+from ..operators.turns import load_state as _load
 
 STATE_SCHEMA = "state string"
 
 
-def _dump(state: dict) -> str:
-    return json.dumps(state, default=lambda v: {"ts": v.isoformat()})
-
-
-def _load(text: str) -> dict:
-    return json.loads(text, object_hook=lambda d: datetime.fromisoformat(d["ts"]) if [*d] == ["ts"] and isinstance(d["ts"], str) else d)
-
-
 def assemble_stream(events: DataFrame) -> DataFrame:
     """Turns as they close, in append mode. A stream's open turn stays in its state; within a micro-batch events are applied in line order. An event that can't be applied gives a row with its error and is skipped."""
 
