@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_statistics import order_statistics, quantiles
+
 MRR_DEPTH, MRR_GRADE, MISSING_RANK = 10, 2, 21
 
 
@@ -31,8 +32,10 @@ def macro_mean(metrics: DataFrame) -> DataFrame:
 
 
 def distribution(rows: DataFrame, column: str) -> DataFrame:
-    """count, min, p10, p50, p90, p95 and max, interpolated linearly."""
-    return rows.agg(F.count(column).alias("count"), F.min(column).alias("min"), *(F.percentile(column, q / 100).alias(f"p{q}") for q in (10, 50, 90, 95)), F.max(column).alias("max"))
+    """count, min, p10, p50, p90, p95 and max, interpolated linearly; exact, by refinement of histograms."""
+    _, found = quantiles(rows, column, [0.1, 0.5, 0.9, 0.95])
+    ends = rows.agg(F.count(column).alias("count"), F.min(column).alias("min"), F.max(column).alias("max"))
+    return ends.select("count", "min", *(F.lit(v).cast("double").alias(f"p{round(100 * q)}") for q, v in found.items()), "max")
 
 
 def recall_curve(ranking: DataFrame, qrels: DataFrame, cutoffs: list[int]) -> DataFrame:
@@ -62,15 +65,14 @@ def compare_rankings(left: DataFrame, right: DataFrame, exact: int = 10, depth:
 
 
 def threshold(scores: DataFrame, column: str = "score", share: float = 0.05) -> DataFrame:
-    """One row: the least threshold that at most ``share`` of these (negative) scores reach: just above the first that has to stay out. The scores kept are a top list of that share."""
-    n = scores.count()
-    allowed = math.floor(share * n)
-    first = scores.select(F.col(column).alias("s")).orderBy(F.desc("s")).limit(allowed + 1).agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n"))
-
-    def above(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None or math.isnan(x) else math.nextafter(x, math.inf))
-
-    return first.select(F.when(F.col("n") > allowed, F.pandas_udf(above, "double")("s")).otherwise(F.col("s")).alias("threshold"))
+    """One row: the least threshold that at most ``share`` of these (negative) scores reach: just above the first that has to stay out. Null without a score, or where that one is NaN."""
+    n, known = scores.agg(F.count(F.lit(1)), F.count(column)).first()
+    out = None
+    if known:
+        at = known - min(math.floor(share * n) + 1, known)
+        first = order_statistics(scores, column, [at])[at]
+        out = None if math.isnan(first) else math.nextafter(first, math.inf)
+    return scores.sparkSession.range(1).select(F.lit(out).cast("double").alias("threshold"))
 
 
 def payload_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -117,8 +119,9 @@ EVENT_TOKENS = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens
 
 
 def event_log_totals(lines: DataFrame, raw: str = "raw") -> DataFrame:
-    """One row over the JSON lines of a run's events: tokens of all completed turns, and how many events name an executed command. Lines that are no JSON object count as nothing."""
-    r = F.from_json(raw, f"type string, usage struct<{','.join(f'{c}:long' for c in EVENT_TOKENS)}>, item struct<type:string,command:string>")
-    done, command = F.coalesce(r["type"] == "turn.completed", F.lit(False)), F.coalesce((r["item"]["type"] == "command_execution") & r["item"]["command"].isNotNull(), F.lit(False))
+    """One row over the JSON lines of a run's events: tokens of all completed turns, and how many events name an executed command, which is a string. Lines that are no JSON object count as nothing."""
+    named = F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), "$.item.command", "variant")) == "STRING"
+    r = F.from_json(raw, f"type string, usage struct<{','.join(f'{c}:long' for c in EVENT_TOKENS)}>, item struct<type:string>")
+    done, command = F.coalesce(r["type"] == "turn.completed", F.lit(False)), F.coalesce((r["item"]["type"] == "command_execution") & named, F.lit(False))
     total = lambda c: F.coalesce(F.sum(F.when(done, r["usage"][c])), F.lit(0)).alias(c)
     return lines.agg(F.count_if(done).alias("turns"), *map(total, EVENT_TOKENS), F.count_if(command).alias("commands"))

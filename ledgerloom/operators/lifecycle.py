@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
+from .cycles import components
 
 
 def effective_status() -> Column:
@@ -88,19 +89,8 @@ def reachable(graph: DataFrame, rounds: int = 64, spread: DataFrame | None = Non
 
 
 def on_cycles(graph: DataFrame) -> DataFrame:
-    """(id) of the nodes on cycles: ends are taken off until none is left, then what only leads into cycles is taken off the other way. Each round only keeps edges between nodes that have both, so rounds are half as many as the longest chain has links."""
-    left = checkpoint(graph.select("src", "dst").distinct())
-    size = -1
-    while True:
-        left = checkpoint(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-        n = left.count()
-        if n == size or n == 0:
-            break
-        size = n
-    if n == 0:
-        return left.select(F.col("src").alias("id"))
-    closure = reachable(left)
-    return closure.where("src = dst").select(F.col("src").alias("id")).distinct()
+    """(id) of the nodes on cycles of edges (src, dst); see ``cycles``."""
+    return components(graph).select("id")
 
 
 def validate_graph(knowledge: DataFrame) -> DataFrame:

@@ -248,13 +248,15 @@ def embeddable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.embeddable(d)
 
 
-@query("WITH e AS (SELECT event_id AS n, event_type AS t FROM events) SELECT count(*) FILTER (WHERE t = 'click' AND n % 10 <> 0) AS turns, coalesce(sum(n) FILTER (WHERE t = 'click' AND n % 10 <> 0), 0)::BIGINT AS input_tokens, coalesce(sum(n // 2) FILTER (WHERE t = 'click' AND n % 10 <> 0), 0)::BIGINT AS cached_input_tokens, 0::BIGINT AS cache_write_input_tokens, coalesce(sum(7) FILTER (WHERE t = 'click' AND n % 10 <> 0), 0)::BIGINT AS output_tokens, 0::BIGINT AS reasoning_output_tokens, count(*) FILTER (WHERE t = 'view' AND n % 10 <> 0) AS commands FROM e")
+@query("WITH e AS (SELECT event_id AS n, event_type AS t FROM events) SELECT count(*) FILTER (WHERE t = 'click' AND n % 10 <> 0) AS turns, coalesce(sum(n) FILTER (WHERE t = 'click' AND n % 10 <> 0), 0)::BIGINT AS input_tokens, coalesce(sum(n // 2) FILTER (WHERE t = 'click' AND n % 10 <> 0), 0)::BIGINT AS cached_input_tokens, 0::BIGINT AS cache_write_input_tokens, coalesce(sum(7) FILTER (WHERE t = 'click' AND n % 10 <> 0), 0)::BIGINT AS output_tokens, 0::BIGINT AS reasoning_output_tokens, count(*) FILTER (WHERE t = 'view' AND n % 10 <> 0 AND n % 7 > 2) AS commands FROM e")
 def event_log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens and commands of event logs, of which every tenth line is broken."""
+    """Tokens and commands of event logs, of which every tenth line is broken; some commands are lists, numbers or null, which count as none."""
     n = F.col("event_id").cast("long")
     usage = F.struct(n.alias("input_tokens"), F.floor(n / 2).alias("cached_input_tokens"), F.lit(7).alias("output_tokens"))
     kind = F.when(F.col("event_type") == "click", "turn.completed").when(F.col("event_type") == "view", "item.completed").otherwise("item.started")
     raw = F.to_json(F.struct(kind.alias("type"), F.when(F.col("event_type") == "click", usage).alias("usage"), F.struct(F.when(F.col("event_type") == "view", "command_execution").otherwise("reasoning").alias("type"), F.lit("ls").alias("command")).alias("item")))
+    for k, other in enumerate(('["ls","-l"]', "7", "null")):
+        raw = F.when(n % 7 == k, F.replace(raw, F.lit('"command":"ls"'), F.lit(f'"command":{other}'))).otherwise(raw)
     lines = table(spark, sf_dir, "events").select(F.when(n % 10 == 0, F.substring(raw, 1, 9)).otherwise(raw).alias("raw"))
     return ev.event_log_totals(lines)
 
