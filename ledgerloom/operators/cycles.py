@@ -17,6 +17,8 @@ from ..session import shared_path
 
 #: Doublings, or steps of colours, that are planned together.
 STEPS = 4
+#: Trimming goes on by itself as long as no more than this share of the edges is left.
+SHRINKS = 0.6
 
 
 def _kept(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
@@ -27,10 +29,12 @@ def _kept(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
 
 
 def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
-    """The edges between nodes that have both a way in and a way out, and their number."""
-    both = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
-    inner = both.groupBy("node").agg(F.max("out").alias("o"), F.max("into").alias("i")).where("o = 1 and i = 1").select("node")
-    kept, sums = _kept(edges.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+    """The edges between nodes that have both a way in and a way out, looked at twice, and their number."""
+    for _ in range(2):
+        both = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        inner = both.groupBy("node").agg(F.max("out").alias("o"), F.max("into").alias("i")).where("o = 1 and i = 1").select("node")
+        edges = edges.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+    kept, sums = _kept(edges)
     return kept, sums["n"]
 
 
@@ -91,15 +95,19 @@ def components(graph: DataFrame) -> DataFrame:
     """(id, comp): the strongly connected components of edges (src, dst) that have a cycle, under the name of one of their nodes. Edges with a null end are not looked at."""
     edges = graph.where("src is not null and dst is not null").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
     self_loops = lambda e: e.where("src = dst").select(F.col("src").alias("node"))
-    edges = _kept(edges)[0]
+    edges, sums = _kept(edges)
     loops = self_loops(edges)
     left, known, chains = edges.where("src <> dst"), None, []
     add = lambda a, b: b if a is None else a.unionByName(b)
-    before = -1
+    before, size = -1, sums["n"]
     while True:
         left, n = _trimmed(left)
         if not n:
             break
+        if n <= SHRINKS * size:  # as long as trimming alone takes off a good part, that is a logarithm of rounds, too
+            size = n
+            continue
+        size = n
         links, m = _links(left)
         if m:
             members = _chains(links)

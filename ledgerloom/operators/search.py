@@ -156,30 +156,38 @@ def ranked(rows: DataFrame, order: list[Column], depth: int) -> DataFrame:
     return rows.orderBy(*order).limit(depth).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def text_branch(index: DataFrame, o: Options, depth: int) -> DataFrame:
-    """(id, rank, score). With a short term the newest come first and scores are null.
+class ScannedTexts:
+    """What a scan of all texts finds for one search, in the place of a kept index: the pass that writes what matches also observes the statistics of the whole index. All terms have three characters."""
+
+    def __init__(self, index: DataFrame, o: Options):
+        self.n_terms = len(o.terms)
+        names = [f"_tf{k}" for k in range(self.n_terms)]
+        seen = Observation()
+        counted = term_counts(index, o.terms).observe(seen, F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(c) > 0).alias(f"_df{k}") for k, c in enumerate(names)))
+        found = eligible(counted, o)
+        for c in names:
+            found = found.where(F.col(c) > 0)
+        found = found.select("id", "timestamp_ns", "_len", *names)
+        path = shared_path(index.sparkSession, "matches")
+        found.write.parquet(path)
+        self.found = index.sparkSession.read.schema(found.schema).parquet(path)
+        self.totals = index.sparkSession.range(1).select(*(F.lit(v).cast("double" if k == "_avg" else "long").alias(k) for k, v in seen.get.items()))
+
+    def text_branch(self, o: Options, depth: int) -> DataFrame:
+        rows = bm25_scores(self.found, self.totals, self.n_terms).select("id", "timestamp_ns", "score")
+        return ranked(rows, [F.desc("score"), F.desc("timestamp_ns"), F.asc("id")], depth).select("id", "rank", "score")
+
+    def matching_ids(self, o: Options) -> DataFrame:
+        return self.found.select("id")
 
-    Otherwise all texts are scanned once: the pass that writes what matches also
-    observes the statistics of the whole index. ``text_index.TextIndex`` gives the
-    same rows from kept lists, without a scan.
-    """
-    terms = o.terms
-    if not supports_trigrams(terms):
-        found = eligible(index, o).where(matches(terms))
-        rows = found.select("id", "timestamp_ns", F.lit(None).cast("double").alias("score"))
-        return ranked(rows, [F.desc("timestamp_ns"), F.asc("id")], depth).select("id", "rank", "score")
-    names = [f"_tf{k}" for k in range(len(terms))]
-    seen = Observation()
-    counted = term_counts(index, terms).observe(seen, F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(c) > 0).alias(f"_df{k}") for k, c in enumerate(names)))
-    found = eligible(counted, o)
-    for c in names:
-        found = found.where(F.col(c) > 0)
-    found = found.select("id", "timestamp_ns", "_len", *names)
-    path = shared_path(index.sparkSession, "matches")
-    found.write.parquet(path)
-    totals = index.sparkSession.range(1).select(*(F.lit(v).cast("double" if k == "_avg" else "long").alias(k) for k, v in seen.get.items()))
-    rows = bm25_scores(index.sparkSession.read.schema(found.schema).parquet(path), totals, len(terms)).select("id", "timestamp_ns", "score")
-    return ranked(rows, [F.desc("score"), F.desc("timestamp_ns"), F.asc("id")], depth).select("id", "rank", "score")
+
+def text_branch(index: DataFrame, o: Options, depth: int) -> DataFrame:
+    """(id, rank, score) from one scan of all texts. With a short term the newest come first and scores are null. ``text_index.TextIndex`` gives the same rows from kept lists."""
+    if supports_trigrams(o.terms):
+        return ScannedTexts(index, o).text_branch(o, depth)
+    found = eligible(index, o).where(matches(o.terms))
+    rows = found.select("id", "timestamp_ns", F.lit(None).cast("double").alias("score"))
+    return ranked(rows, [F.desc("timestamp_ns"), F.asc("id")], depth).select("id", "rank", "score")
 
 
 def vector_branch(index: DataFrame, vectors: DataFrame, o: Options, depth: int, least: float | None = None) -> DataFrame:
@@ -224,7 +232,7 @@ def newest(index: DataFrame, o: Options) -> DataFrame:
     return ranked(rows, [F.desc("timestamp_ns"), F.asc("id")], o.limit + 1).select("id", "rank")
 
 
-def candidates(index: DataFrame, vectors: DataFrame | None, o: Options, kept: TextIndex | None = None) -> DataFrame:
+def candidates(index: DataFrame, vectors: DataFrame | None, o: Options, kept: TextIndex | ScannedTexts | None = None) -> DataFrame:
     """(id, rank) of what a search finds, before rows are loaded. Hybrid search without an encoded query is text search. With a kept text index (of the same rows as ``index``) texts are not scanned."""
     o = validate(o)
     by_text = kept.text_branch if kept else lambda o, depth: text_branch(index, o, depth)
@@ -238,7 +246,7 @@ def candidates(index: DataFrame, vectors: DataFrame | None, o: Options, kept: Te
     return fuse({"text": by_text(o, depth), "vector": vector_branch(index, vectors, o, depth)}, o.limit + 1).select("id", "rank")
 
 
-def total(index: DataFrame, vectors: DataFrame | None, o: Options, kept: TextIndex | None = None) -> DataFrame:
+def total(index: DataFrame, vectors: DataFrame | None, o: Options, kept: TextIndex | ScannedTexts | None = None) -> DataFrame:
     """One row: the exact number of rows that the search could return at any limit."""
     o = validate(o)
     rows = eligible(index, o)
@@ -292,9 +300,11 @@ def within_budget(rows: DataFrame, size: Column, max_tokens: int) -> DataFrame:
     return rows.withColumn("_running", running).where(F.col("_running") <= max_tokens * BYTES_PER_TOKEN).drop("_running")
 
 
-def search(index: DataFrame, vectors: DataFrame | None, o: Options, kept: TextIndex | None = None) -> tuple[DataFrame, DataFrame]:
+def search(index: DataFrame, vectors: DataFrame | None, o: Options, kept: TextIndex | ScannedTexts | None = None) -> tuple[DataFrame, DataFrame]:
     """(results by rank, one row of total, returned, has_more and truncated)."""
     o = validate(o)
+    if kept is None and o.mode != "vector" and supports_trigrams(o.terms):
+        kept = ScannedTexts(index, o)  # once, for candidates and the total
     found = candidates(index, vectors, o, kept)
     rows = load(index, found, o.kind)
     shown = o.last or o.limit

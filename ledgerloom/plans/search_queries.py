@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..operators import batch_search as bs
 from ..operators import lifecycle as lc
 from ..operators import runs
 from ..operators import search as s
@@ -271,5 +272,55 @@ def index_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.total(kept.rows(), None, _options(), kept)
 
 
+# ------------------------------------------------------------------ many searches at once
+# Cases: two words of each benchmark item (of letters, the first of which doesn't come again, so that no two occurrences overlap), and the vector of its number.
+_WORDS = "[a-z]{4,}"
+_CASES = f"""{INDEX}, q AS MATERIALIZED (SELECT item_id::VARCHAR AS case_id, item_id, w[1] AS t1, w[2] AS t2, embedding::DOUBLE[] AS v FROM (SELECT *, list_filter(regexp_extract_all(lower(text), '{_WORDS}'), lambda x: NOT contains(x[2:], x[1])) AS w FROM benchmark) JOIN embeddings ON vec_id = item_id WHERE len(w) >= 2),
+    m AS MATERIALIZED (SELECT id, kind, timestamp_ns, lower(summary) AS a, lower(searchable) AS b, greatest(length(summary) - 2, 0) + greatest(length(searchable) - 2, 0) AS len FROM idx),
+    tt AS MATERIALIZED (SELECT id, kind, timestamp_ns, len, t, (length(a) - length(replace(a, t, '')) + length(b) - length(replace(b, t, ''))) / length(t) AS tf FROM m, (SELECT t1 AS t FROM q UNION SELECT t2 FROM q) WHERE contains(a, t) OR contains(b, t)),
+    df AS (SELECT t, CASE WHEN ln(((SELECT count(*) FROM m) - count(*) + 0.5) / (count(*) + 0.5)) <= 0 THEN 1e-6 ELSE ln(((SELECT count(*) FROM m) - count(*) + 0.5) / (count(*) + 0.5)) END AS idf FROM tt GROUP BY t),
+    al AS (SELECT avg(len) AS al FROM m),
+    sc AS (SELECT case_id, x.id, x.timestamp_ns, f.idf * x.tf * 2.2 / (x.tf + 1.2 * (0.25 + 0.75 * x.len / al)) + g.idf * y.tf * 2.2 / (y.tf + 1.2 * (0.25 + 0.75 * y.len / al)) AS score
+        FROM q JOIN tt x ON x.t = t1 JOIN tt y ON y.t = t2 AND y.id = x.id JOIN df f ON f.t = t1 JOIN df g ON g.t = t2, al WHERE x.kind = 'document'),
+    rt AS (SELECT case_id, id, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, timestamp_ns DESC, id) AS rank FROM sc QUALIFY rank <= 50),
+    rv AS (SELECT case_id, 'd' || vec_id AS id, row_number() OVER (PARTITION BY case_id ORDER BY list_inner_product(embedding::DOUBLE[], v) DESC, 'd' || vec_id) AS rank FROM q, embeddings JOIN documents ON doc_id = vec_id QUALIFY rank <= 50),
+    rh AS (SELECT case_id, id, row_number() OVER (PARTITION BY case_id ORDER BY round(sum(1.0 / (60 + rank)), 12) DESC, id) AS rank FROM (SELECT * FROM rt UNION ALL SELECT * FROM rv) GROUP BY case_id, id)"""
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> dict[str, s.Options]:
+    """The cases, which are a setting of an evaluation, on the driver."""
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(_WORDS), F.lit(0)), lambda x: ~F.contains(F.substring(x, 2, 1000), F.substring(x, 1, 1)))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).where("size(w) >= 2").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
+    return {str(r["item_id"]): _options(mode="hybrid", keywords=r["w"][:2], limit=20, query_vector=[*r["embedding"]]) for r in rows.collect()}
+
+
+@query(f"WITH {_CASES} SELECT case_id, id, rank::INTEGER AS rank FROM rh WHERE rank <= 21")
+def batch_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid searches of all benchmark items at once: one scan of texts and one of vectors."""
+    return bs.rankings(index_rows(spark, sf_dir), vector_rows(spark, sf_dir), _cases(spark, sf_dir))
+
+
+_GAIN = "(2 ^ grade - 1)"
+
+
+def _mean(k: int) -> str:
+    hit, gain = f"count(*) FILTER (WHERE rank <= {k})", f"coalesce(sum({_GAIN} / log2(rank + 1)) FILTER (WHERE rank <= {k}), 0)"
+    return f"{hit} / count(*) AS recall_{k}, {gain} / sum({_GAIN} / log2(place + 1)) FILTER (WHERE place <= {k}) AS ndcg_{k}"
+
+
+@query(f"""WITH {_CASES}, g AS (SELECT case_id, 'd' || doc_id AS id, CASE WHEN doc_id % 200 = item_id THEN 2 ELSE 1 END AS grade FROM q JOIN documents ON doc_id % 40 = item_id % 40),
+    ideal AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY grade DESC, id) AS place FROM g), modes AS (SELECT 'text' AS mode, * FROM rt UNION ALL SELECT 'vector', * FROM rv UNION ALL SELECT 'hybrid', * FROM rh WHERE rank <= 50),
+    c AS (SELECT mode, i.case_id, {', '.join(map(_mean, (5, 10, 20)))}, coalesce(1.0 / min(rank) FILTER (WHERE grade = 2 AND rank <= 10), 0) AS mrr FROM (SELECT DISTINCT mode FROM modes) CROSS JOIN ideal i LEFT JOIN modes r USING (mode, case_id, id) GROUP BY mode, i.case_id)
+    SELECT mode, count(*) AS cases, {', '.join(f'round(avg({n}_{k}), 6) AS {n}_{k}' for k in (5, 10, 20) for n in ('recall', 'ndcg'))}, round(avg(mrr), 6) AS mrr FROM c GROUP BY mode""")
+def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, nDCG and MRR of text, vector and hybrid search over all cases. Relevant are documents of a case's number, in part."""
+    cases = _cases(spark, sf_dir)
+    n = F.col("doc_id")
+    numbers = spark.createDataFrame([(k, int(k)) for k in cases], "case_id string, item int")
+    qrels = table(spark, sf_dir, "documents").select("doc_id").join(F.broadcast(numbers), n % 40 == F.col("item") % 40).select("case_id", F.concat(F.lit("d"), n).alias("id"), F.when(n % 200 == F.col("item"), 2).otherwise(1).alias("grade"))
+    report = bs.evaluate(index_rows(spark, sf_dir), vector_rows(spark, sf_dir), cases, qrels)
+    return report.select("mode", "cases", *(F.round(c, 6).alias(c) for c in report.columns if c not in ("mode", "cases")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_results(spark, sf_dir)
