@@ -13,6 +13,7 @@ from ..operators import runs, sync, turns
 from ..session import shared_path
 from ..sources import logs
 from ..sources.log_cache import LogCache
+from ..streaming.managed import assemble_managed
 from ..streaming.turns import assemble_stream
 from .registry import query
 from .tables import table
@@ -254,25 +255,46 @@ def log_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", F.get("dialogue", F.lit(0))["content"].alias("user_text"))
 
 
-@query(f"{_LOG_SQL} WHERE assistant_text IS NOT NULL OR (conv_id, turn_no) NOT IN (SELECT (conv_id, max(turn_no)) FROM tn GROUP BY conv_id)")
-def stream_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a stream over the conversations' files, with each session's state kept between micro-batches."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    out = shared_path(spark, "stream-turns")
-    source = spark.readStream.schema(c.schema).parquet(f"{sf_dir}/conversations.parquet*")
+def _message_events(source: DataFrame) -> DataFrame:
+    """Messages as events of one stream for each conversation."""
     kind = F.when(F.col("role") == "assistant", "assistant").otherwise("user")
     null = F.lit(None)
-    events = source.where("role <> 'system'").select(
+    return source.where("role <> 'system'").select(
         F.lit("claude").alias("agent"), F.col("conv_id").cast("string").alias("path"), F.lit("").alias("stream"), F.col("turn").alias("line"), F.lit(0).alias("ord"), kind.alias("kind"), F.col("conv_id").cast("string").alias("session_id"),
         F.concat_ws("-", "conv_id", "turn").alias("turn_id"), null.cast("string").alias("fallback_turn_id"), F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn")).alias("ts"), null.cast("string").alias("cwd"), null.cast("string").alias("repo"), null.cast("string").alias("branch"),
         "text", F.lit(turns.FINAL_TEXT).alias("priority"), (F.col("role") == "assistant").alias("completes"),
     )
+
+
+@query(f"{_LOG_SQL} WHERE assistant_text IS NOT NULL OR (conv_id, turn_no) NOT IN (SELECT (conv_id, max(turn_no)) FROM tn GROUP BY conv_id)")
+def stream_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream over the conversations' files, with each session's state kept between micro-batches."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    out = shared_path(spark, "stream-turns")
+    events = _message_events(spark.readStream.schema(c.schema).parquet(f"{sf_dir}/conversations.parquet*"))
     run = assemble_stream(events).writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     done = spark.read.schema(turns.TURN_SCHEMA).parquet(f"{out}/rows")
     return done.where("error is null").select("session_id", "turn_id", "user_text", F.coalesce("assistant_text", F.lit("")).alias("assistant_text"))
 
 
+#: Parts in which the messages of ``stream_restarts`` come: the last one has all that follow.
+_STREAM_PARTS = 6
+
+
+@query(f"{_LOG_SQL} WHERE assistant_text IS NOT NULL OR (conv_id, turn_no) NOT IN (SELECT (conv_id, max(turn_no)) FROM tn GROUP BY conv_id)")
+def stream_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from messages that come in six parts. After each the stream is stopped, and started again from its checkpoint, so that managed state is taken up in each micro-batch."""
+    c, out = table(spark, sf_dir, "conversations"), shared_path(spark, "stream-restarts")
+    for k in range(_STREAM_PARTS):
+        c.where(F.least("turn", F.lit(_STREAM_PARTS - 1)) == k).write.mode("append").parquet(f"{out}/messages")
+        events = _message_events(spark.readStream.schema(c.schema).parquet(f"{out}/messages"))
+        run = assemble_managed(events).writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    done = spark.read.schema(turns.TURN_SCHEMA).parquet(f"{out}/rows")
+    return done.where("error is null").select("session_id", "turn_id", "user_text", F.coalesce("assistant_text", F.lit("")).alias("assistant_text"))
+
+
 SNAPSHOTS = """cur AS (SELECT doc_id AS record_key, length(coalesce(d.text, '')) AS size FROM documents d),
     old AS (SELECT d.doc_id AS record_key, length(coalesce(d.text, '')) + CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END AS size FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS DISTINCT FROM 0 UNION ALL SELECT -1 - item_id, length(text) FROM benchmark),
     ch AS (SELECT coalesce(c.record_key, o.record_key) AS record_key, CASE WHEN o.record_key IS NULL THEN 'new' WHEN c.record_key IS NULL THEN 'deleted' WHEN c.size = o.size THEN 'same' ELSE 'changed' END AS change FROM cur c FULL JOIN old o ON c.record_key = o.record_key)"""

@@ -20,11 +20,13 @@ class _Grown(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
-def _complete_size(path: str, known: int) -> int:
-    """The end of the last complete line; read backwards from the file's end."""
+def _complete_size(path: str, known: int, most: int | None = None) -> int:
+    """The end of the last complete line, read backwards from the file's end; with ``most``, of the last one that ends within so many bytes from ``known`` on, or else of the next one."""
     size = os.path.getsize(path)
+    if size < known:
+        known = 0
     with open(path, "rb") as f:
-        at = size
+        at = end = size if most is None else min(size, known + most)
         while at > known:
             step = min(64 << 10, at - known)
             f.seek(at - step)
@@ -32,12 +34,19 @@ def _complete_size(path: str, known: int) -> int:
             if cut >= 0:
                 return at - step + cut + 1
             at -= step
-    return known if size >= known else 0
+        if end < size:  # a line that is longer than the bound
+            f.seek(end)
+            while block := f.read(64 << 10):
+                if (cut := block.find(b"\n")) >= 0:
+                    return end + cut + 1
+                end += len(block)
+    return known
 
 
 class _TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.root = options["path"]
+        self.most = int(options["max_bytes"]) if "max_bytes" in options else None
         self.last: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
@@ -48,7 +57,7 @@ class _TailReader(DataSourceStreamReader):
             for n in names:
                 if n.endswith(".jsonl"):
                     p = os.path.join(folder, n)
-                    self.last[p] = _complete_size(p, self.last.get(p, 0))
+                    self.last[p] = _complete_size(p, self.last.get(p, 0), self.most)
         return {p: n for p, n in self.last.items() if n}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
@@ -71,7 +80,7 @@ class _TailReader(DataSourceStreamReader):
 
 
 class LogTail(DataSource):
-    """``spark.dataSource.register(LogTail)``, then ``spark.readStream.format("log_tail").load(folder)``; the folder is one that all executors see."""
+    """``spark.dataSource.register(LogTail)``, then ``spark.readStream.format("log_tail").load(folder)``; the folder is one that all executors see. Option ``max_bytes``: how far a file is read in one batch (to the end of a line)."""
 
     @classmethod
     def name(cls) -> str:
