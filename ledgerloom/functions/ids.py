@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ID_NAMESPACE = "feedstock-v1"
+# The patterns of identifiers.
 KNOWLEDGE_ID = r"^[a-z0-9]+(?:-[a-z0-9]+)*$"
 IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,254}$"
 

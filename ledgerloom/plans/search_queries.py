@@ -197,13 +197,13 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("id", F.round(vectors.norm(F.col("v")), 5).alias("length"), F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("first"))
 
 
-@query(f"WITH {INDEX} SELECT mode, count(*) AS n FROM (SELECT 'text' AS mode FROM idx WHERE kind = 'document' AND {_MATCH} LIMIT {DEPTH}) GROUP BY mode UNION ALL SELECT mode, n FROM (VALUES ('vector', {DEPTH}), ('hybrid', {DEPTH})) t(mode, n)")
+@query(f"{_BM25} SELECT 'text' AS mode, id, rank::INTEGER AS rank FROM text_branch UNION ALL SELECT 'vector', id, rank::INTEGER FROM vector_branch UNION ALL SELECT 'hybrid', id, rank::INTEGER FROM hybrid WHERE rank <= {DEPTH}")
 def mode_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many candidates each mode gives, to one more than the limit."""
+    """The candidates that each mode gives, to one more than the limit."""
     out = None
     for mode in s.MODES:
         o = _options(mode=mode, query_vector=query_vector(spark, sf_dir))
-        n = s.candidates(index_rows(spark, sf_dir), vector_rows(spark, sf_dir), o).agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), "n")
+        n = s.candidates(index_rows(spark, sf_dir), vector_rows(spark, sf_dir), o).select(F.lit(mode).alias("mode"), "id", "rank")
         out = n if out is None else out.unionByName(n)
     return out
 

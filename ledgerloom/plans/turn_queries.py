@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..functions.ids import feedstock_id
 from ..operators import documents as dc
 from ..operators import runs, sync, turns
+from ..operators.vector_store import VectorStore
 from ..session import shared_path
 from ..sources import logs
 from ..sources.log_cache import LogCache
@@ -325,13 +326,31 @@ def unsynchronized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.index_status(*_snapshots(spark, sf_dir), versions=("size",))
 
 
-@query(f"WITH {SNAPSHOTS} SELECT record_key, size FROM cur")
+@query(f"WITH {SNAPSHOTS} SELECT record_key, c.size, CASE WHEN change = 'same' THEN 'kept' ELSE 'written' END AS origin FROM cur c JOIN ch USING (record_key)")
 def synchronized_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index after a run: kept, new and changed rows, which are the documents as they are."""
-    current, indexed = _snapshots(spark, sf_dir)
+    """The index after a run, and where its rows come from: those whose version is the same are the index's own."""
+    current, indexed = (d.withColumn("origin", F.lit(o)) for d, o in zip(_snapshots(spark, sf_dir), ("written", "kept"), strict=True))
     return sync.synchronize(current, indexed, versions=("size",))
 
 
+def _lengths(texts: list[str]) -> list[list[float]]:
+    """A plain encoder: how many characters and how many blanks a text has."""
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+@query("SELECT doc_id, length(trim(text))::DOUBLE AS characters, (length(trim(text)) - length(replace(trim(text), ' ', '')))::DOUBLE AS blanks FROM documents WHERE trim(coalesce(text, '')) <> ''")
+def committed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all documents' texts from two runs: the second one encodes the other half, and what changed since the first."""
+    n, text = F.col("doc_id"), F.col("text")
+    kind = F.lit("knowledge").alias("kind")
+    row = lambda size: table(spark, sf_dir, "documents").select("doc_id", n.cast("string").alias("record_key"), n.cast("string").alias("id"), kind, F.lit(1).cast("long").alias("mtime_ns"), size.cast("long").alias("size"), F.lit("").alias("summary"), text.alias("claim"))
+    store, now = VectorStore(spark, shared_path(spark, "vectors")), row(F.coalesce(F.octet_length("text"), F.lit(0)))
+    before = row(F.when(n % 3 == 0, -1).otherwise(F.coalesce(F.octet_length("text"), F.lit(0)))).where(n % 2 == 0).withColumn("claim", F.when(n % 3 == 0, "old").otherwise(F.col("claim")))
+    store.run(before, _lengths, "lengths")
+    got = store.run(now, _lengths, "lengths")
+    return got.select(F.col("record_key").cast("long").alias("doc_id"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(("characters", "blanks"))))
+
+
 @query("SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS record_key, url AS path FROM pages QUALIFY url = min(url) OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]*)', 1))")
 def duplicate_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of pages of one host the first url owns the host's key."""
