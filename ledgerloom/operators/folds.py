@@ -12,6 +12,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def records(pdf: pd.DataFrame) -> list[dict]:
@@ -72,4 +73,5 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], stepper: Callable[[
     def named(found: list[dict], key: tuple) -> list[dict]:
         return [{**r, **dict(zip(keys, key, strict=True))} for r in found]
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)
+    # By a hash of the keys, not by the keys: Spark drops a shuffle by columns above a union whose parts it takes to be dealt by them already, also where adaptive execution dealt these parts differently.
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)

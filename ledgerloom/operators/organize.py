@@ -13,6 +13,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .folds import Gathered, fold
 from .lifecycle import with_status
 
@@ -47,6 +48,31 @@ def organize(inputs: DataFrame, knowledge: DataFrame, actions: DataFrame, types:
     return fold(new.unionByName(old, allowMissingColumns=True), ["subject"], ["id"], lambda key: Gathered(key, partial(_fold, types=types)), RESULT, _COLUMNS)
 
 
+CHANGED = "knowledge of the subject changed since the plan was made"
+
+
+def subject_digests(inputs: DataFrame, knowledge: DataFrame) -> DataFrame:
+    """(subject, digest): what a plan for a subject's inputs is made from, its inputs and active or pending knowledge, as a multiset. Tasks send sums of parts of each row's hash, never the rows."""
+    columns = ["id", "type", "statement", "feedstocks", "status", "supersedes"]
+    new = inputs.select("subject", "id", "type", "statement", "feedstocks", F.lit("input").alias("status"), F.array().cast("array<string>").alias("supersedes"))
+    old = with_status(knowledge).where("status in ('active', 'pending')").join(inputs.select("subject").distinct(), "subject", "left_semi").select("subject", *columns)
+    rows = new.unionByName(old).select("subject", F.sha2(F.to_json(F.struct(*columns)), 256).alias("h"))
+    part = lambda k: F.sum(F.conv(F.substring("h", 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    sums = rows.groupBy("subject").agg(F.count(F.lit(1)).cast("string").alias("n"), *(part(k).alias(f"p{k}") for k in range(4)))
+    return sums.select("subject", F.sha2(F.concat_ws("|", "n", *(f"p{k}" for k in range(4))), 256).alias("digest"))
+
+
+def organize_planned(inputs: DataFrame, knowledge: DataFrame, actions: DataFrame, planned: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
+    """``organize`` for subjects whose digest is still that of ``planned`` (subject, digest); each other subject has one row with CHANGED as its error, and nothing of its plan is applied."""
+    now = subject_digests(inputs, knowledge)
+    # Written: it is asked twice, and what is judged must be what is applied.
+    fresh = checkpoint(now.join(planned.select("subject", F.col("digest").alias("_planned")), "subject", "left"))
+    same = fresh.where("digest = _planned").select("subject")
+    applied = organize(inputs.join(same, "subject", "left_semi"), knowledge, actions, types)
+    refused = fresh.where("_planned is null or digest <> _planned").select("subject", F.lit(CHANGED).alias("error"))
+    return applied.unionByName(refused, allowMissingColumns=True)
+
+
 def _fold(key: tuple, rows: list[dict], types: Sequence[str] | None) -> list[dict]:
     try:
         return _apply(key[0], rows, types)

@@ -120,6 +120,16 @@ def organize_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return og.organize(*_organizing(spark, sf_dir)).select("subject", "input_id", "knowledge_id", "outcome", "supersedes", "retires", "error")
 
 
+@query(f"WITH {KNOWLEDGE} SELECT DISTINCT subject, '{og.CHANGED}' AS error FROM ks WHERE NOT organized AND substr(subject, 3)::BIGINT % 3 = 0 AND subject IN (SELECT subject FROM ks WHERE organized AND NOT invalidated)")
+def organize_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects whose plan is refused, as a third of them had other statements when it was made."""
+    inputs, now, actions = _organizing(spark, sf_dir)
+    other = F.expr("cast(substring(subject, 3) as long) % 3 = 0")
+    before = now.withColumn("statement", F.when(other, F.concat("statement", F.lit(" before"))).otherwise(F.col("statement")))
+    done = og.organize_planned(inputs, now, actions, og.subject_digests(inputs, before))
+    return done.where(F.col("error") == og.CHANGED).select("subject", "error")
+
+
 @query("WITH i AS (SELECT o_orderkey AS id, o_orderstatus AS s FROM orders WHERE o_orderpriority = '5-LOW'), a AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'O' UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'), n AS (SELECT id, count(*) AS n FROM a GROUP BY id) SELECT coalesce(i.id, n.id) AS knowledge_id, CASE WHEN n.n IS NULL THEN 'omitted' WHEN i.id IS NULL THEN 'unknown' ELSE 'repeated' END AS problem FROM i FULL JOIN n ON i.id = n.id WHERE n.n IS NULL OR i.id IS NULL OR n.n > 1")
 def action_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inputs without, and actions that are unknown or repeated."""
