@@ -265,12 +265,12 @@ def rankings(index: DataFrame, vectors: DataFrame | None, cases: dict[str, s.Opt
     deep = {k: s.depth_of(o) for k, o in hybrid.items()}
     if by_text or hybrid:
         text = text_rankings(index, by_text | hybrid, limit(by_text) | deep)
-        text = _staged(text) if hybrid and by_text else text
+        text = _staged(text) if hybrid else text
         if by_text:
             out.append(text.where(F.col("case_id").isin([*by_text])) if hybrid else text)
     if by_vector or hybrid:
         near = vector_rankings(index, vectors, by_vector | hybrid, limit(by_vector) | deep)
-        near = _staged(near) if hybrid and by_vector else near
+        near = _staged(near) if hybrid else near
         if by_vector:
             out.append(near.where(F.col("case_id").isin([*by_vector])) if hybrid else near)
     if hybrid:
@@ -285,6 +285,7 @@ def rankings(index: DataFrame, vectors: DataFrame | None, cases: dict[str, s.Opt
 
 
 def _staged(rows: DataFrame) -> DataFrame:
+    """Rankings as a table: a few rows a case, which are asked again, and whose union claims no partitioning."""
     path = shared_path(rows.sparkSession, "batch-rankings")
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
