@@ -39,8 +39,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def get_session(name: str = "ledgerloom", **settings: str) -> SparkSession:
-    """A session in UTC with adaptive execution. Unions don't claim a partitioning: in Spark 4.1.2 they may claim one that their parts don't share after adaptive changes, and rows of a key then don't meet."""
-    b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.unionOutputPartitioning", "false")
+    """A session in UTC with adaptive execution. Unions don't claim a partitioning: in Spark 4.1.2 they may claim one that their parts don't share after adaptive changes, and rows of a key then don't meet. Filters reach Python sources."""
+    b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.unionOutputPartitioning", "false").config("spark.sql.python.filterPushdown.enabled", "true")
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
