@@ -15,7 +15,8 @@ from ..operators import lifecycle as lc
 from ..operators import organize as og
 from ..operators import records as rc
 from ..operators import sync
-from ..sources import logs
+from ..session import shared_path
+from ..sources import logs, markdown, record_files
 from .registry import query
 from .tables import KNOWLEDGE, knowledge, table
 
@@ -273,3 +274,21 @@ def found_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = catalog.join(c.where(i % 5 != 0).select(path.alias("path")).distinct(), "path", "left_semi").select("agent", "session_id").unionByName(spark.createDataFrame([("claude", "nowhere")], "agent string, session_id string"))
     found, missing = logs.find_sessions(catalog, wanted)
     return found.select("session_id", "path").unionByName(missing.select("session_id", F.lit(None).cast("string").alias("path")))
+
+
+@query("SELECT 's' || doc_id AS subject, CASE WHEN doc_id % 7 <> 0 THEN sha256(coalesce(text, '')) END AS body_sha256, CASE WHEN doc_id % 7 = 0 THEN 'subject is other, want s' || doc_id END AS reason FROM documents WHERE doc_id % 7 = 0 OR trim(coalesce(text, '')) <> ''")
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as record files, one folder a subject, and read back; the heads of one in seven name another subject."""
+    root = shared_path(spark, "records")
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), "doc_id").alias("_at"), F.when(F.col("doc_id") % 7 == 0, "other").otherwise(F.concat(F.lit("s"), "doc_id")).alias("subject"), F.lit("page").alias("template"), F.array(F.concat(F.lit("k"), "doc_id")).alias("knowledge"), F.coalesce("text", F.lit("")).alias("body"))
+    rows = d.select(F.concat(F.lit("documents/"), "_at", F.lit("/page.md")).alias("path"), markdown.render(["subject", "template", "knowledge"], F.col("body")).alias("content"), F.lit(None).cast("string").alias("expected"))
+    refused = record_files.write_files(rows, root).where(F.col("outcome") != record_files.WRITTEN).count()
+    if refused:
+        raise RuntimeError(f"{refused} files were not written")
+    templates = spark.createDataFrame([("page", "page.md")], "name string, output string")
+    good, bad = record_files.read_documents(spark, root, templates)
+    none = F.lit(None).cast("string")
+    fine = good.select("subject", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"), none.alias("reason"))
+    # A document without a body is refused, as its head was right.
+    wrong = bad.where(F.startswith("reason", F.lit("subject is"))).select(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("subject"), none.alias("body_sha256"), "reason")
+    return fine.unionByName(wrong)

@@ -36,18 +36,17 @@ def _open(root: str):
 
 
 @dataclass
-class Folder(InputPartition):
-    """A share of a folder's files, or some of them by id."""
+class Share(InputPartition):
+    """A share of the files of some folders (path, names of the levels), or some of them by id."""
 
-    path: str
-    names: tuple[str, ...]
+    folders: tuple[tuple[str, tuple[str, ...]], ...]
     ids: tuple[str, ...] | None
     part: int
     parts: int
 
 
 class RecordFiles(DataSource):
-    """Rows (a column for each level, id, path, mtime_ns, size, content, error). Options: ``path``, ``levels`` (names, comma-joined, may be empty), ``content`` (false: files are listed, not opened), ``splits``."""
+    """Rows (a column for each level, id, path, mtime_ns, size, content, error). Options: ``path``, ``levels`` (names, comma-joined, may be empty), ``content`` (false: files are listed, not opened), ``splits``, ``tasks``."""
 
     @classmethod
     def name(cls) -> str:
@@ -61,12 +60,12 @@ class RecordFiles(DataSource):
 
     def reader(self, schema) -> RecordReader:
         kind = PushedReader if self.options.get("push") == "true" else RecordReader
-        return kind(self.options["path"], self.levels(), self.options.get("content", "true") != "false", int(self.options.get("splits", SPLITS)))
+        return kind(self.options["path"], self.levels(), self.options.get("content", "true") != "false", int(self.options.get("splits", SPLITS)), int(self.options.get("tasks", 64)))
 
 
 class RecordReader(DataSourceReader):
-    def __init__(self, root: str, levels: Sequence[str], content: bool = True, splits: int = SPLITS):
-        self.root, self.levels, self.content, self.splits = root.rstrip("/"), [*levels], content, splits
+    def __init__(self, root: str, levels: Sequence[str], content: bool = True, splits: int = SPLITS, tasks: int = 64):
+        self.root, self.levels, self.content, self.splits, self.tasks = root.rstrip("/"), [*levels], content, splits, tasks
         self.wanted: dict[str, set[str]] = {}
 
     def partitions(self) -> Sequence[InputPartition]:
@@ -87,28 +86,32 @@ class RecordReader(DataSourceReader):
             found = below
         ids = tuple(sorted(self.wanted["id"])) if "id" in self.wanted else None
         parts = 1 if ids is not None else self.splits
-        return [Folder(path, names, ids, k, parts) for path, names in sorted(found) for k in range(parts)] or [Folder("", (), (), 0, 1)]
+        size = max(1, -(-len(found) * parts // self.tasks))
+        bundles = [tuple(sorted(found)[lo : lo + size]) for lo in range(0, len(found), size)]
+        return [Share(b, ids, k, parts) for b in bundles for k in range(parts)] or [Share((), ids, 0, 1)]
 
-    def read(self, partition: Folder) -> Iterator[tuple]:
+    def read(self, partition: Share) -> Iterator[tuple]:
         from pyarrow import fs
 
         system, _ = _open(self.root)
-        if partition.ids is not None:
-            infos = system.get_file_info([f"{partition.path}/{i}.md" for i in partition.ids if i not in ("", ".", "..") and "/" not in i]) if partition.path else []
-        else:
-            infos = system.get_file_info(fs.FileSelector(partition.path, allow_not_found=True))
-        for info in sorted(infos, key=lambda i: i.path):
-            mine = partition.parts == 1 or zlib.crc32(info.base_name.encode()) % partition.parts == partition.part
-            if info.type != fs.FileType.File or not info.base_name.endswith(".md") or not mine:
-                continue
-            content = error = None
-            if self.content:
-                try:
-                    with system.open_input_stream(info.path) as f:
-                        content = f.read().decode()
-                except (OSError, UnicodeDecodeError) as e:
-                    error = str(e).splitlines()[0]
-            yield (*partition.names, info.base_name.removesuffix(".md"), info.path, info.mtime_ns, info.size, content, error)
+        for folder, names in partition.folders:
+            if partition.ids is not None:
+                infos = system.get_file_info([f"{folder}/{i}.md" for i in partition.ids if i not in ("", ".", "..") and "/" not in i])
+            else:
+                infos = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+            for info in sorted(infos, key=lambda i: i.path):
+                mine = partition.parts == 1 or zlib.crc32(info.base_name.encode()) % partition.parts == partition.part
+                if info.type == fs.FileType.File and info.base_name.endswith(".md") and mine:
+                    yield (*names, info.base_name.removesuffix(".md"), info.path, info.mtime_ns, info.size, *self._content(system, info.path))
+
+    def _content(self, system, path: str) -> tuple[str | None, str | None]:
+        if not self.content:
+            return None, None
+        try:
+            with system.open_input_stream(path) as f:
+                return f.read().decode(), None
+        except (OSError, UnicodeDecodeError) as e:
+            return None, str(e).splitlines()[0]
 
 
 class PushedReader(RecordReader):
@@ -125,11 +128,11 @@ class PushedReader(RecordReader):
             self.wanted[column] = self.wanted[column] & values if column in self.wanted else values
 
 
-def files(spark: SparkSession, root: str, levels: Sequence[str] = (), content: bool = True, splits: int = SPLITS) -> DataFrame:
-    """The files below ``root`` as rows of ``RecordFiles``. Filters are pushed where the session's PUSHDOWN is on (``get_session`` turns it on); else Spark applies them to what was read."""
+def files(spark: SparkSession, root: str, levels: Sequence[str] = (), content: bool = True, splits: int = SPLITS, tasks: int | None = None) -> DataFrame:
+    """The files below ``root`` as rows of ``RecordFiles``. Filters are pushed where the session's PUSHDOWN is on (``get_session`` turns it on); else Spark applies them to what was read. Many folders are bundled for ``tasks`` tasks, four for each core if that is not given."""
     spark.dataSource.register(RecordFiles)
     push = spark.conf.get(PUSHDOWN, "false").lower()
-    return spark.read.format("record_files").options(path=root, push=push, levels=",".join(levels), content=str(content).lower(), splits=splits).load()
+    return spark.read.format("record_files").options(path=root, push=push, levels=",".join(levels), content=str(content).lower(), splits=splits, tasks=tasks or 4 * spark.sparkContext.defaultParallelism).load()
 
 
 def decode(rows: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:

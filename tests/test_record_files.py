@@ -65,11 +65,13 @@ def test_what_the_reader_touches(tmp_path):
     reader = rf.PushedReader(str(tmp_path), LEVELS)
     assert [*reader.pushFilters([own, EqualTo(("year",), "2024"), In(("month",), ("01", "07")), EqualTo(("id",), "codex-01-2"), other, EqualTo(("size",), 3)])] == [other, EqualTo(("size",), 3)]
     parts = reader.partitions()
-    assert [(os.path.relpath(p.path, tmp_path), p.ids) for p in parts] == [("codex/2024/01", ("codex-01-2",))]
+    assert [(os.path.relpath(p.folders[0][0], tmp_path), p.ids) for p in parts] == [("codex/2024/01", ("codex-01-2",))]
     assert [r[3] for r in reader.read(parts[0])] == ["codex-01-2"]
     shared = rf.RecordReader(str(tmp_path), LEVELS, content=False, splits=3)
     got = [[r[3] for r in shared.read(p)] for p in shared.partitions()]
     assert len(got) == 12 and sorted(sum(got, [])) == sorted({i for part in got for i in part}) and len(sum(got, [])) == 25
+    few = rf.RecordReader(str(tmp_path), LEVELS, content=False, splits=2, tasks=4)
+    assert len(few.partitions()) == 4 and sorted(r[3] for p in few.partitions() for r in few.read(p)) == sorted(sum(got, []))
     assert all(r[7] is None and r[8] is None for p in shared.partitions() for r in shared.read(p))
 
 
