@@ -14,6 +14,8 @@ def query(sql: str | None = None):
     """Register a function (spark, sf_dir) under its name, with SQL of the same result."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql

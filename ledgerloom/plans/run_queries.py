@@ -26,7 +26,7 @@ def _results(task: str, rows: DataFrame, result: Column, digest: str | None = No
 
 @query("""WITH t AS (SELECT 't' || conv_id || '-' || turn AS id, conv_id, (conv_id + turn) % 5 AS m FROM conversations WHERE role = 'user')
     SELECT id, CASE WHEN m = 1 THEN 'waiting' ELSE 'done' END AS draft_state, CASE WHEN m = 4 THEN 'failed' WHEN m <> 1 THEN 'done' END AS extract_state, m = 2 AS second, CASE WHEN m <> 1 THEN 'about ' || conv_id END AS summary, CASE WHEN m = 0 THEN 2 ELSE 0 END::BIGINT AS claims FROM t""")
-def draw_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resumed_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of users drawn in two runs. Of five, one has no result, one an unknown type at first, one no types, and one claims that are of no known type."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'").withColumns({"id": F.concat_ws("-", F.concat(F.lit("t"), "conv_id"), "turn"), "_m": (F.col("conv_id") + F.col("turn")) % 5})
     candidates = c.select(
@@ -62,7 +62,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {KNOWLEDGE}, s AS (SELECT subject, substr(subject, 3)::BIGINT % 5 AS m, count(*) FILTER (WHERE organized) AS old, count(*) FILTER (WHERE NOT organized) AS new FROM ks GROUP BY subject HAVING count(*) FILTER (WHERE NOT organized) > 0)
     SELECT subject, CASE m WHEN 0 THEN 'waiting' WHEN 2 THEN 'failed' ELSE 'done' END AS state, CASE WHEN m = 2 THEN '{og.CHANGED}' END AS reason, m <= 2 AS again, old + CASE WHEN m IN (0, 2) THEN 0 ELSE new END AS organized FROM s""")
-def brew_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resumed_brew(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' unorganized orders organized in two runs. Of five customers one has no plan, one at first something that is none, and one a plan that was made from other knowledge."""
     store = RunStore(spark, shared_path(spark, "brew"))
     store.create({"knowledge": (_orders(spark, sf_dir), "id")})
@@ -115,7 +115,7 @@ def selection_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'done' AS state, NULL::VARCHAR AS reason, subject || '/' || template AS key, string_agg(id, ',' ORDER BY id) AS knowledge FROM ev GROUP BY ALL
     UNION ALL SELECT 'done', NULL, subject || '/' || template, NULL FROM j WHERE (subject, template) NOT IN (SELECT (subject, template) FROM ev)
     UNION ALL SELECT 'failed', 'preparation: template is not defined', 'g-' || n || '/x', NULL FROM (SELECT DISTINCT n FROM g WHERE n % 10 = 0)""")
-def distill_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resumed_distill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of groups of customers in two runs: the first batches' results come with the first, all others with the second. Documents of the second template use nothing and are not written."""
     k, subjects, templates, written = _groups(spark, sf_dir)
     store = RunStore(spark, shared_path(spark, "distill"))

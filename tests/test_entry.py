@@ -20,3 +20,10 @@ def test_query_without_sql_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert {*entry.oracle_sql()} <= {*entry.queries()} and {*base.QUERIES} <= {*entry.queries()}
+
+
+def test_names_of_queries_are_given_once():
+    from ledgerloom.plans.registry import QUERIES, query
+
+    with pytest.raises(ValueError, match="already"):
+        query()(QUERIES["effective_status"])
