@@ -198,7 +198,8 @@ def read_documents(spark: SparkSession, root: str, templates: DataFrame, subject
     good, bad = decode(rows, DOCUMENT)
     place = F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)
     known = templates.select(F.col("name").alias("template"), F.regexp_replace("output", r"\.md$", "").alias("_file"))
-    own = good.join(known, "template", "left").withColumnRenamed("knowledge", "knowledge_ids")
+    # Most documents may share one template, so they don't move to it: the templates go to all tasks.
+    own = good.join(F.broadcast(known), "template", "left").withColumnRenamed("knowledge", "knowledge_ids")
     told = F.when(~F.col("subject").eqNullSafe(place), F.concat(F.lit("subject is "), F.coalesce("subject", F.lit("missing")), F.lit(", want "), place))
     told = told.when(F.col("_file").isNull(), F.concat(F.lit("template "), F.coalesce("template", F.lit("missing")), F.lit(" is not defined"))).when(F.col("_file") != F.col("id"), F.concat(F.lit("template "), "template", F.lit(" has another output")))
     fine, wrong = records.split(own, F.coalesce(told, records.document_error()))

@@ -138,3 +138,14 @@ def test_files_edited_outside_stay(spark, tmp_path):
     assert got == {p: rf.EDITED if p in ("d/edited.md", "d/lost.md") else rf.WRITTEN for p in got} and len(got) == 6
     assert (tmp_path / "d/edited.md").read_text() == "someone's" and (tmp_path / "d/same.md").read_text() == "new" and not (tmp_path / "d/lost.md").exists()
     assert sorted(os.listdir(tmp_path / "e")) == ["fresh.md"]
+
+
+def test_documents_of_one_template_are_not_gathered(pushing, tmp_path):
+    """Templates go to the documents, which are not shuffled by a template that all of them may share."""
+    put(tmp_path, "documents/a/guide.md", head("body", subject="a", template="guide", knowledge=["k"]))
+    templates = pushing.createDataFrame([("guide", "guide.md")], "name string, output string")
+    good, bad = rf.read_documents(pushing, str(tmp_path), templates)
+    for rows in (good, bad):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert good.count() == 1 and bad.count() == 0
