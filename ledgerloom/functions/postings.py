@@ -26,7 +26,8 @@ def varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size += more
     at = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.uint8)
-    for k in range(int(size.max(initial=0))):
+    out[at] = (x.astype(np.uint8) & 127) | ((size > 1).astype(np.uint8) << 7)
+    for k in range(1, int(size.max(initial=0))):
         on = np.flatnonzero(size > k)
         low = (x[on] >> np.uint64(7 * k)).astype(np.uint8) & 127
         out[at[on] + k] = low | ((size[on] > k + 1).astype(np.uint8) << 7)
@@ -37,8 +38,8 @@ def unvarints(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(raw < 128)
     starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    size, out = ends - starts + 1, np.zeros(len(ends), np.uint64)
-    for k in range(int(size.max(initial=0))):
+    size, out = ends - starts + 1, (raw[starts] & 127).astype(np.uint64)
+    for k in range(1, int(size.max(initial=0))):
         on = np.flatnonzero(size > k)
         out[on] |= (raw[starts[on] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
     return out.astype(np.int64)
@@ -68,12 +69,44 @@ def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
     return ((gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (buckets - 1)
 
 
+_CODE = (1 << 21) - 1
+
+
+def in_order(first: list[np.ndarray], gram: np.ndarray, last: list[np.ndarray]) -> list[np.ndarray]:
+    """The columns (first, gram, last) in ascending order of all of them.
+
+    Where it fits, a row is one number of 63 bits, with a gram's code points by
+    their rank among those that occur: sorting these takes a fraction of the time.
+    """
+    codes = [gram >> 42, gram >> 21 & _CODE, gram & _CODE]
+    seen = np.zeros(1 + max(int(c.max(initial=0)) for c in codes), bool)
+    for c in codes:
+        seen[c] = True
+    alphabet, rank = np.flatnonzero(seen), np.cumsum(seen) - 1
+    columns = [*first, *(rank[c] for c in codes), *last]
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) > 63:
+        by = np.lexsort((*last[::-1], gram, *first[::-1]))
+        return [c[by] for c in (*first, gram, *last)]
+    key = np.zeros(len(gram), np.int64)
+    for c, b in zip(columns, bits, strict=True):
+        key = key << b | c
+    key.sort()
+    out = []
+    for b in bits[::-1]:
+        out.append(key & ((1 << b) - 1))
+        key >>= b
+    out, k = out[::-1], len(first)
+    a, b, c = (alphabet[x] if len(alphabet) else x for x in out[k : k + 3])
+    return [*out[:k], a << 42 | b << 21 | c, *out[k + 3 :]]
+
+
 class Lists:
-    """Lists of several grams, ascending: ``grams``, ``n_docs`` of each, and the streams of all with each one's bytes."""
+    """Lists of several grams, ascending: ``grams``, ``n_docs`` of each, and the streams of all with each one's bytes. Places may be in order already."""
 
-    def __init__(self, gram: np.ndarray, doc: np.ndarray, place: np.ndarray):
-        by = np.lexsort((place, doc, gram))
-        gram, doc, place = gram[by], doc[by], place[by]
+    def __init__(self, gram: np.ndarray, doc: np.ndarray, place: np.ndarray, ordered: bool = False):
+        if not ordered:
+            gram, doc, place = in_order([], gram, [doc, place])
         new_gram = np.ones(len(gram), bool)
         new_gram[1:] = gram[1:] != gram[:-1]
         new_doc = new_gram.copy()

@@ -38,6 +38,10 @@ BUCKET_ROWS, MOST_BUCKETS = 100_000, 4096
 CHUNK_CHARS = 300_000
 #: Numbers of removed rows that are sent to all tasks; beyond that they are shuffled.
 BROADCAST_DEAD = 1_000_000
+#: Blocks whose removed rows (512 bytes each) are sent to all tasks when lists are merged; beyond that they are shuffled.
+BROADCAST_BLOCKS = 50_000
+#: Bytes of places that a task cleans of removed rows at a time.
+CLEAN_BYTES = 2_000_000
 #: Generations after which ``update`` merges all but the largest.
 MOST_GENERATIONS = 4
 
@@ -55,17 +59,16 @@ def _to_lists(buckets: int):
 
     def chunk(n: np.ndarray, columns: list[list[str]]):
         found = [p.grams_of(c) for c in columns]
-        number = np.concatenate([n[of] for of, _, _ in found])
+        own_blocks, of_block = np.unique(n >> BLOCK_BITS, return_inverse=True)
+        of = np.concatenate([of for of, _, _ in found])
         gram = np.concatenate([g for _, g, _ in found])
         place = np.concatenate([2 * at + k for k, (_, _, at) in enumerate(found)])
-        bucket, block = p.bucket_of(gram, buckets), number >> BLOCK_BITS
-        by = np.lexsort((block, bucket))
-        edge = np.flatnonzero(np.diff(bucket[by], prepend=-1) | np.diff(block[by], prepend=-1))
-        for a, z in zip(edge, np.append(edge[1:], len(by)), strict=True):
-            at = by[a:z]
-            own = p.Lists(gram[at], number[at] & ((1 << BLOCK_BITS) - 1), place[at])
-            b = int(block[at[0]])
-            yield int(bucket[at[0]]), b >> BLOCK_BITS, b, p.varints(np.diff(own.grams, prepend=0))[0].tobytes(), p.varints(own.n_docs)[0].tobytes(), own.docs.tobytes(), own.places.tobytes()
+        bucket, block, gram, doc, place = p.in_order([p.bucket_of(gram, buckets), of_block[of]], gram, [n[of] & ((1 << BLOCK_BITS) - 1), place])
+        edge = np.flatnonzero(np.diff(bucket, prepend=-1) | np.diff(block, prepend=-1))
+        for a, z in zip(edge, np.append(edge[1:], len(gram)), strict=True):
+            own = p.Lists(gram[a:z], doc[a:z], place[a:z], ordered=True)
+            b = int(own_blocks[block[a]])
+            yield int(bucket[a]), b >> BLOCK_BITS, b, p.varints(np.diff(own.grams, prepend=0))[0].tobytes(), p.varints(own.n_docs)[0].tobytes(), own.docs.tobytes(), own.places.tobytes()
 
     def each(it):
         for pdf in it:
@@ -82,17 +85,29 @@ def _to_lists(buckets: int):
 
 def _join_lists(pdf: pd.DataFrame) -> pd.DataFrame:
     """The lists of one bucket and block, from those of its chunks."""
-    gram, doc, place = [], [], []
-    for grams, n_docs, docs, places in zip(pdf["grams"], pdf["n_docs"], pdf["docs"], pdf["places"], strict=True):
-        of, d, at = p.decode(p.unvarints(n_docs), docs, places)
-        gram.append(np.cumsum(p.unvarints(grams))[of])
-        doc.append(d)
-        place.append(at)
-    own = p.Lists(np.concatenate(gram), np.concatenate(doc), np.concatenate(place))
+    grams = np.concatenate([np.cumsum(p.unvarints(x)) for x in pdf["grams"]])
+    of, doc, place = p.decode(p.unvarints(b"".join(pdf["n_docs"])), b"".join(pdf["docs"]), b"".join(pdf["places"]))
+    own = p.Lists(grams[of], doc, place)
     out = pd.DataFrame([*own.each()], columns=["gram", "n_docs", "docs", "places"])
     return out.assign(bucket=int(pdf["bucket"].iloc[0]), block=int(pdf["block"].iloc[0]))[["bucket", "gram", "block", "n_docs", "docs", "places"]]
 
 
+def _without_gone(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Lists less the places of rows whose bit is set in ``gone``; lists of which nothing is left go."""
+    dirty = pdf["gone"].notna()
+    touched = pdf[dirty]
+    block, of_block = np.unique(touched["block"].to_numpy(np.int64), return_inverse=True)
+    bits = np.zeros((len(block), 1 << BLOCK_BITS), bool)
+    for k, at in enumerate(np.unique(of_block, return_index=True)[1]):
+        bits[k] = np.unpackbits(np.frombuffer(touched["gone"].iloc[at], np.uint8), bitorder="little")
+    of, doc, place = p.decode(touched["n_docs"].to_numpy(np.int64), b"".join(touched["docs"]), b"".join(touched["places"]))
+    keep = ~bits[of_block[of], doc]
+    # Lists are numbered in their order, so that what is left of them is in order.
+    left = pd.DataFrame([*p.Lists(of[keep], doc[keep], place[keep], ordered=True).each()], columns=["at", "n_docs", "docs", "places"])
+    cleaned = touched.iloc[left["at"].to_numpy(np.int64)][["gram", "block"]].reset_index(drop=True).join(left[["n_docs", "docs", "places"]])
+    return pd.concat([pdf.loc[~dirty, cleaned.columns], cleaned], ignore_index=True)
+
+
 def _find(terms: list[str]):
     """Blocks' lists of grams to (n, _tf0, _tf1, ...), one row for each number that has a place of some term."""
     covers = [p.cover(t) for t in terms]
@@ -215,25 +230,20 @@ class TextIndex:
     def _merge_postings(self, small: list[dict], state: dict, buckets: int, name: str) -> None:
         lists = self._read([x["postings"] for x in small]).select("gram", "block", "n_docs", "docs", "places")
         if state["dead"]:
-            offset = (F.col("n") % (1 << BLOCK_BITS)).cast("int")
-            gone = self._read(state["dead"]).groupBy(F.shiftright("n", BLOCK_BITS).alias("block")).agg(F.collect_set(offset).alias("gone"))
-            lists = lists.join(gone, "block", "left")
+            # A block's removed rows are one bit each.
+            bits = F.substring(F.bitmap_construct_agg(F.col("n") % (1 << BLOCK_BITS)), 1, 1 << BLOCK_BITS - 3)
+            gone = self._read(state["dead"]).groupBy(F.shiftright("n", BLOCK_BITS).alias("block")).agg(bits.alias("gone"))
+            few = state["dead_rows"] <= BROADCAST_BLOCKS or gone.count() <= BROADCAST_BLOCKS
+            lists = lists.join(F.broadcast(gone) if few else gone, "block", "left")
         else:
-            lists = lists.withColumn("gone", F.lit(None).cast("array<int>"))
+            lists = lists.withColumn("gone", F.lit(None).cast("binary"))
 
         def clean(it):
             for pdf in it:
-                out = []
-                for gram, block, n_docs, docs, places, gone in zip(*(pdf[c] for c in ("gram", "block", "n_docs", "docs", "places", "gone")), strict=True):
-                    if gone is not None and len(gone):
-                        _, doc, at = p.decode(np.array([n_docs]), docs, places)
-                        keep = ~np.isin(doc, gone)
-                        for _, n, d, a in p.Lists(np.full(int(keep.sum()), gram), doc[keep], at[keep]).each():
-                            out.append((gram, block, n, d, a))
-                    else:
-                        out.append((gram, block, n_docs, docs, places))
-                own = pd.DataFrame(out, columns=["gram", "block", "n_docs", "docs", "places"])
-                yield own.assign(bucket=p.bucket_of(own["gram"].to_numpy(np.int64), buckets))[["bucket", "gram", "block", "n_docs", "docs", "places"]]
+                size = np.cumsum(pdf["places"].str.len().to_numpy(np.int64)) // CLEAN_BYTES
+                for _, own in pdf.groupby(size, sort=False):
+                    own = _without_gone(own.reset_index(drop=True))
+                    yield own.assign(bucket=p.bucket_of(own["gram"].to_numpy(np.int64), buckets))[["bucket", "gram", "block", "n_docs", "docs", "places"]]
 
         cleaned = lists.mapInPandas(clean, _POSTINGS).repartition("bucket", F.shiftright("block", BLOCK_BITS))
         cleaned.sortWithinPartitions("bucket", "gram", "block").write.partitionBy("bucket").parquet(f"{self.root}/{name}")

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,6 +33,36 @@ def test_lists_round_trip(places):
     assert [*zip(own.grams[of].tolist(), doc.tolist(), place.tolist(), strict=True)] == sorted(places)
 
 
+@settings(max_examples=60)
+@given(st.lists(st.tuples(st.integers(0, 9), st.text(min_size=3, max_size=3), st.integers(0, 1 << 30)), max_size=60), st.sampled_from([0, 1 << 40]))
+def test_places_in_order_whether_they_fit_one_number_or_not(rows, far):
+    """Wide alphabets and long texts don't fit 63 bits; the order is the same."""
+    code = lambda t: ord(t[0]) << 42 | ord(t[1]) << 21 | ord(t[2])
+    want = sorted((b, code(t), at + far) for b, t, at in rows)
+    bucket, gram, place = (np.array([r[k] for r in want][::-1], np.int64) for k in range(3))
+    assert [*zip(*(c.tolist() for c in p.in_order([bucket], gram, [place])), strict=True)] == want
+
+
+def test_removed_rows_are_cleaned_in_one_go_by_bits():
+    """Lists keep what isn't removed; those that lose all go; blocks without removed rows stay as they are."""
+    lists = {(7, 0): {0: [2, 4], 4095: [6]}, (7, 1): {5: [8]}, (9, 0): {4095: [10]}, (9, 2): {1: [0, 2]}}
+    rows = []
+    for (gram, block), docs in lists.items():
+        places = [(gram, d, x) for d, own in docs.items() for x in own]
+        rows += [(g, block, n, d, a) for g, n, d, a in p.Lists(*(np.array(c, np.int64) for c in zip(*places, strict=True))).each()]
+    gone = np.zeros(4096, bool)
+    gone[[4095, 17]] = True
+    bits = {0: np.packbits(gone, bitorder="little").tobytes(), 1: bytes(512)}
+    pdf = pd.DataFrame(rows, columns=["gram", "block", "n_docs", "docs", "places"])
+    got = ti._without_gone(pdf.assign(gone=[bits.get(b) for b in pdf["block"]]))
+    left = {}
+    for gram, block, n, docs, places in got.itertuples(index=False):
+        for d, x in zip(*(c.tolist() for c in p.decode(np.array([n]), docs, places)[1:]), strict=True):
+            left.setdefault((gram, block), {}).setdefault(d, []).append(x)
+    assert left == {(7, 0): {0: [2, 4]}, (7, 1): {5: [8]}, (9, 2): {1: [0, 2]}}
+    assert len(ti._without_gone(pdf.assign(gone=None))) == 4 and ti._without_gone(pdf.iloc[2:3].assign(gone=[bits[0]])).empty
+
+
 def test_cover_holds_every_character():
     for n in range(3, 20):
         held = {k + i for _, k in p.cover("x" * n) for i in range(3)}
