@@ -19,7 +19,6 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,7 @@ PARTITION_PIECES = 20_000
 GROWTH, MOST_PIECES = 4, 1_280_000
 #: Rounds go on as long as one saves more than this share of the bins that it was given.
 LEAST_SAVED = 1 / 10_000
-#: Words (and as many of their parts) whose ids a worker keeps, about 200 bytes each; beyond that the older half goes.
+#: Words and parts of words whose ids a worker keeps before it drops those that it has not met lately, about 150 bytes each; twice as many are there at most.
 CACHE_WORDS = 400_000
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
@@ -63,20 +62,25 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Kept(dict):
-    """Values by key, made when they are first asked for."""
+    """Values by key, made when they are first asked for. Once there are more than so many, those go that were not asked for since there were so many last time."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, key):
-        self[key] = value = self.make(key)
+        value = self.before.pop(key, None)
+        self[key] = value = self.make(key) if value is None else value
         return value
 
     def shrink(self, most: int) -> None:
         if len(self) > most:
-            for k in [*islice(self, most // 2)]:
-                del self[k]
+            self.before = {**self}
+            super().clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.before = {}
 
 
 class WordTokens:
@@ -90,7 +94,9 @@ class WordTokens:
         self.by_word = own.get("normalizer") == WORD_NORMALIZER and own.get("pre_tokenizer") == WORD_SPLITTER and not own.get("truncation") and own["model"].get("end_of_word_suffix") == "</w>"
         self.tokenizer, self.cache_words = Tokenizer.from_file(path), cache_words
         self.merges, self.letters = self.tokenizer.model, _byte_letters()
-        self.words, self.parts = _Kept(self._word), _Kept(self._part)
+        self.words = _Kept(self._word)
+        del own
+        give_back()  # the vocabulary's file, parsed, is larger than what the tokenizer keeps of it
 
     def _part(self, part: str) -> bytes:
         if _LETTERS.fullmatch(part):
@@ -102,16 +108,15 @@ class WordTokens:
 
     def _word(self, word: str) -> bytes:
         low = word.lower()
-        if low == word:
-            low = word  # one string for both tables
+        if low != word:
+            return self.words[low]
         core = low.rstrip(".,!")
         if len(core) < len(low) and _LETTERS.fullmatch(core[-1:]):
-            return self.parts[core] + self.parts[low[len(core) :]]
-        return self.parts[low]
+            return self.words[core] + self.words[low[len(core) :]]
+        return self._part(low)
 
     def forget(self) -> None:
         self.words.clear()
-        self.parts.clear()
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids. Splitting at white space and before punctuation at a word's end, and lower-casing don't change what the tokenizer gives; texts for which they might are given to it whole."""
@@ -119,21 +124,20 @@ class WordTokens:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         self.words.shrink(self.cache_words)
-        self.parts.shrink(self.cache_words)
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, cache_words: int = CACHE_WORDS) -> WordTokens:
     """A worker's one tokenizer. What it keeps of a task's words goes at the task's end: small tables are faster than full ones."""
     return WordTokens(path)
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(doc_id, row, piece, start, length, ids_crc32): each document's ids and its end, cut into pieces of ``capacity`` ids where it is longer. row numbers the rows of docs."""
 
     def emit(it):
-        tokens = word_tokens(tokenizer_path)
+        tokens = word_tokens(tokenizer_path, cache_words)
         tokens.forget()
         end = np.array([end_id], "<u4").tobytes()
         try:
@@ -248,13 +252,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: i
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, partition_pieces: int = PARTITION_PIECES, cache_words: int = CACHE_WORDS) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified (whether its partition has as few bins as any packing needs).
 
     Null or empty texts are one piece that holds the end id alone. Rows that
     repeat a doc_id, and rows without one, are packed one by one. An empty table
     gives an empty result; other columns are not looked at.
     """
-    pieces = stage(tokenised_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id), "pieces")
+    pieces = stage(tokenised_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, cache_words), "pieces")
     placed = pack_pieces(pieces, capacity, partition_pieces).withColumn("certified", F.col("part_bins") == F.col("part_bound"))
     return pieces.join(placed, ["row", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")

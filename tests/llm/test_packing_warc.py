@@ -175,3 +175,16 @@ def test_ranges():
 def test_record_parses(text):
     raw = warc.record(1, "http://x", text.encode(), hashlib.sha256(text.encode()).hexdigest(), None, False)
     assert warc.parse(raw)["payload"] == text.encode() and warc.parse(raw)["page_id"] == 1
+
+
+def test_words_that_are_met_again_stay():
+    """Of more words than a worker keeps, those go that were not met since; the others are not made again."""
+    made = []
+    kept = pk._Kept(lambda w: made.append(w) or w.encode())
+    for i in range(100):
+        assert kept["often"] == b"often" and kept[f"once{i}"] == f"once{i}".encode()
+        kept.shrink(10)
+        assert len(kept) + len(kept.before) <= 22
+    assert made.count("often") == 1
+    kept.clear()
+    assert not kept and not kept.before
