@@ -31,9 +31,9 @@ def _kept(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
 def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
     """The edges between nodes that have both a way in and a way out, looked at twice, and their number."""
     for _ in range(2):
-        both = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
-        inner = both.groupBy("node").agg(F.max("out").alias("o"), F.max("into").alias("i")).where("o = 1 and i = 1").select("node")
-        edges = edges.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+        # An edge's first node has a way out and its second one a way in, by the edge itself: only the other two are asked for.
+        into, out = edges.select(F.col("dst").alias("src")), edges.select(F.col("src").alias("dst"))
+        edges = edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst")
     kept, sums = _kept(edges)
     return kept, sums["n"]
 

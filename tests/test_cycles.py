@@ -62,3 +62,12 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     out = cy.components(graph)
     assert out.groupBy("comp").count().collect()[0]["count"] == 10_000 == out.count()
     assert len(tables) <= 25
+
+
+def test_trimming_groups_nothing(spark, monkeypatch):
+    """Ends are found by looking for edges' other ends alone: nodes are not grouped first."""
+    plans, kept = [], cy._kept
+    monkeypatch.setattr(cy, "_kept", lambda df, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, **k))
+    edges, n = cy._trimmed(spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "a"), ("h", "h")], EDGES))
+    assert sorted(edges.collect()) == [("a", "b"), ("b", "a"), ("h", "h")] and n == 3
+    assert "LeftSemi" in plans[0] and "Aggregate" not in plans[0]
