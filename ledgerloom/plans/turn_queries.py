@@ -11,7 +11,7 @@ from ..functions.ids import feedstock_id
 from ..operators import documents as dc
 from ..operators import runs, sync, turns
 from ..operators.vector_store import VectorStore
-from ..session import shared_path
+from ..session import checkpoint, shared_path
 from ..sources import logs
 from ..sources.log_cache import LogCache
 from ..streaming.managed import assemble_managed
@@ -177,7 +177,20 @@ def _codex_files(spark: SparkSession, sf_dir: str) -> str:
     # One file a session: its lines, in order, as one row of text.
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("lines")).select(F.array_join(F.transform("lines", lambda x: x["raw"]), "\n").alias("value"), F.concat_ws("-", F.lit("s"), "conv_id").alias("session"))
     folder = shared_path(spark, "codex-logs")
-    whole.repartition("session").write.partitionBy("session").text(folder)
+
+    def write(it):
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(folder)
+        system.create_dir(at, recursive=True)
+        for pdf in it:
+            for session, value in zip(pdf["session"], pdf["value"], strict=True):
+                with system.open_output_stream(f"{at}/{session}.jsonl") as f:
+                    f.write((value + "\n").encode())
+            yield pdf[["session"]]
+
+    # Tasks write whole files under names of their own, also when they are run again.
+    whole.mapInPandas(write, "session string").write.format("noop").mode("overwrite").save()
     return folder
 
 
@@ -185,7 +198,8 @@ def _codex_files(spark: SparkSession, sf_dir: str) -> str:
 def codex_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log files of the second dialect: written, read, decoded and assembled."""
     folder = _codex_files(spark, sf_dir)
-    lines, _ = logs.usable_lines(logs.read_lines(spark, [folder], "codex"))
+    # Files are opened once: what they hold is looked at several times.
+    lines, _ = logs.usable_lines(checkpoint(logs.read_lines(spark, [folder], "codex")))
     done = turns.assemble_events(logs.decode_codex(lines)[0])
     return done.where("error is null").select("session_id", "turn_id", "user_text", F.coalesce("assistant_text", F.lit("")).alias("assistant_text"))
 

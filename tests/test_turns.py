@@ -270,3 +270,17 @@ def test_a_failed_stream_loses_its_earlier_turns(spark):
 def test_names_of_turns_get_suffixes():
     a = tn.Assembler()
     assert [a._own(x) for x in ("t", "t", "t.2", "t", "u", "t.2", "t.2.2")] == ["t", "t.2", "t.2.2", "t.3", "u", "t.2.3", "t.2.2.2"]
+
+
+def test_codex_files_are_one_a_session(spark):
+    """Log files of whole sessions, written by tasks under the sessions' names, each line ended."""
+    from pathlib import Path
+
+    from ledgerloom.plans import turn_queries as q
+
+    sf = "/root/testdata/sf0.001"
+    want = {f"s-{r.conv_id}.jsonl" for r in spark.read.parquet(f"{sf}/conversations.parquet").where("role <> 'system'").select("conv_id").distinct().collect()}
+    for _ in range(2):
+        files = [p for p in Path(q._codex_files(spark, sf).removeprefix("file://")).rglob("*") if p.is_file() and not p.name.startswith(".")]
+        assert {p.name for p in files} == want and len(files) == len(want)
+        assert all(p.read_text().startswith('{"type":"session_meta"') and p.read_text().endswith("}\n") for p in files)
