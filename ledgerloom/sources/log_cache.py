@@ -121,11 +121,12 @@ class LogCache:
         version = before["version"] + 1
         plan = self._stage(self.decide(files).withColumn("source", F.coalesce("known", F.sha2(F.concat_ws("\0", F.lit(f"{version}-{tag}"), "agent", "path"), 256))), "log-plan")
         read = plan.where(F.col("decision").isin("resume", "reparse") & ~F.col("subagent"))
-        records = self._stage(ranges.read(ranges.split(read.select("agent", "path", "start", "size", "lines"), range_bytes), limit).join(plan.select("path", "source", "carried"), "path"), "log-records")
-        usable = F.col("terminated") | F.try_parse_json("raw").isNotNull()
-        reason = F.when(F.col("too_long"), F.format_string("line %d: record too long", "line")).when(F.col("terminated") & F.try_parse_json("raw").isNull(), F.format_string("line %d: malformed record", "line"))
+        records = self._stage(ranges.read(ranges.split(read.select("agent", "path", "start", "size", "lines"), range_bytes), limit).join(plan.select("path", "source", "carried"), "path").withColumn("whole", F.try_parse_json("raw").isNotNull()), "log-records")
+        # Records are parsed to be judged once, where they are read.
+        usable = F.col("terminated") | F.col("whole")
+        reason = F.when(F.col("too_long"), F.format_string("line %d: record too long", "line")).when(F.col("terminated") & ~F.col("whole"), F.format_string("line %d: malformed record", "line"))
         bad = records.withColumn("reason", reason).where("reason is not null").groupBy("path").agg(F.min_by("reason", "line").alias("reason"))
-        good = records.where(usable & ~F.col("too_long")).join(bad.select("path"), "path", "left_anti")
+        good = records.where(usable & ~F.col("too_long")).join(bad.select("path"), "path", "left_anti").drop("whole")
         claude = logs.decode_claude(good.where("agent <> 'codex'"))
         codex, odd = logs.decode_codex(good.where("agent = 'codex'"))
         events = claude.unionByName(codex)

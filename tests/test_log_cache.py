@@ -152,3 +152,15 @@ def test_no_logs(spark, root):
     put(root / "claude" / "a.jsonl", text([user("one", 1), answer("1")]), 1000)
     turns, _, _ = kept.run(listed(spark, root))
     assert len(rows(turns)) == 1
+
+
+def test_records_are_judged_once(spark, root, monkeypatch):
+    """What is staged of records says which ones are whole: later passes don't parse them again for that."""
+    put(root / "codex" / "two.jsonl", text([meta("S"), say("one", turn_id="a"), reply("1")]) + '{"type": "respo', 1000)
+    put(root / "claude" / "odd.jsonl", text([user("odd", 1)]) + "no record\n", 1000)
+    staged, stage = {}, LogCache._stage
+    monkeypatch.setattr(LogCache, "_stage", lambda self, df, name: staged.setdefault(name, stage(self, df, name)))
+    turns, _, warnings = LogCache(spark, f"{root}/cache").run(listed(spark, root))
+    assert [(r.session_id, r.turn_id, r.assistant_text) for r in turns.collect()] == [("S", "a", "1")]
+    assert [r.reason for r in warnings.collect()] == ["line 2: malformed record"]
+    assert sorted((r.line, r.terminated, r.whole) for r in staged["log-records"].collect()) == [(1, True, True), (1, True, True), (2, True, False), (2, True, True), (3, True, True), (4, False, False)]
