@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .shared import NO_ID, NON_SPACE, Words, bloom_has, chunks, grams, id_text, mix64, named, owner, pack, pack_sorted, stage, unnamed, unpack, unpack_sorted
+from .shared import NO_ID, NON_SPACE, Words, bloom_has, chunks, grams, id_text, mix64, named, owner, pack, pack_planes, pack_sorted, stage, stage_only, unnamed, unpack, unpack_planes, unpack_sorted
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
@@ -35,6 +35,8 @@ BROADCAST_PAIRS = 250_000
 MOST_CELLS, PIECE, TREE = 1 << 24, 1 << 14, 64
 #: Entries of a bucket of shingles, about.
 BUCKET_ROWS = 500_000
+#: Entries (33 bytes each) that a task gathers before it deals them to buckets, about: there are more buckets on larger tables, and rows of a few entries each would take more room than these.
+DEALT_ROWS = 250_000
 
 SET_SCHEMA = "doc_id long, n long, node binary, kind int, piece int, part int, body binary"
 PIECE_SCHEMA = "piece int, part int, body binary"
@@ -105,7 +107,7 @@ def measure(docs: DataFrame, cells: int, k: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         for i in range(0, cells, PIECE):
             if sketch[i : i + PIECE].any():
-                yield pd.DataFrame({"doc_id": [NO_ID], "n": [0], "node": [None], "kind": [1], "piece": [i // PIECE], "part": [part], "body": [pack(sketch[i : i + PIECE])]})
+                yield pd.DataFrame({"doc_id": [NO_ID], "n": [0], "node": [None], "kind": [1], "piece": [i // PIECE], "part": [part], "body": [pack_planes(sketch[i : i + PIECE])]})
 
     return docs.mapInPandas(emit, SET_SCHEMA)
 
@@ -113,8 +115,8 @@ def measure(docs: DataFrame, cells: int, k: int) -> DataFrame:
 def _add_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(1, np.uint64)
     for b in pdf["body"]:
-        total = total + unpack(b, np.uint32)
-    return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "part": [pdf["part"].iloc[0]], "body": [pack(np.minimum(total, 2**32 - 1).astype(np.uint32))]})
+        total = total + unpack_planes(b, np.uint32)
+    return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "part": [pdf["part"].iloc[0]], "body": [pack_planes(np.minimum(total, 2**32 - 1).astype(np.uint32))]})
 
 
 def whole_sketch(pieces: DataFrame, cells: int) -> np.ndarray:
@@ -126,7 +128,7 @@ def whole_sketch(pieces: DataFrame, cells: int) -> np.ndarray:
         tasks = -(-tasks // TREE)
     out = np.zeros(cells, np.uint32)
     for r in pieces.toLocalIterator():
-        body = unpack(bytes(r["body"]), np.uint32)
+        body = unpack_planes(bytes(r["body"]), np.uint32)
         out[r["piece"] * PIECE : r["piece"] * PIECE + len(body)] = body
     return out
 
@@ -157,20 +159,23 @@ def _by_bucket(keys: np.ndarray, buckets: int):
     return zip(b[cut[:-1]].tolist(), cut, cut[1:], strict=False)
 
 
-def prefix_groups(docs: DataFrame, order, buckets: int, k: int, threshold: int, hot_count: int = HOT_COUNT) -> DataFrame:
-    """(token, node, size, rest): groups of sets that share a shingle of their prefixes; rest counts a set's shingles from that one on.
-
-    Shingles travel as sorted arrays by bucket of the hash range, equal sets of a
-    chunk once. Shingles that the sketch takes for very frequent stay with their
-    chunk and leave as rows at once, for later aggregates and joins that split
-    large keys; so a bucket holds at most ``hot_count`` entries of a shingle.
-    Groups with the same members become one, named by a hash of these, with each
-    member's largest rest; members that no other one of the group can link to go.
-    """
+def prefix_rows(docs: DataFrame, order, buckets: int, k: int, threshold: int, hot_count: int = HOT_COUNT) -> DataFrame:
+    """Shingles of sets' prefixes as sorted arrays by bucket of the hash range, those of some chunks of texts together and equal sets of a chunk once. Shingles that the sketch takes for very frequent get buckets of these chunks' own."""
     hot_level = int(8 * np.log2(1 + hot_count))
 
+    def deal(held: list, number: int) -> pd.DataFrame:
+        rows, (tok, node, alt, size, rest, hot) = [], (np.concatenate(x) for x in zip(*held, strict=True))
+        for is_hot, some in ((False, np.flatnonzero(~hot)), (True, np.flatnonzero(hot))):
+            at = some[np.argsort(tok[some], kind="stable")]
+            t = tok[at]
+            # Frequent ones get a bucket of their own: its number only spreads them.
+            cuts = _by_bucket(t, buckets) if not is_hot else [(-1 - (number & 0x3FFFFFFF), 0, len(t))] if len(t) else []
+            rows += [(b, pack_sorted(t[i:j]), pack(node[at[i:j]]), pack(alt[at[i:j]]), pack_planes(size[at[i:j]]), pack_planes(rest[at[i:j]])) for b, i, j in cuts]
+        return pd.DataFrame(rows, columns=["bucket", "tokens", "nodes", "names", "sizes", "rests"])
+
     def emit(it):
-        chunk = TaskContext.get().partitionId() << 10
+        number = TaskContext.get().partitionId() << 10
+        held, n = [], 0
         for pdf in it:
             texts = pdf["text"].to_list()
             for lo, hi in chunks(texts):
@@ -185,21 +190,30 @@ def prefix_groups(docs: DataFrame, order, buckets: int, k: int, threshold: int,
                 rest = (size + first[:-1])[of] - np.arange(len(h))
                 keep = (rest * 100 >= threshold * size[of]) & alone[of]
                 by, of, rest = by[keep], of[keep], rest[keep]
-                hot = level[by] >= hot_level
-                rows = []
-                for is_hot, some in ((False, ~hot), (True, hot)):
-                    tok, o, left = h[by[some]], of[some], rest[some]
-                    at = np.argsort(tok, kind="stable")
-                    tok, o, left = tok[at], o[at], left[at]
-                    chunk += 1
-                    # A chunk's frequent ones get a bucket of their own: its number only spreads them.
-                    cuts = _by_bucket(tok, buckets) if not is_hot else [(-1 - (chunk & 0x3FFFFFFF), 0, len(tok))] if len(tok) else []
-                    rows += [(b, pack_sorted(tok[i:j]), pack(node[o[i:j]]), pack(alt[o[i:j]]), pack(size[o[i:j]].astype(np.uint32)), pack(left[i:j].astype(np.uint32))) for b, i, j in cuts]
-                yield pd.DataFrame(rows, columns=["bucket", "tokens", "nodes", "names", "sizes", "rests"])
+                held.append((h[by], node[of], alt[of], size[of].astype(np.uint32), rest.astype(np.uint32), level[by] >= hot_level))
+                n += len(by)
+                if n >= DEALT_ROWS:
+                    yield deal(held, number := number + 1)
+                    held, n = [], 0
+        if n:
+            yield deal(held, number + 1)
+
+    return docs.mapInPandas(emit, TOKEN_SCHEMA)
+
+
+def prefix_groups(docs: DataFrame, order, buckets: int, k: int, threshold: int, hot_count: int = HOT_COUNT) -> DataFrame:
+    """(token, node, size, rest): groups of sets that share a shingle of their prefixes; rest counts a set's shingles from that one on.
+
+    Shingles meet by bucket. Those that the sketch takes for very frequent leave
+    as rows at once, for later aggregates and joins that split large keys; so a
+    bucket holds at most ``hot_count`` entries of a shingle.
+    Groups with the same members become one, named by a hash of these, with each
+    member's largest rest; members that no other one of the group can link to go.
+    """
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         kinds = {"nodes": np.uint64, "names": np.uint64, "sizes": np.uint32, "rests": np.uint32}
-        tok, sets = np.concatenate([unpack_sorted(b) for b in pdf["tokens"]]), [np.concatenate([unpack(b, kind) for b in pdf[c]]) for c, kind in kinds.items()]
+        tok, sets = np.concatenate([unpack_sorted(b) for b in pdf["tokens"]]), [np.concatenate([unpack_planes(b, kind) if kind is np.uint32 else unpack(b, kind) for b in pdf[c]]) for c, kind in kinds.items()]
         if pdf["bucket"].iloc[0] >= 0:
             tok, *sets = _one_each(tok, *sets)
             bounds = np.append(np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])), len(tok)) if len(tok) else np.zeros(1, np.int64)
@@ -208,7 +222,7 @@ def prefix_groups(docs: DataFrame, order, buckets: int, k: int, threshold: int,
         node, alt, size, rest = sets
         return pd.DataFrame({"token": tok.view(np.int64), "node": _names(node, alt), "size": size.astype(np.int64), "rest": rest.astype(np.int64)})
 
-    return docs.mapInPandas(emit, TOKEN_SCHEMA).groupBy("bucket").applyInPandas(group, "token long, node binary, size long, rest long")
+    return prefix_rows(docs, order, buckets, k, threshold, hot_count).groupBy("bucket").applyInPandas(group, "token long, node binary, size long, rest long")
 
 
 def _one_each(tok, node, alt, size, rest):
@@ -367,9 +381,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = measured.where("kind = 0").select("doc_id", "n", "node")
 
     # Groups with the same members come from several buckets: once is enough. A set's own groups are counted, for what is in many of them is a good hub.
-    groups = stage(prefix_groups(thin, order, buckets_for(words), k, threshold, hot_count), "prefixes").groupBy("token", "node", "size").agg(F.max("rest").alias("rest"))
-    groups = stage(groups, "groups")
-    groups = stage(groups.join(stage(groups.groupBy("node").agg(F.count(F.lit(1)).alias("n_groups")), "counts"), "node"), "counted-groups")
+    def counted() -> DataFrame:
+        found = stage(prefix_groups(thin, order, buckets_for(words), k, threshold, hot_count), "prefixes")
+        own = stage(found.groupBy("token", "node", "size").agg(F.max("rest").alias("rest")), "groups")
+        return own.join(stage(own.groupBy("node").agg(F.count(F.lit(1)).alias("n_groups")), "counts"), "node")
+
+    groups = stage_only(spark, "counted-groups", counted)
 
     nodes = stage(groups.select("node").distinct().join(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "node").mapInPandas(_marks, "h long"), "nodes")
     n = shared.bloom_segments(nodes.count(), most_bits=most_bits)

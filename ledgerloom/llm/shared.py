@@ -9,7 +9,7 @@ from __future__ import annotations
 import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -68,6 +68,15 @@ def scratch(spark: SparkSession):
             at.getFileSystem(hadoop).delete(at, True)
 
 
+def stage_only(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Stage what ``make`` gives. What it staged on the way is deleted, and must not be read by anything else."""
+    with scratch(spark) as kept:
+        df, path = make(), new_path(spark, name)
+        df.write.parquet(path)
+        kept.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -211,15 +220,22 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
 
 
+def pack_planes(a: np.ndarray) -> bytes:
+    """All values' first bytes, then all second ones, ...: of small numbers only the first take room."""
+    return pack(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T)
+
+
+def unpack_planes(b: bytes, dtype) -> np.ndarray:
+    return np.ascontiguousarray(unpack(b, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
 def pack_sorted(a: np.ndarray) -> bytes:
     """Ascending 64-bit values: their differences, byte by byte, so that what all have in common takes no room."""
-    steps = np.diff(a, prepend=a.dtype.type(0)) if len(a) else a
-    return pack(steps.view(np.uint8).reshape(-1, 8).T)
+    return pack_planes(np.diff(a, prepend=a.dtype.type(0)) if len(a) else a)
 
 
 def unpack_sorted(b: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(unpack(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64)
+    return np.cumsum(unpack_planes(b, np.uint64), dtype=np.uint64)
 
 
 # ------------------------------------------------------------------ Bloom filters

@@ -202,3 +202,32 @@ def test_near_partial_overlaps(spark):
     links = jj.linked(spark.createDataFrame(pairs_, "a binary, b binary, a_size long, b_size long"), rows, 75)
     whole = {k[:2]: sum(n for j, n in want.items() if j[:2] == k[:2]) for k in want}
     assert {(bytes(r.a), bytes(r.b)) for r in links.collect()} == {(a, b) for a, b, x, y in pairs_ if 175 * whole.get((a, b), 0) >= 75 * (x + y)} != set()
+
+
+def test_prefixes_of_several_chunks_share_rows(spark):
+    """A bucket's row holds what a task has for it, not what one chunk of texts has: three chunks are no more rows than there are buckets."""
+    import numpy as np
+
+    from ledgerloom.llm import jaccard_join as jj
+    from ledgerloom.llm.shared import CHUNK_CHARS
+
+    texts = [" ".join(f"w{i * 7919 % 99991}x{d}" for i in range(a, a + 30_000)) for d, a in enumerate((0, 5, 9))]
+    assert all(len(t) > CHUNK_CHARS / 2 for t in texts)
+    sketch = np.zeros(jj.PIECE, np.uint32)
+    h, first = jj.shingle_sets(texts)
+    np.add.at(sketch, (h >> np.uint64(50)).astype(np.int64), 1)
+    order = spark.sparkContext.broadcast(jj.Order(sketch, 4))
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = [jj.unpack_sorted(bytes(r.tokens)) for r in jj.prefix_rows(df, order, 64, 5, 75).collect()]
+    assert len(got) == 64 and sum(map(len, got)) >= len(h) // 4
+
+
+@pytest.mark.parametrize("kind", ["uint32", "uint64"])
+def test_planes(kind):
+    import numpy as np
+
+    from ledgerloom.llm.shared import pack_planes, unpack_planes
+
+    for n in (0, 1, 1000):
+        a = np.random.default_rng(n).integers(0, 2**30, n).astype(kind)
+        assert (unpack_planes(pack_planes(a), kind) == a).all()

@@ -128,3 +128,14 @@ def test_clusters_need_a_shared_folder(monkeypatch):
         shared.shared_dir(Fake)
     Fake.conf.get = staticmethod(lambda name, default: "hdfs://x/y/")
     assert shared.shared_dir(Fake) == "hdfs://x/y/ledgerloom/none"
+
+
+@pytest.mark.parametrize("stage", [cp.drop_near_duplicates, cp.decontaminate_benchmark])
+def test_only_keys_stay_of_what_a_stage_compares(spark, docs, stage):
+    from ledgerloom.llm import shared
+
+    folder = Path(shared.shared_dir(spark).removeprefix("file://"))
+    before = {*folder.iterdir()} if folder.exists() else set()
+    out = stage(spark, docs.where("doc_id < 300"), SF)
+    left = {p.name.split("-")[0]: p for p in {*folder.iterdir()} - before}
+    assert {*left} <= {"copies", "hit", "gone"} and out.count() > 0
