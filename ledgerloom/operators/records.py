@@ -167,8 +167,8 @@ def changed_since(snapshot: DataFrame, now: DataFrame, key: str = "id") -> DataF
     return both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(key)
 
 
-def decode_result(rows: DataFrame, task: str, column: str = "result") -> tuple[DataFrame, DataFrame]:
-    """(rows with ``decoded``, rows whose result is not exactly the task's object): unknown keys, trailing text and wrong types are refused."""
+def decoded_result(rows: DataFrame, task: str, column: str = "result") -> DataFrame:
+    """All rows, with ``decoded``: null where the result is not exactly the task's object (unknown keys, trailing text and wrong types are refused)."""
     schema = RESULT_SCHEMAS[task]
     keys = F.array(*(F.lit(part.split()[0]) for part in _top_level(schema)))
     decoded = F.from_json(column, schema)
@@ -179,8 +179,13 @@ def decode_result(rows: DataFrame, task: str, column: str = "result") -> tuple[D
     complete = F.lit(True)
     for part in _top_level(schema):
         complete = complete & decoded[part.split()[0]].isNotNull()
-    judged = rows.withColumn("decoded", decoded).withColumn("_ok", F.coalesce(whole & complete, F.lit(False)))
-    return judged.where("_ok").drop("_ok"), judged.where("not _ok").drop("_ok", "decoded")
+    return rows.withColumn("decoded", F.when(F.coalesce(whole & complete, F.lit(False)), decoded))
+
+
+def decode_result(rows: DataFrame, task: str, column: str = "result") -> tuple[DataFrame, DataFrame]:
+    """(rows with ``decoded``, rows whose result is not exactly the task's object)."""
+    judged = decoded_result(rows, task, column)
+    return judged.where("decoded is not null"), judged.where("decoded is null").drop("decoded")
 
 
 def _top_level(schema: str) -> list[str]:

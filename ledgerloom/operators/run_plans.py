@@ -24,8 +24,7 @@ NO_OBJECT = "result is not exactly the task's object"
 def judged_results(keys: DataFrame, results: DataFrame, task: str) -> DataFrame:
     """``keys`` (key, ...) with ``decoded``, ``missing`` and ``reason``; a key's results are all refused if it has several."""
     own = results.where(F.col("task") == task).groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("result").alias("result"))
-    good, bad = records.decode_result(own, task)
-    told = good.select("key", "_n", "decoded").unionByName(bad.select("key", "_n"), allowMissingColumns=True)
+    told = records.decoded_result(own, task).select("key", "_n", "decoded")
     reason = F.when(F.col("_n") > 1, "several results").when(F.col("_n").isNotNull() & F.col("decoded").isNull(), NO_OBJECT)
     return keys.join(told, "key", "left").withColumns({"missing": F.col("_n").isNull(), "reason": reason}).drop("_n")
 
@@ -39,7 +38,7 @@ def draw_run(store: RunStore, candidates: DataFrame, results: DataFrame, types:
     types is extracted without a call. All drafts of a turn become knowledge, or none.
     """
     feedstocks = store.table("feedstocks")
-    selected, conflicts, totals = runs.draw(candidates, feedstocks, limit, oldest, hook)
+    selected, conflicts, totals = runs.draw(candidates, feedstocks, limit, oldest, hook, ordered=False)
     chosen = checkpoint(selected)
     acquired = chosen.where("not resumable")
     ids = chosen.select(F.col("id").alias("key"))
@@ -69,9 +68,11 @@ def draw_run(store: RunStore, candidates: DataFrame, results: DataFrame, types:
 
     state = counts(store.steps().where(F.col("run") > store.version - 3))
     n = lambda step, s: state.get(step, {}).get(s, 0)
-    total = totals.first()
+    taken = chosen.count()
+    # Without a limit all that is pending was selected: copies need not be merged once more to be counted.
+    pending = totals.first()["pending"] if limit or hook else taken
     return {
-        "turns_selected": chosen.count(), "turns_pending": total["pending"] - n("extract", DONE), "sources_failed": n("acquire", FAILED), "feedstocks_acquired": n("acquire", DONE), "feedstocks_drawn": n("draft", DONE),
+        "turns_selected": taken, "turns_pending": pending - n("extract", DONE), "sources_failed": n("acquire", FAILED), "feedstocks_acquired": n("acquire", DONE), "feedstocks_drawn": n("draft", DONE),
         "feedstocks_extracted": n("extract", DONE), "knowledge_created": made.count(), "feedstocks_failed": n("draft", FAILED) + n("extract", FAILED), "waiting": n("draft", WAITING) + n("extract", WAITING),
     }
 

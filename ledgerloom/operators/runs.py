@@ -17,11 +17,11 @@ from . import search, sync, turns
 THRESHOLD_DEPTH, THRESHOLD_LIMIT, AGENT_LIMIT = 100, 200, 20
 
 
-def draw(candidates: DataFrame, feedstocks: DataFrame, limit: int = 0, oldest: bool = False, hook: bool = False, same: list[str] = turns.SAME) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(selected turns, turns of sessions whose copies conflict, one row of counts). Only turns that their own session's file holds are acquired."""
+def draw(candidates: DataFrame, feedstocks: DataFrame, limit: int = 0, oldest: bool = False, hook: bool = False, same: list[str] = turns.SAME, ordered: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(selected turns, turns of sessions whose copies conflict, one row of counts). Only turns that their own session's file holds are acquired. Without a limit selected turns need not be ``ordered``."""
     own = candidates.where(F.col("source_owner_session_id").isNull() | (F.trim("source_owner_session_id") == "") | (F.col("source_owner_session_id") == F.col("session_id")))
     merged, conflicts = turns.merge_copies(own, same)
-    selected = turns.select_unfinished(merged, feedstocks, limit, oldest, hook)
+    selected = turns.select_unfinished(merged, feedstocks, limit, oldest, hook, ordered)
     todo = turns.unfinished(merged, feedstocks).agg(F.count(F.lit(1)).alias("pending"), F.count_if("resumable").alias("resumable"))
     counts = todo.crossJoin(conflicts.agg(F.count(F.lit(1)).alias("conflicts")))  # one row each
     return selected, conflicts, counts

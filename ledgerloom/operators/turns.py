@@ -192,15 +192,15 @@ def unfinished(candidates: DataFrame, feedstocks: DataFrame) -> DataFrame:
     return out.withColumn("resumable", F.coalesce("_known", F.lit(False))).drop("_known", "_extracted")
 
 
-def select_unfinished(candidates: DataFrame, feedstocks: DataFrame, limit: int = 0, oldest: bool = False, hook: bool = False) -> DataFrame:
-    """Resumable turns first, then new ones, each by time (newest first, unless ``oldest``), source order and id; ``hook`` leaves out the latest turn, which may not be over. With a limit only so many rows are ordered in the end."""
+def select_unfinished(candidates: DataFrame, feedstocks: DataFrame, limit: int = 0, oldest: bool = False, hook: bool = False, ordered: bool = True) -> DataFrame:
+    """Resumable turns first, then new ones, each by time (newest first, unless ``oldest``), source order and id; ``hook`` leaves out the latest turn, which may not be over. With a limit only so many rows are ordered in the end; without one and not ``ordered`` they are in any order."""
     out = unfinished(candidates, feedstocks)
     if hook:
         last = out.orderBy(F.desc("timestamp"), F.desc("source_sequence"), F.desc("id")).limit(1).select("id")
         out = out.join(F.broadcast(last), "id", "left_anti")
     way = F.asc if oldest else F.desc
     order = [F.desc("resumable"), way("timestamp"), way("agent"), way("session_id"), way("source_sequence"), F.asc("id")]
-    out = out.orderBy(*order)
+    out = out.orderBy(*order) if limit or ordered else out
     return out.limit(limit) if limit else out
 
 

@@ -146,3 +146,22 @@ def test_payloads_of_extraction(spark):
     assert {*got} == {"t0", "t2", "t4"}
     assert [t["turn_offset"] for t in got["t2"]["context_before"]] == [-2, -1] and got["t2"]["context_after"][0]["dialogue"][0]["content"] == "u3"
     assert got["t4"]["context_after"] == [] and got["t4"]["subject_master"][0]["name"] == "s"
+
+
+def test_drawing_merges_copies_once(spark, tmp_path, monkeypatch):
+    """Without a limit the turns are neither sorted nor merged once more to be counted; results are decoded in one pass."""
+    seen = []
+
+    class Unasked:
+        def first(self):
+            raise AssertionError("counted by merging again")
+
+    draw = rp.runs.draw
+    monkeypatch.setattr(rp.runs, "draw", lambda *a, **k: (seen.append(draw(*a, **k)), (*seen[-1][:2], Unasked()))[1])
+    out = rp.draw_run(store_of(spark, tmp_path), spark.createDataFrame([turn(i) for i in range(3)], TURN), results(spark, ("draw", "t0", {"summary": "x", "types": []}, None)), ["rule"], [], NOW)
+    assert out["turns_selected"] == 3 and out["turns_pending"] == 2 and out["waiting"] == 2
+    assert "Sort [resumable" not in seen[0][0]._jdf.queryExecution().optimizedPlan().toString()
+    keys = spark.createDataFrame([("t0",), ("t1",)], "key string")
+    judged = rp.judged_results(keys, results(spark, ("draw", "t0", {"summary": "x", "types": []}, None), ("draw", "t1", "{}", None)), "draw")
+    assert "Union" not in judged._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["key"]: (r["decoded"] is None, r["reason"]) for r in judged.collect()} == {"t0": (False, None), "t1": (True, rp.NO_OBJECT)}
