@@ -286,9 +286,8 @@ def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     if refused:
         raise RuntimeError(f"{refused} files were not written")
     templates = spark.createDataFrame([("page", "page.md")], "name string, output string")
-    good, bad = record_files.read_documents(spark, root, templates)
-    none = F.lit(None).cast("string")
-    fine = good.select("subject", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"), none.alias("reason"))
+    rows = record_files.judged_documents(spark, root, templates)
+    fine = F.col("reason").isNull()
     # A document without a body is refused, as its head was right.
-    wrong = bad.where(F.startswith("reason", F.lit("subject is"))).select(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("subject"), none.alias("body_sha256"), "reason")
-    return fine.unionByName(wrong)
+    told = rows.where(fine | F.startswith("reason", F.lit("subject is")))
+    return told.select(F.when(fine, F.col("subject")).otherwise(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)).alias("subject"), F.when(fine, F.sha2(F.col("body").cast("binary"), 256)).alias("body_sha256"), "reason")

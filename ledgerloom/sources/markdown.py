@@ -30,6 +30,12 @@ def read_records(spark: SparkSession, folder: str, schema: str) -> tuple[DataFra
 
 def decode_records(whole: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     """As ``read_records``, for rows (path, content)."""
+    rows = judged_records(whole, schema)
+    return rows.where("_reason is null").drop("_reason"), rows.where("_reason is not null").select("path", F.col("_reason").alias("reason"))
+
+
+def judged_records(whole: DataFrame, schema: str, error=None) -> DataFrame:
+    """Rows (path, content) as path, id, the fields of ``schema``, body and _reason, which says of each that is no record why. ``error``: what it says of those without content."""
     fields = [part.split()[0] for part in _parts(schema)]
 
     def head(text: pd.Series) -> pd.DataFrame:
@@ -49,12 +55,12 @@ def decode_records(whole: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]
                 out.append((None, str(e).splitlines()[0]))
         return pd.DataFrame(out, columns=["json", "reason"])
 
-    split = whole.select("path", F.regexp_extract("path", r"([^/]*)\.md$", 1).alias("id"), F.regexp_extract("content", HEAD, 1).alias("_head"), F.regexp_extract("content", HEAD, 2).alias("body"), F.col("content").rlike(HEAD).alias("_ok"))
-    decoded = split.withColumn("_h", F.when(F.col("_ok"), F.pandas_udf(head, "json string, reason string")("_head")))
+    split = whole.select("path", F.regexp_extract("path", r"([^/]*)\.md$", 1).alias("id"), F.regexp_extract("content", HEAD, 1).alias("_head"), F.regexp_extract("content", HEAD, 2).alias("body"), F.coalesce(F.col("content").rlike(HEAD), F.lit(False)).alias("_ok"), (F.lit(None).cast("string") if error is None else error).alias("_error"))
+    # Not deterministic for Spark, which else decodes heads anew for each filter and column.
+    decoded = split.withColumn("_h", F.when(F.col("_ok"), F.pandas_udf(head, "json string, reason string").asNondeterministic()("_head")))
+    reason = F.coalesce(F.col("_error"), F.when(~F.col("_ok"), "no front matter").otherwise(F.col("_h.reason")))
     rows = decoded.withColumn("_r", F.from_json("_h.json", schema))
-    reason = F.when(~F.col("_ok"), "no front matter").otherwise(F.col("_h.reason"))
-    good = rows.where("_ok and _h.reason is null").select("path", "id", *(F.col(f"_r.{f}").alias(f) for f in fields if f != "id"), "body")
-    return good, rows.select("path", reason.alias("reason")).where("reason is not null")
+    return rows.select("path", "id", *(F.col(f"_r.{f}").alias(f) for f in fields if f != "id"), "body", reason.alias("_reason"))
 
 
 def _parts(schema: str) -> list[str]:

@@ -4,15 +4,19 @@ Below a root lie folders of a fixed depth, whose names are columns (agent, year
 month of turns; the subject of documents), and in them one file for each record.
 Filters on these columns and on the id are pushed down: other folders are not
 listed, and a record that is asked for by id is opened without any list. The driver
-lists folders only; tasks list files and read them, several tasks a folder.
+lists folders only, and holds LISTED of them at most: where a level has more, tasks
+list it, and each takes the folders that hash to it. Tasks list files and read them,
+several tasks a folder.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +25,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 
 from ..operators import records
 from ..operators.lifecycle import with_status
-from .markdown import claim_sections, decode_records
+from .markdown import claim_sections, judged_records
 
 #: Tasks that share a folder's files.
 SPLITS = 4
+#: Folders that the driver holds at most.
+LISTED = 4_096
 #: Whether Spark passes filters to Python sources at all.
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
@@ -35,9 +41,35 @@ def _open(root: str):
     return fs.FileSystem.from_uri(root if ":" in root.split("/")[0] else f"file://{root}")
 
 
+def _anything(name: str) -> bool:
+    return True
+
+
+def _listed(system, folder: str, mine: Callable[[str], bool] = _anything) -> Iterator:
+    """What lies in a folder under names that are ``mine``. A local folder's list is gone through, not held; other systems' clients hold it whole."""
+    from pyarrow import fs
+
+    if not isinstance(system, fs.LocalFileSystem):
+        yield from (i for i in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if mine(i.base_name))
+        return
+    try:
+        entries = os.scandir(folder)
+    except FileNotFoundError:
+        return
+    with entries:
+        paths = (f"{folder}/{e.name}" for e in entries if mine(e.name))
+        while some := [*islice(paths, 1_000)]:
+            yield from system.get_file_info(some)
+
+
+def _named(system, folder: str, names: Iterable[str]) -> list:
+    """Names are looked at, not searched for. One that leads elsewhere is none."""
+    return system.get_file_info([f"{folder}/{x}" for x in names if x not in ("", ".", "..") and "/" not in x])
+
+
 @dataclass
 class Share(InputPartition):
-    """A share of the files of some folders (path, names of the levels), or some of them by id."""
+    """A share of the files of some folders (path, names of the levels), or some of them by id. Of folders above the last level, a share of the folders below them and all files of these."""
 
     folders: tuple[tuple[str, tuple[str, ...]], ...]
     ids: tuple[str, ...] | None
@@ -46,7 +78,7 @@ class Share(InputPartition):
 
 
 class RecordFiles(DataSource):
-    """Rows (a column for each level, id, path, mtime_ns, size, content, error). Options: ``path``, ``levels`` (names, comma-joined, may be empty), ``content`` (false: files are listed, not opened), ``splits``, ``tasks``."""
+    """Rows (a column for each level, id, path, mtime_ns, size, content, error). Options: ``path``, ``levels`` (names, comma-joined, may be empty), ``content`` (false: files are listed, not opened), ``splits``, ``tasks``, ``listed`` (folders that the driver holds at most)."""
 
     @classmethod
     def name(cls) -> str:
@@ -60,48 +92,54 @@ class RecordFiles(DataSource):
 
     def reader(self, schema) -> RecordReader:
         kind = PushedReader if self.options.get("push") == "true" else RecordReader
-        return kind(self.options["path"], self.levels(), self.options.get("content", "true") != "false", int(self.options.get("splits", SPLITS)), int(self.options.get("tasks", 64)))
+        return kind(self.options["path"], self.levels(), self.options.get("content", "true") != "false", int(self.options.get("splits", SPLITS)), int(self.options.get("tasks", 64)), int(self.options.get("listed", LISTED)))
 
 
 class RecordReader(DataSourceReader):
-    def __init__(self, root: str, levels: Sequence[str], content: bool = True, splits: int = SPLITS, tasks: int = 64):
-        self.root, self.levels, self.content, self.splits, self.tasks = root.rstrip("/"), [*levels], content, splits, tasks
+    def __init__(self, root: str, levels: Sequence[str], content: bool = True, splits: int = SPLITS, tasks: int = 64, listed: int = LISTED):
+        self.root, self.levels, self.content, self.splits, self.tasks, self.listed = root.rstrip("/"), [*levels], content, splits, tasks, listed
         self.wanted: dict[str, set[str]] = {}
 
-    def partitions(self) -> Sequence[InputPartition]:
+    def _below(self, system, found: Iterable[tuple[str, tuple[str, ...]]], level: str, mine: Callable[[str], bool] = _anything) -> Iterator[tuple[str, tuple[str, ...]]]:
+        """The folders of a level below those found above it."""
         from pyarrow import fs
 
+        asked = self.wanted.get(level)
+        for path, names in found:
+            infos = _listed(system, path, mine) if asked is None else _named(system, path, filter(mine, sorted(asked)))
+            yield from ((i.path, (*names, i.base_name)) for i in infos if i.type == fs.FileType.Directory)
+
+    def partitions(self) -> Sequence[InputPartition]:
         system, at = _open(self.root)
         found: list[tuple[str, tuple[str, ...]]] = [(at, ())]
-        for level in self.levels:
-            asked = self.wanted.get(level)
-            below = []
-            for path, names in found:
-                if asked is not None:
-                    # Named folders are looked at, not searched for. A name that leads elsewhere is none.
-                    infos = system.get_file_info([f"{path}/{x}" for x in sorted(asked) if x not in ("", ".", "..") and "/" not in x])
-                else:
-                    infos = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
-                below += [(i.path, (*names, i.base_name)) for i in infos if i.type == fs.FileType.Directory]
-            found = below
         ids = tuple(sorted(self.wanted["id"])) if "id" in self.wanted else None
         parts = 1 if ids is not None else self.splits
+        for level in self.levels:
+            below = [*islice(self._below(system, found, level), self.listed + 1)]
+            if len(below) > self.listed:
+                parts = max(self.splits, -(-self.tasks // len(found)))
+                break
+            found = sorted(below)
         size = max(1, -(-len(found) * parts // self.tasks))
-        bundles = [tuple(sorted(found)[lo : lo + size]) for lo in range(0, len(found), size)]
+        bundles = [tuple(found[lo : lo + size]) for lo in range(0, len(found), size)]
         return [Share(b, ids, k, parts) for b in bundles for k in range(parts)] or [Share((), ids, 0, 1)]
 
     def read(self, partition: Share) -> Iterator[tuple]:
         from pyarrow import fs
 
         system, _ = _open(self.root)
-        for folder, names in partition.folders:
-            if partition.ids is not None:
-                infos = system.get_file_info([f"{folder}/{i}.md" for i in partition.ids if i not in ("", ".", "..") and "/" not in i])
-            else:
-                infos = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-            for info in sorted(infos, key=lambda i: i.path):
-                mine = partition.parts == 1 or zlib.crc32(info.base_name.encode()) % partition.parts == partition.part
-                if info.type == fs.FileType.File and info.base_name.endswith(".md") and mine:
+
+        def mine(name: str) -> bool:
+            return partition.parts == 1 or zlib.crc32(name.encode()) % partition.parts == partition.part
+
+        found: Iterable[tuple[str, tuple[str, ...]]] = partition.folders
+        for level in self.levels[len(partition.folders[0][1]) if partition.folders else 0 :]:
+            # The first level that the driver left is dealt; what lies below a folder is its task's.
+            found, mine = self._below(system, found, level, mine), _anything
+        for folder, names in found:
+            infos = _listed(system, folder, mine) if partition.ids is None else _named(system, folder, (f"{i}.md" for i in partition.ids))
+            for info in infos:
+                if info.type == fs.FileType.File and info.base_name.endswith(".md"):
                     yield (*names, info.base_name.removesuffix(".md"), info.path, info.mtime_ns, info.size, *self._content(system, info.path))
 
     def _content(self, system, path: str) -> tuple[str | None, str | None]:
@@ -137,10 +175,13 @@ def files(spark: SparkSession, root: str, levels: Sequence[str] = (), content: b
 
 def decode(rows: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     """(records, warnings (path, reason)) of read files, which may be filtered before. An id that the head has must be the file's."""
+    judged = _judge(rows, schema)
+    return judged.where("_reason is null").drop("_reason"), judged.where("_reason is not null").select("path", F.col("_reason").alias("reason"))
+
+
+def _judge(rows: DataFrame, schema: str) -> DataFrame:
     # The head's fields follow the path; the levels' names are joined again by it.
-    good, bad = decode_records(rows.where("error is null").select("path", "content"), schema)
-    unread = rows.where("error is not null").select("path", F.col("error").alias("reason"))
-    return good, bad.unionByName(unread)
+    return judged_records(rows, schema, F.col("error"))
 
 
 def read_knowledge(spark: SparkSession, root: str, schema: str, include_pending: bool | None = None) -> tuple[DataFrame, DataFrame]:
@@ -182,7 +223,13 @@ def load_templates(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
 
 
 def read_documents(spark: SparkSession, root: str, templates: DataFrame, subject: str | None = None, template: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents (subject, template, knowledge_ids, body), warnings (path, reason)). A document lies in its subject's folder under its template's output, and its head must say so.
+    """(documents (subject, template, knowledge_ids, body), warnings (path, reason)), as ``judged_documents`` has them."""
+    rows = judged_documents(spark, root, templates, subject, template)
+    return rows.where("reason is null").drop("path", "reason"), rows.where("reason is not null").select("path", "reason")
+
+
+def judged_documents(spark: SparkSession, root: str, templates: DataFrame, subject: str | None = None, template: str | None = None) -> DataFrame:
+    """Files as (path, subject, template, knowledge_ids, body, reason), read once; ``reason`` says of each that is no document why. A document lies in its subject's folder under its template's output, and its head must say so.
 
     With a subject only its folder is listed, with a template too only one file is
     opened; its output comes from ``templates``, of which there are some hundred.
@@ -195,15 +242,13 @@ def read_documents(spark: SparkSession, root: str, templates: DataFrame, subject
         if len(outputs) != 1:
             raise ValueError(f"template {template!r} is not defined once")
         rows = rows.where(F.col("id") == outputs[0].removesuffix(".md"))
-    good, bad = decode(rows, DOCUMENT)
     place = F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)
     known = templates.select(F.col("name").alias("template"), F.regexp_replace("output", r"\.md$", "").alias("_file"))
     # Most documents may share one template, so they don't move to it: the templates go to all tasks.
-    own = good.join(F.broadcast(known), "template", "left").withColumnRenamed("knowledge", "knowledge_ids")
+    own = _judge(rows, DOCUMENT).join(F.broadcast(known), "template", "left").withColumnRenamed("knowledge", "knowledge_ids")
     told = F.when(~F.col("subject").eqNullSafe(place), F.concat(F.lit("subject is "), F.coalesce("subject", F.lit("missing")), F.lit(", want "), place))
     told = told.when(F.col("_file").isNull(), F.concat(F.lit("template "), F.coalesce("template", F.lit("missing")), F.lit(" is not defined"))).when(F.col("_file") != F.col("id"), F.concat(F.lit("template "), "template", F.lit(" has another output")))
-    fine, wrong = records.split(own, F.coalesce(told, records.document_error()))
-    return fine.select("subject", "template", "knowledge_ids", "body"), bad.unionByName(wrong.select("path", "reason"))
+    return own.select("path", "subject", "template", "knowledge_ids", "body", F.coalesce("_reason", told, records.document_error()).alias("reason"))
 
 
 WRITTEN, EDITED = "written", "edited outside"

@@ -1,4 +1,5 @@
 import os
+import pickle
 
 import pytest
 from pyspark.sql.datasource import EqualTo, In, StringStartsWith
@@ -149,3 +150,50 @@ def test_documents_of_one_template_are_not_gathered(pushing, tmp_path):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
     assert good.count() == 1 and bad.count() == 0
+
+
+def test_the_driver_does_not_hold_many_folders(tmp_path):
+    """More folders than the driver may hold are listed by tasks, each of which takes its own; shares don't grow with them."""
+    n = rf.LISTED + 100
+    for i in range(n):
+        os.makedirs(tmp_path / f"documents/s{i}")
+        (tmp_path / f"documents/s{i}/page.md").write_text(str(i))
+    (tmp_path / "documents/s7/other.md").write_text("other")
+    (tmp_path / "documents/stray.md").write_text("not in a folder")
+    reader = rf.RecordReader(str(tmp_path / "documents"), ["subject"], tasks=8)
+    parts = reader.partitions()
+    assert len(parts) == 8 and sum(len(pickle.dumps(p)) for p in parts) < 8_000
+    got = [[(r[0], r[1], r[5]) for r in reader.read(p)] for p in parts]
+    assert sorted(sum(got, [])) == sorted([*((f"s{i}", "page", str(i)) for i in range(n)), ("s7", "other", "other")])
+    assert max(map(len, got)) < 2 * n / 8
+    by_id = rf.PushedReader(str(tmp_path / "documents"), ["subject"], tasks=8)
+    assert [*by_id.pushFilters([In(("id",), ("other", "none"))])] == []
+    assert [r[:2] for p in by_id.partitions() for r in by_id.read(p)] == [("s7", "other")]
+
+
+@pytest.mark.parametrize("listed", [0, 1, 2, 3, 7, 4_096])
+def test_who_lists_folders_makes_no_difference(pushing, tmp_path, listed):
+    """On whichever level tasks go on from what the driver listed, rows and pushed filters are the same, and no record is read twice."""
+    feedstocks(tmp_path)
+    rows = lambda **more: pushing.read.format("record_files").options(path=str(tmp_path), levels=",".join(LEVELS), push="true", tasks=5, **more).load()
+    pushing.dataSource.register(rf.RecordFiles)
+    here = rows(listed=listed)
+    for what in ("true", "agent = 'codex' and month in ('02', '09')", "year in ('2023', '2024', '..') and id in ('codex-01-3', 'none')", "agent in ('claude', 'codex', 'x') and month = '01'", "agent = 'none'"):
+        assert sorted(map(tuple, here.where(what).drop("error").collect()), key=str) == sorted(map(tuple, rf.files(pushing, str(tmp_path), LEVELS).where(what).drop("error").collect()), key=str), what
+    reader = rf.RecordReader(str(tmp_path), LEVELS, listed=listed)
+    assert len({path for p in reader.partitions() for path, _ in p.folders}) <= max(1, listed)
+
+
+def test_documents_are_read_once(pushing, tmp_path):
+    """Good documents and warnings are each one scan, and heads are decoded once in it."""
+    put(tmp_path, "documents/a/guide.md", head("body", subject="a", template="guide", knowledge=["k"]))
+    put(tmp_path, "documents/a/broken.md", "---\n: [\n---\n")
+    put(tmp_path, "documents/b/guide.md", b"\xff\xfe")
+    put(tmp_path, "documents/c/guide.md", "no head")
+    templates = pushing.createDataFrame([("guide", "guide.md")], "name string, output string")
+    for rows in (rf.judged_documents(pushing, str(tmp_path), templates), *rf.read_documents(pushing, str(tmp_path), templates)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BatchScan record_files") == 1 and plan.count("ArrowEvalPython") == 1
+    reasons = {"/".join(r["path"].split("/")[-2:]): r["reason"] for r in rf.judged_documents(pushing, str(tmp_path), templates).collect()}
+    assert reasons.pop("b/guide.md").startswith("'utf-8' codec") and reasons.pop("a/broken.md").startswith("while parsing")
+    assert reasons == {"a/guide.md": None, "c/guide.md": "no front matter"}
