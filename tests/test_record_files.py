@@ -1,9 +1,11 @@
 import os
 import pickle
+import re
 
 import pytest
 from pyspark.sql.datasource import EqualTo, In, StringStartsWith
 
+from ledgerloom.sources import markdown
 from ledgerloom.sources import record_files as rf
 
 LEVELS = ["agent", "year", "month"]
@@ -197,3 +199,15 @@ def test_documents_are_read_once(pushing, tmp_path):
     reasons = {"/".join(r["path"].split("/")[-2:]): r["reason"] for r in rf.judged_documents(pushing, str(tmp_path), templates).collect()}
     assert reasons.pop("b/guide.md").startswith("'utf-8' codec") and reasons.pop("a/broken.md").startswith("while parsing")
     assert reasons == {"a/guide.md": None, "c/guide.md": "no front matter"}
+
+
+def test_heads_are_cut_as_one_pattern_for_the_whole_cuts_them(spark):
+    """Texts are searched for their head only; what follows is the body, whatever it holds."""
+    whole = re.compile(r"^---\r?\n([\s\S]*?\r?\n)---\r?\n([\s\S]*)\Z")
+    texts = [a + h + b for a in ("---\n", "---\r\n", "--\n", "") for h in ("a: é😀\n---\n", "a: x\r\n---\r\n", "\n---\n", "---\n", "a: x---\n") for b in ("", "b", "b\n---\nc\n", "\r\n\u2028é😀\r\n", "---\n")]
+    rows = markdown.judged_records(spark.createDataFrame([(f"{i}.md", t) for i, t in enumerate(texts)], "path string, content string"), "a string")
+    assert r"([\s\S]*)$" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {int(r["id"]): (r["body"], r["_reason"]) for r in rows.collect()}
+    found = [whole.match(t) for t in texts]
+    assert [got[i][1] != "no front matter" for i in range(len(texts))] == [m is not None for m in found]
+    assert all(got[i][0] == m[2] for i, m in enumerate(found) if m) and sum(m is not None for m in found) > 20
